@@ -1,0 +1,189 @@
+"""Registry of driver queries (Spark) and their DuckDB oracles."""
+
+from __future__ import annotations
+
+from typing import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tocsin.plans import oracle as O
+from tocsin.plans.trial import Trial
+from tocsin.session import configure
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+ORACLES: dict[str, str] = {}
+
+
+def register(name: str, sql: str | None = None):
+    def deco(fn: Callable[[Trial], DataFrame]) -> Callable[[Trial], DataFrame]:
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            configure(spark)
+            return fn(Trial.from_testdata(spark, sf_dir))
+        run.__name__ = name
+        run.__doc__ = fn.__doc__
+        QUERIES[name] = run
+        if sql is not None:
+            ORACLES[name] = sql
+        return fn
+    return deco
+
+
+def _epoch(c: str):
+    return F.unix_seconds(F.col(c)).alias(c)
+
+
+# -- O26-O30: state and episodes -------------------------------------------
+
+@register("any_alarm_state", O._with(O.BASE) + f"SELECT id, CAST(epoch(datetime) AS BIGINT) AS datetime, {O.STATE_SQL} AS state FROM series")
+def _any_alarm_state(t: Trial) -> DataFrame:
+    """Any-alarm state per series row."""
+    return t.state().select("id", _epoch("datetime"), "state")
+
+
+def _episode_cols(df: DataFrame) -> DataFrame:
+    return df.select("id", _epoch("alarm_start"), _epoch("alarm_end"), "duration", "randomization", "nurse")
+
+
+@register("episodes_series", O.episodes_sql(O.CLEAR))
+def _episodes_series(t: Trial) -> DataFrame:
+    """Episodes ending when the alarm clears (series scope)."""
+    return _episode_cols(t.episodes("clear"))
+
+
+@register("episodes_answered", O.episodes_sql(O.ANSWERED))
+def _episodes_answered(t: Trial) -> DataFrame:
+    """Episodes ending when cleared or answered."""
+    return _episode_cols(t.episodes("answered"))
+
+
+# -- O31-O36: outcomes -----------------------------------------------------
+
+@register("primary_outcome", O.seconds_in_alarm_sql(O.ANSWERED))
+def _primary(t: Trial) -> DataFrame:
+    """Seconds in alarm until the first response, per unit."""
+    return t.primary()
+
+
+@register("alarm_duration", O.seconds_in_alarm_sql(O.CLEAR))
+def _duration(t: Trial) -> DataFrame:
+    """Total seconds in alarm, per unit."""
+    return t.alarm_duration()
+
+
+@register("zero_share", O.zero_share_sql())
+def _zero_share(t: Trial) -> DataFrame:
+    """Zero / non-zero primary outcome per arm."""
+    from tocsin.operators.outcomes import zero_share
+    return zero_share(t.primary())
+
+
+@register("nonzero_primary", f"WITH p AS ({O.seconds_in_alarm_sql(O.ANSWERED)}) SELECT * FROM p WHERE outcome <> 0")
+def _nonzero(t: Trial) -> DataFrame:
+    """Units with a non-zero primary outcome."""
+    from tocsin.operators.outcomes import nonzero
+    return nonzero(t.primary())
+
+
+@register("alarms_all", O.alarms_sql("event <> 'Fix equipment'"))
+def _alarms_all(t: Trial) -> DataFrame:
+    """Alarm seconds with an event other than fixing equipment."""
+    return t.alarms("all")
+
+
+@register("alarms_appropriate", O.alarms_sql("event NOT IN ('Fix equipment', 'Alarm silenced')"))
+def _alarms_app(t: Trial) -> DataFrame:
+    """Alarm seconds answered by an intervention."""
+    return t.alarms("appropriate")
+
+
+@register("alarms_inappropriate", O.alarms_sql("event = 'Alarm silenced'"))
+def _alarms_inapp(t: Trial) -> DataFrame:
+    """Alarm seconds dismissed by silencing."""
+    return t.alarms("inappropriate")
+
+
+@register("desat_area_episode", O.desat_episode_sql())
+def _desat_ep(t: Trial) -> DataFrame:
+    """Desaturation area over episode-end rows."""
+    return t.desaturation("episode_end")
+
+
+@register("desat_area_rows", O.desat_rows_sql())
+def _desat_rows(t: Trial) -> DataFrame:
+    """Desaturation area over every second."""
+    return t.desaturation("every_row")
+
+
+@register("adverse_flag", O.adverse_sql())
+def _adverse(t: Trial) -> DataFrame:
+    """Adverse-event flag per unit."""
+    return t.adverse()
+
+
+# -- O15-O25, O37: cohort, joins, unit lists --------------------------------
+
+@register("exclusions", O._with(O.BASE) + "SELECT id FROM excl")
+def _exclusions(t: Trial) -> DataFrame:
+    """Patients without sedation (minus overrides)."""
+    return t.excluded()
+
+
+@register("anti_filter", O._with(O.BASE) + "SELECT id, count(*) AS n FROM ds GROUP BY id")
+def _anti(t: Trial) -> DataFrame:
+    """Series rows per id after removing excluded patients."""
+    return t.analysed().groupBy("id").agg(F.count(F.lit(1)).alias("n"))
+
+
+@register("units", O._with(O.BASE) + "SELECT id, randomization, nurse FROM units")
+def _units(t: Trial) -> DataFrame:
+    """Distinct units of analysis (a hand-over gives two)."""
+    return t.units()
+
+
+@register("first_row", O._with(O.BASE) + (
+    "SELECT id, CAST(epoch(datetime) AS BIGINT) AS datetime, nurse, randomization FROM series "
+    "QUALIFY row_number() OVER (PARTITION BY id ORDER BY datetime) = 1"))
+def _first_row(t: Trial) -> DataFrame:
+    """First row per id."""
+    return t.first_rows().select("id", _epoch("datetime"), "nurse", "randomization")
+
+
+@register("units_right_join", O.seconds_in_alarm_sql(O.CLEAR, with_missing=False))
+def _units_right(t: Trial) -> DataFrame:
+    """Per-id outcome right-joined to all units (NULL-safe keys)."""
+    return t.alarm_duration(with_missing=False)
+
+
+@register("nurse_right_join", O._with(O.BASE, O.NURSE_UNITS) + "SELECT nurse, id, randomization FROM nu")
+def _nurse_right(t: Trial) -> DataFrame:
+    """First unit per id right-joined to the nurse list, plus missing units."""
+    return t.nurse_units()
+
+
+@register("form_full_join", O.form_units_sql())
+def _form_full(t: Trial) -> DataFrame:
+    """Patient forms full-joined to the unit list, exclusions re-applied."""
+    return t.form_units()
+
+
+@register("append_units", O._with(O.BASE, fr=O.FIRST_PER_ID) + (
+    "SELECT nurse, id, randomization FROM fr UNION ALL SELECT nurse, id, randomization FROM missing"))
+def _append(t: Trial) -> DataFrame:
+    """First unit per id with the missing units appended."""
+    from tocsin.operators.rows import append_units
+    fr = t.first_rows().select("nurse", "id", "randomization")
+    return append_units(fr, t.missing().select("nurse", "id", "randomization"), value_col=None)
+
+
+@register("cluster_size_randomized", O.cluster_size_sql(False))
+def _cs_rand(t: Trial) -> DataFrame:
+    """Patients per cluster as randomized."""
+    return t.cluster_sizes(analysed=False)
+
+
+@register("cluster_size_analyzed", O.cluster_size_sql(True))
+def _cs_anal(t: Trial) -> DataFrame:
+    """Patients per cluster as analysed."""
+    return t.cluster_sizes(analysed=True)
