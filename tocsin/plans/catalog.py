@@ -58,6 +58,18 @@ def _episodes_answered(t: Trial) -> DataFrame:
     return _episode_cols(t.episodes("answered"))
 
 
+@register("episodes_dataset", O.episodes_sql(O.CLEAR, O.WALK_DATASET))
+def _episodes_dataset(t: Trial) -> DataFrame:
+    """O27-O30 parity mode: one walk over all series in id order."""
+    return _episode_cols(t.episodes("clear", scope="dataset"))
+
+
+@register("episodes_answered_dataset", O.episodes_sql(O.ANSWERED, O.WALK_DATASET))
+def _episodes_answered_dataset(t: Trial) -> DataFrame:
+    """O29-O30 parity mode."""
+    return _episode_cols(t.episodes("answered", scope="dataset"))
+
+
 # -- O31-O36: outcomes -----------------------------------------------------
 
 @register("primary_outcome", O.seconds_in_alarm_sql(O.ANSWERED))
@@ -66,6 +78,18 @@ def _primary(t: Trial) -> DataFrame:
     return t.primary()
 
 
+@register("primary_outcome_dataset", O.seconds_in_alarm_sql(O.ANSWERED, walk=O.WALK_DATASET))
+def _primary_dataset(t: Trial) -> DataFrame:
+    """O31 parity mode: NULL-start rule (an id with an unknown start scores 0)."""
+    return t.primary(scope="dataset")
+
+
+@register("alarm_duration_dataset", O.seconds_in_alarm_sql(O.CLEAR, walk=O.WALK_DATASET))
+def _duration_dataset(t: Trial) -> DataFrame:
+    """O32 parity mode."""
+    return t.alarm_duration(scope="dataset")
+
+
 @register("alarm_duration", O.seconds_in_alarm_sql(O.CLEAR))
 def _duration(t: Trial) -> DataFrame:
     """Total seconds in alarm, per unit."""

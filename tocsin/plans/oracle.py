@@ -37,6 +37,15 @@ WALK = {
          "ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS alarm_start FROM w",
 }
 
+# Literal walk over all series concatenated in id order (dataset scope): no
+# default for the first lag / last lead, start carried down across ids.
+WALK_DATASET = {
+    "st": WALK["st"],
+    "w": "SELECT *, lag(state) OVER (ORDER BY id, datetime) AS prv, lead(state) OVER (ORDER BY id, datetime) AS nxt FROM st",
+    "f": "SELECT *, last_value(CASE WHEN state = 1 AND prv = 0 THEN datetime END IGNORE NULLS) OVER (ORDER BY id, datetime "
+         "ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS alarm_start FROM w",
+}
+
 
 def _with(*groups: dict, **extra: str) -> str:
     views: dict[str, str] = {}
@@ -65,8 +74,8 @@ RIGHT_JOIN_UNITS = (
 )
 
 
-def seconds_in_alarm_sql(end_rule: str, with_missing: bool = True) -> str:
-    sql = _with(BASE, WALK, _episode_views(end_rule),
+def seconds_in_alarm_sql(end_rule: str, with_missing: bool = True, walk: dict = WALK) -> str:
+    sql = _with(BASE, walk, _episode_views(end_rule),
                 sums="SELECT id, CASE WHEN count(*) = count(dur) THEN sum(dur) END AS outcome FROM d GROUP BY id",
                 per_id="SELECT f.id, f.randomization, f.nurse, s.outcome FROM first_ep f JOIN sums s USING (id)",
                 res=RIGHT_JOIN_UNITS)
@@ -76,8 +85,8 @@ def seconds_in_alarm_sql(end_rule: str, with_missing: bool = True) -> str:
     return sql
 
 
-def episodes_sql(end_rule: str) -> str:
-    return _with(BASE, WALK, _episode_views(end_rule)) + (
+def episodes_sql(end_rule: str, walk: dict = WALK) -> str:
+    return _with(BASE, walk, _episode_views(end_rule)) + (
         "SELECT id, CAST(epoch(alarm_start) AS BIGINT) AS alarm_start, CAST(epoch(datetime) AS BIGINT) AS alarm_end, "
         "dur AS duration, randomization, nurse FROM d")
 
