@@ -211,3 +211,100 @@ def _cs_rand(t: Trial) -> DataFrame:
 def _cs_anal(t: Trial) -> DataFrame:
     """Patients per cluster as analysed."""
     return t.cluster_sizes(analysed=True)
+
+
+# -- O07-O14: ingest ------------------------------------------------------
+
+def _sheets(spark: SparkSession, sf_dir: str):
+    from tocsin.plans.ingest import ObserverSheets
+    from tocsin.sources import fixtures as fx
+    return ObserverSheets(sync=fx.sync_sheet(spark, sf_dir), nurse=fx.nurse_sheet(spark, sf_dir),
+                          interventions=fx.intervention_sheet(spark, sf_dir))
+
+
+def register_raw(name: str, sql: str | None = None):
+    def deco(fn: Query) -> Query:
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            configure(spark)
+            return fn(spark, sf_dir)
+        run.__name__ = name
+        run.__doc__ = fn.__doc__
+        QUERIES[name] = run
+        if sql is not None:
+            ORACLES[name] = sql
+        return fn
+    return deco
+
+
+_PLAN = O._with(O.BASE, plan=__import__("tocsin.sources.fixtures", fromlist=["x"]).SQL_CLOCK_PLAN)
+_EXP = __import__("tocsin.sources.fixtures", fromlist=["x"]).SQL_EXPECTED_DIFF
+
+
+@register_raw("clock_pairs", _PLAN + (
+    "SELECT id, 1 AS sync, CAST(epoch(t1) AS BIGINT) AS Capnostream, CAST(epoch(t1) AS BIGINT) + d1 AS ipad, "
+    "CAST(d1 AS BIGINT) AS diff FROM plan UNION ALL "
+    "SELECT id, 2, CAST(epoch(cap2) AS BIGINT), CAST(epoch(cap2) AS BIGINT) + d2, CAST(d2 AS BIGINT) FROM plan "
+    "WHERE cap2 IS NOT NULL"))
+def _clock_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parsed sync readings paired per device, offset in seconds."""
+    from tocsin.operators.clock import clock_pairs
+    p = clock_pairs(_sheets(spark, sf_dir).sync_readings())
+    return p.select("id", F.col("sync").cast("int").alias("sync"), _epoch("Capnostream"), _epoch("ipad"), "diff")
+
+
+@register_raw("clock_fill", _PLAN + (
+    f"SELECT s.id, CAST(epoch(s.datetime) AS BIGINT) AS datetime, CAST({_EXP} AS BIGINT) AS diff, "
+    f"CAST(epoch(s.datetime) AS BIGINT) + {_EXP} AS time_corrected FROM series s JOIN plan p USING (id)"))
+def _clock_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Clock offset carried over the rows (exact-second matching)."""
+    from tocsin.operators.clock import clock_fill, clock_pairs
+    from tocsin.plans.ingest import dedup
+    from tocsin.sources import fixtures as fx
+    rows = dedup(fx.monitor_rows(spark, sf_dir)).select("id", "datetime")
+    out = clock_fill(rows, clock_pairs(_sheets(spark, sf_dir).sync_readings()))
+    return out.select("id", _epoch("datetime"), "diff", _epoch("time_corrected"))
+
+
+def _ingested(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tocsin.plans.ingest import ingest
+    from tocsin.sources import fixtures as fx, literals
+    return ingest(fx.monitor_rows(spark, sf_dir), _sheets(spark, sf_dir), literals.allocation(spark))
+
+
+@register_raw("nurse_fill", O._with(O.BASE) + "SELECT id, CAST(epoch(datetime) AS BIGINT) AS datetime, nurse FROM series")
+def _nurse_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nurse carried over the rows from the nurse log (tablet clock)."""
+    return _ingested(spark, sf_dir).select("id", _epoch("datetime"), "nurse")
+
+
+@register_raw("event_attach", O._with(O.BASE) + "SELECT id, CAST(epoch(datetime) AS BIGINT) AS datetime, event FROM series")
+def _event_attach(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Interventions attached at their exact tablet second."""
+    return _ingested(spark, sf_dir).select("id", _epoch("datetime"), "event")
+
+
+@register_raw("one_row_per_tick", O._with(O.BASE) + "SELECT id, CAST(epoch(datetime) AS BIGINT) AS datetime, line FROM series")
+def _one_row(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per (id, second), first line kept."""
+    from tocsin.plans.ingest import dedup
+    from tocsin.sources import fixtures as fx
+    return dedup(fx.monitor_rows(spark, sf_dir)).select("id", _epoch("datetime"), "line")
+
+
+@register_raw("arm_lookup", O._with(O.BASE) + (
+    "SELECT id, CAST(epoch(datetime) AS BIGINT) AS datetime, nurse, randomization FROM series"))
+def _arm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Arm of the row's nurse (unknown nurse -> NULL)."""
+    return _ingested(spark, sf_dir).select("id", _epoch("datetime"), "nurse", "randomization")
+
+
+_SERIES_COLS = ["id", "line", "spo2", "spo2Low", "spo2High", "respRateLow", "respRateHigh", "noBreath", "ipiLow",
+                "pulseRateHigh", "pulseRateLow", "etco2Low", "etco2High", "event", "nurse", "randomization"]
+
+
+@register_raw("ingest_series", _PLAN + (
+    "SELECT " + ", ".join("s." + c for c in _SERIES_COLS) + ", CAST(epoch(s.datetime) AS BIGINT) AS datetime, "
+    f"CAST(epoch(s.datetime) AS BIGINT) + {_EXP} AS time_corrected FROM series s JOIN plan p USING (id)"))
+def _ingest_series(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """O07-O14 chained: device rows + observer sheets -> series."""
+    return _ingested(spark, sf_dir).select(*_SERIES_COLS, _epoch("datetime"), _epoch("time_corrected"))

@@ -19,7 +19,7 @@ identical rows.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tocsin.sources import literals
@@ -156,3 +156,100 @@ FROM customer
 def sql_with(**views: str) -> str:
     """``WITH name AS (...), ...`` prefix for oracle queries."""
     return "WITH " + ",\n".join(f"{name} AS ({body})" for name, body in views.items()) + "\n"
+
+
+# --------------------------------------------------------------------------
+# Observer sheets for the ingest jobs, derived from the deduplicated series.
+#
+# Per id (u = user number): the first pair of clock readings is taken at the
+# first tick; the tablet runs 7 + u % 5 s ahead (a day more when u % 13 == 0, a
+# date typo the checks must find).  Ids with u % 3 == 0 get a second pair at
+# the first tick from 10 January on, with the tablet 2 s further ahead; when
+# also u % 7 == 0 that Capnostream reading is half an hour off the tick grid
+# and matches no row.  Nurse log: the first tick of each (id, nurse);
+# interventions: every tick with an event; both in tablet time.
+
+SECOND_PAIR_FROM = "2024-01-10 00:00:00"
+
+
+def user_of(id_col):
+    return F.substring(id_col, 2, 20).cast("long")
+
+
+def clock_plan(series_df: DataFrame) -> DataFrame:
+    """Per id: first tick, second Capnostream reading, both offsets, and the
+    tick from which the second offset holds (NULL if it matches no row)."""
+    g = series_df.groupBy("id").agg(
+        F.min("datetime").alias("t1"),
+        F.min(F.when(F.col("datetime") >= _ts(SECOND_PAIR_FROM), F.col("datetime"))).alias("t2"))
+    u = user_of(F.col("id"))
+    off = F.lit(7) + u % 5
+    has2 = (u % 3 == 0) & F.col("t2").isNotNull()
+    return g.select(
+        "id", "t1",
+        (off + F.when(u % 13 == 0, 86400).otherwise(0)).alias("d1"),
+        F.when(has2, F.timestamp_seconds(F.unix_seconds("t2") + F.when(u % 7 == 0, 1800).otherwise(0))).alias("cap2"),
+        (off + 2).alias("d2"),
+        F.when(has2 & (u % 7 != 0), F.col("t2")).alias("hit2"),
+    )
+
+
+def expected_diff(ts_col: str = "datetime"):
+    return F.when(F.col("hit2").isNotNull() & (F.col(ts_col) >= F.col("hit2")), F.col("d2")).otherwise(F.col("d1"))
+
+
+def monitor_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Device rows as the CSV scan gives them (no nurse, event or arm yet)."""
+    return series_raw(spark, sf_dir).drop("nurse", "event")
+
+
+def sync_sheet(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``Sync times`` sheet rows: ``id, row, device, time`` (text)."""
+    from tocsin.functions.timeparse import format_mdy
+
+    plan = clock_plan(series(spark, sf_dir))
+    sec = lambda ts, d: F.timestamp_seconds(F.unix_seconds(ts) + d)
+    readings = F.array(
+        F.struct(F.lit(1).alias("row"), F.lit("Capnostream").alias("device"), F.col("t1").alias("t")),
+        F.struct(F.lit(2).alias("row"), F.lit("ipad").alias("device"), sec(F.col("t1"), F.col("d1")).alias("t")),
+        F.struct(F.lit(3).alias("row"), F.lit("Capnostream").alias("device"), F.col("cap2").alias("t")),
+        F.struct(F.lit(4).alias("row"), F.lit("ipad").alias("device"), sec(F.col("cap2"), F.col("d2")).alias("t")),
+    )
+    out = plan.select("id", F.explode(readings).alias("r")).filter(F.col("r.t").isNotNull())
+    return out.select("id", F.col("r.row").alias("row"), F.col("r.device").alias("device"),
+                      format_mdy(F.col("r.t")).alias("time"))
+
+
+def nurse_sheet(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``Nurse ID`` sheet rows: ``id, row, nurse, time`` (text, tablet clock)."""
+    from tocsin.functions.timeparse import format_mdy
+
+    s = series(spark, sf_dir)
+    first = s.groupBy("id", "nurse").agg(F.min("datetime").alias("datetime"))
+    first = first.join(clock_plan(s), "id")
+    t = F.timestamp_seconds(F.unix_seconds("datetime") + expected_diff())
+    w = Window.partitionBy("id").orderBy("datetime")
+    return first.select("id", F.row_number().over(w).alias("row"), "nurse", format_mdy(t).alias("time"))
+
+
+def intervention_sheet(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``Interventions`` sheet rows: ``id, row, event, time`` (text, tablet clock)."""
+    from tocsin.functions.timeparse import format_mdy
+
+    s = series(spark, sf_dir)
+    ev = s.filter(F.col("event").isNotNull()).select("id", "datetime", "event", "line")
+    ev = ev.join(clock_plan(s), "id")
+    t = F.timestamp_seconds(F.unix_seconds("datetime") + expected_diff())
+    return ev.select("id", F.col("line").alias("row"), "event", format_mdy(t).alias("time"))
+
+
+SQL_CLOCK_PLAN = f"""
+SELECT id, t1, 7 + u % 5 + CASE WHEN u % 13 = 0 THEN 86400 ELSE 0 END AS d1,
+  CASE WHEN u % 3 = 0 AND t2 IS NOT NULL THEN t2 + to_seconds(CASE WHEN u % 7 = 0 THEN 1800 ELSE 0 END) END AS cap2,
+  7 + u % 5 + 2 AS d2,
+  CASE WHEN u % 3 = 0 AND t2 IS NOT NULL AND u % 7 <> 0 THEN t2 END AS hit2
+FROM (SELECT id, CAST(substr(id, 2) AS BIGINT) AS u, min(datetime) AS t1,
+             min(datetime) FILTER (WHERE datetime >= TIMESTAMP '{SECOND_PAIR_FROM}') AS t2
+      FROM series GROUP BY id)
+"""
+SQL_EXPECTED_DIFF = "CASE WHEN p.hit2 IS NOT NULL AND s.datetime >= p.hit2 THEN p.d2 ELSE p.d1 END"
