@@ -308,3 +308,119 @@ _SERIES_COLS = ["id", "line", "spo2", "spo2Low", "spo2High", "respRateLow", "res
 def _ingest_series(spark: SparkSession, sf_dir: str) -> DataFrame:
     """O07-O14 chained: device rows + observer sheets -> series."""
     return _ingested(spark, sf_dir).select(*_SERIES_COLS, _epoch("datetime"), _epoch("time_corrected"))
+
+
+# -- O47-O49: data-quality checks -------------------------------------------
+
+def _fx():
+    from tocsin.sources import fixtures
+    return fixtures
+
+
+def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tocsin.operators.clock import clock_pairs
+    return clock_pairs(_sheets(spark, sf_dir).sync_readings())
+
+
+_CHECK_VIEWS = dict(
+    plan=_fx().SQL_CLOCK_PLAN,
+    files="SELECT DISTINCT id FROM series",
+    sync_n="SELECT id, CASE WHEN cap2 IS NOT NULL THEN 4 ELSE 2 END AS n FROM plan",
+    nurse_n="SELECT id, count(DISTINCT nurse) AS n FROM series GROUP BY id",
+    int_n="SELECT id, count(*) AS n FROM series WHERE event IS NOT NULL GROUP BY id",
+    adv_n="SELECT id, count(*) AS n FROM adverse_form GROUP BY id",
+    c="SELECT f.id, 'sync_rows' AS chk, coalesce(s.n, 0) AS observed, 2 AS expected FROM files f LEFT JOIN sync_n s USING (id) "
+      "UNION ALL SELECT f.id, 'nurse_rows', coalesce(s.n, 0), 1 FROM files f LEFT JOIN nurse_n s USING (id) "
+      "UNION ALL SELECT f.id, 'intervention_rows', coalesce(s.n, 0), 0 FROM files f LEFT JOIN int_n s USING (id) "
+      "UNION ALL SELECT f.id, 'adverse_rows', coalesce(s.n, 0), 1 FROM files f LEFT JOIN adv_n s USING (id)",
+    pairs="SELECT id, t1 AS cap, t1 + to_seconds(d1) AS ipad, d1 AS diff FROM plan "
+          "UNION ALL SELECT id, cap2, cap2 + to_seconds(d2), d2 FROM plan WHERE cap2 IS NOT NULL",
+)
+
+
+@register_raw("check_counts", O._with(O.BASE, _CHECK_VIEWS) + (
+    'SELECT id, chk AS "check", CAST(observed AS DOUBLE) AS observed, CAST(expected AS DOUBLE) AS expected '
+    "FROM c WHERE observed <> expected"))
+def _check_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Workbooks whose sheets do not hold the expected number of rows."""
+    from tocsin.operators.quality import EXPECTED_ROWS, row_count_check
+    fx = _fx()
+    files = fx.series(spark, sf_dir).select("id").distinct()
+    sheets = {"sync_rows": fx.sync_sheet(spark, sf_dir), "nurse_rows": fx.nurse_sheet(spark, sf_dir),
+              "intervention_rows": fx.intervention_sheet(spark, sf_dir), "adverse_rows": fx.adverse_form(spark, sf_dir)}
+    out = None
+    for check, rows in sheets.items():
+        f = row_count_check(files, rows.select("id"), check, EXPECTED_ROWS[check])
+        out = f if out is None else out.unionByName(f)
+    return out
+
+
+@register_raw("check_same_day", O._with(O.BASE, _CHECK_VIEWS) + (
+    "SELECT id, 'sync_not_same_day' AS \"check\", CAST(count(*) AS DOUBLE) AS observed, CAST(0 AS DOUBLE) AS expected "
+    "FROM pairs WHERE CAST(ipad AS DATE) <> CAST(cap AS DATE) GROUP BY id"))
+def _check_same_day(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Clock pairs read on different days."""
+    from tocsin.operators.quality import same_day_check
+    return same_day_check(_pairs(spark, sf_dir))
+
+
+@register_raw("check_gap", O._with(O.BASE, _CHECK_VIEWS) + (
+    "SELECT id, 'sync_gap_over_limit' AS \"check\", diff / 60.0 AS observed, CAST(5 AS DOUBLE) AS expected "
+    "FROM pairs WHERE diff / 60.0 > 5"))
+def _check_gap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Clock pairs more than five minutes apart (tablet ahead)."""
+    from tocsin.operators.quality import gap_check
+    return gap_check(_pairs(spark, sf_dir))
+
+
+# -- O38: baseline table ------------------------------------------------------
+
+# Fixed values for the fixture: procedure groups over the part names.
+FIXTURE_PROCEDURE_RULES = (("ring", "Ring"), ("widget", "Widget"), ("bolt", "Bolt"), ("gear", "Gear"))
+
+
+def _proc_sql(col: str) -> str:
+    whens = " ".join(f"WHEN regexp_matches({col}, '(?i){p}') THEN '{label}'" for p, label in FIXTURE_PROCEDURE_RULES)
+    return f"CASE {whens} ELSE 'Other' END"
+
+
+def _baseline_sql(tail: str) -> str:
+    body = O.form_units_sql()
+    return (f"WITH fu AS ({body}), bf AS (SELECT age, sex, totalMidaz, totalFent, oxygenDevice, "
+            "(epoch(strptime(caseEnd, '%m/%d/%Y %H:%M:%S')) - epoch(strptime(caseStart, '%m/%d/%Y %H:%M:%S'))) / 60.0 AS duration, "
+            f"randomization, {_proc_sql('\"procedure\"')} AS \"procedure\" FROM fu) " + tail)
+
+
+_CONT_TAIL = ("SELECT randomization, variable, count(value) AS n, quantile_cont(value, 0.25) AS p25, "
+              "quantile_cont(value, 0.5) AS median, quantile_cont(value, 0.75) AS p75 FROM ("
+              + " UNION ALL ".join(f"SELECT randomization, '{v}' AS variable, CAST({v} AS DOUBLE) AS value FROM bf"
+                                   for v in ("age", "totalMidaz", "totalFent", "duration"))
+              + ") WHERE randomization IS NOT NULL AND value IS NOT NULL GROUP BY randomization, variable")
+_CAT_TAIL = ("SELECT randomization, variable, level, count(*) AS n, "
+             "count(*) * 100.0 / sum(count(*)) OVER (PARTITION BY randomization, variable) AS pct FROM ("
+             + " UNION ALL ".join(f"SELECT randomization, '{v}' AS variable, CAST(\"{v}\" AS VARCHAR) AS level FROM bf"
+                                  for v in ("sex", "oxygenDevice", "procedure"))
+             + ") WHERE randomization IS NOT NULL AND level IS NOT NULL GROUP BY randomization, variable, level")
+
+
+@register("baseline_continuous", _baseline_sql(_CONT_TAIL))
+def _baseline_cont(t: Trial) -> DataFrame:
+    """Continuous characteristics by arm (n, quartiles)."""
+    from tocsin.operators.summary import baseline_frame, continuous_summary
+    return continuous_summary(baseline_frame(t.form_units(), FIXTURE_PROCEDURE_RULES))
+
+
+@register("baseline_categorical", _baseline_sql(_CAT_TAIL))
+def _baseline_cat(t: Trial) -> DataFrame:
+    """Categorical characteristics by arm (n, percent)."""
+    from tocsin.operators.summary import baseline_frame, categorical_summary
+    return categorical_summary(baseline_frame(t.form_units(), FIXTURE_PROCEDURE_RULES))
+
+
+@register("procedure_group", O._with(O.BASE) + (
+    f"SELECT patient, {_proc_sql('\"procedure\"')} AS procedure_group FROM patient_form"))
+def _procedure_group(t: Trial) -> DataFrame:
+    """Ordered case-insensitive procedure grouping."""
+    from tocsin.operators.summary import procedure_group
+    return t.patient_form().select("patient", procedure_group(F.col("procedure"), FIXTURE_PROCEDURE_RULES)
+                                   .alias("procedure_group"))
