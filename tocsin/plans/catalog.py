@@ -424,3 +424,90 @@ def _procedure_group(t: Trial) -> DataFrame:
     from tocsin.operators.summary import procedure_group
     return t.patient_form().select("patient", procedure_group(F.col("procedure"), FIXTURE_PROCEDURE_RULES)
                                    .alias("procedure_group"))
+
+
+# -- O39-O46: statistics ------------------------------------------------------
+
+@register("icc_components", f"WITH d AS ({O.seconds_in_alarm_sql(O.CLEAR)}) " + (
+    "SELECT nurse AS cluster, count(*) AS n, CAST(sum(outcome) AS BIGINT) AS s, "
+    "CAST(sum(outcome * outcome) AS BIGINT) AS ss FROM d WHERE nurse IS NOT NULL GROUP BY nurse"))
+def _icc_components(t: Trial) -> DataFrame:
+    """Per-cluster count, sum and sum of squares (total alarm duration)."""
+    from tocsin.operators.stats import icc_components
+    return icc_components(t.alarm_duration())
+
+
+@register("icc_binary_counts", f"WITH a AS ({O.adverse_sql()}) " + (
+    "SELECT nurse AS cluster, count(*) AS n, CAST(sum(adverseEvent) AS BIGINT) AS y FROM a "
+    "WHERE nurse IS NOT NULL GROUP BY nurse"))
+def _icc_binary(t: Trial) -> DataFrame:
+    """Per-cluster units and adverse events."""
+    from tocsin.operators.stats import icc_binary_counts
+    return icc_binary_counts(t.adverse())
+
+
+@register("glmm_likelihood_cells", f"WITH p AS ({O.seconds_in_alarm_sql(O.ANSWERED)}) " + (
+    "SELECT nurse AS cluster, CASE WHEN randomization = 'IPI enabled' THEN 1 ELSE 0 END AS x, "
+    "CAST(outcome AS DOUBLE) AS y, CAST(count(*) AS DOUBLE) AS c FROM p "
+    "WHERE outcome <> 0 AND nurse IS NOT NULL AND randomization IS NOT NULL GROUP BY ALL"))
+def _cells(t: Trial) -> DataFrame:
+    """Collapsed sufficient table of the primary-outcome model."""
+    from tocsin.operators.glmm import collapse_cells
+    return collapse_cells(t.primary().filter(F.col("outcome") != 0))
+
+
+@register("icc_table")
+def _icc_table(t: Trial) -> DataFrame:
+    """ICC of every outcome (REML; binary: ANOVA estimator)."""
+    from tocsin.plans.analysis import icc_frame
+    return icc_frame(t)
+
+
+@register("nb_model_primary")
+def _nb_primary(t: Trial) -> DataFrame:
+    """Negative binomial random-intercept model, non-zero primary outcome."""
+    from tocsin.plans.analysis import model_frame
+    return model_frame(t, "primary")
+
+
+@register("zinb_model_duration")
+def _zinb_duration(t: Trial) -> DataFrame:
+    """Zero-inflated NB model, total alarm duration."""
+    from tocsin.plans.analysis import model_frame
+    return model_frame(t, "duration")
+
+
+@register("hurdle_model_desat")
+def _hurdle(t: Trial) -> DataFrame:
+    """Hurdle log-normal model, desaturation area."""
+    from tocsin.plans.analysis import model_frame
+    return model_frame(t, "desat")
+
+
+@register("logistic_model_adverse")
+def _logistic(t: Trial) -> DataFrame:
+    """Logistic random-intercept model, adverse events."""
+    from tocsin.plans.analysis import model_frame
+    return model_frame(t, "adverse")
+
+
+@register("effects_primary")
+def _effects(t: Trial) -> DataFrame:
+    """Rate ratio of the primary outcome with 95 % interval."""
+    from tocsin.plans.analysis import effects_frame
+    return effects_frame(t, "primary")
+
+
+@register("residuals_primary")
+def _residuals(t: Trial) -> DataFrame:
+    """Simulated scaled residuals (1000 draws per unit), primary model."""
+    from tocsin.plans.analysis import residuals
+    return residuals(t, "primary")
+
+
+@register("residual_qq_primary")
+def _residual_qq(t: Trial) -> DataFrame:
+    """Uniform QQ table of the primary-model residuals."""
+    from tocsin.operators.stats import residual_qq
+    from tocsin.plans.analysis import residuals
+    return residual_qq(residuals(t, "primary"))
