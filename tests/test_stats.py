@@ -1,0 +1,57 @@
+import math
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import functions as F
+
+from tocsin.functions.special import lgamma
+from tocsin.operators.glmm import ClusteredModel
+from tocsin.operators.stats import icc_binary_anova, icc_reml, residual_qq
+
+
+def test_lgamma_column(spark):
+    xs = [0.01, 0.3, 0.5, 1.0, 2.5, 10.0, 123.4, 1480.0]
+    df = spark.createDataFrame([(x,) for x in xs], "x double")
+    got = [r[0] for r in df.select(lgamma(F.col("x"))).collect()]
+    for x, g in zip(xs, got):
+        assert abs(g - math.lgamma(x)) <= 1e-12 * max(1.0, abs(math.lgamma(x)))
+
+
+def test_icc_reml_balanced_equals_anova():
+    rng = np.random.default_rng(0)
+    k, n = 8, 12
+    b = rng.normal(0, 2, k)
+    ys = [b[i] + rng.normal(0, 3, n) for i in range(k)]
+    comp = pd.DataFrame({"n": [n] * k, "s": [y.sum() for y in ys], "ss": [(y ** 2).sum() for y in ys]})
+    grand = np.concatenate(ys).mean()
+    msb = n * sum((y.mean() - grand) ** 2 for y in ys) / (k - 1)
+    msw = sum(((y - y.mean()) ** 2).sum() for y in ys) / (k * (n - 1))
+    anova = (msb - msw) / (msb + (n - 1) * msw)
+    assert abs(icc_reml(comp) - max(anova, 0)) < 1e-6
+
+
+def test_icc_binary_no_clustering_near_zero():
+    counts = pd.DataFrame({"n": [50] * 6, "y": [10] * 6})
+    assert icc_binary_anova(counts) < 0
+
+
+def test_logistic_model_recovers_group_logits(spark):
+    # Two arms, equal clusters, no cluster effect: the fit approaches the
+    # logits of the arm proportions.
+    rows = []
+    for k in range(6):
+        x = k % 2
+        for y, c in ((1, 10 + 10 * x), (0, 40 - 10 * x)):
+            rows.append((f"N{k}", x, float(y), float(c)))
+    cells = spark.createDataFrame(rows, "cluster string, x int, y double, c double")
+    fit = ClusteredModel(spark, cells, "binomial").fit(outer=2)
+    b0, b1 = fit.theta[0], fit.theta[1]
+    assert abs(b0 - math.log(0.2 / 0.8)) < 0.05
+    assert abs(b0 + b1 - math.log(0.4 / 0.6)) < 0.05
+
+
+def test_residual_qq_uniform(spark):
+    rng = np.random.default_rng(1)
+    df = spark.createDataFrame([(float(u),) for u in rng.random(2000)], "residual double")
+    q = residual_qq(df, bins=20).collect()
+    assert len(q) == 20 and q[-1]["ecdf"] == 1.0 and q[0]["ks"] < 0.05

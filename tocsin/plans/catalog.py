@@ -511,3 +511,40 @@ def _residual_qq(t: Trial) -> DataFrame:
     from tocsin.operators.stats import residual_qq
     from tocsin.plans.analysis import residuals
     return residual_qq(residuals(t, "primary"))
+
+
+# -- Large series: lineitem as one series per supplier ------------------------
+
+LINEITEM_CHUNK_SECONDS = 365 * 86_400
+
+
+def lineitem_series(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Supplier series: ticks are ship days, several rows per day, ordered by
+    (ship day, order, line); alarm state = returned line."""
+    from tocsin.sources.tables import read_table
+    li = read_table(spark, sf_dir, "lineitem").select("l_suppkey", "l_orderkey", "l_linenumber", "l_shipdate",
+                                                      "l_returnflag")
+    return li.select(F.col("l_suppkey").alias("id"), F.col("l_shipdate").alias("datetime"),
+                     (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("line"),
+                     F.when(F.col("l_returnflag") == "R", 1).otherwise(0).alias("state"))
+
+
+_LI_WALK = (
+    "WITH st AS (SELECT l_suppkey AS id, l_shipdate AS datetime, l_orderkey * 8 + l_linenumber AS line, "
+    "CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END AS state FROM lineitem), "
+    "w AS (SELECT *, lag(state, 1, 0) OVER (PARTITION BY id ORDER BY datetime, line) AS prv, "
+    "lead(state, 1, 0) OVER (PARTITION BY id ORDER BY datetime, line) AS nxt FROM st), "
+    "f AS (SELECT *, max(CASE WHEN state = 1 AND prv = 0 THEN struct_pack(t := datetime, l := line) END) "
+    "OVER (PARTITION BY id ORDER BY datetime, line ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS s FROM w), "
+    "e AS (SELECT id, s.t AS alarm_start, datetime AS alarm_end FROM f WHERE state = 1 AND nxt = 0) "
+    "SELECT id, count(*) AS episodes, CAST(sum(epoch(alarm_end) - epoch(alarm_start)) AS BIGINT) AS seconds "
+    "FROM e GROUP BY id")
+
+
+@register_raw("lineitem_episodes", _LI_WALK)
+def _lineitem_episodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """O26-O30 on a large, dense series: returned-line runs per supplier."""
+    from tocsin.operators.episodes import episodes
+    ep = episodes(lineitem_series(spark, sf_dir), F.col("state"), None, end="clear", tie_col="line",
+                  payload=(), chunk_seconds=LINEITEM_CHUNK_SECONDS)
+    return ep.groupBy("id").agg(F.count(F.lit(1)).alias("episodes"), F.sum("duration").alias("seconds"))
