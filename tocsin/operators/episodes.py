@@ -24,7 +24,10 @@ partition.  The rows are shuffled once, on ``(id, chunk)``:
 4. pieces are combined per (id, run) with associative aggregates.
 
 Everything after step 2 runs on tables whose size is the number of runs plus
-the number of chunks, not the number of rows.
+the number of chunks, not the number of rows.  The pieces table is persisted
+(memory and disk; rebuilt from lineage if an executor is lost) because every
+consumer -- the chunk table, the runs, the units of analysis and per-id row
+sums -- reads it: the series rows are shuffled once per outcome.
 
 Scope
 -----
@@ -40,16 +43,25 @@ from __future__ import annotations
 
 from typing import Sequence
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 DAY_SECONDS = 86_400
 
 
-def _pieces(df: DataFrame, state: Column, answered: Column, *, id_col: str, ts_col: str,
-            tie_col: str | None, payload: Sequence[str], measure: str | None,
-            chunk_seconds: int, scope: str) -> DataFrame:
+def prepare(df: DataFrame, state: Column, answered: Column | None = None, *, id_col: str = "id",
+            ts_col: str = "datetime", tie_col: str | None = None,
+            payload: Sequence[str] = ("randomization", "nurse"), measure: str | None = None,
+            row_value: Column | None = None, chunk_seconds: int = DAY_SECONDS) -> DataFrame:
+    """Rename the series to the operator's columns and hash it on (id, chunk).
+
+    This is the only exchange of full series rows.  ``row_value`` is summed
+    over every row of each id (see :func:`row_sums`).
+    """
     tie = F.col(tie_col).cast("long") if tie_col else F.lit(0).cast("long")
+    if answered is None:
+        answered = F.lit(False)
     base = df.select(
         F.col(id_col).alias("_id"),
         F.col(ts_col).alias("_t"),
@@ -58,15 +70,22 @@ def _pieces(df: DataFrame, state: Column, answered: Column, *, id_col: str, ts_c
         F.coalesce(answered, F.lit(False)).alias("_ev"),
         F.struct(*[F.col(c) for c in payload]).alias("_p"),
         (F.col(measure) if measure else F.lit(None).cast("int")).alias("_m"),
+        (row_value if row_value is not None else F.lit(None).cast("long")).alias("_v"),
+        F.floor(F.unix_seconds(F.col(ts_col)) / F.lit(chunk_seconds)).alias("_c"),
     )
+    return base.repartition("_id", "_c")
+
+
+def pieces(prepared: DataFrame, scope: str = "series", persist: bool = True) -> DataFrame:
+    """Fold the prepared rows into run pieces (one row per run fragment per
+    chunk, plus one row per chunk for its zero-state rows)."""
     if scope == "series":
         order = F.struct(F.col("_t").alias("t"), F.col("_l").alias("l"))
     elif scope == "dataset":
         order = F.struct(F.col("_id").alias("i"), F.col("_t").alias("t"), F.col("_l").alias("l"))
     else:
         raise ValueError(f"unknown scope {scope!r}")
-    base = base.withColumn("_o", order).withColumn(
-        "_c", F.floor(F.unix_seconds(F.col("_t")) / F.lit(chunk_seconds)))
+    base = prepared.withColumn("_o", order)
 
     one, o = F.col("_one"), F.col("_o")
     zero_mark = F.when(~one, o)
@@ -77,7 +96,7 @@ def _pieces(df: DataFrame, state: Column, answered: Column, *, id_col: str, ts_c
     marked = marked.withColumn("_z", ~one).withColumn("_g", F.when(one, F.col("_lz")))
     one_o = F.when(one, o)
     ans_o = F.when(one & F.col("_ev"), o)
-    return marked.groupBy("_id", "_c", "_z", "_g").agg(
+    out = marked.groupBy("_id", "_c", "_z", "_g").agg(
         F.max(zero_mark).alias("zmax"),
         F.max(o).alias("omax"),
         F.min(one_o).alias("start"),
@@ -87,25 +106,34 @@ def _pieces(df: DataFrame, state: Column, answered: Column, *, id_col: str, ts_c
         F.min_by(F.col("_p"), ans_o).alias("ans_p"),
         F.max_by(F.col("_m"), one_o).alias("last_m"),
         F.min_by(F.col("_m"), ans_o).alias("ans_m"),
+        F.collect_set(F.col("_p")).alias("units"),
+        F.sum(F.col("_v")).alias("vsum"),
+        F.min(o).alias("first_o"),
+        F.min_by(F.col("_p"), o).alias("first_p"),
     )
+    return out.persist(StorageLevel.MEMORY_AND_DISK) if persist else out
+
+
+def units_of(piece_df: DataFrame, id_col: str = "id") -> DataFrame:
+    """Distinct (id, payload) over all rows: the units of analysis."""
+    return (piece_df.select(F.col("_id").alias(id_col), F.explode("units").alias("_u"))
+            .select(id_col, "_u.*").distinct())
 
 
-def run_parts(df: DataFrame, state: Column, answered: Column | None = None, *, id_col: str = "id",
-              ts_col: str = "datetime", tie_col: str | None = None,
-              payload: Sequence[str] = ("randomization", "nurse"), measure: str | None = None,
-              chunk_seconds: int = DAY_SECONDS, scope: str = "series") -> DataFrame:
+def row_sums(piece_df: DataFrame, id_col: str = "id") -> DataFrame:
+    """Per id: sum of ``row_value`` over every row and the payload of the first row."""
+    return piece_df.groupBy(F.col("_id").alias(id_col)).agg(
+        F.sum("vsum").alias("vsum"), F.min_by("first_p", "first_o").alias("first_p"))
+
+
+def run_parts(piece_df: DataFrame, scope: str = "series") -> DataFrame:
     """One row per (id, alarm run) with first row, last row and first answered row.
 
     In ``dataset`` scope a run may cross ids; there is then one row per id
     part of the run, and ``run_start``/``run_last``/``frame_last`` describe the
     whole run and the whole frame.
     """
-    if answered is None:
-        answered = F.lit(False)
-    pieces = _pieces(df, state, answered, id_col=id_col, ts_col=ts_col, tie_col=tie_col,
-                     payload=payload, measure=measure, chunk_seconds=chunk_seconds, scope=scope)
-
-    chunks = pieces.groupBy("_id", "_c").agg(F.max("zmax").alias("zmax"), F.max("omax").alias("omax"))
+    chunks = piece_df.groupBy("_id", "_c").agg(F.max("zmax").alias("zmax"), F.max("omax").alias("omax"))
     wc = Window.partitionBy("_id").orderBy("_c").rowsBetween(Window.unboundedPreceding, -1)
     chunks = chunks.withColumn("carried", F.max("zmax").over(wc))
     if scope == "dataset":
@@ -119,7 +147,7 @@ def run_parts(df: DataFrame, state: Column, answered: Column | None = None, *, i
     else:
         chunks = chunks.withColumn("frame_last", F.col("omax"))
 
-    ones = pieces.filter(~F.col("_z")).join(chunks.select("_id", "_c", "carried", "frame_last"), ["_id", "_c"])
+    ones = piece_df.filter(~F.col("_z")).join(chunks.select("_id", "_c", "carried", "frame_last"), ["_id", "_c"])
     ones = ones.withColumn("run", F.coalesce(F.col("_g"), F.col("carried")))
     parts = ones.groupBy("_id", "run").agg(
         F.min("start").alias("start"),
@@ -157,8 +185,17 @@ def episodes(df: DataFrame, state: Column, answered: Column | None = None, *, en
     row, and ``end_order`` (the position of the end row, for first-per-id
     choices).
     """
-    parts = run_parts(df, state, answered, id_col=id_col, ts_col=ts_col, tie_col=tie_col,
-                      payload=payload, measure=measure, chunk_seconds=chunk_seconds, scope=scope)
+    prepared = prepare(df, state, answered, id_col=id_col, ts_col=ts_col, tie_col=tie_col, payload=payload,
+                       measure=measure, chunk_seconds=chunk_seconds)
+    return episodes_of(pieces(prepared, scope), end=end, id_col=id_col, payload=payload, measure=measure,
+                       scope=scope)
+
+
+def episodes_of(piece_df: DataFrame, *, end: str = "clear", id_col: str = "id",
+                payload: Sequence[str] = ("randomization", "nurse"), measure: str | None = None,
+                scope: str = "series") -> DataFrame:
+    """Episodes from a pieces table (see :func:`episodes`)."""
+    parts = run_parts(piece_df, scope)
     clear = F.when(F.col("clears"), F.col("last"))
     if end == "clear":
         end_o, end_p, end_m = clear, F.col("last_p"), F.col("last_m")

@@ -11,8 +11,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tocsin.functions.alarm import SPO2_THRESHOLD, any_alarm_state, event_accepted
-from tocsin.operators.episodes import DAY_SECONDS, episodes
-from tocsin.operators.rows import append_units, distinct_units, order_key, right_join_units
+from tocsin.operators.episodes import DAY_SECONDS, episodes_of, pieces, prepare, row_sums, units_of
+from tocsin.operators.rows import append_units, order_key, right_join_units
 
 UNIT = ["id", "randomization", "nurse"]
 
@@ -32,19 +32,22 @@ def _per_id(ep: DataFrame, value: Column) -> DataFrame:
     ).select("id", F.col("_u.randomization").alias("randomization"), F.col("_u.nurse").alias("nurse"), "outcome")
 
 
-def seconds_in_alarm(series: DataFrame, units: DataFrame, missing: DataFrame | None, *, end: str,
+def seconds_in_alarm(series: DataFrame, units: DataFrame | None, missing: DataFrame | None, *, end: str,
                      answered_events: str = "any", scope: str = "series",
                      chunk_seconds: int = DAY_SECONDS, flags=None) -> DataFrame:
     """O31 (``end="answered"``) and O32 (``end="clear"``).
 
     Seconds from alarm start to its first end, summed per id, credited to the
     unit of the id's first episode; every other unit gets 0; missing units
-    are appended with 0.
+    are appended with 0.  ``units=None`` takes the units of ``series`` from
+    the same shuffled rows as the episodes (one exchange of the series).
     """
     state = any_alarm_state(flags) if flags else any_alarm_state()
     answered = event_accepted(F.col("event"), answered_events)
-    ep = episodes(series, state, answered, end=end, scope=scope, chunk_seconds=chunk_seconds,
-                  tie_col=None)
+    pcs = pieces(prepare(series, state, answered, chunk_seconds=chunk_seconds), scope)
+    if units is None:
+        units = units_of(pcs)
+    ep = episodes_of(pcs, end=end, scope=scope)
     per_id = _per_id(ep, F.col("duration"))
     out = right_join_units(per_id, units, "outcome", 0).select(*UNIT, F.col("outcome").cast("long").alias("outcome"))
     if missing is not None:
@@ -68,7 +71,7 @@ def event_alarm_count(series: DataFrame, missing: DataFrame | None, vocabulary:
     return out
 
 
-def desaturation_area(series: DataFrame, units: DataFrame, *, sample: str = "episode_end",
+def desaturation_area(series: DataFrame, units: DataFrame | None, *, sample: str = "episode_end",
                       threshold: int = SPO2_THRESHOLD, scope: str = "series",
                       chunk_seconds: int = DAY_SECONDS, flags=None) -> DataFrame:
     """Sum of (threshold - SpO2) where SpO2 is below the threshold.
@@ -81,19 +84,20 @@ def desaturation_area(series: DataFrame, units: DataFrame, *, sample: str = "epi
     not appended.
     """
     t = F.lit(threshold)
+    state = any_alarm_state(flags) if flags else any_alarm_state()
+    area_row = F.when(F.col("spo2") < t, t - F.col("spo2")).otherwise(0)
+    pcs = pieces(prepare(series, state, None, chunk_seconds=chunk_seconds, measure="spo2",
+                         row_value=area_row.cast("long")), scope)
+    if units is None:
+        units = units_of(pcs)
     if sample == "episode_end":
-        state = any_alarm_state(flags) if flags else any_alarm_state()
-        ep = episodes(series, state, None, end="clear", scope=scope, chunk_seconds=chunk_seconds,
-                      measure="spo2")
+        ep = episodes_of(pcs, end="clear", scope=scope, measure="spo2")
         area = F.when(F.col("spo2") < t, t - F.col("spo2")).otherwise(F.when(F.col("spo2").isNotNull(), 0))
         per_id = ep.groupBy("id").agg(
             F.coalesce(F.sum(area), F.lit(0)).alias("outcome"),
             F.min_by(F.struct("randomization", "nurse"), F.col("end_order")).alias("_u"))
     elif sample == "every_row":
-        area = F.when(F.col("spo2") < t, t - F.col("spo2")).otherwise(0)
-        per_id = series.groupBy("id").agg(
-            F.coalesce(F.sum(area), F.lit(0)).alias("outcome"),
-            F.min_by(F.struct("randomization", "nurse"), order_key("datetime")).alias("_u"))
+        per_id = row_sums(pcs).select("id", F.coalesce("vsum", F.lit(0)).alias("outcome"), F.col("first_p").alias("_u"))
     else:
         raise ValueError(f"unknown sample {sample!r}")
     per_id = per_id.select("id", F.col("_u.randomization").alias("randomization"),
@@ -113,7 +117,3 @@ def zero_share(outcome: DataFrame) -> DataFrame:
 def nonzero(outcome: DataFrame) -> DataFrame:
     """O33 (dot figure data): units with a non-zero outcome."""
     return outcome.filter(F.col("outcome") != 0)
-
-
-def units_of(series: DataFrame) -> DataFrame:
-    return distinct_units(series)

@@ -82,12 +82,12 @@ class Trial:
                         chunk_seconds=self.chunk_seconds)
 
     def primary(self, scope: str | None = None) -> DataFrame:
-        return outcomes.seconds_in_alarm(self.analysed(), self.units(), self.missing(), end="answered",
+        return outcomes.seconds_in_alarm(self.analysed(), None, self.missing(), end="answered",
                                          scope=scope or self.scope, chunk_seconds=self.chunk_seconds,
                                          flags=self.flags)
 
     def alarm_duration(self, scope: str | None = None, with_missing: bool = True) -> DataFrame:
-        return outcomes.seconds_in_alarm(self.analysed(), self.units(), self.missing() if with_missing else None,
+        return outcomes.seconds_in_alarm(self.analysed(), None, self.missing() if with_missing else None,
                                          end="clear", scope=scope or self.scope,
                                          chunk_seconds=self.chunk_seconds, flags=self.flags)
 
@@ -95,7 +95,7 @@ class Trial:
         return outcomes.event_alarm_count(self.analysed(), self.missing(), vocabulary, self.flags)
 
     def desaturation(self, sample: str = "episode_end") -> DataFrame:
-        return outcomes.desaturation_area(self.analysed(), self.units(), sample=sample, scope=self.scope,
+        return outcomes.desaturation_area(self.analysed(), None, sample=sample, scope=self.scope,
                                           chunk_seconds=self.chunk_seconds, flags=self.flags)
 
     def adverse(self) -> DataFrame:

@@ -57,16 +57,27 @@ SETTINGS_SCHEMA = T.StructType([
 ])
 
 
+def local_table(spark: SparkSession, rows, schema: T.StructType) -> DataFrame:
+    """A literal table as a local relation (``VALUES``): planned on the driver,
+    broadcast without a job, no RDD behind it."""
+    def lit(v):
+        return "NULL" if v is None else "'" + str(v).replace("'", "''") + "'"
+    names = [f.name for f in schema.fields]
+    body = ", ".join("(" + ", ".join(lit(v) for v in row) + ")" for row in rows)
+    df = spark.sql(f"SELECT * FROM VALUES {body} AS t({', '.join(names)})")
+    return df.select(*[df[f.name].cast(f.dataType).alias(f.name) for f in schema.fields])
+
+
 def allocation(spark: SparkSession, rows=ALLOCATION) -> DataFrame:
-    return spark.createDataFrame(list(rows), ALLOCATION_SCHEMA)
+    return local_table(spark, rows, ALLOCATION_SCHEMA)
 
 
 def missing_units(spark: SparkSession, rows=MISSING_UNITS) -> DataFrame:
-    return spark.createDataFrame(list(rows), UNIT_SCHEMA)
+    return local_table(spark, rows, UNIT_SCHEMA)
 
 
 def alarm_settings(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(list(ALARM_SETTINGS), SETTINGS_SCHEMA)
+    return local_table(spark, ALARM_SETTINGS, SETTINGS_SCHEMA)
 
 
 def values_sql(rows, columns) -> str:
