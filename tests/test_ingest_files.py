@@ -106,3 +106,17 @@ def test_folder_ingest_round_trip(spark):
     assert back[0]["spo2Low"] == 0                           # first line of second 0 kept
     assert (back[0]["time_corrected"] - back[0]["datetime"]).total_seconds() == 5
     assert os.path.isdir(os.path.join(out, "id=E01"))
+
+
+def test_streaming_ingest_available_now(spark):
+    from tocsin.streaming.ingest_stream import start_ingest_stream
+    root = tempfile.mkdtemp(prefix="tocsin-test-")
+    csv_dir, wb_dir = _make_folders(root)
+    out = os.path.join(root, "monitor_data")
+    q = start_ingest_stream(spark, csv_dir, wb_dir, out, os.path.join(root, "stream-ckpt"), available_now=True)
+    q.awaitTermination(120)
+    first = read_series(spark, out).count()
+    # a second run finds no new files and leaves the dataset as it is
+    q = start_ingest_stream(spark, csv_dir, wb_dir, out, os.path.join(root, "stream-ckpt"), available_now=True)
+    q.awaitTermination(120)
+    assert first == 5 and read_series(spark, out).count() == 5

@@ -41,6 +41,11 @@ def read_device_csv(spark: SparkSession, path: str, skip: int = 6) -> DataFrame:
     files = (spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.csv")
              .text(path, wholetext=True)
              .select(F.col("_metadata.file_name").alias("file"), "value"))
+    return parse_device_lines(files, skip)
+
+
+def parse_device_lines(files: DataFrame, skip: int = 6) -> DataFrame:
+    """``file, value`` (whole file text) -> typed device rows (see module doc)."""
     lines = files.select("file", F.posexplode(F.split("value", r"\r?\n")).alias("line", "text"))
     lines = lines.filter((F.col("line") >= skip) & (F.length(F.trim("text")) > 0))
     ddl = ", ".join(f"`{c}` STRING" for c in DEVICE_COLUMNS)

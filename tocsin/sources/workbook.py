@@ -93,9 +93,9 @@ def _explode_files(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(rows, columns=[f.name for f in LONG_SCHEMA.fields])
 
 
-def read_workbooks(spark: SparkSession, path: str) -> DataFrame:
+def read_workbooks(spark: SparkSession, path: str, glob: str = "*.xlsx") -> DataFrame:
     """Every cell of every sheet of every workbook under ``path`` (long form)."""
-    files = (spark.read.format("binaryFile").option("pathGlobFilter", "*.xlsx")
+    files = (spark.read.format("binaryFile").option("pathGlobFilter", glob)
              .option("recursiveFileLookup", "true").load(path).select("path", "content"))
     return files.mapInPandas(_explode_files, LONG_SCHEMA)
 
