@@ -55,3 +55,23 @@ def test_residual_qq_uniform(spark):
     df = spark.createDataFrame([(float(u),) for u in rng.random(2000)], "residual double")
     q = residual_qq(df, bins=20).collect()
     assert len(q) == 20 and q[-1]["ecdf"] == 1.0 and q[0]["ks"] < 0.05
+
+
+def test_results_table_formatting(spark):
+    from tocsin.operators.stats import results_table
+    eff = pd.DataFrame({"part": ["count", "zero"], "estimate": [1.71, 0.5], "lower": [0.9612, 0.2],
+                        "upper": [3.0649, 1.25], "p_value": [0.068, 0.3]})
+    rows = results_table(spark, [("Total alarm duration", eff, 0.004), ("Number of alarms", eff, 0.031)]).collect()
+    assert rows[0]["NB_95_CI"] == "0.96 to 3.06" and rows[0]["CI_95"] == "0.2 to 1.25"
+    assert rows[0]["ICC"] == "<0.01" and rows[1]["ICC"] == "0.03"
+    assert rows[0]["IRR"] == 1.71 and rows[0]["OR"] == 0.5
+
+
+def test_effects_exponentiates_count_and_zero_parts():
+    from tocsin.operators.glmm import Fit
+    from tocsin.operators.stats import effects
+    names = ["b0", "b1", "g0", "g1", "log_sigma", "l11", "l21", "l22"]
+    fit = Fit("hurdle_lognormal", names, np.array([1.0, 0.5, 0.0, math.log(2), 0, 0, 0, 0]), np.eye(8) * 0.01, 0.0, 1)
+    e = effects(fit, "desat").set_index("part")
+    assert abs(e.loc["count", "estimate"] - 0.5) < 1e-12          # log-normal part stays on its scale
+    assert abs(e.loc["zero", "estimate"] - 2.0) < 1e-12           # odds ratio

@@ -41,6 +41,11 @@ PARAMS = {
     "hurdle_lognormal": ["b0", "b1", "g0", "g1", "log_sigma", "l11", "l21", "l22"],
     "binomial": ["b0", "b1", "l11"],
 }
+# Fixed value: cap on the negative binomial shape (log scale); beyond it the
+# density is numerically Poisson and log-gamma differences lose all digits.
+MAX_LOG_PHI = 15.0
+# Values derived from the parameters on the driver and shipped with them.
+_THETA_EXTRA = ("lg_phi",)
 # Largest node table broadcast to the executors (rows = clusters x nodes).
 MAX_BROADCAST_NODES = 200_000
 
@@ -53,24 +58,33 @@ def collapse_cells(df: DataFrame, cluster: str = "nurse", arm: str = "randomizat
     frame drops them).
     """
     keep = df.filter(F.col(cluster).isNotNull() & F.col(arm).isNotNull() & F.col(outcome).isNotNull())
-    return keep.groupBy(
+    cells = keep.groupBy(
         F.col(cluster).alias("cluster"),
         F.when(F.col(arm) == treated, 1).otherwise(0).alias("x"),
         F.col(outcome).cast("double").alias("y"),
     ).agg(F.count(F.lit(1)).cast("double").alias("c"))
+    return cells
 
 
-def _loglik(family: str, th: Column, x: Column, y: Column, z1: Column, z2: Column) -> Column:
+def with_constants(cells: DataFrame) -> DataFrame:
+    """Add the parameter-free part of the count densities, log Gamma(y + 1),
+    once, so the per-evaluation expression stays small."""
+    return cells.withColumn("lgy1", lgamma(F.col("y") + F.lit(1.0)))
+
+
+def _loglik(family: str, th: Column, x: Column, y: Column, z1: Column, z2: Column,
+            lgy1: Column | None = None) -> Column:
     eta = th["b0"] + th["b1"] * x + z1
     if family == "binomial":
         return y * eta - softplus(eta)
     zeta = th["g0"] + th["g1"] * x + z2 if family != "negative_binomial" else None
     if family in ("negative_binomial", "zi_negative_binomial"):
-        log_phi = th["log_phi"]
+        log_phi = F.least(th["log_phi"], F.lit(MAX_LOG_PHI))
         phi = F.exp(log_phi)
         lmp = log_sum_exp2(log_phi, eta)  # log(phi + mu)
         lnb0 = phi * (log_phi - lmp)
-        lnb = lgamma(y + phi) - lgamma(phi) - lgamma(y + F.lit(1.0)) + lnb0 + y * (eta - lmp)
+        lg_phi = th["lg_phi"] if "lg_phi" in _THETA_EXTRA else lgamma(phi)
+        lnb = lgamma(y + phi) - lg_phi - (lgy1 if lgy1 is not None else lgamma(y + F.lit(1.0))) + lnb0 + y * (eta - lmp)
         if family == "negative_binomial":
             return lnb
         log_pi, log_1mpi = -softplus(-zeta), -softplus(zeta)
@@ -84,6 +98,14 @@ def _loglik(family: str, th: Column, x: Column, y: Column, z1: Column, z2: Colum
     raise ValueError(f"unknown family {family!r}")
 
 
+def _lgamma_exp(v: float) -> float:
+    """log Gamma(exp(v)); +inf where it overflows (the step is then rejected)."""
+    try:
+        return math.lgamma(math.exp(min(v, MAX_LOG_PHI)))
+    except (OverflowError, ValueError):
+        return float("inf")
+
+
 def _sd(v: float) -> float:
     # Log standard deviations are kept in a range where the covariance stays invertible.
     return math.exp(min(max(v, -12.0), 8.0))
@@ -143,7 +165,8 @@ class ClusteredModel:
             gx, gy = np.meshgrid(x, x, indexing="ij")
             self.x = np.stack([gx.ravel(), gy.ravel()], axis=1)
             self.logw = (np.log(w)[:, None] + np.log(w)[None, :]).ravel()
-        self.cells = cells.select("cluster", "x", "y", "c")
+        self.cells = cells.select("cluster", "x", "y", "c", "lgy1") if "lgy1" in cells.columns else \
+            with_constants(cells.select("cluster", "x", "y", "c"))
         self.clusters = [r["cluster"] for r in self.cells.select("cluster").distinct().orderBy("cluster").collect()]
         self.K, self.Q = len(self.clusters), len(self.logw)
         self.m = np.zeros((self.K, self.dim))
@@ -175,15 +198,20 @@ class ClusteredModel:
                             "z2": b[kk, qq, 1] if self.dim == 2 else np.zeros(len(tt))})
         for j, n in enumerate(PARAMS[self.family]):
             pdf[n] = full[tt, j]
+        lg_phi = np.array([_lgamma_exp(v) if "log_phi" in PARAMS[self.family] else 0.0
+                           for v in (full[:, PARAMS[self.family].index("log_phi")] if "log_phi" in PARAMS[self.family]
+                                     else np.zeros(T_))])
+        pdf["lg_phi"] = lg_phi[tt]
         fields = [T.StructField("cluster", self.cells.schema["cluster"].dataType), T.StructField("tid", T.IntegerType()),
                   T.StructField("q", T.IntegerType()), T.StructField("z1", T.DoubleType()),
-                  T.StructField("z2", T.DoubleType())] + [T.StructField(n, T.DoubleType()) for n in PARAMS[self.family]]
+                  T.StructField("z2", T.DoubleType())] + [T.StructField(n, T.DoubleType())
+                                                          for n in PARAMS[self.family] + list(_THETA_EXTRA)]
         nodes = self.spark.createDataFrame(pdf, T.StructType(fields))
         if len(pdf) <= MAX_BROADCAST_NODES:
             nodes = F.broadcast(nodes)
         j = self.cells.join(nodes, "cluster")
-        th = F.struct(*[F.col(n) for n in PARAMS[self.family]])
-        ll = _loglik(self.family, th, F.col("x"), F.col("y"), F.col("z1"), F.col("z2"))
+        th = F.struct(*[F.col(n) for n in PARAMS[self.family] + list(_THETA_EXTRA)])
+        ll = _loglik(self.family, th, F.col("x"), F.col("y"), F.col("z1"), F.col("z2"), F.col("lgy1"))
         agg = j.groupBy("tid", "cluster", "q").agg(F.sum(F.col("c") * ll).alias("ll")).toPandas()
         out = np.full((T_, K, Q), -np.inf)
         index = {c: k for k, c in enumerate(self.clusters)}
@@ -197,11 +225,11 @@ class ClusteredModel:
         """Per (cluster, node) log integrand of the adaptive rule."""
         theta = dict(zip(self.names, theta_vec))
         L = _chol(theta, self.dim)
-        D = L @ L.T
-        Dinv = np.linalg.inv(D)
-        _, logdetD = np.linalg.slogdet(D)
         b = self._node_positions()
-        quad = np.einsum("kqi,ij,kqj->kq", b, Dinv, b)
+        # prior N(0, L L^T) through the triangular factor: no inverse of D
+        z = np.linalg.solve(L, b.reshape(-1, self.dim).T).T.reshape(b.shape)
+        quad = np.sum(z * z, axis=2)
+        logdetD = 2.0 * float(np.sum(np.log(np.diag(L))))
         log_prior = -0.5 * quad - 0.5 * logdetD - self.dim * HALF_LOG_2PI
         logdetS = np.array([np.linalg.slogdet(s)[1] for s in self.S])
         xx = np.sum(self.x ** 2, axis=1)
@@ -236,32 +264,46 @@ class ClusteredModel:
         f = self._nll_batch(np.array(batch))
         return f[0], (f[1:p + 1] - f[p + 1:]) / (2 * h)
 
-    def _bfgs(self, theta: np.ndarray, max_iter: int = 100, tol: float = 1e-5) -> tuple[np.ndarray, float, int]:
-        f, g = self._grad(theta)
-        H = np.eye(len(theta))
+    def _bfgs(self, theta: np.ndarray, H: np.ndarray | None = None, max_iter: int = 100,
+              tol: float = 1e-7, h: float = 1e-4) -> tuple[np.ndarray, float, int, np.ndarray]:
+        """Quasi-Newton descent.  Each iteration is one Spark job: the
+        line-search candidates and the gradient stencil around the full step
+        are evaluated together; only when a shorter step is taken does its
+        gradient need a job of its own."""
+        p = len(theta)
+        f, g = self._grad(theta, h)
+        H = np.eye(p) if H is None else H
         steps = np.array([1.0, 0.5, 0.25, 0.1, 0.03, 0.01, 1e-3, 1e-4])
+        E = np.eye(p) * h
         it = 0
         for it in range(1, max_iter + 1):
             d = -H @ g
             if g @ d >= 0:
-                H, d = np.eye(len(theta)), -g
+                H, d = np.eye(p), -g
             cands = theta[None] + steps[:, None] * d[None]
-            fc = self._nll_batch(cands)
+            full = cands[0]
+            stencil = np.concatenate([full[None] + E, full[None] - E])
+            fb = self._nll_batch(np.concatenate([cands, stencil]))
+            fc = fb[:len(steps)]
             ok = np.where(fc <= f + 1e-4 * steps * (g @ d))[0]
             if len(ok) == 0:
                 break
-            new = cands[ok[0]]
-            f_new, g_new = self._grad(new)
+            new, f_new = cands[ok[0]], fc[ok[0]]
+            if ok[0] == 0:
+                g_new = (fb[len(steps):len(steps) + p] - fb[len(steps) + p:]) / (2 * h)
+            else:
+                f_new, g_new = self._grad(new, h)
             s, yv = new - theta, g_new - g
             if s @ yv > 1e-12:
                 rho = 1.0 / (s @ yv)
-                I = np.eye(len(theta))
+                I = np.eye(p)
                 H = (I - rho * np.outer(s, yv)) @ H @ (I - rho * np.outer(yv, s)) + rho * np.outer(s, s)
-            converged = abs(f - f_new) < tol * (1 + abs(f)) and np.max(np.abs(g_new)) < 1e-2
+            converged = (abs(f - f_new) < tol * (1 + abs(f)) and np.max(np.abs(g_new)) < 1e-2) \
+                or np.max(np.abs(g_new)) < 1e-4
             theta, f, g = new, f_new, g_new
             if converged:
                 break
-        return theta, f, it
+        return theta, f, it, H
 
     def _hessian(self, theta: np.ndarray, h: float = 1e-3) -> np.ndarray:
         p = len(theta)
@@ -314,11 +356,13 @@ class ClusteredModel:
 
     def fit(self, outer: int = 3, max_iter: int = 100) -> Fit:
         theta = self.start()
-        iters = 0
-        for _ in range(outer):
+        iters, H = 0, None
+        for k in range(outer):
             self.adapt(theta)
-            theta, f, it = self._bfgs(theta, max_iter=max_iter)
+            theta, f, it, H = self._bfgs(theta, H, max_iter=max_iter)
             iters += it
+            if k > 0 and it <= 2:
+                break  # re-centred nodes no longer move the optimum
         self.adapt(theta)
         f = float(self._nll_batch(theta[None])[0])
         H = self._hessian(theta)
@@ -335,7 +379,10 @@ def fit_model(spark: SparkSession, outcome: DataFrame, family: str, **kw) -> Fit
     from tocsin.session import checkpoint_dir
 
     checkpoint_dir(spark)
-    cells = collapse_cells(outcome).checkpoint()
+    # Spread the (small) cells over the cores: every evaluation multiplies each
+    # cell by nodes x parameter vectors.
+    parts = spark.sparkContext.defaultParallelism
+    cells = with_constants(collapse_cells(outcome)).repartition(parts).checkpoint()
     return ClusteredModel(spark, cells, family, **kw).fit()
 
 
