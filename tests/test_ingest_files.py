@@ -59,8 +59,8 @@ def _make_folders(root):
         "Sync times": [["device", "time"], ["Capnostream", "01/05/2024 10:00:00"], ["ipad", "01/05/2024 10:00:05"]],
         "Nurse ID": [["nurse", "time"], ["N01", "01/05/2024 10:00:05"]],
         "Interventions": [["event", "time"], ["Oxygen", "01/05/2024 10:00:07"]],
-        "Adverse events": [["a", "b"]],
-        "Patient": [["patient", "age"], ["E01", "40"]],
+        "Adverse events": [["severity", "description"], [None, "desaturation"]],
+        "Patient": [["patient", "age", "totalMidaz"], ["E01", "40", "1"]],
     })
     return csv_dir, wb_dir
 
@@ -82,7 +82,7 @@ def test_workbook_scan(spark):
     sync = sheet_frame(cells, ["device", "time"], sheet="Sync times").orderBy("row").collect()
     assert [r["device"] for r in sync] == ["Capnostream", "ipad"]
     counts = {r["id"]: r["observed"] for r in sheet_row_counts(cells, workbook_files(spark, wb_dir), "Adverse events").collect()}
-    assert counts == {"E01": 0}
+    assert counts == {"E01": 1}
     first = sheet_frame(cells, ["device"], sheet_index=1).count()
     assert first == 2
 
@@ -120,3 +120,17 @@ def test_streaming_ingest_available_now(spark):
     q = start_ingest_stream(spark, csv_dir, wb_dir, out, os.path.join(root, "stream-ckpt"), available_now=True)
     q.awaitTermination(120)
     assert first == 5 and read_series(spark, out).count() == 5
+
+
+def test_trial_from_folders(spark):
+    from tocsin.plans.trial import Trial
+    root = tempfile.mkdtemp(prefix="tocsin-test-")
+    csv_dir, wb_dir = _make_folders(root)
+    out = os.path.join(root, "monitor_data")
+    ingest_folders(spark, csv_dir, wb_dir, out_dir=out)
+    t = Trial.from_folders(spark, out, wb_dir)
+    primary = {r["id"]: r["outcome"] for r in t.primary().collect()}
+    # alarm at seconds 1-2 (answered by nothing) and at 4 (one row)
+    assert primary["E01"] == 1 and primary["E998"] == 0
+    assert [r["adverseEvent"] for r in t.adverse().collect()] == [1]
+    assert t.excluded().count() == 0

@@ -23,6 +23,11 @@ from tocsin.sources import fixtures, literals
 # (the trial keeps one patient whose sedation dose is missing).
 FIXTURE_OVERRIDES = ("E007",)
 
+# Columns of the patient sheet and their types.
+PATIENT_COLUMNS = ("patient", "age", "sex", "totalMidaz", "totalFent", "totalOtherSedation", "oxygenDevice",
+                   "procedure", "caseStart", "caseEnd")
+PATIENT_TYPES = {"age": "double", "totalMidaz": "double", "totalFent": "double"}
+
 
 @dataclass
 class Trial:
@@ -48,6 +53,26 @@ class Trial:
             **kw,
         )
 
+    @classmethod
+    def from_folders(cls, spark: SparkSession, series_path: str, workbook_dir: str, **kw) -> "Trial":
+        """Real inputs: the ingested series dataset (O04) and the observer
+        workbooks (O02) for the patient and adverse-event sheets."""
+        from tocsin.sources.dataset import read_series
+        from tocsin.sources.workbook import read_workbooks, sheet_frame, sheet_header
+
+        kw.setdefault("overrides", ())
+        cells = read_workbooks(spark, workbook_dir)
+
+        def patient_form() -> DataFrame:
+            return sheet_frame(cells, PATIENT_COLUMNS, sheet="Patient", types=PATIENT_TYPES).drop("id", "row")
+
+        def adverse_form() -> DataFrame:
+            names = sheet_header(cells, "Adverse events")
+            return sheet_frame(cells, names, sheet="Adverse events").drop("row")
+
+        return cls(spark=spark, series_fn=lambda: read_series(spark, series_path),
+                   patient_form_fn=patient_form, adverse_form_fn=adverse_form, **kw)
+
     # -- inputs -----------------------------------------------------------
     def series(self) -> DataFrame:
         return self.series_fn()

@@ -125,6 +125,16 @@ def sheet_frame(cells: DataFrame, columns: Sequence[str], sheet: str | None = No
     return wide.select("id", "row", *[F.col(c).cast(types.get(c, "string")).alias(c) for c in columns])
 
 
+def sheet_header(cells: DataFrame, sheet: str) -> list[str]:
+    """Column names of one sheet across all workbooks (the header row), in
+    column order; a sheet is a few columns wide, so the list is small."""
+    sel = cells.filter(F.col("sheet") == sheet)
+    first = sel.groupBy("id").agg(F.min("row").alias("_h"))
+    head = sel.join(first, "id").filter(F.col("row") == F.col("_h"))
+    rows = head.groupBy("value").agg(F.min("col").alias("col")).orderBy("col", "value").collect()
+    return [r["value"] for r in rows]
+
+
 def sheet_row_counts(cells: DataFrame, files: DataFrame, sheet: str | None = None,
                      sheet_index: int | None = None) -> DataFrame:
     """Data rows per workbook for one sheet; a workbook with an empty sheet
