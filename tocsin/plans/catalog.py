@@ -548,3 +548,30 @@ def _lineitem_episodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     ep = episodes(lineitem_series(spark, sf_dir), F.col("state"), None, end="clear", tie_col="line",
                   payload=(), chunk_seconds=LINEITEM_CHUNK_SECONDS)
     return ep.groupBy("id").agg(F.count(F.lit(1)).alias("episodes"), F.sum("duration").alias("seconds"))
+
+
+# -- More O33 / O38 variants --------------------------------------------------
+
+@register("zero_share_desat", f"WITH p AS ({O.desat_episode_sql()}) " + (
+    "SELECT randomization, CASE WHEN outcome = 0 THEN 'Zero' ELSE 'Not zero' END AS zero, count(*) AS n, "
+    "CAST(count(*) AS DOUBLE) / CAST(sum(count(*)) OVER (PARTITION BY randomization) AS DOUBLE) AS share "
+    "FROM p GROUP BY 1, 2"))
+def _zero_share_desat(t: Trial) -> DataFrame:
+    """Zero / non-zero desaturation area per arm (bar-figure data)."""
+    from tocsin.operators.outcomes import zero_share
+    return zero_share(t.desaturation())
+
+
+@register("nonzero_desat", f"WITH p AS ({O.desat_episode_sql()}) SELECT * FROM p WHERE outcome <> 0")
+def _nonzero_desat(t: Trial) -> DataFrame:
+    """Units whose SpO2 fell below the threshold (dot-figure data)."""
+    from tocsin.operators.outcomes import nonzero
+    return nonzero(t.desaturation())
+
+
+@register("baseline_without_procedure",
+          f"WITH b AS ({_baseline_sql(_CAT_TAIL)}) SELECT * FROM b WHERE variable <> 'procedure'")
+def _baseline_without_procedure(t: Trial) -> DataFrame:
+    """O38 variant: the categorical table without the procedure rows."""
+    from tocsin.operators.summary import baseline_frame, categorical_summary, remove_variable
+    return remove_variable(categorical_summary(baseline_frame(t.form_units(), FIXTURE_PROCEDURE_RULES)), "procedure")
