@@ -216,10 +216,15 @@ def _cs_anal(t: Trial) -> DataFrame:
 # -- O07-O14: ingest ------------------------------------------------------
 
 def _sheets(spark: SparkSession, sf_dir: str):
+    """Fixture observer sheets; the series and clock plan they derive from
+    are built once per query and kept (memory and disk) for the three sheets."""
+    from pyspark import StorageLevel
     from tocsin.plans.ingest import ObserverSheets
     from tocsin.sources import fixtures as fx
-    return ObserverSheets(sync=fx.sync_sheet(spark, sf_dir), nurse=fx.nurse_sheet(spark, sf_dir),
-                          interventions=fx.intervention_sheet(spark, sf_dir))
+    s = fx.series(spark, sf_dir).select("id", "datetime", "nurse", "event", "line").persist(StorageLevel.MEMORY_AND_DISK)
+    plan = fx.clock_plan(s).persist(StorageLevel.MEMORY_AND_DISK)
+    return ObserverSheets(sync=fx.sync_sheet(spark, sf_dir, plan), nurse=fx.nurse_sheet(spark, sf_dir, s, plan),
+                          interventions=fx.intervention_sheet(spark, sf_dir, s, plan))
 
 
 def register_raw(name: str, sql: str | None = None):

@@ -203,11 +203,11 @@ def monitor_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return series_raw(spark, sf_dir).drop("nurse", "event")
 
 
-def sync_sheet(spark: SparkSession, sf_dir: str) -> DataFrame:
+def sync_sheet(spark: SparkSession, sf_dir: str, plan: DataFrame | None = None) -> DataFrame:
     """``Sync times`` sheet rows: ``id, row, device, time`` (text)."""
     from tocsin.functions.timeparse import format_mdy
 
-    plan = clock_plan(series(spark, sf_dir))
+    plan = clock_plan(series(spark, sf_dir)) if plan is None else plan
     sec = lambda ts, d: F.timestamp_seconds(F.unix_seconds(ts) + d)
     readings = F.array(
         F.struct(F.lit(1).alias("row"), F.lit("Capnostream").alias("device"), F.col("t1").alias("t")),
@@ -220,25 +220,27 @@ def sync_sheet(spark: SparkSession, sf_dir: str) -> DataFrame:
                       format_mdy(F.col("r.t")).alias("time"))
 
 
-def nurse_sheet(spark: SparkSession, sf_dir: str) -> DataFrame:
+def nurse_sheet(spark: SparkSession, sf_dir: str, s: DataFrame | None = None,
+                plan: DataFrame | None = None) -> DataFrame:
     """``Nurse ID`` sheet rows: ``id, row, nurse, time`` (text, tablet clock)."""
     from tocsin.functions.timeparse import format_mdy
 
-    s = series(spark, sf_dir)
+    s = series(spark, sf_dir) if s is None else s
     first = s.groupBy("id", "nurse").agg(F.min("datetime").alias("datetime"))
-    first = first.join(clock_plan(s), "id")
+    first = first.join(clock_plan(s) if plan is None else plan, "id")
     t = F.timestamp_seconds(F.unix_seconds("datetime") + expected_diff())
     w = Window.partitionBy("id").orderBy("datetime")
     return first.select("id", F.row_number().over(w).alias("row"), "nurse", format_mdy(t).alias("time"))
 
 
-def intervention_sheet(spark: SparkSession, sf_dir: str) -> DataFrame:
+def intervention_sheet(spark: SparkSession, sf_dir: str, s: DataFrame | None = None,
+                       plan: DataFrame | None = None) -> DataFrame:
     """``Interventions`` sheet rows: ``id, row, event, time`` (text, tablet clock)."""
     from tocsin.functions.timeparse import format_mdy
 
-    s = series(spark, sf_dir)
+    s = series(spark, sf_dir) if s is None else s
     ev = s.filter(F.col("event").isNotNull()).select("id", "datetime", "event", "line")
-    ev = ev.join(clock_plan(s), "id")
+    ev = ev.join(clock_plan(s) if plan is None else plan, "id")
     t = F.timestamp_seconds(F.unix_seconds("datetime") + expected_diff())
     return ev.select("id", F.col("line").alias("row"), "event", format_mdy(t).alias("time"))
 
