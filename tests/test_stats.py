@@ -75,3 +75,13 @@ def test_effects_exponentiates_count_and_zero_parts():
     e = effects(fit, "desat").set_index("part")
     assert abs(e.loc["count", "estimate"] - 0.5) < 1e-12          # log-normal part stays on its scale
     assert abs(e.loc["zero", "estimate"] - 2.0) < 1e-12           # odds ratio
+
+
+def test_baseline_quartiles_exact_and_sketch(spark):
+    from tocsin.operators.summary import continuous_summary
+    rows = [("IPI enabled", float(v)) for v in range(1, 101)]
+    df = spark.createDataFrame(rows, "randomization string, age double")
+    exact = continuous_summary(df, ["age"]).collect()[0]
+    assert (exact["n"], exact["p25"], exact["median"], exact["p75"]) == (100, 25.75, 50.5, 75.25)
+    approx = continuous_summary(df, ["age"], exact=False).collect()[0]
+    assert abs(approx["median"] - 50.5) <= 1

@@ -58,13 +58,19 @@ def baseline_frame(form_units: DataFrame, rules: Sequence[tuple[str, str]] = PRO
     )
 
 
-def continuous_summary(frame: DataFrame, variables: Sequence[str] = CONTINUOUS) -> DataFrame:
+def continuous_summary(frame: DataFrame, variables: Sequence[str] = CONTINUOUS, exact: bool = True,
+                       accuracy: int = 100_000) -> DataFrame:
+    """``exact`` keeps a value -> count map per (arm, variable) (linear
+    interpolation, as the oracle); for very large patient tables
+    ``exact=False`` uses a mergeable quantile sketch of bounded size."""
     long = frame.filter(F.col("randomization").isNotNull()).select(
         "randomization",
         F.explode(F.array(*[F.struct(F.lit(v).alias("variable"), F.col(v).cast("double").alias("value"))
                             for v in variables])).alias("kv"))
     long = long.select("randomization", "kv.variable", "kv.value").filter(F.col("value").isNotNull())
-    q = F.percentile(F.col("value"), F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
+    probs = F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))
+    q = (F.percentile(F.col("value"), probs) if exact
+         else F.percentile_approx(F.col("value"), probs, accuracy).cast("array<double>"))
     agg = long.groupBy("randomization", "variable").agg(F.count(F.lit(1)).alias("n"), q.alias("q"))
     return agg.select("randomization", "variable", "n", F.col("q")[0].alias("p25"),
                       F.col("q")[1].alias("median"), F.col("q")[2].alias("p75"))
