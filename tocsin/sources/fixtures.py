@@ -32,16 +32,22 @@ def _ts(text: str):
     return F.lit(text).cast("timestamp")
 
 
-def series_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _raw_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     ev = read_table(spark, sf_dir, "events")
+    return ev.select("user_id", F.col("event_id").alias("line"), F.date_trunc("hour", F.col("ts")).alias("datetime"),
+                     "ts", "event_type", "value", "props")
+
+
+def _derive(raw: DataFrame) -> DataFrame:
+    """Trial columns of device rows from raw event rows."""
     uid, v, et, ts = F.col("user_id"), F.col("value"), F.col("event_type"), F.col("ts")
     k10 = F.get_json_object("props", "$.k").cast("int") % 10
     flag = lambda cond: F.when(cond, F.lit(1)).otherwise(F.lit(0))
     handover = F.when((uid % 10 == 0) & (ts >= _ts(HANDOVER_FROM)), 1).otherwise(0)
-    return ev.select(
+    return raw.select(
         F.format_string("E%03d", uid).alias("id"),
-        F.col("event_id").alias("line"),
-        F.date_trunc("hour", ts).alias("datetime"),
+        "line",
+        "datetime",
         (F.lit(100) - F.floor(v / 5).cast("int")).alias("spo2"),
         flag(v >= 55).alias("spo2Low"),
         F.lit(0).alias("spo2High"),
@@ -59,11 +65,19 @@ def series_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def series_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _derive(_raw_events(spark, sf_dir))
+
+
 def series(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per tick.  The first line of each (user, hour) is chosen on the
+    raw columns, so the trial columns are derived after the exchange, in
+    parallel and only for the rows kept (the id is a one-to-one label of the
+    user)."""
     from tocsin.operators.rows import arm_lookup, one_row_per_tick
 
-    raw = series_raw(spark, sf_dir)
-    return arm_lookup(one_row_per_tick(raw, ["id"], "datetime", "line"), literals.allocation(spark))
+    first = one_row_per_tick(_raw_events(spark, sf_dir), ["user_id"], "datetime", "line")
+    return arm_lookup(_derive(first), literals.allocation(spark))
 
 
 def patient_form(spark: SparkSession, sf_dir: str) -> DataFrame:
