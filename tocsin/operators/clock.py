@@ -22,11 +22,16 @@ own time on, matching a row or not.
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tocsin.functions.timeparse import add_seconds
 
+# Largest interval table (rows) broadcast to the row side of a fill; above it
+# the join is left to the planner (sort-merge on the recording, skew-split).
+MAX_BROADCAST_INTERVALS = 2_000_000
+
 
 def clock_pairs(sync: DataFrame) -> DataFrame:
     """K-th reading of each device paired; diff = ipad - Capnostream (s).
@@ -83,6 +88,11 @@ def step_fill(rows: DataFrame, readings: DataFrame, *, key: str, row_time: str,
     wk = Window.partitionBy("_k").orderBy("_rt")
     steps = steps.select("_k", F.col("_rt").alias("_from"), F.lead("_rt").over(wk).alias("_until"), "_fill")
     intervals = head_rows.unionByName(steps)
+    # A few rows per recording: persist, count, and broadcast when that
+    # count allows it, so the rows are never shuffled by recording.
+    intervals = intervals.persist(StorageLevel.MEMORY_AND_DISK)
+    if intervals.count() <= MAX_BROADCAST_INTERVALS:
+        intervals = F.broadcast(intervals)
 
     t = F.col(row_time)
     cond = ((F.col(key) == F.col("_k"))

@@ -265,7 +265,8 @@ def _clock_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tocsin.operators.clock import clock_fill, clock_pairs
     from tocsin.plans.ingest import dedup
     from tocsin.sources import fixtures as fx
-    rows = dedup(fx.monitor_rows(spark, sf_dir)).select("id", "datetime")
+    from tocsin.session import materialize
+    rows = materialize(dedup(fx.monitor_rows(spark, sf_dir)).select("id", "datetime"), "clock-rows")
     out = clock_fill(rows, clock_pairs(_sheets(spark, sf_dir).sync_readings()))
     return out.select("id", _epoch("datetime"), "diff", _epoch("time_corrected"))
 

@@ -42,8 +42,17 @@ def dedup(monitor: DataFrame) -> DataFrame:
     return one_row_per_tick(monitor.filter(F.col("datetime").isNotNull()), ["id"], "datetime", "line")
 
 
-def ingest(monitor: DataFrame, sheets: ObserverSheets, allocation: DataFrame, match: str = "exact") -> DataFrame:
+def ingest(monitor: DataFrame, sheets: ObserverSheets, allocation: DataFrame, match: str = "exact",
+           materialized: bool = True) -> DataFrame:
+    """The fills read their input twice (exact-second matching, then the
+    interval join), so the one-row-per-second rows are written once to the
+    shared checkpoint folder (``materialized``) instead of being recomputed,
+    shuffle included, by every pass."""
+    from tocsin.session import materialize
+
     s = dedup(monitor)
+    if materialized:
+        s = materialize(s, "ingest-rows")
     s = clock_fill(s, clock_pairs(sheets.sync_readings()), match=match)
     s = nurse_fill(s, sheets.nurse_log(), match=match)
     s = event_attach(s, sheets.intervention_log())
