@@ -73,25 +73,31 @@ class Trial:
         return cls(spark=spark, series_fn=lambda: read_series(spark, series_path),
                    patient_form_fn=patient_form, adverse_form_fn=adverse_form, **kw)
 
+    def _memo(self, name: str, build: Callable[[], DataFrame]) -> DataFrame:
+        # DataFrames are immutable plans: build each input once per Trial.
+        if name not in self._cache:
+            self._cache[name] = build()
+        return self._cache[name]
+
     # -- inputs -----------------------------------------------------------
     def series(self) -> DataFrame:
-        return self.series_fn()
+        return self._memo("series", self.series_fn)
 
     def patient_form(self) -> DataFrame:
-        return self.patient_form_fn()
+        return self._memo("patient_form", self.patient_form_fn)
 
     def allocation(self) -> DataFrame:
-        return literals.allocation(self.spark, self.allocation_rows)
+        return self._memo("allocation", lambda: literals.allocation(self.spark, self.allocation_rows))
 
     def missing(self) -> DataFrame:
-        return literals.missing_units(self.spark, self.missing_rows)
+        return self._memo("missing", lambda: literals.missing_units(self.spark, self.missing_rows))
 
     # -- cohort -----------------------------------------------------------
     def excluded(self) -> DataFrame:
-        return cohort.exclusions(self.patient_form(), self.overrides)
+        return self._memo("excluded", lambda: cohort.exclusions(self.patient_form(), self.overrides))
 
     def analysed(self) -> DataFrame:
-        return cohort.analysed_series(self.series(), self.excluded())
+        return self._memo("analysed", lambda: cohort.analysed_series(self.series(), self.excluded()))
 
     def units(self) -> DataFrame:
         return distinct_units(self.analysed())
