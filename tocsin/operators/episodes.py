@@ -126,6 +126,33 @@ def row_sums(piece_df: DataFrame, id_col: str = "id") -> DataFrame:
         F.sum("vsum").alias("vsum"), F.min_by("first_p", "first_o").alias("first_p"))
 
 
+ID_BUCKETS = 64
+
+
+def _previous_ids(ids: DataFrame, buckets: int = ID_BUCKETS) -> DataFrame:
+    """For each series (in id order): the last zero-state mark of all earlier
+    series (``prev_z``) and the last row of the whole frame (``frame_last``).
+
+    A prefix over the sorted ids in two levels: ids are range-bucketed, the
+    prefix runs inside each bucket and over the bucket maxima (``buckets``
+    rows), so no task sees all series.  The bucket assignment is written to
+    the checkpoint folder, so both levels see the same buckets.
+    """
+    from tocsin.session import materialize
+
+    ranged = materialize(ids.repartitionByRange(buckets, "_id").withColumn("_b", F.spark_partition_id()),
+                         "id-buckets")
+    per_bucket = ranged.groupBy("_b").agg(F.max("id_z").alias("bz"), F.max("id_o").alias("bo"))
+    wb = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    per_bucket = (per_bucket.withColumn("prev_bz", F.max("bz").over(wb))
+                  .withColumn("frame_last", F.max("bo").over(Window.partitionBy())))
+    wi = Window.partitionBy("_b").orderBy("_id").rowsBetween(Window.unboundedPreceding, -1)
+    inside = ranged.withColumn("in_prev", F.max("id_z").over(wi))
+    # one row per bucket: bounded by ``buckets``
+    out = inside.join(F.broadcast(per_bucket.select("_b", "prev_bz", "frame_last")), "_b")
+    return out.select("_id", F.coalesce("in_prev", "prev_bz").alias("prev_z"), "frame_last")
+
+
 def run_parts(piece_df: DataFrame, scope: str = "series") -> DataFrame:
     """One row per (id, alarm run) with first row, last row and first answered row.
 
@@ -138,11 +165,7 @@ def run_parts(piece_df: DataFrame, scope: str = "series") -> DataFrame:
     chunks = chunks.withColumn("carried", F.max("zmax").over(wc))
     if scope == "dataset":
         ids = chunks.groupBy("_id").agg(F.max("zmax").alias("id_z"), F.max("omax").alias("id_o"))
-        # One row per series: the only step that sees all ids in one window.
-        wi = Window.orderBy("_id").rowsBetween(Window.unboundedPreceding, -1)
-        ids = (ids.withColumn("prev_z", F.max("id_z").over(wi))
-               .withColumn("frame_last", F.max("id_o").over(Window.partitionBy())))
-        chunks = (chunks.join(ids.select("_id", "prev_z", "frame_last"), "_id")
+        chunks = (chunks.join(_previous_ids(ids), "_id")
                   .withColumn("carried", F.coalesce("carried", "prev_z")).drop("prev_z"))
     else:
         chunks = chunks.withColumn("frame_last", F.col("omax"))
