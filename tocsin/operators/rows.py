@@ -93,3 +93,9 @@ def append_units(df: DataFrame, missing: DataFrame, value_col: str | None = "out
     if value_col is not None:
         extra = extra.withColumn(value_col, F.lit(fill).cast(df.schema[value_col].dataType))
     return df.unionByName(extra, allowMissingColumns=True)
+
+
+def sort_by_cluster(df: DataFrame) -> DataFrame:
+    """Output order by cluster, then id (only at the output; the sort is
+    a range exchange over per-unit rows, not over the series)."""
+    return df.orderBy(F.col("nurse").asc_nulls_last(), F.col("id").asc_nulls_last())
