@@ -85,3 +85,21 @@ def test_random_series_match_literal_walk(spark, seed):
         for end in ("clear", "answered"):
             chunk = rnd.choice([5, 3600, 86400])
             assert _run(spark, rows, scope, end, chunk) == walk(rows, scope, end), (scope, end, chunk)
+
+
+@pytest.mark.parametrize("scope", ["series", "dataset"])
+def test_hot_series_split_over_chunks(spark, scope):
+    # One id holds almost all rows; 60-second chunks cut it into hundreds of
+    # pieces that must stitch back into the same runs as the literal walk.
+    rnd = random.Random(11)
+    rows = []
+    for k, n in (("A", 20), ("HOT", 4000), ("Z", 15)):
+        t = 0
+        state = 0
+        for _ in range(n):
+            t += 1
+            if rnd.random() < 0.08:
+                state = 1 - state
+            rows.append({"id": k, "t": t, "state": state, "event": "Oxygen" if rnd.random() < 0.01 else None})
+    for end in ("clear", "answered"):
+        assert _run(spark, rows, scope, end, 60) == walk(rows, scope, end)
