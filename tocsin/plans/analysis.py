@@ -79,9 +79,16 @@ def effects_frame(t: Trial, name: str) -> DataFrame:
     return t.spark.createDataFrame(stats.effects(fit(t, name), name))
 
 
-def results_frame(t: Trial, labels=RESULT_LABELS) -> DataFrame:
-    """The alarm-performance table (one row per outcome)."""
-    rows = [(label, stats.effects(fit(t, name), name), icc(t, name)) for name, label in labels]
+def results_frame(t: Trial, labels=RESULT_LABELS, all_alarms_from: str = "alarms") -> DataFrame:
+    """The alarm-performance table (one row per outcome).
+
+    ``all_alarms_from="app_alarms"`` fills the "Number of alarms" row from the
+    appropriate-alarm count, as the original result graph did; the default
+    uses the all-alarm count.
+    """
+    source = {"alarms": all_alarms_from}
+    rows = [(label, stats.effects(fit(t, source.get(name, name)), name), icc(t, source.get(name, name)))
+            for name, label in labels]
     return stats.results_table(t.spark, rows)
 
 

@@ -581,3 +581,22 @@ def _baseline_without_procedure(t: Trial) -> DataFrame:
     """O38 variant: the categorical table without the procedure rows."""
     from tocsin.operators.summary import baseline_frame, categorical_summary, remove_variable
     return remove_variable(categorical_summary(baseline_frame(t.form_units(), FIXTURE_PROCEDURE_RULES)), "procedure")
+
+
+@register_raw("check_findings", O._with(O.BASE, _CHECK_VIEWS) + (
+    'SELECT id, chk AS "check", CAST(observed AS DOUBLE) AS observed, CAST(expected AS DOUBLE) AS expected '
+    "FROM c WHERE observed <> expected "
+    "UNION ALL SELECT id, 'sync_not_same_day', CAST(count(*) AS DOUBLE), CAST(0 AS DOUBLE) "
+    "FROM pairs WHERE CAST(ipad AS DATE) <> CAST(cap AS DATE) GROUP BY id "
+    "UNION ALL SELECT id, 'sync_gap_over_limit', diff / 60.0, CAST(5 AS DOUBLE) FROM pairs WHERE diff / 60.0 > 5"))
+def _check_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every data-quality finding in one table."""
+    from tocsin.operators.quality import all_checks
+    fx = _fx()
+    sheets_ = _sheets(spark, sf_dir)
+    files = fx.series(spark, sf_dir).select("id").distinct()
+    rows = {"sync_rows": fx.sync_sheet(spark, sf_dir).select("id"), "nurse_rows": sheets_.nurse.select("id"),
+            "intervention_rows": sheets_.interventions.select("id"),
+            "adverse_rows": fx.adverse_form(spark, sf_dir).select("id")}
+    from tocsin.operators.clock import clock_pairs
+    return all_checks(files, rows, clock_pairs(sheets_.sync_readings()))
