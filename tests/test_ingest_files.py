@@ -134,3 +134,12 @@ def test_trial_from_folders(spark):
     assert primary["E01"] == 1 and primary["E998"] == 0
     assert [r["adverseEvent"] for r in t.adverse().collect()] == [1]
     assert t.excluded().count() == 0
+
+
+def test_read_series_keeps_numeric_looking_ids(spark):
+    from tocsin.sources.dataset import write_series
+    import datetime as dt
+    root = tempfile.mkdtemp(prefix="tocsin-test-")
+    df = spark.createDataFrame([("007", dt.datetime(2024, 1, 1, 10, 0, 0), 1)], "id string, datetime timestamp, v int")
+    write_series(df, os.path.join(root, "s"))
+    assert [r["id"] for r in read_series(spark, os.path.join(root, "s")).collect()] == ["007"]

@@ -85,9 +85,12 @@ def desaturation_area(series: DataFrame, units: DataFrame | None, *, sample: str
     """
     t = F.lit(threshold)
     state = any_alarm_state(flags) if flags else any_alarm_state()
+    # Integer SpO2 gives an exact integer area; a fractional reading keeps its fraction.
+    from pyspark.sql.types import IntegralType
+    kind = "long" if isinstance(series.schema["spo2"].dataType, IntegralType) else "double"
     area_row = F.when(F.col("spo2") < t, t - F.col("spo2")).otherwise(0)
     pcs = pieces(prepare(series, state, None, chunk_seconds=chunk_seconds, measure="spo2",
-                         row_value=area_row.cast("long")), scope)
+                         row_value=area_row.cast(kind)), scope)
     if units is None:
         units = units_of(pcs)
     if sample == "episode_end":
@@ -103,7 +106,7 @@ def desaturation_area(series: DataFrame, units: DataFrame | None, *, sample: str
     per_id = per_id.select("id", F.col("_u.randomization").alias("randomization"),
                            F.col("_u.nurse").alias("nurse"), "outcome")
     out = right_join_units(per_id, units, "outcome", 0)
-    return out.select(*UNIT, F.col("outcome").cast("long").alias("outcome"))
+    return out.select(*UNIT, F.col("outcome").cast(kind).alias("outcome"))
 
 
 def zero_share(outcome: DataFrame) -> DataFrame:

@@ -25,8 +25,14 @@ def write_series(df: DataFrame, path: str, mode: str = "overwrite", chunk_second
 def read_series(spark: SparkSession, path: str) -> DataFrame:
     """The series dataset; ``id`` comes back from the folder names, so a
     filter on ``id`` prunes folders."""
-    df = spark.read.parquet(path)
-    return df.withColumn("id", F.col("id").cast("string"))
+    key = "spark.sql.sources.partitionColumnTypeInference.enabled"
+    before = spark.conf.get(key, "true")
+    spark.conf.set(key, "false")  # ids such as "007" stay text
+    try:
+        df = spark.read.parquet(path)
+    finally:
+        spark.conf.set(key, before)
+    return df
 
 
 def read_parquet_folders(spark: SparkSession, path: str) -> DataFrame:
