@@ -88,7 +88,9 @@ def test_random_series_match_literal_walk(spark, seed):
 
 
 @pytest.mark.parametrize("scope", ["series", "dataset"])
-def test_hot_series_split_over_chunks(spark, scope):
+def test_hot_series_split_over_chunks(spark, scope, monkeypatch):
+    import tocsin.operators.episodes as ep
+    monkeypatch.setattr(ep, "SUPER_CHUNK", 4)  # many super-chunks too
     # One id holds almost all rows; 60-second chunks cut it into hundreds of
     # pieces that must stitch back into the same runs as the literal walk.
     rnd = random.Random(11)

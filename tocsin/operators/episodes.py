@@ -18,9 +18,9 @@ partition.  The rows are shuffled once, on ``(id, chunk)``:
 2. in the same stage (no exchange: the grouping keys contain the partitioning
    keys) the rows are folded to *pieces*: one row per run fragment in a chunk
    plus one row per chunk for its zero-state rows;
-3. a window over the chunk table (one row per chunk) finds the last zero-state
-   row before each chunk, which names the run of alarm rows that continue a
-   run from an earlier chunk;
+3. a two-level prefix over the chunk table (one row per chunk) finds the last
+   zero-state row before each chunk, which names the run of alarm rows that
+   continue a run from an earlier chunk;
 4. pieces are combined per (id, run) with associative aggregates.
 
 Everything after step 2 runs on tables whose size is the number of runs plus
@@ -127,6 +127,24 @@ def row_sums(piece_df: DataFrame, id_col: str = "id") -> DataFrame:
 
 
 ID_BUCKETS = 64
+# Chunks per super-chunk in the two-level prefix over the chunks of one id.
+SUPER_CHUNK = 1024
+
+
+def _carry_over_chunks(chunks: DataFrame, size: int | None = None) -> DataFrame:
+    """``carried``: the last zero-state mark of all earlier chunks of the same
+    id.  Two levels -- inside super-chunks of ``size`` chunks, and over the
+    super-chunks of the id -- so even a series spanning millions of chunks
+    never puts its whole chunk table into one window partition."""
+    size = size or SUPER_CHUNK
+    chunks = chunks.withColumn("_sc", F.floor(F.col("_c") / F.lit(size)))
+    tops = chunks.groupBy("_id", "_sc").agg(F.max("zmax").alias("sz"))
+    ws = Window.partitionBy("_id").orderBy("_sc").rowsBetween(Window.unboundedPreceding, -1)
+    tops = tops.select("_id", "_sc", F.max("sz").over(ws).alias("s_prev"))
+    wc = Window.partitionBy("_id", "_sc").orderBy("_c").rowsBetween(Window.unboundedPreceding, -1)
+    inner = chunks.withColumn("in_prev", F.max("zmax").over(wc))
+    return (inner.join(tops, ["_id", "_sc"])
+            .select("_id", "_c", "zmax", "omax", F.coalesce("in_prev", "s_prev").alias("carried")))
 
 
 def _previous_ids(ids: DataFrame, buckets: int = ID_BUCKETS) -> DataFrame:
@@ -161,8 +179,7 @@ def run_parts(piece_df: DataFrame, scope: str = "series") -> DataFrame:
     whole run and the whole frame.
     """
     chunks = piece_df.groupBy("_id", "_c").agg(F.max("zmax").alias("zmax"), F.max("omax").alias("omax"))
-    wc = Window.partitionBy("_id").orderBy("_c").rowsBetween(Window.unboundedPreceding, -1)
-    chunks = chunks.withColumn("carried", F.max("zmax").over(wc))
+    chunks = _carry_over_chunks(chunks)
     if scope == "dataset":
         ids = chunks.groupBy("_id").agg(F.max("zmax").alias("id_z"), F.max("omax").alias("id_o"))
         chunks = (chunks.join(_previous_ids(ids), "_id")
