@@ -2,7 +2,6 @@ import datetime as dt
 import random
 
 import pytest
-from pyspark.sql import functions as F
 
 from tocsin.operators.clock import clock_fill, clock_pairs, nurse_fill
 

@@ -3,7 +3,6 @@ import os
 import tempfile
 import zipfile
 
-from pyspark.sql import functions as F
 
 from tocsin.plans.ingest import ingest_folders
 from tocsin.sources.dataset import read_series
