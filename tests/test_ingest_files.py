@@ -142,3 +142,28 @@ def test_read_series_keeps_numeric_looking_ids(spark):
     df = spark.createDataFrame([("007", dt.datetime(2024, 1, 1, 10, 0, 0), 1)], "id string, datetime timestamp, v int")
     write_series(df, os.path.join(root, "s"))
     assert [r["id"] for r in read_series(spark, os.path.join(root, "s")).collect()] == ["007"]
+
+
+def test_device_csv_split_mode_matches_whole_files(spark):
+    root = tempfile.mkdtemp(prefix="tocsin-test-")
+    csv_dir, _ = _make_folders(root)
+    cols = [c for c in DEVICE_COLUMNS] + ["id", "datetime"]
+    whole = read_device_csv(spark, csv_dir).orderBy("line").select(*cols).collect()
+    split = read_device_csv(spark, csv_dir, split_files=True).orderBy("line").select(*cols).collect()
+    assert whole == split
+
+
+def test_device_csv_split_mode_many_blocks(spark):
+    root = tempfile.mkdtemp(prefix="tocsin-test-")
+    csv_dir, _ = _make_folders(root)
+    cols = [c for c in DEVICE_COLUMNS] + ["id", "datetime"]
+    whole = read_device_csv(spark, csv_dir).orderBy("line").select(*cols).collect()
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "200")  # the file spans several blocks
+    try:
+        df = read_device_csv(spark, csv_dir, split_files=True)
+        assert df.rdd.getNumPartitions() > 1
+        split = df.orderBy("line").select(*cols).collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert whole == split

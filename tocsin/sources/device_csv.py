@@ -10,7 +10,7 @@ the folder is spread over tasks file by file.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tocsin.functions.timeparse import mdy_hms_of
@@ -36,18 +36,57 @@ def column_type(name: str) -> str:
     return "int"
 
 
-def read_device_csv(spark: SparkSession, path: str, skip: int = 6) -> DataFrame:
-    """All recordings under ``path``: ``id, line`` + the 30 device columns + ``datetime``."""
-    files = (spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.csv")
-             .text(path, wholetext=True)
-             .select(F.col("_metadata.file_name").alias("file"), "value"))
-    return parse_device_lines(files, skip)
+def read_device_csv(spark: SparkSession, path: str, skip: int = 6, split_files: bool = False) -> DataFrame:
+    """All recordings under ``path``: ``id, line`` + the 30 device columns + ``datetime``.
+
+    ``split_files=True`` reads lines instead of whole files, so one very large
+    recording is spread over several tasks; ``line`` is then an order key
+    (increasing within a file) rather than the line number.
+    """
+    reader = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.csv")
+    if not split_files:
+        files = reader.text(path, wholetext=True).select(F.col("_metadata.file_name").alias("file"), "value")
+        return parse_device_lines(files, skip)
+    lines = reader.text(path).select(
+        F.col("_metadata.file_name").alias("file"),
+        F.col("_metadata.file_block_start").alias("_b"),
+        F.monotonically_increasing_id().alias("_r"),
+        F.col("value").alias("text"))
+    # Within a file, blocks are in offset order and rows of a block in file
+    # order: (block start, row id) orders the lines of each file.
+    # The first ``skip`` lines of each file: a per-file top-k, cut map-side
+    # (WindowGroupLimit) so only ``skip`` rows per file and task are shuffled.
+    w = Window.partitionBy("file").orderBy("_b", "_r")
+    preamble = (lines.withColumn("_n", F.row_number().over(w)).filter(F.col("_n") <= skip)
+                .select("file", "_b", "_r"))
+    body = lines.join(preamble, ["file", "_b", "_r"], "left_anti")
+    # One long: the block start scaled so that consecutive blocks (at least
+    # the smallest split apart) stay above any row index inside a task (the
+    # low 33 bits of the row id).
+    def conf_bytes(key: str, default: int) -> int:
+        v = str(spark.conf.get(key, str(default))).strip().lower()
+        units = {"k": 1 << 10, "m": 1 << 20, "g": 1 << 30}
+        for suffix in ("b", "kb", "mb", "gb"):
+            if v.endswith(suffix) and suffix != "b":
+                return int(float(v[:-2]) * units[suffix[0]])
+        return int(float(v.rstrip("b")))
+    min_split = max(1, min(conf_bytes("spark.sql.files.maxPartitionBytes", 128 << 20),
+                           conf_bytes("spark.sql.files.openCostInBytes", 4 << 20)))
+    scale = -(-(1 << 33) // min_split)
+    numbered = body.select("file", (F.col("_b") * F.lit(scale) + (F.col("_r") % F.lit(1 << 33))).alias("line"),
+                           "text")
+    return _parse(numbered)
 
 
 def parse_device_lines(files: DataFrame, skip: int = 6) -> DataFrame:
     """``file, value`` (whole file text) -> typed device rows (see module doc)."""
     lines = files.select("file", F.posexplode(F.split("value", r"\r?\n")).alias("line", "text"))
-    lines = lines.filter((F.col("line") >= skip) & (F.length(F.trim("text")) > 0))
+    return _parse(lines.filter(F.col("line") >= skip))
+
+
+def _parse(lines: DataFrame) -> DataFrame:
+    """``file, line, text`` -> typed device rows; blank lines are skipped."""
+    lines = lines.filter(F.length(F.trim("text")) > 0)
     ddl = ", ".join(f"`{c}` STRING" for c in DEVICE_COLUMNS)
     parsed = lines.select(
         F.regexp_replace("file", r"\.csv$", "").alias("id"),
