@@ -17,10 +17,11 @@ def _df(spark, rows):
         data, "id string, datetime timestamp, state int, event string, nurse string, randomization string, spo2 int")
 
 
-def _run(spark, rows, scope, end, chunk):
+def _run(spark, rows, scope, end, chunk, rows_per_chunk=1_000_000):
     df = _df(spark, rows)
     answered = F.col("event").isNotNull() if end == "answered" else None
-    ep = episodes(df, F.col("state"), answered, end=end, scope=scope, chunk_seconds=chunk)
+    ep = episodes(df, F.col("state"), answered, end=end, scope=scope, chunk_seconds=chunk,
+                  rows_per_chunk=rows_per_chunk)
     got = ep.select("id", F.unix_seconds("alarm_start").alias("s"), F.unix_seconds("alarm_end").alias("e"),
                     "duration").collect()
     base = int(EPOCH.replace(tzinfo=dt.timezone.utc).timestamp())
@@ -105,3 +106,19 @@ def test_hot_series_split_over_chunks(spark, scope, monkeypatch):
             rows.append({"id": k, "t": t, "state": state, "event": "Oxygen" if rnd.random() < 0.01 else None})
     for end in ("clear", "answered"):
         assert _run(spark, rows, scope, end, 60) == walk(rows, scope, end)
+
+
+@pytest.mark.parametrize("scope", ["series", "dataset"])
+def test_chunk_width_from_density(spark, scope):
+    # chunk_seconds=None: about 64 rows per chunk for every id, however dense.
+    rnd = random.Random(5)
+    rows = []
+    for k, n, step in (("A", 300, 1), ("B", 2000, 1), ("C", 200, 3600)):
+        t, state = 0, 0
+        for _ in range(n):
+            t += step
+            if rnd.random() < 0.1:
+                state = 1 - state
+            rows.append({"id": k, "t": t, "state": state, "event": None})
+    for end in ("clear", "answered"):
+        assert _run(spark, rows, scope, end, None, rows_per_chunk=64) == walk(rows, scope, end)

@@ -53,11 +53,14 @@ DAY_SECONDS = 86_400
 def prepare(df: DataFrame, state: Column, answered: Column | None = None, *, id_col: str = "id",
             ts_col: str = "datetime", tie_col: str | None = None,
             payload: Sequence[str] = ("randomization", "nurse"), measure: str | None = None,
-            row_value: Column | None = None, chunk_seconds: int = DAY_SECONDS) -> DataFrame:
+            row_value: Column | None = None, chunk_seconds: int | None = DAY_SECONDS,
+            rows_per_chunk: int = 1_000_000) -> DataFrame:
     """Rename the series to the operator's columns and hash it on (id, chunk).
 
     This is the only exchange of full series rows.  ``row_value`` is summed
-    over every row of each id (see :func:`row_sums`).
+    over every row of each id (see :func:`row_sums`).  ``chunk_seconds=None``
+    picks a width per id so that a chunk holds about ``rows_per_chunk`` rows
+    (see :func:`chunk_widths`).
     """
     tie = F.col(tie_col).cast("long") if tie_col else F.lit(0).cast("long")
     if answered is None:
@@ -71,8 +74,15 @@ def prepare(df: DataFrame, state: Column, answered: Column | None = None, *, id_
         F.struct(*[F.col(c) for c in payload]).alias("_p"),
         (F.col(measure) if measure else F.lit(None).cast("int")).alias("_m"),
         (row_value if row_value is not None else F.lit(None).cast("long")).alias("_v"),
-        F.floor(F.unix_seconds(F.col(ts_col)) / F.lit(chunk_seconds)).alias("_c"),
+        F.unix_seconds(F.col(ts_col)).alias("_s"),
     )
+    if chunk_seconds is None:
+        widths = chunk_widths(base, rows_per_chunk)
+        base = base.join(widths, "_id", "left")
+        width = F.coalesce(F.col("_w"), F.lit(DAY_SECONDS))
+    else:
+        width = F.lit(chunk_seconds)
+    base = base.withColumn("_c", F.floor(F.col("_s") / width)).drop("_s", "_w")
     return base.repartition("_id", "_c")
 
 
@@ -114,6 +124,23 @@ def pieces(prepared: DataFrame, scope: str = "series", persist: bool = True) ->
     return out.persist(StorageLevel.MEMORY_AND_DISK) if persist else out
 
 
+# Largest per-id width table broadcast to the rows (one row per series).
+MAX_BROADCAST_WIDTHS = 5_000_000
+
+
+def chunk_widths(base: DataFrame, rows_per_chunk: int) -> DataFrame:
+    """Per id, a chunk width (seconds, a power of two) giving about
+    ``rows_per_chunk`` rows per chunk at the id's mean density.  Computed by
+    a map-side-combined aggregate over two columns; the table (one row per
+    id) is broadcast when its counted size allows."""
+    per_id = base.groupBy("_id").agg(F.count(F.lit(1)).alias("n"), F.min("_s").alias("lo"), F.max("_s").alias("hi"))
+    span = F.greatest(F.col("hi") - F.col("lo") + 1, F.lit(1))
+    raw = span * F.lit(float(rows_per_chunk)) / F.col("n")
+    width = F.pow(F.lit(2.0), F.ceil(F.log2(F.greatest(raw, F.lit(1.0))))).cast("long")
+    widths = per_id.select("_id", width.alias("_w")).persist(StorageLevel.MEMORY_AND_DISK)
+    return F.broadcast(widths) if widths.count() <= MAX_BROADCAST_WIDTHS else widths
+
+
 def units_of(piece_df: DataFrame, id_col: str = "id") -> DataFrame:
     """Distinct (id, payload) over all rows: the units of analysis."""
     return (piece_df.select(F.col("_id").alias(id_col), F.explode("units").alias("_u"))
@@ -215,7 +242,8 @@ def run_parts(piece_df: DataFrame, scope: str = "series") -> DataFrame:
 def episodes(df: DataFrame, state: Column, answered: Column | None = None, *, end: str = "clear",
              id_col: str = "id", ts_col: str = "datetime", tie_col: str | None = None,
              payload: Sequence[str] = ("randomization", "nurse"), measure: str | None = None,
-             chunk_seconds: int = DAY_SECONDS, scope: str = "series") -> DataFrame:
+             chunk_seconds: int | None = DAY_SECONDS, scope: str = "series",
+             rows_per_chunk: int = 1_000_000) -> DataFrame:
     """First end per (start, id) with its duration in seconds.
 
     ``end="clear"``: the alarm clears (O28).  ``end="answered"``: the alarm
@@ -226,7 +254,7 @@ def episodes(df: DataFrame, state: Column, answered: Column | None = None, *, en
     choices).
     """
     prepared = prepare(df, state, answered, id_col=id_col, ts_col=ts_col, tie_col=tie_col, payload=payload,
-                       measure=measure, chunk_seconds=chunk_seconds)
+                       measure=measure, chunk_seconds=chunk_seconds, rows_per_chunk=rows_per_chunk)
     return episodes_of(pieces(prepared, scope), end=end, id_col=id_col, payload=payload, measure=measure,
                        scope=scope)
 

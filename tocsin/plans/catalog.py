@@ -521,7 +521,6 @@ def _residual_qq(t: Trial) -> DataFrame:
 
 # -- Large series: lineitem as one series per supplier ------------------------
 
-LINEITEM_CHUNK_SECONDS = 365 * 86_400
 
 
 def lineitem_series(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -552,7 +551,7 @@ def _lineitem_episodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """O26-O30 on a large, dense series: returned-line runs per supplier."""
     from tocsin.operators.episodes import episodes
     ep = episodes(lineitem_series(spark, sf_dir), F.col("state"), None, end="clear", tie_col="line",
-                  payload=(), chunk_seconds=LINEITEM_CHUNK_SECONDS)
+                  payload=(), chunk_seconds=None)  # chunk width per supplier from its density
     return ep.groupBy("id").agg(F.count(F.lit(1)).alias("episodes"), F.sum("duration").alias("seconds"))
 
 
