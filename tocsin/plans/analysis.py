@@ -32,6 +32,8 @@ RESULT_LABELS = (
     ("app_alarms", "Number of appropriate alarms"),
     ("inapp_alarms", "Number of inappropriate alarms"),
 )
+# The slide-deck version of the table has no "Number of alarms" row.
+DECK_LABELS = tuple(pair for pair in RESULT_LABELS if pair[0] != "alarms")
 
 
 def outcome_table(t: Trial, name: str) -> DataFrame:
