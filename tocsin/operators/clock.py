@@ -75,19 +75,32 @@ def step_fill(rows: DataFrame, readings: DataFrame, *, key: str, row_time: str,
     summary = rd.groupBy("_k").agg(
         F.min_by("_v", order).alias("first_v"),
         F.min_by("_v", F.when(F.col("_m") & good, order)).alias("first_m"),
-        F.min(F.when(F.col("_m") & good, F.col("_rt"))).alias("first_m_t"),
+        F.min(F.when(F.col("_m"), F.col("_rt"))).alias("first_m_t"),
         F.min_by("_v", F.when(~F.col("_m") & good, order)).alias("first_u"),
     )
     head = F.coalesce(*(([F.col("first_v")] if head_is_first_reading else [])
                         + [F.col("first_m"), F.col("first_u")]))
+    summary = summary.select("_k", "first_m_t", head.alias("_head"))
     head_rows = summary.select("_k", F.lit(None).cast("timestamp").alias("_from"),
-                               F.col("first_m_t").alias("_until"), head.alias("_fill"))
-    # Matching readings with a value: each holds from its time to the next one.
-    steps = (rd.filter(F.col("_m") & good)
-             .groupBy("_k", "_rt").agg(F.max_by("_v", "_ro").alias("_fill")))
+                               F.col("first_m_t").alias("_until"), F.col("_head").alias("_fill"))
+    # Matching readings, per second.  Several readings in one second: the row
+    # of that second keeps the first (the later duplicates are the rows the
+    # one-row-per-second rule drops), the rows after it carry the last value
+    # present; a missing value carries the value before it.
+    per_second = (rd.filter(F.col("_m")).groupBy("_k", "_rt")
+                  .agg(F.min_by("_v", "_ro").alias("at_v"), F.max_by("_v", F.when(good, F.col("_ro"))).alias("after_v"))
+                  .join(summary, "_k"))
     wk = Window.partitionBy("_k").orderBy("_rt")
-    steps = steps.select("_k", F.col("_rt").alias("_from"), F.lead("_rt").over(wk).alias("_until"), "_fill")
-    intervals = head_rows.unionByName(steps)
+    upto = wk.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    before = wk.rowsBetween(Window.unboundedPreceding, -1)
+    per_second = per_second.select(
+        "_k", "_rt", F.lead("_rt").over(wk).alias("_next"),
+        F.coalesce("at_v", F.last("after_v", ignorenulls=True).over(before), "_head").alias("at"),
+        F.coalesce(F.last("after_v", ignorenulls=True).over(upto), "_head").alias("after"))
+    tick = F.col("_rt") + F.expr("INTERVAL 1 MICROSECOND")
+    at_rows = per_second.select("_k", F.col("_rt").alias("_from"), tick.alias("_until"), F.col("at").alias("_fill"))
+    after_rows = per_second.select("_k", tick.alias("_from"), F.col("_next").alias("_until"), F.col("after").alias("_fill"))
+    intervals = head_rows.unionByName(at_rows).unionByName(after_rows)
     # A few rows per recording: persist, count, and broadcast when that
     # count allows it, so the rows are never shuffled by recording.
     intervals = intervals.persist(StorageLevel.MEMORY_AND_DISK)
