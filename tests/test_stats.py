@@ -85,3 +85,37 @@ def test_baseline_quartiles_exact_and_sketch(spark):
     assert (exact["n"], exact["p25"], exact["median"], exact["p75"]) == (100, 25.75, 50.5, 75.25)
     approx = continuous_summary(df, ["age"], exact=False).collect()[0]
     assert abs(approx["median"] - 50.5) <= 1
+
+
+def test_logistic_matches_glm_without_cluster_effect(spark):
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.regression import GeneralizedLinearRegression
+    rng = np.random.default_rng(7)
+    rows = [(f"N{k}", int(x), float(rng.random() < (0.2 if x == 0 else 0.35)))
+            for k in range(8) for x in (k % 2,) for _ in range(60)]
+    units = spark.createDataFrame(rows, "nurse string, x int, y double")
+    glm = GeneralizedLinearRegression(family="binomial", link="logit", featuresCol="f", labelCol="y").fit(
+        VectorAssembler(inputCols=["x"], outputCol="f").transform(units))
+    cells = units.groupBy(F.col("nurse").alias("cluster"), "x", "y").agg(F.count(F.lit(1)).cast("double").alias("c"))
+    fit = ClusteredModel(spark, cells, "binomial").fit(outer=2)
+    assert abs(fit.theta[0] - glm.intercept) < 0.05
+    assert abs(fit.theta[1] - glm.coefficients[0]) < 0.05
+
+
+def test_negative_binomial_recovers_simulated_parameters(spark):
+    rng = np.random.default_rng(3)
+    b0, b1, phi, sigma = 3.0, 0.5, 2.0, 0.3
+    rows = []
+    for k in range(20):
+        x = k % 2
+        u = rng.normal(0, sigma)
+        mu = np.exp(b0 + b1 * x + u)
+        ys = rng.poisson(rng.gamma(phi, mu / phi, size=80))
+        rows += [(f"N{k:02d}", x, float(y)) for y in ys]
+    units = spark.createDataFrame(rows, "cluster string, x int, y double")
+    cells = units.groupBy("cluster", "x", "y").agg(F.count(F.lit(1)).cast("double").alias("c"))
+    fit = ClusteredModel(spark, cells, "negative_binomial").fit(outer=2)
+    se = np.sqrt(np.diag(fit.cov))
+    assert abs(fit.theta[0] - b0) < 3 * se[0] + 0.05
+    assert abs(fit.theta[1] - b1) < 3 * se[1] + 0.05
+    assert abs(math.exp(fit.theta[2]) - phi) < 0.5
