@@ -16,3 +16,11 @@ def spark():
 
 SF_SMALL = "/root/testdata/sf0.001"
 SF_CHECK = "/root/testdata/sf0.01"
+
+
+@pytest.fixture(autouse=True)
+def _release_cached_tables(request):
+    """Queries persist small intermediate tables; drop them after each test."""
+    yield
+    if "spark" in request.fixturenames:
+        request.getfixturevalue("spark").catalog.clearCache()
