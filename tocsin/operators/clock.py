@@ -23,7 +23,7 @@ own time on, matching a row or not.
 from __future__ import annotations
 
 from pyspark import StorageLevel
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tocsin.functions.timeparse import add_seconds
@@ -47,10 +47,6 @@ def clock_pairs(sync: DataFrame) -> DataFrame:
             .withColumn("datetime", F.col("Capnostream")))
 
 
-def _reading_order(t: Column, ro: Column) -> Column:
-    return F.struct(t.isNull().alias("n"), t.alias("t"), ro.alias("r"))
-
-
 def step_fill(rows: DataFrame, readings: DataFrame, *, key: str, row_time: str, reading_time: str,
               value: str, out: str, head_is_first_reading: bool, match: str = "exact",
               reading_order: str | None = None) -> DataFrame:
@@ -69,42 +65,57 @@ def step_fill(rows: DataFrame, readings: DataFrame, *, key: str, row_time: str,
         rd = rd.withColumn("_m", F.col("_rt").isNotNull())
     else:
         raise ValueError(f"unknown match {match!r}")
+    # Readings with their match flag: a few per recording.  Hashed once by
+    # recording and kept, so the matching pass over the rows runs once and
+    # every step below (per second, per recording, windows, join) reuses the
+    # same partitioning.  Their count bounds the interval table (at most two
+    # intervals per reading plus one per recording) for the broadcast below.
+    rd = rd.repartition("_k").persist(StorageLevel.MEMORY_AND_DISK)
+    n_readings = rd.count()
 
-    order = _reading_order(F.col("_rt"), F.col("_ro"))
     good = F.col("_v").isNotNull()
-    summary = rd.groupBy("_k").agg(
-        F.min_by("_v", order).alias("first_v"),
-        F.min_by("_v", F.when(F.col("_m") & good, order)).alias("first_m"),
+    when_good = F.when(good, F.col("_ro"))
+    # Per second: the first reading, the last and first present values.  A
+    # time is matched or not as a whole.
+    sec = rd.groupBy("_k", "_rt").agg(
+        F.max("_m").alias("_m"),
+        F.min_by("_v", "_ro").alias("at_v"),
+        F.max_by("_v", when_good).alias("after_v"),
+        F.min_by("_v", when_good).alias("first_good"),
+    )
+    by_time = F.struct(F.col("_rt").isNull().alias("n"), F.col("_rt").alias("t"))
+    has = F.col("first_good").isNotNull()
+    summary = sec.groupBy("_k").agg(
+        F.min_by("at_v", by_time).alias("first_v"),
+        F.min_by("first_good", F.when(F.col("_m") & has, by_time)).alias("first_m"),
         F.min(F.when(F.col("_m"), F.col("_rt"))).alias("first_m_t"),
-        F.min_by("_v", F.when(~F.col("_m") & good, order)).alias("first_u"),
+        F.min_by("first_good", F.when(~F.col("_m") & has, by_time)).alias("first_u"),
     )
     head = F.coalesce(*(([F.col("first_v")] if head_is_first_reading else [])
                         + [F.col("first_m"), F.col("first_u")]))
     summary = summary.select("_k", "first_m_t", head.alias("_head"))
     head_rows = summary.select("_k", F.lit(None).cast("timestamp").alias("_from"),
                                F.col("first_m_t").alias("_until"), F.col("_head").alias("_fill"))
-    # Matching readings, per second.  Several readings in one second: the row
-    # of that second keeps the first (the later duplicates are the rows the
-    # one-row-per-second rule drops), the rows after it carry the last value
-    # present; a missing value carries the value before it.
-    per_second = (rd.filter(F.col("_m")).groupBy("_k", "_rt")
-                  .agg(F.min_by("_v", "_ro").alias("at_v"), F.max_by("_v", F.when(good, F.col("_ro"))).alias("after_v"))
-                  .join(summary, "_k"))
+    # Several readings in one second: the row of that second keeps the first
+    # (the later duplicates are the rows the one-row-per-second rule drops),
+    # the rows after it carry the last value present; a missing value carries
+    # the value before it.
     wk = Window.partitionBy("_k").orderBy("_rt")
     upto = wk.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     before = wk.rowsBetween(Window.unboundedPreceding, -1)
-    per_second = per_second.select(
+    per_second = sec.filter(F.col("_m")).join(summary, "_k").select(
         "_k", "_rt", F.lead("_rt").over(wk).alias("_next"),
         F.coalesce("at_v", F.last("after_v", ignorenulls=True).over(before), "_head").alias("at"),
         F.coalesce(F.last("after_v", ignorenulls=True).over(upto), "_head").alias("after"))
     tick = F.col("_rt") + F.expr("INTERVAL 1 MICROSECOND")
     at_rows = per_second.select("_k", F.col("_rt").alias("_from"), tick.alias("_until"), F.col("at").alias("_fill"))
-    after_rows = per_second.select("_k", tick.alias("_from"), F.col("_next").alias("_until"), F.col("after").alias("_fill"))
+    after_rows = per_second.select("_k", tick.alias("_from"), F.col("_next").alias("_until"),
+                                   F.col("after").alias("_fill"))
     intervals = head_rows.unionByName(at_rows).unionByName(after_rows)
-    # A few rows per recording: persist, count, and broadcast when that
-    # count allows it, so the rows are never shuffled by recording.
-    intervals = intervals.persist(StorageLevel.MEMORY_AND_DISK)
-    if intervals.count() <= MAX_BROADCAST_INTERVALS:
+
+    # A few rows per recording: broadcast when the bound allows it, so the
+    # rows are never shuffled by recording.
+    if 3 * n_readings <= MAX_BROADCAST_INTERVALS:
         intervals = F.broadcast(intervals)
 
     t = F.col(row_time)
