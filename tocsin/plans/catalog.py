@@ -599,3 +599,19 @@ def _check_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
             "adverse_rows": fx.adverse_form(spark, sf_dir).select("id")}
     from tocsin.operators.clock import clock_pairs
     return all_checks(files, rows, clock_pairs(sheets_.sync_readings()))
+
+
+@register_raw("clock_fill_asof", _PLAN + (
+    "SELECT s.id, CAST(epoch(s.datetime) AS BIGINT) AS datetime, "
+    "CAST(CASE WHEN p.cap2 IS NOT NULL AND s.datetime >= p.cap2 THEN p.d2 ELSE p.d1 END AS BIGINT) AS diff "
+    "FROM series s JOIN plan p USING (id)"))
+def _clock_fill_asof(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """O09 with ``match="asof"``: every clock reading holds from its own time on,
+    whether or not a row falls on that second."""
+    from tocsin.operators.clock import clock_fill, clock_pairs
+    from tocsin.plans.ingest import dedup
+    from tocsin.session import materialize
+    from tocsin.sources import fixtures as fx
+    rows = materialize(dedup(fx.monitor_rows(spark, sf_dir)).select("id", "datetime"), "clock-rows")
+    out = clock_fill(rows, clock_pairs(_sheets(spark, sf_dir).sync_readings()), match="asof")
+    return out.select("id", _epoch("datetime"), "diff")
