@@ -119,3 +119,17 @@ def test_negative_binomial_recovers_simulated_parameters(spark):
     assert abs(fit.theta[0] - b0) < 3 * se[0] + 0.05
     assert abs(fit.theta[1] - b1) < 3 * se[1] + 0.05
     assert abs(math.exp(fit.theta[2]) - phi) < 0.5
+
+
+def test_residuals_both_kinds_are_shares(spark):
+    from tocsin.operators.glmm import Fit
+    from tocsin.operators.stats import simulated_residuals
+    fit = Fit("negative_binomial", ["b0", "b1", "log_phi", "l11"], np.array([2.0, 0.3, 1.0, -1.0]),
+              np.eye(4) * 0.01, 0.0, 1, cluster_means={"N1": [0.4], "N2": [-0.4]})
+    rows = [(f"E{i}", "N1" if i % 2 else "N2", "IPI enabled" if i % 3 else "IPI disabled", float(i % 9)) for i in range(40)]
+    units = spark.createDataFrame(rows, "id string, nurse string, randomization string, outcome double")
+    for kind in ("subject_specific", "mean_subject"):
+        res = [r["residual"] for r in simulated_residuals(spark, units, fit, nsim=200, kind=kind).collect()]
+        assert len(res) == 40 and all(0.0 <= r <= 1.0 for r in res)
+    again = simulated_residuals(spark, units, fit, nsim=200).orderBy("id").collect()
+    assert again == simulated_residuals(spark, units, fit, nsim=200).orderBy("id").collect()  # seeded per unit
