@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tocsin.llm import exact_dedup, mixing, topk, url_filter
+from tocsin.llm import byte_bpe, exact_dedup, mixing, token_counts, topk, url_filter
 from tocsin.llm.common import documents
 from tocsin.sources.tables import read_table
 
+TOKEN_LIMIT = 2048
+
 
 def op1_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page's url judged by the packed wildcard automaton."""
@@ -27,6 +29,24 @@ def op3_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(read_table(spark, sf_dir, "embeddings"), F.col("id") % 50 == 0)
 
 
+def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text encoded in overlapping chunks, then decoded."""
+    import public_tokenizers
+
+    ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    encoded = byte_bpe.encode(documents(spark, sf_dir, "doc_id", "text"), ranks, public_tokenizers.PATTERN)
+    return byte_bpe.digests(byte_bpe.decode(encoded, ranks))
+
+
+def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of every text by the compiled transducers."""
+    import public_tokenizers
+
+    counts = token_counts.token_counts(documents(spark, sf_dir, "doc_id", "text"),
+                                       public_tokenizers.path("word_bpe_49k.json"))
+    return counts.withColumn("over_limit", F.col("n_tokens") > TOKEN_LIMIT)
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Capped water-filling over the sources and seeded repetitions."""
     return (mixing.mix(documents(spark, sf_dir, "doc_id", "source", "text"))
@@ -37,6 +57,8 @@ QUERIES = {
     "op1_url_filters": op1_url_filters,
     "op2_exact_dedup": op2_exact_dedup,
     "op3_exact_topk": op3_exact_topk,
+    "op4_byte_bpe": op4_byte_bpe,
+    "op9_token_counts": op9_token_counts,
     "op10_mixing": op10_mixing,
 }
 
