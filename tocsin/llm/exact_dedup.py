@@ -30,7 +30,12 @@ from pyspark.sql import functions as F
 
 from tocsin.llm.common import BLANK, shared_path, stored, text_of
 
-PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+STATE_SETTINGS = {
+    "spark.sql.streaming.stateStore.providerClass":
+        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    # Every state partition would set aside some MB of disk beforehand.
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
+}
 LAST_ID = 2**63 - 1
 
 
@@ -53,9 +58,9 @@ def keyed_state(spark: SparkSession, prints_path: str, schema, batch_bytes: int
     """Runs the stream over the prints to its end; the state as a table
     (digest, group_size, best)."""
     at = shared_path(spark, "dedup-state")
-    setting = "spark.sql.streaming.stateStore.providerClass"
-    before = spark.conf.get(setting, None)
-    spark.conf.set(setting, PROVIDER)
+    before = {k: spark.conf.get(k, None) for k in STATE_SETTINGS}
+    for k, v in STATE_SETTINGS.items():
+        spark.conf.set(k, v)
     try:
         reader = spark.readStream.schema(schema)
         if batch_bytes:
@@ -73,10 +78,8 @@ def keyed_state(spark: SparkSession, prints_path: str, schema, batch_bytes: int
                                 F.col(f"value.{values[0]}").alias("group_size"),
                                 F.col(f"value.{values[1]}").alias("best"))
     finally:
-        if before is None:
-            spark.conf.unset(setting)
-        else:
-            spark.conf.set(setting, before)
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
     best = "struct<points:int,id:bigint,file:string,row:bigint>"
     return spark.createDataFrame([], f"digest string, group_size long, best {best}")
 
