@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tocsin.llm import byte_bpe, exact_dedup, mixing, token_counts, topk, url_filter
+from tocsin.llm import byte_bpe, exact_dedup, license_scan, mixing, quality, token_counts, topk, url_filter
 from tocsin.llm.common import documents
 from tocsin.sources.tables import read_table
 
@@ -38,6 +38,17 @@ def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.digests(byte_bpe.decode(encoded, ranks))
 
 
+def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Phrases and notices of licenses in every text."""
+    return license_scan.summary(license_scan.scan(documents(spark, sf_dir, "doc_id", "text")))
+
+
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text scored by the kernel ridge classifier."""
+    labels = read_table(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("y"))
+    return quality.classify(documents(spark, sf_dir, "doc_id", "text"), labels)
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens of every text by the compiled transducers."""
     import public_tokenizers
@@ -58,6 +69,8 @@ QUERIES = {
     "op2_exact_dedup": op2_exact_dedup,
     "op3_exact_topk": op3_exact_topk,
     "op4_byte_bpe": op4_byte_bpe,
+    "op6_license_scan": op6_license_scan,
+    "op7_quality": op7_quality,
     "op9_token_counts": op9_token_counts,
     "op10_mixing": op10_mixing,
 }
@@ -66,5 +79,6 @@ ORACLES = {
     "op1_url_filters": url_filter.ORACLE,
     "op2_exact_dedup": exact_dedup.ORACLE,
     "op3_exact_topk": topk.ORACLE,
+    "op6_license_scan": license_scan.oracle(),
     "op10_mixing": mixing.ORACLE,
 }
