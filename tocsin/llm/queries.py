@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tocsin.llm import byte_bpe, exact_dedup, license_scan, mixing, quality, token_counts, topk, url_filter
+from tocsin.llm import byte_bpe, exact_dedup, jaccard, license_scan, mixing, quality, token_counts, topk, url_filter
 from tocsin.llm.common import documents
 from tocsin.sources.tables import read_table
 
@@ -49,6 +49,11 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(documents(spark, sf_dir, "doc_id", "text"), labels)
 
 
+def op8_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate groups of all documents by parity sketches."""
+    return jaccard.near_duplicates(documents(spark, sf_dir, "doc_id", "text"))
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens of every text by the compiled transducers."""
     import public_tokenizers
@@ -71,6 +76,7 @@ QUERIES = {
     "op4_byte_bpe": op4_byte_bpe,
     "op6_license_scan": op6_license_scan,
     "op7_quality": op7_quality,
+    "op8_ngram_jaccard": op8_ngram_jaccard,
     "op9_token_counts": op9_token_counts,
     "op10_mixing": op10_mixing,
 }
