@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tocsin.llm import byte_bpe, exact_dedup, jaccard, license_scan, mixing, quality, token_counts, topk, url_filter
+from tocsin.llm import byte_bpe, exact_dedup, jaccard, license_scan, line_dedup, mixing, quality, token_counts, topk, url_filter
 from tocsin.llm.common import documents
 from tocsin.sources.tables import read_table
 
@@ -38,6 +38,11 @@ def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.digests(byte_bpe.decode(encoded, ranks))
 
 
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text without the lines whose template recurs in ten texts or more."""
+    return line_dedup.drop_recurring_lines(documents(spark, sf_dir, "doc_id", "text"))
+
+
 def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Phrases and notices of licenses in every text."""
     return license_scan.summary(license_scan.scan(documents(spark, sf_dir, "doc_id", "text")))
@@ -74,6 +79,7 @@ QUERIES = {
     "op2_exact_dedup": op2_exact_dedup,
     "op3_exact_topk": op3_exact_topk,
     "op4_byte_bpe": op4_byte_bpe,
+    "op5_line_dedup": op5_line_dedup,
     "op6_license_scan": op6_license_scan,
     "op7_quality": op7_quality,
     "op8_ngram_jaccard": op8_ngram_jaccard,
