@@ -43,11 +43,12 @@ def normalised(text: Column) -> Column:
     return F.regexp_replace(text, BLANK, "")
 
 
-def located(docs: DataFrame) -> DataFrame:
-    """``docs`` with its rows' place (_file, _row); a frame that isn't a scan of
-    files is written to the shared folder first."""
+def located(docs: DataFrame, *kept: Column) -> DataFrame:
+    """(doc_id, text, file, row, *kept) of ``docs``: its rows with their place.  A
+    frame that isn't a scan of files is written to the shared folder first."""
     def with_place(df: DataFrame) -> DataFrame:
-        return df.select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_row"))
+        return df.select("doc_id", "text", F.col("_metadata.file_path").alias("file"),
+                         F.col("_metadata.row_index").alias("row"), *kept)
     try:
         return with_place(docs)
     except AnalysisException:
@@ -101,11 +102,11 @@ def regrouped(docs: DataFrame, digest: Column, bad: DataFrame) -> DataFrame:
     return rows.join(best, ["digest", "norm"]).drop("norm")
 
 
-def prints_of(docs: DataFrame, digest: Column) -> list[Column]:
+def prints_of(docs: DataFrame, digest: Column) -> list[Column | str]:
     return [
         sha_of().alias("sha"), digest.alias("digest"), F.char_length(text_of()).alias("points"),
         F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST_ID)).alias("id"),
-        F.col("doc_id").cast("long").alias("doc_id"), F.col("_file").alias("file"), F.col("_row").alias("row")]
+        F.col("doc_id").cast("long").alias("doc_id"), "file", "row"]
 
 
 def sha_of() -> Column:
@@ -114,13 +115,17 @@ def sha_of() -> Column:
 
 def exact_dedup(docs: DataFrame, batch_bytes: int | None = 64 << 30, digest_chars: int = 64) -> DataFrame:
     """One row per row of ``docs`` (columns doc_id and text): doc_id, keep_id,
-    group_size, kept, text_sha256, and the locators (_file, _row) of the row and
-    of the row that stays (keep_file, keep_row).
+    group_size, kept, text_sha256, and the locators (file, row) of the row and of
+    the row that stays (keep_file, keep_row).
 
     ``batch_bytes`` bounds what a micro-batch reads; ``digest_chars`` cuts the
     key, so that tests can force collisions."""
+    return decided(located(docs), batch_bytes, digest_chars)
+
+
+def decided(docs: DataFrame, batch_bytes: int | None, digest_chars: int = 64) -> DataFrame:
+    """The decisions on located rows."""
     spark = docs.sparkSession
-    docs = located(docs)
     digest = F.substring(sha_of(), 1, digest_chars)
     path = shared_path(spark, "dedup-prints")
     docs.select(*prints_of(docs, digest)).write.parquet(path)
@@ -134,15 +139,17 @@ def exact_dedup(docs: DataFrame, batch_bytes: int | None = 64 << 30, digest_char
     return whole.select(
         "doc_id", F.when(F.col("best.id") != LAST_ID, F.col("best.id")).alias("keep_id"), "group_size",
         ((F.col("file") == F.col("best.file")) & (F.col("row") == F.col("best.row"))).alias("kept"),
-        F.col("sha").alias("text_sha256"), F.col("file").alias("_file"), F.col("row").alias("_row"),
+        F.col("sha").alias("text_sha256"), "file", "row",
         F.col("best.file").alias("keep_file"), F.col("best.row").alias("keep_row"))
 
 
 def deduplicated(docs: DataFrame, batch_bytes: int | None = 64 << 30) -> DataFrame:
     """The rows of ``docs`` that stay; columns unchanged."""
-    docs_at = located(docs)
-    dropped = exact_dedup(docs, batch_bytes).where("not kept").select("_file", "_row")
-    return docs_at.join(dropped, ["_file", "_row"], "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    own = docs.columns
+    rows = located(docs, F.struct(*[F.col(f"`{c}`") for c in own]).alias("all"))
+    dropped = decided(rows.drop("all"), batch_bytes).where("not kept").select("file", "row")
+    return (rows.join(dropped, ["file", "row"], "left_anti")
+            .select(*[F.col("all").getField(c).alias(c) for c in own]))
 
 
 ORACLE = r"""
