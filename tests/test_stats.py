@@ -22,7 +22,7 @@ def test_icc_reml_balanced_equals_anova():
     k, n = 8, 12
     b = rng.normal(0, 2, k)
     ys = [b[i] + rng.normal(0, 3, n) for i in range(k)]
-    comp = pd.DataFrame({"n": [n] * k, "s": [y.sum() for y in ys], "ss": [(y ** 2).sum() for y in ys]})
+    comp = pd.DataFrame({"n": [n] * k, "mean": [y.mean() for y in ys], "m2": [((y - y.mean()) ** 2).sum() for y in ys]})
     grand = np.concatenate(ys).mean()
     msb = n * sum((y.mean() - grand) ** 2 for y in ys) / (k - 1)
     msw = sum(((y - y.mean()) ** 2).sum() for y in ys) / (k * (n - 1))

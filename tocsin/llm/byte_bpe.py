@@ -64,7 +64,7 @@ class Pieces(dict):
             return struct.pack("<I", rank)
         get = self.ranks.get
         parts = merged([raw[i:i + 1] for i in range(len(raw))], lambda a, b: get(a + b))
-        return b"".join(struct.pack("<I", self.ranks[p]) for p in parts)
+        return struct.pack(f"<{len(parts)}I", *map(self.ranks.__getitem__, parts))
 
     def __missing__(self, piece: str) -> bytes:
         ids = self.encode(piece)

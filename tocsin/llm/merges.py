@@ -6,14 +6,37 @@ from collections.abc import Callable, Sequence
 from heapq import heapify, heappop, heappush
 
 
+SHORT = 48  # up to here a plain search for the lowest rank beats the heap
+NONE = 1 << 60
+
+
+def merged_short(symbols: Sequence, rank: Callable) -> list:
+    held = list(symbols)
+    ranks = [NONE if (r := rank(a, b)) is None else r for a, b in zip(held, held[1:])]
+    while ranks:
+        low = min(ranks)
+        if low == NONE:
+            break
+        i = ranks.index(low)
+        held[i] += held.pop(i + 1)
+        del ranks[i]
+        if i:
+            r = rank(held[i - 1], held[i])
+            ranks[i - 1] = NONE if r is None else r
+        if i < len(ranks):
+            r = rank(held[i], held[i + 1])
+            ranks[i] = NONE if r is None else r
+    return held
+
+
 def merged(symbols: Sequence, rank: Callable) -> list:
     """``symbols`` after merging neighbours, lowest rank first, then leftmost.
 
     ``rank(a, b)`` is the rank of joining two neighbours or None.  A heap and a
     linked list make this n log n, so a piece may be a whole long text."""
     n = len(symbols)
-    if n < 2:
-        return list(symbols)
+    if n <= SHORT:
+        return merged_short(symbols, rank)
     held = list(symbols)  # None where a symbol was merged into its left neighbour
     after = list(range(1, n + 1))
     before = list(range(-1, n - 1))

@@ -7,7 +7,7 @@ from typing import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tocsin.operators.rows import anti_filter, append_units, first_row_per_key, order_key
+from tocsin.operators.rows import anti_filter, append_units, first_row_per_key, null_safe_join, order_key
 
 
 def exclusions(patient_form: DataFrame, overrides: Sequence[str] = ()) -> DataFrame:
@@ -55,9 +55,10 @@ def nurse_dimension(nurse_log: DataFrame, allocation: DataFrame) -> DataFrame:
 
 def units_with_nurses(series: DataFrame, nurses: DataFrame, missing: DataFrame) -> DataFrame:
     """O20 + O24: first unit per id, right-joined to the nurse dimension so
-    nurses without patients stay, plus the missing units."""
+    nurses without patients stay, plus the missing units.  A missing nurse
+    matches a missing nurse."""
     firsts = first_unit_per_id(series).select("nurse", "id")
-    joined = firsts.join(nurses.select("nurse", "randomization"), "nurse", "right")
+    joined = null_safe_join(firsts, nurses.select("nurse", "randomization"), ["nurse"], "right")
     return append_units(joined.select("nurse", "id", "randomization"),
                         missing.select("nurse", "id", "randomization"), value_col=None)
 

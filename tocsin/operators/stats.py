@@ -1,7 +1,7 @@
 """Intra-cluster correlation, effects and results tables, residuals.
 
 Every statistic is reduced on the executors to a per-cluster table first
-(``count, sum, sum of squares``); only those ``K`` rows reach the driver,
+(``count, mean, squares around it``); only those ``K`` rows reach the driver,
 where the one-dimensional REML fit or the closed form runs.
 """
 
@@ -19,31 +19,30 @@ from pyspark.sql import types as T
 from tocsin.operators.glmm import Fit
 
 
-def icc_components(df: DataFrame, cluster: str = "nurse", outcome: str = "outcome", exact: bool = True) -> DataFrame:
-    """O39 input: per cluster ``n``, sum and sum of squares of the outcome.
+def icc_components(df: DataFrame, cluster: str = "nurse", outcome: str = "outcome") -> DataFrame:
+    """O39 input: per cluster ``n``, mean and the sum of squares around it.
 
-    ``exact`` keeps integer sums (order-independent) for integer outcomes.
+    Moments around the mean, not raw sums: nothing is truncated, overflows or
+    cancels, whatever the size of the outcome.
     """
-    y = F.col(outcome).cast("long" if exact else "double")
+    y = F.col(outcome).cast("double")
     keep = df.filter(F.col(cluster).isNotNull() & F.col(outcome).isNotNull())
     return keep.groupBy(F.col(cluster).alias("cluster")).agg(
-        F.count(F.lit(1)).alias("n"), F.sum(y).alias("s"), F.sum(y * y).alias("ss"))
+        F.count(F.lit(1)).alias("n"), F.avg(y).alias("mean"), (F.var_pop(y) * F.count(F.lit(1))).alias("m2"))
 
 
 def icc_reml(components: pd.DataFrame) -> float:
-    """Random-intercept ICC s2b / (s2b + s2w) by REML from per-cluster sums.
+    """Random-intercept ICC s2b / (s2b + s2w) by REML from per-cluster moments.
 
     The REML criterion is profiled over the variance ratio and maximised by
     golden-section search on a log scale (one dimension, K terms).
     """
     n = components["n"].to_numpy(float)
-    s = components["s"].to_numpy(float)
-    ss = components["ss"].to_numpy(float)
+    ybar = components["mean"].to_numpy(float)
     N = n.sum()
     if len(n) < 2 or N <= len(n):
         return float("nan")
-    ybar = s / n
-    within = ss - s * s / n  # sum of squares around the cluster means
+    within = components["m2"].to_numpy(float)  # sum of squares around the cluster means
 
     def crit(lam: float) -> float:
         w = n / (1.0 + n * lam)

@@ -332,7 +332,7 @@ _CHECK_VIEWS = dict(
     plan=_fx().SQL_CLOCK_PLAN,
     files="SELECT DISTINCT id FROM series",
     sync_n="SELECT id, CASE WHEN cap2 IS NOT NULL THEN 4 ELSE 2 END AS n FROM plan",
-    nurse_n="SELECT id, count(DISTINCT nurse) AS n FROM series GROUP BY id",
+    nurse_n="SELECT id, count(DISTINCT nurse) AS n FROM series WHERE nurse IS NOT NULL GROUP BY id",
     int_n="SELECT id, count(*) AS n FROM series WHERE event IS NOT NULL GROUP BY id",
     adv_n="SELECT id, count(*) AS n FROM adverse_form GROUP BY id",
     c="SELECT f.id, 'sync_rows' AS chk, coalesce(s.n, 0) AS observed, 2 AS expected FROM files f LEFT JOIN sync_n s USING (id) "
@@ -435,12 +435,25 @@ def _procedure_group(t: Trial) -> DataFrame:
 # -- O39-O46: statistics ------------------------------------------------------
 
 @register("icc_components", f"WITH d AS ({O.seconds_in_alarm_sql(O.CLEAR)}) " + (
-    "SELECT nurse AS cluster, count(*) AS n, CAST(sum(outcome) AS BIGINT) AS s, "
-    "CAST(sum(outcome * outcome) AS BIGINT) AS ss FROM d WHERE nurse IS NOT NULL GROUP BY nurse"))
+    "SELECT nurse AS cluster, count(*) AS n, round(avg(outcome), 6) AS mean, round(var_pop(outcome) * count(*), 3) AS m2 "
+    "FROM d WHERE nurse IS NOT NULL GROUP BY nurse"))
 def _icc_components(t: Trial) -> DataFrame:
-    """Per-cluster count, sum and sum of squares (total alarm duration)."""
+    """Per-cluster moments (total alarm duration), rounded."""
     from tocsin.operators.stats import icc_components
-    return icc_components(t.alarm_duration())
+    return _rounded_moments(icc_components(t.alarm_duration()))
+
+
+def _rounded_moments(df: DataFrame) -> DataFrame:
+    return df.select("cluster", "n", F.round("mean", 6).alias("mean"), F.round("m2", 3).alias("m2"))
+
+
+@register("icc_components_desat", f"WITH d AS ({O.desat_episode_sql()}) " + (
+    "SELECT nurse AS cluster, count(*) AS n, round(avg(outcome), 6) AS mean, round(var_pop(outcome) * count(*), 3) AS m2 "
+    "FROM d WHERE nurse IS NOT NULL GROUP BY nurse"))
+def _icc_components_desat(t: Trial) -> DataFrame:
+    """Per-cluster moments of a fractional outcome (desaturation area), rounded."""
+    from tocsin.operators.stats import icc_components
+    return _rounded_moments(icc_components(t.desaturation()))
 
 
 @register("icc_binary_counts", f"WITH a AS ({O.adverse_sql()}) " + (

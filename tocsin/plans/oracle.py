@@ -72,6 +72,7 @@ RIGHT_JOIN_UNITS = (
     "FROM per_id p RIGHT JOIN units u ON p.id = u.id AND p.randomization IS NOT DISTINCT FROM u.randomization "
     "AND p.nurse IS NOT DISTINCT FROM u.nurse"
 )
+RIGHT_JOIN_AREAS = RIGHT_JOIN_UNITS.replace("BIGINT", "DOUBLE")
 
 
 def seconds_in_alarm_sql(end_rule: str, with_missing: bool = True, walk: dict = WALK) -> str:
@@ -104,7 +105,7 @@ def desat_episode_sql() -> str:
                  sums="SELECT id, coalesce(sum(CASE WHEN spo2 < 90 THEN 90 - spo2 WHEN spo2 IS NOT NULL THEN 0 END), 0) "
                       "AS outcome FROM d GROUP BY id",
                  per_id="SELECT f.id, f.randomization, f.nurse, s.outcome FROM first_ep f JOIN sums s USING (id)",
-                 res=RIGHT_JOIN_UNITS) + "SELECT id, randomization, nurse, outcome FROM res"
+                 res=RIGHT_JOIN_AREAS) + "SELECT id, randomization, nurse, outcome FROM res"
 
 
 def desat_rows_sql() -> str:
@@ -112,7 +113,7 @@ def desat_rows_sql() -> str:
                  sums="SELECT id, coalesce(sum(CASE WHEN spo2 < 90 THEN 90 - spo2 ELSE 0 END), 0) AS outcome FROM ds GROUP BY id",
                  fr="SELECT id, randomization, nurse FROM ds QUALIFY row_number() OVER (PARTITION BY id ORDER BY datetime) = 1",
                  per_id="SELECT f.id, f.randomization, f.nurse, s.outcome FROM fr f JOIN sums s USING (id)",
-                 res=RIGHT_JOIN_UNITS) + "SELECT id, randomization, nurse, outcome FROM res"
+                 res=RIGHT_JOIN_AREAS) + "SELECT id, randomization, nurse, outcome FROM res"
 
 
 FIRST_PER_ID = "SELECT nurse, id, randomization FROM series QUALIFY row_number() OVER (PARTITION BY id ORDER BY datetime) = 1"
@@ -137,7 +138,7 @@ NURSE_UNITS = {
     "nurses": "SELECT DISTINCT s.nurse, a.randomization FROM (SELECT DISTINCT nurse FROM series) s "
               "LEFT JOIN allocation a ON s.nurse = a.id_cluster",
     "fr": "SELECT nurse, id FROM series QUALIFY row_number() OVER (PARTITION BY id ORDER BY datetime) = 1",
-    "nu": "SELECT n.nurse, fr.id, n.randomization FROM fr RIGHT JOIN nurses n ON fr.nurse = n.nurse "
+    "nu": "SELECT n.nurse, fr.id, n.randomization FROM fr RIGHT JOIN nurses n ON fr.nurse IS NOT DISTINCT FROM n.nurse "
           "UNION ALL SELECT nurse, id, randomization FROM missing",
 }
 

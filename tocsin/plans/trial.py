@@ -60,7 +60,10 @@ class Trial:
         from tocsin.sources.dataset import read_series
         from tocsin.sources.workbook import read_workbooks, sheet_frame, sheet_header
 
+        # The fixture's defaults hold for the fixture only: no patient is kept
+        # and no unit is added unless the caller names them.
         kw.setdefault("overrides", ())
+        kw.setdefault("missing_rows", ())
         cells = read_workbooks(spark, workbook_dir)
 
         def patient_form() -> DataFrame:

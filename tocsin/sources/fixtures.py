@@ -4,8 +4,9 @@ The trial data (device recordings, observer workbooks) are not public, so the
 jobs run on views that give the driver's tables the trial's shape:
 
 * ``series_raw``  -- device rows from ``events``: one id per user, hourly ticks,
-  several rows per tick, ten alarm flags, SpO2, observer events and a nurse
-  that changes mid-series for every tenth id (a hand-over);
+  several rows per tick, ten alarm flags, SpO2 in halves, observer events and a
+  nurse that changes mid-series for every tenth id (a hand-over) and is missing
+  for every seventeenth;
 * ``series``      -- one row per tick (first line kept) with the arm attached;
 * ``patient_form``-- the patient sheet from ``customer`` + ``part``;
 * ``adverse_form``-- the adverse-event sheet from ``customer``;
@@ -48,7 +49,7 @@ def _derive(raw: DataFrame) -> DataFrame:
         F.format_string("E%03d", uid).alias("id"),
         "line",
         "datetime",
-        (F.lit(100) - F.floor(v / 5).cast("int")).alias("spo2"),
+        (F.lit(100) - F.floor(v * 2 / 5) / 2).alias("spo2"),
         flag(v >= 55).alias("spo2Low"),
         F.lit(0).alias("spo2High"),
         flag(et == "error").alias("respRateLow"),
@@ -61,7 +62,8 @@ def _derive(raw: DataFrame) -> DataFrame:
         flag((et == "click") & (v > 120)).alias("etco2High"),
         F.when(k10 == 0, "Alarm silenced").when(k10 == 1, "Fix equipment")
         .when(k10 == 2, "Stimulation").when(k10 == 3, "Oxygen").alias("event"),
-        F.concat(F.lit("N"), F.lpad(((uid + handover) % 12 + 1).cast("string"), 2, "0")).alias("nurse"),
+        F.when(uid % 17 != 0, F.concat(F.lit("N"), F.lpad(((uid + handover) % 12 + 1).cast("string"), 2, "0")))
+        .alias("nurse"),
     )
 
 
@@ -123,7 +125,7 @@ SQL_MISSING_UNITS = literals.values_sql(literals.MISSING_UNITS, ["id", "nurse",
 
 SQL_SERIES_RAW = """
 SELECT printf('E%03d', user_id) AS id, event_id AS line,
-  date_trunc('hour', ts) AS datetime, 100 - CAST(floor(value / 5) AS INT) AS spo2,
+  date_trunc('hour', ts) AS datetime, 100 - floor(value * 2 / 5) / 2 AS spo2,
   CASE WHEN value >= 55 THEN 1 ELSE 0 END AS spo2Low, 0 AS spo2High,
   CASE WHEN event_type = 'error' THEN 1 ELSE 0 END AS respRateLow,
   CASE WHEN event_type = 'view' AND value > 120 THEN 1 ELSE 0 END AS respRateHigh,
@@ -135,8 +137,9 @@ SELECT printf('E%03d', user_id) AS id, event_id AS line,
   CASE WHEN event_type = 'click' AND value > 120 THEN 1 ELSE 0 END AS etco2High,
   CASE CAST(json_extract_string(props, '$.k') AS INT) % 10 WHEN 0 THEN 'Alarm silenced' WHEN 1 THEN 'Fix equipment'
        WHEN 2 THEN 'Stimulation' WHEN 3 THEN 'Oxygen' END AS event,
+  CASE WHEN user_id % 17 <> 0 THEN
   'N' || lpad(CAST((user_id + CASE WHEN user_id % 10 = 0 AND ts >= TIMESTAMP '2024-01-16 00:00:00'
-       THEN 1 ELSE 0 END) % 12 + 1 AS VARCHAR), 2, '0') AS nurse
+       THEN 1 ELSE 0 END) % 12 + 1 AS VARCHAR), 2, '0') END AS nurse
 FROM events
 """
 
@@ -240,7 +243,7 @@ def nurse_sheet(spark: SparkSession, sf_dir: str, s: DataFrame | None = None,
     from tocsin.functions.timeparse import format_mdy
 
     s = series(spark, sf_dir) if s is None else s
-    first = s.groupBy("id", "nurse").agg(F.min("datetime").alias("datetime"))
+    first = s.filter(F.col("nurse").isNotNull()).groupBy("id", "nurse").agg(F.min("datetime").alias("datetime"))
     first = first.join(clock_plan(s) if plan is None else plan, "id")
     t = F.timestamp_seconds(F.unix_seconds("datetime") + expected_diff())
     w = Window.partitionBy("id").orderBy("datetime")

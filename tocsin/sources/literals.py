@@ -7,6 +7,7 @@ they are the only inputs the jobs broadcast without a runtime size check.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 # Cluster allocation (nurse -> arm).
@@ -24,16 +25,6 @@ ALLOCATION = (
     ("N11", "IPI disabled"),
 )
 
-# Alarm settings table (display only; no query reads it).
-ALARM_SETTINGS = (
-    ("Pulse rate", "40 beats per minute", "120 beats per minute"),
-    ("Respiratory rate", "6 breaths per minute", "50 breaths per minute"),
-    ("End-tidal carbon dioxide", "8 mmHg", "60 mmHg"),
-    ("Oxygen saturation", "90%", ""),
-    ("No breath detected", "30 seconds", ""),
-    ("Integrated pulmonary index", "4", ""),
-)
-
 # Units monitored without a device recording; in the trial two patients of
 # nurse N09.  The fixture uses ids that cannot clash with derived ids.
 MISSING_UNITS = (
@@ -50,12 +41,6 @@ UNIT_SCHEMA = T.StructType([
     T.StructField("nurse", T.StringType(), True),
     T.StructField("randomization", T.StringType(), True),
 ])
-SETTINGS_SCHEMA = T.StructType([
-    T.StructField("parameter", T.StringType(), False),
-    T.StructField("lower_threshold", T.StringType(), False),
-    T.StructField("upper_threshold", T.StringType(), False),
-])
-
 
 def local_table(spark: SparkSession, rows, schema: T.StructType) -> DataFrame:
     """A literal table as a local relation (``VALUES``): planned on the driver,
@@ -63,6 +48,8 @@ def local_table(spark: SparkSession, rows, schema: T.StructType) -> DataFrame:
     def lit(v):
         return "NULL" if v is None else "'" + str(v).replace("'", "''") + "'"
     names = [f.name for f in schema.fields]
+    if not rows:
+        return spark.range(0).select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in schema.fields])
     body = ", ".join("(" + ", ".join(lit(v) for v in row) + ")" for row in rows)
     df = spark.sql(f"SELECT * FROM VALUES {body} AS t({', '.join(names)})")
     return df.select(*[df[f.name].cast(f.dataType).alias(f.name) for f in schema.fields])
@@ -76,10 +63,6 @@ def missing_units(spark: SparkSession, rows=MISSING_UNITS) -> DataFrame:
     return local_table(spark, rows, UNIT_SCHEMA)
 
 
-def alarm_settings(spark: SparkSession) -> DataFrame:
-    return local_table(spark, ALARM_SETTINGS, SETTINGS_SCHEMA)
-
-
 def values_sql(rows, columns) -> str:
     """The same literal table as a SQL ``VALUES`` relation (for oracles)."""
     body = ",".join("(" + ",".join(f"'{v}'" for v in row) + ")" for row in rows)
