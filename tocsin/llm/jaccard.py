@@ -14,12 +14,13 @@ into.  Linked sets have ``d <= (|A| + |B|) / 9`` and sizes within 5/4.
    left out where a set fills more than D parts (then an agreeing part is among
    those it fills); a set that doesn't also brings its empty ones.
 2. Keys are dealt into shards; sorting a shard shows which sets share a key.  In
-   each such bucket all are paired with its first set only.
+   each such bucket all are paired with one set only, its hub: the one with the
+   most shared keys, which in a group of near copies is the least edited.
 3. Pairs are cut by size and by the Hamming distance of bit sketches, which
    bounds d from below, then verified on the sets.  Links give components.
 4. Buckets whose sets lie in several components are gone through in full:
    pairs across components, in blocks, by sketches, then verified.  So no link
-   between different texts is lost, and no bucket of near copies is expanded.
+   between different components is lost, and no bucket of near copies is expanded.
 
 Sets with equal tokens are one node (64-bit hash of the set and its size), so
 copies are neither paired nor shuffled more than once a task.
@@ -33,10 +34,10 @@ only if it has none); extra columns are not read.
 from __future__ import annotations
 
 import math
+from bisect import bisect_right
 
 import numpy as np
 import pandas as pd
-import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -48,7 +49,9 @@ BAND_RATIO = 1.5
 SPARE_PARTS = 1.15
 SHARDS_PER_TASK = 4
 BLOCK = 2048  # sets of a bucket compared by one task with as many others
-CACHE = 1 << 20
+SKETCH_BITS = 4  # bits of a sketch for each token, then up to a power of two
+LEAST_BITS = 256
+PIECE = 1 << 18  # bytes of a text hashed at a time
 _U = np.uint64
 #: Odd multipliers: one for each place in a shingle, then one for the length.
 _PLACES = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93,
@@ -66,22 +69,73 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _U(31))
 
 
-class WordHashes(dict):
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= CACHE:
-            self.clear()
-        h = self[word] = xxhash.xxh3_64_intdigest(word)
-        return h
-
-
-def shingles(text: str, hashes: WordHashes, words: int = WORDS) -> np.ndarray:
-    """Sorted distinct hashes of the shingles.  As bytes, lower() is A-Z only and
-    split() is at blanks and tab to CR only."""
-    split = text.encode("utf-8", "surrogatepass").lower().split()
-    n = len(split)
+# Words are hashed by polynomials over random numbers for the bytes; with the
+# powers' inverses all words of a piece come from one running sum.
+_BYTES = np.random.default_rng(2024).integers(0, 2**64, 256, dtype=_U)
+_BASE = 0x5851F42D4C957F2D
+_BLANK = np.zeros(256, dtype=bool)
+_BLANK[[0x20, *range(0x09, 0x0E)]] = True
+
+
+def _powers(base: int, n: int) -> np.ndarray:
+    p = np.full(n, _U(base), dtype=_U)
+    p[0] = 1
+    return np.cumprod(p, dtype=_U)
+
+
+class Powers:
+    """Powers of the base and of its inverse, as long as the longest piece so far."""
+
+    def __init__(self) -> None:
+        self.up, self.down = self._of(PIECE)
+
+    @staticmethod
+    def _of(n: int) -> tuple[np.ndarray, np.ndarray]:
+        return _powers(_BASE, n), _powers(pow(_BASE, -1, 2**64), n)
+
+    def upto(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        if n > PIECE:  # one word longer than a piece: not kept
+            return self._of(n)
+        return self.up[:n], self.down[:n]
+
+
+def _piece_hashes(b: np.ndarray, powers: Powers) -> np.ndarray:
+    blank = np.ones(len(b) + 2, dtype=bool)
+    blank[1:-1] = _BLANK[b]
+    edges = np.flatnonzero(blank[1:] != blank[:-1])
+    starts, ends = edges[::2], edges[1::2]
+    up, down = powers.upto(len(b))
+    total = np.zeros(len(b) + 1, dtype=_U)
+    np.cumsum(_BYTES[b] * up, out=total[1:])
+    return mixed((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(_U) * _PLACES[0])
+
+
+def word_hashes(raw: bytes, powers: Powers) -> np.ndarray:
+    """A hash for each word; words stand between blanks and tab to CR."""
+    b = np.frombuffer(raw, dtype=np.uint8)
+    if len(b) <= PIECE:
+        return _piece_hashes(b, powers) if len(b) else np.zeros(0, dtype=_U)
+    out, at = [], 0
+    while at < len(b):
+        size = PIECE
+        while True:  # up to the last blank of the piece
+            piece = b[at:at + size]
+            blanks = np.flatnonzero(_BLANK[piece])
+            if at + size >= len(b) or len(blanks):
+                break
+            size *= 2
+        stop = len(b) if at + size >= len(b) else at + int(blanks[-1]) + 1
+        out.append(_piece_hashes(b[at:stop], powers))
+        at = stop
+    return np.concatenate(out)
+
+
+def shingles(text: str, powers: Powers, words: int = WORDS) -> np.ndarray:
+    """Sorted distinct hashes of the shingles.  On bytes lower() is A-Z only."""
+    h = word_hashes(text.encode("utf-8", "surrogatepass").lower(), powers)
+    n = len(h)
     if not n:
-        return np.zeros(0, dtype=_U)
-    h = np.fromiter(map(hashes.__getitem__, split), dtype=_U, count=n)
+        return h
     width = min(n, words)
     total = np.full(n - width + 1, length_mark(width), dtype=_U)
     for k in range(width):
@@ -96,7 +150,7 @@ def node_of(tokens: np.ndarray) -> int:
 
 
 def sketch_bits(size: int) -> int:
-    return max(64, 1 << (2 * size - 1).bit_length())
+    return max(LEAST_BITS, 1 << (SKETCH_BITS * size - 1).bit_length())
 
 
 def sketch(tokens: np.ndarray) -> bytes:
@@ -135,7 +189,7 @@ def bands_of(size: int) -> list[int]:
     below if a set there may be large enough."""
     if size < EDGES[0]:
         return []
-    own = int(np.searchsorted(EDGES, size, side="right")) - 1
+    own = bisect_right(EDGES, size) - 1
     return [own] + ([own - 1] if own and 4 * size <= 5 * (EDGES[own] - 1) else [])
 
 
@@ -147,19 +201,22 @@ def band_shape(band: int) -> tuple[int, int]:
 
 def part_keys(tokens: np.ndarray) -> np.ndarray:
     """The keys under which a set is found."""
-    out = []
+    values, places = [], []
+    upper = tokens >> _U(32)
     for band in bands_of(len(tokens)):
         most, parts = band_shape(band)
-        part = ((tokens >> _U(11)) % _U(parts)).astype(np.int64)
-        order = np.argsort(part, kind="stable")
-        filled, first = np.unique(part[order], return_index=True)
-        value = np.bitwise_xor.reduceat(tokens[order], first)
+        # by the tokens' upper halves: as the tokens are sorted, so are their parts
+        part = upper * _U(parts) >> _U(32)
+        first = np.flatnonzero(np.append(True, part[1:] != part[:-1]))
+        filled, value = part[first], np.bitwise_xor.reduceat(tokens, first)
         if len(filled) <= most:  # agreement may lie in empty parts only
-            empty = np.setdiff1d(np.arange(parts), filled)
+            empty = np.setdiff1d(np.arange(parts, dtype=_U), filled)
             filled, value = np.concatenate([filled, empty]), np.concatenate([value, np.zeros(len(empty), _U)])
-        place = (filled.astype(_U) << _U(6)) | _U(band)
-        out.append(mixed(value ^ mixed(place * _PLACES[0])))
-    return np.concatenate(out) if out else np.zeros(0, dtype=_U)
+        values.append(value)
+        places.append(filled << _U(6) | _U(band))
+    if not values:
+        return np.zeros(0, dtype=_U)
+    return mixed(np.concatenate(values) ^ mixed(np.concatenate(places) * _PLACES[0]))
 
 
 def signatures(docs: DataFrame) -> DataFrame:
@@ -167,9 +224,9 @@ def signatures(docs: DataFrame) -> DataFrame:
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def signed(batches):
-        hashes = WordHashes()
+        powers = Powers()
         for b in batches:
-            sets = [shingles(t, hashes) for t in b["text"]]
+            sets = [shingles(t, powers) for t in b["text"]]
             yield pd.DataFrame({"doc_id": b["doc_id"], "n_shingles": [len(s) for s in sets],
                                 "node": pd.array([node_of(s) if len(s) else None for s in sets], dtype="Int64"),
                                 "sketch": [sketch(s) if len(s) else None for s in sets]})
@@ -181,12 +238,12 @@ def signatures(docs: DataFrame) -> DataFrame:
 def sharded_keys(docs: DataFrame, shards: int, at_once: int = 2000) -> DataFrame:
     """(shard, keys, nodes): packed keys and the sets they belong to."""
     def dealt(batches):
-        hashes = WordHashes()
+        powers = Powers()
         for b in batches:
             for start in range(0, len(b), at_once):
                 seen, keys, nodes = set(), [], []
                 for text in b["text"].iloc[start:start + at_once]:
-                    tokens = shingles(text, hashes)
+                    tokens = shingles(text, powers)
                     if len(tokens) >= EDGES[0] and (node := node_of(tokens)) not in seen:
                         seen.add(node)
                         keys.append(part_keys(tokens))
@@ -250,9 +307,9 @@ def sketched(pairs: DataFrame, info: DataFrame) -> DataFrame:
 def token_sets(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     """(node, tokens) of ``nodes`` (node, doc_id: a document that has this set)."""
     def listed(batches):
-        hashes = WordHashes()
+        powers = Powers()
         for b in batches:
-            sets = [shingles(t, hashes) for t in b["text"]]
+            sets = [shingles(t, powers) for t in b["text"]]
             yield pd.DataFrame({"node": b["node"], "tokens": [s.tobytes() for s in sets],
                                 "own": [len(s) > 0 and node_of(s) == n for s, n in zip(sets, b["node"])]})
 
@@ -284,48 +341,85 @@ def verified(docs: DataFrame, pairs: DataFrame, info: DataFrame) -> DataFrame:
     return left.join(x, "a").join(y, "b").where(linked("x", "y")).select("a", "b")
 
 
+def hub_pairs(shared: DataFrame) -> DataFrame:
+    """(a, b): each set of a bucket with the bucket's hub."""
+    degree = (shared.select(F.explode("members").alias("node")).groupBy("node")
+              .agg(F.count(F.lit(1)).alias("degree")))
+    hubs = (shared.select("bucket", F.explode("members").alias("node")).join(degree, "node")
+            .groupBy("bucket").agg(F.max(F.struct(F.col("degree"), F.col("node"))).alias("hub"))
+            .select("bucket", F.col("hub.node").alias("hub")))
+    pairs = shared.join(hubs, "bucket").select("hub", F.explode("members").alias("node")).where("hub <> node")
+    return pairs.select(F.least("hub", "node").alias("a"), F.greatest("hub", "node").alias("b")).distinct()
+
+
 def across(shared: DataFrame, parts: DataFrame, info: DataFrame, block: int = BLOCK) -> DataFrame:
     """Pairs in one bucket but in different components that their sketches allow.
 
-    A bucket's sets are dealt into blocks; each two blocks are one task's."""
-    rows = shared.select("bucket", F.ceil(F.size("members") / block).cast("long").alias("blocks"),
-                         F.explode("members").alias("node"))
-    rows = (rows.join(parts, "node", "left")
-            .select("bucket", "blocks", "node", F.coalesce("component", "node").alias("component")))
-    several = (rows.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high"))
+    A bucket's sets are dealt into blocks; each two blocks are one cell, worked
+    on in one task."""
+    rows = shared.select("bucket", F.explode("members").alias("node")).join(parts, "node", "left")
+    several = (rows.groupBy("bucket")
+               .agg(F.min(F.coalesce("component", "node")).alias("low"), F.max(F.coalesce("component", "node")).alias("high"))
                .where("low <> high").select("bucket"))
-    rows = (rows.join(several, "bucket", "left_semi")
-            .join(info.select("node", "n_shingles", "sketch"), "node")
+    held = shared.join(several, "bucket", "left_semi").dropDuplicates(["bucket"])
+    known = (info.join(parts, "node", "left")
+             .select("node", "n_shingles", "sketch", F.coalesce("component", "node").alias("component")))
+    rows = (held.select("bucket", F.ceil(F.size("members") / block).cast("long").alias("blocks"),
+                        F.explode("members").alias("node"))
+            .join(known, "node")
             .withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")))
             .withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
             .select("bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own",
-                    "node", "component", "n_shingles", "sketch"))
-
-    def compared(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.drop_duplicates("node").reset_index(drop=True)
-        size, comp, node = (part[c].to_numpy() for c in ("n_shingles", "component", "node"))
-        i, j, own = int(part["i"].iloc[0]), int(part["j"].iloc[0]), part["own"].to_numpy()
-        sketches = [np.frombuffer(s, dtype=_U) for s in part["sketch"]]
-        least = min(map(len, sketches))
-        small = np.stack([folded(s, least) for s in sketches])
-        out = []
-        for k in range(len(part)):
-            # pairs inside a block are the task's with i = j
-            with_k = (own != own[k]) if i != j else np.ones(len(part), dtype=bool)
-            with_k &= (np.arange(len(part)) > k) & (comp != comp[k])
-            with_k &= (4 * size <= 5 * size[k]) & (4 * size[k] <= 5 * size)
-            at = np.flatnonzero(with_k)
-            if not len(at):
-                continue
-            at = at[np.bitwise_count(small[at] ^ small[k]).sum(axis=1) <= (size[at] + size[k]) // 9]
-            for m in at:
-                n = min(len(sketches[k]), len(sketches[m]))
-                d = np.bitwise_count(folded(sketches[k], n) ^ folded(sketches[m], n)).sum()
-                if d <= (size[k] + size[m]) // 9:
-                    out.append((min(node[k], node[m]), max(node[k], node[m])))
-        return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
-
-    return rows.groupBy("bucket", "i", "j").applyInPandas(compared, "a long, b long").distinct()
+                    "node", "component", "n_shingles", "sketch")
+            .repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j"))
+
+    def compared(batches):
+        rest = None
+        for b in batches:
+            if rest is not None:
+                b = pd.concat([rest, b], ignore_index=True)
+            # the last cell may go on in the next batch
+            last = (b["bucket"] == b["bucket"].iloc[-1]) & (b["i"] == b["i"].iloc[-1]) & (b["j"] == b["j"].iloc[-1])
+            rest = b[last]
+            yield cell_pairs(b[~last])
+        if rest is not None:
+            yield cell_pairs(rest)
+
+    return rows.mapInPandas(compared, "a long, b long").distinct()
+
+
+def cell_pairs(cells: pd.DataFrame) -> pd.DataFrame:
+    """Pairs of each cell (bucket, i, j) across components, cut by size, by the
+    sketches folded to ``LEAST_BITS``, then by whole sketches.  Rows come sorted."""
+    n = len(cells)
+    cells = cells.reset_index(drop=True)
+    bucket, i, j, own, node, comp, size = (cells[c].to_numpy() for c in (
+        "bucket", "i", "j", "own", "node", "component", "n_shingles"))
+    sketches = [np.frombuffer(x, dtype=_U) for x in cells["sketch"]]
+    small = np.stack([folded(x, LEAST_BITS // 64) for x in sketches]) if n else np.zeros((0, 1), _U)
+    new = np.ones(n, dtype=bool)
+    new[1:] = (bucket[1:] != bucket[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])
+    first = np.flatnonzero(new)
+    end = np.repeat(np.append(first[1:], n), np.diff(np.append(first, n))) if n else np.zeros(0, int)
+    found = set()
+    x = np.arange(n)
+    apart = 1
+    while True:
+        x = x[x + apart < end[x]]  # rows with a row of their cell ``apart`` places on
+        if not len(x):
+            break
+        y = x + apart
+        ok = (comp[x] != comp[y]) & (4 * size[x] <= 5 * size[y]) & (4 * size[y] <= 5 * size[x])
+        ok &= (i[x] == j[x]) | (own[x] != own[y])  # pairs inside a block are the cell's with i = j
+        u, v = x[ok], y[ok]
+        most = (size[u] + size[v]) // 9
+        ok = np.bitwise_count(small[u] ^ small[v]).sum(axis=1) <= most
+        for a, b, d in zip(u[ok], v[ok], most[ok]):
+            w = min(len(sketches[a]), len(sketches[b]))
+            if np.bitwise_count(folded(sketches[a], w) ^ folded(sketches[b], w)).sum() <= d:
+                found.add((min(node[a], node[b]), max(node[a], node[b])))
+        apart += 1
+    return pd.DataFrame(sorted(found), columns=["a", "b"], dtype="int64")
 
 
 def near_duplicates(docs: DataFrame, block: int = BLOCK) -> DataFrame:
@@ -336,10 +430,7 @@ def near_duplicates(docs: DataFrame, block: int = BLOCK) -> DataFrame:
                        F.max("sketch").alias("sketch")), "jaccard-nodes")
     shards = SHARDS_PER_TASK * task_count(docs.sparkSession)
     shared = stored(buckets(sharded_keys(docs, shards)), "jaccard-buckets")
-    first = F.element_at("members", 1)
-    stars = (shared.select(first.alias("a"), F.explode(F.slice("members", 2, F.size("members") - 1)).alias("b"))
-             .distinct())
-    near = stored(verified(docs, stars, info), "jaccard-links")
+    near = stored(verified(docs, hub_pairs(shared), info), "jaccard-links")
     parts = stored(components(near), "jaccard-components")
     # Two sets of a bucket were compared; of more, those in several components are now.
     rest = stored(across(shared.where(F.size("members") > 2), parts, info, block), "jaccard-across")
