@@ -25,6 +25,7 @@ import base64
 import bisect
 import struct
 from functools import partial
+from itertools import accumulate
 
 import numpy as np
 import pandas as pd
@@ -35,8 +36,8 @@ from pyspark.sql import functions as F
 from tocsin.llm.chunks import KEY, chunked, keyed
 from tocsin.llm.merges import merged
 
-CHUNK = 16_384
-OVERLAP = 512
+CHUNK = 65_536
+OVERLAP = 1_024
 #: Characters behind a match that can still change it: a blank run's lookahead
 #: and the two letters of a contraction.
 LOOKAHEAD = 3
@@ -76,7 +77,8 @@ class Pieces(dict):
 
 
 def boundaries(pattern, text: str) -> list[int]:
-    return [m.end() for m in pattern.finditer(text)]
+    """Ends of the pre-tokens; they leave no gaps."""
+    return list(accumulate(map(len, pattern.findall(text))))
 
 
 def stitched(pattern, chunks: list[str], ends: list[np.ndarray], size: int) -> tuple[str, list[int]]:
@@ -155,7 +157,7 @@ def decode(encoded: DataFrame, ranks_path: str) -> DataFrame:
     """``encoded`` with the column ``decoded``: the bytes of its ids."""
     ranks = _encoder(encoded.sparkSession, ranks_path)
 
-    def joined(ids: bytes, vocabulary: dict[int, bytes]) -> bytes:
+    def joined(ids: bytes, vocabulary: list[bytes | None]) -> bytes:
         return b"".join(map(vocabulary.__getitem__, np.frombuffer(ids, dtype="<u4").tolist()))
 
     @F.pandas_udf("binary")
@@ -172,13 +174,16 @@ def digests(decoded: DataFrame) -> DataFrame:
                           F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
-_TABLES: dict[int, dict[int, bytes]] = {}
+_TABLES: dict[tuple[int, int], list[bytes | None]] = {}
 
 
-def decode_table(ranks) -> dict[int, bytes]:
-    """The bytes of each id, made once in each worker."""
+def decode_table(ranks) -> list[bytes | None]:
+    """The bytes of each id, made once in each worker; None where no token has it."""
     key = len(ranks.value), id(ranks.value)
     if key not in _TABLES:
         _TABLES.clear()
-        _TABLES[key] = {r: b for b, r in ranks.value.items()}
+        table: list[bytes | None] = [None] * (max(ranks.value.values()) + 1)
+        for piece, rank in ranks.value.items():
+            table[rank] = piece
+        _TABLES[key] = table
     return _TABLES[key]
