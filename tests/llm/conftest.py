@@ -1,9 +1,16 @@
 """Small tables for the training-data operators."""
 import itertools
 
+import os
+import sys
+
 import pytest
 
+sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
+
 _N = itertools.count()
+SF_SMALL = "/root/testdata/sf0.001"
+SF_CHECK = "/root/testdata/sf0.01"
 
 
 @pytest.fixture

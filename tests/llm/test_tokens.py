@@ -35,10 +35,10 @@ def test_stitching_is_exact():
         assert stitched(split, chunks, ends, size) == (t, boundaries(split, t))
 
 
-@pytest.mark.parametrize("chunk,overlap", [(16_384, 512), (12, 5)])
+@pytest.mark.parametrize("chunk,overlap", [(16_384, 512), (65_536, 1_024), (12, 5)])
 def test_encode_and_decode(docs, chunk, overlap):
     library = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=load_ranks(RANKS), special_tokens={})
-    own = texts(60, 3) + [None, "", " " * 40_000, "x" * 40_000, "word " * 8_000, "same text twice " * 3, "same text twice " * 3]
+    own = texts(60, 3) + [None, "", " " * 70_000, "x" * 70_000, "word " * 8_000, "same text twice " * 3, "same text twice " * 3]
     ids = [*range(len(own) - 2), 777, 777]  # a repeated row
     got = byte_bpe.digests(byte_bpe.decode(byte_bpe.encode(docs(own, ids=ids), RANKS, PATTERN, chunk, overlap), RANKS))
     want = []
