@@ -121,15 +121,110 @@ def test_negative_binomial_recovers_simulated_parameters(spark):
     assert abs(math.exp(fit.theta[2]) - phi) < 0.5
 
 
-def test_residuals_both_kinds_are_shares(spark):
-    from tocsin.operators.glmm import Fit
-    from tocsin.operators.stats import simulated_residuals
-    fit = Fit("negative_binomial", ["b0", "b1", "log_phi", "l11"], np.array([2.0, 0.3, 1.0, -1.0]),
-              np.eye(4) * 0.01, 0.0, 1, cluster_means={"N1": [0.4], "N2": [-0.4]})
-    rows = [(f"E{i}", "N1" if i % 2 else "N2", "IPI enabled" if i % 3 else "IPI disabled", float(i % 9)) for i in range(40)]
-    units = spark.createDataFrame(rows, "id string, nurse string, randomization string, outcome double")
+def _units(spark, n=40):
+    rows = [(f"E{i}", "N1" if i % 2 else "N2", "IPI enabled" if i % 3 else "IPI disabled", float(i % 9)) for i in range(n)]
+    return spark.createDataFrame(rows, "id string, nurse string, randomization string, outcome double")
+
+
+def _fit(spark, family, theta, **kw):
+    from tocsin.operators.glmm import PARAMS, Fit
+    centres = spark.createDataFrame([("N1", 0.4, 0.1), ("N2", -0.4, 0.0)], "cluster string, m1 double, m2 double")
+    n = len(theta)
+    return Fit(family, PARAMS[family], np.array(theta), np.eye(n) * 0.01, 0.0, 1, centres=centres, **kw)
+
+
+def test_residuals_lie_in_the_fitted_distribution(spark):
+    """Against probabilities added up in plain Python."""
+    from tocsin.operators.stats import quantile_residuals
+    b0, b1, log_phi, g0, g1 = 2.0, 0.3, 1.0, -0.5, 0.2
+    phi = math.exp(log_phi)
+
+    def nb(k, mu):
+        return math.exp(math.lgamma(k + phi) - math.lgamma(phi) - math.lgamma(k + 1)
+                        + phi * math.log(phi / (phi + mu)) + k * math.log(mu / (phi + mu)))
+
     for kind in ("subject_specific", "mean_subject"):
-        res = [r["residual"] for r in simulated_residuals(spark, units, fit, nsim=200, kind=kind).collect()]
-        assert len(res) == 40 and all(0.0 <= r <= 1.0 for r in res)
-    again = simulated_residuals(spark, units, fit, nsim=200).orderBy("id").collect()
-    assert again == simulated_residuals(spark, units, fit, nsim=200).orderBy("id").collect()  # seeded per unit
+        for family, theta in (("negative_binomial", [b0, b1, log_phi, -1.0]),
+                              ("zi_negative_binomial", [b0, b1, g0, g1, log_phi, -1.0, 0.0, -1.0])):
+            fit = _fit(spark, family, theta)
+            res = quantile_residuals(_units(spark), fit, kind=kind).collect()
+            assert len(res) == 40
+            for r in res:
+                x = float(r["randomization"] == "IPI enabled")
+                m1, m2 = {"N1": (0.4, 0.1), "N2": (-0.4, 0.0)}[r["nurse"]] if kind == "subject_specific" else (0, 0)
+                mu, y = math.exp(b0 + b1 * x + m1), int(r["outcome"])
+                zero = 1 / (1 + math.exp(-(g0 + g1 * x + m2))) if "zi" in family else 0.0
+                below = sum((1 - zero) * nb(k, mu) for k in range(y)) + (zero if y else 0.0)
+                at = (1 - zero) * nb(y, mu) + (0.0 if y else zero)
+                assert below - 1e-9 <= r["residual"] <= below + at + 1e-9
+            again = quantile_residuals(_units(spark), fit, kind=kind).collect()
+            assert sorted(map(tuple, again)) == sorted(map(tuple, res))
+
+
+def test_residuals_differ_between_the_units_of_a_patient(spark):
+    from tocsin.operators.stats import quantile_residuals
+    rows = [("E1", "N1", "IPI enabled", 3.0), ("E1", "N2", "IPI enabled", 3.0), ("E1", None, "IPI enabled", 3.0)]
+    units = spark.createDataFrame(rows, "id string, nurse string, randomization string, outcome double")
+    fit = _fit(spark, "negative_binomial", [2.0, 0.3, 1.0, -1.0])
+    res = [r["residual"] for r in quantile_residuals(units, fit, kind="mean_subject").collect()]
+    assert len(set(res)) == 3
+
+
+def test_hurdle_residuals(spark):
+    from statistics import NormalDist
+    from tocsin.operators.stats import quantile_residuals
+    fit = _fit(spark, "hurdle_lognormal", [1.0, 0.2, -0.5, 0.2, -0.3, -1.0, 0.0, -1.0])
+    for r in quantile_residuals(_units(spark), fit, kind="mean_subject").collect():
+        x = float(r["randomization"] == "IPI enabled")
+        zero = 1 / (1 + math.exp(0.5 - 0.2 * x))
+        if r["outcome"] == 0:
+            assert 0 <= r["residual"] <= zero
+        else:
+            z = (math.log(r["outcome"]) - 1.0 - 0.2 * x) / math.exp(-0.3)
+            assert abs(r["residual"] - (zero + (1 - zero) * NormalDist().cdf(z))) < 1e-6
+
+
+def test_negative_variance_gives_no_interval(spark):
+    from tocsin.operators.glmm import Fit
+    fit = Fit("binomial", ["b0", "b1", "l11"], np.array([0.1, 0.5, -1.0]), np.diag([0.01, -0.02, 0.1]), 0.0, 1, False)
+    row = fit.coef_table().iloc[1]
+    assert math.isnan(row.lower) and math.isnan(row.upper) and math.isnan(row.p_value) and not row.converged
+
+
+def test_zero_inflated_and_hurdle_recover_simulated_parameters(spark):
+    rng = np.random.default_rng(11)
+    b0, b1, g0, g1, s1, s2 = 2.0, 0.5, -0.7, 0.6, 0.3, 0.4
+    for family, shape in (("zi_negative_binomial", math.log(2.0)), ("hurdle_lognormal", math.log(0.6))):
+        rows = []
+        for k in range(16):
+            u, v, x = rng.normal(0, s1), rng.normal(0, s2), k % 2
+            zero = rng.random(120) < 1 / (1 + np.exp(-(g0 + g1 * x + v)))
+            mu = b0 + b1 * x + u
+            if family == "hurdle_lognormal":
+                y = np.round(np.exp(mu + math.exp(shape) * rng.standard_normal(120)), 2) + 0.01
+            else:
+                y = rng.poisson(rng.gamma(math.exp(shape), np.exp(mu) / math.exp(shape), size=120))
+            rows += [(f"N{k:02d}", x, float(a)) for a in np.where(zero, 0.0, y)]
+        units = spark.createDataFrame(rows, "cluster string, x int, y double")
+        cells = units.groupBy("cluster", "x", "y").agg(F.count(F.lit(1)).cast("double").alias("c"))
+        fit = ClusteredModel(spark, cells, family, n_nodes=5).fit(outer=2)
+        assert fit.converged
+        se = np.sqrt(np.diag(fit.cov))
+        for name, true in (("b0", b0), ("b1", b1), ("g0", g0), ("g1", g1)):
+            i = fit.names.index(name)
+            assert abs(fit.theta[i] - true) < 3.5 * se[i] + 0.05, (family, name, fit.theta[i], true, se[i])
+
+
+def test_shape_is_capped_on_request_only(spark):
+    rng = np.random.default_rng(5)
+    rows = [(f"N{k}", k % 2, float(y)) for k in range(6) for y in rng.poisson(4.0, size=60)]
+    cells = spark.createDataFrame(rows, "cluster string, x int, y double").groupBy("cluster", "x", "y").agg(
+        F.count(F.lit(1)).cast("double").alias("c"))
+    model = ClusteredModel(spark, cells, "negative_binomial")
+    at = {"b0": 1.4, "b1": 0.0, "l11": -2.0}
+    # towards the Poisson limit the likelihood settles and keeps its digits
+    values = [model.loglik(log_phi=v, **at) for v in (9.9, 10.1, 20.0, 40.0)]
+    assert abs(values[0] - values[1]) < 0.01 and abs(values[2] - values[3]) < 1e-4
+    assert all(math.isfinite(v) for v in values)
+    capped = ClusteredModel(spark, cells, "negative_binomial", max_log_phi=2.0)
+    assert capped.loglik(log_phi=9.0, **at) == capped.loglik(log_phi=2.0, **at) != model.loglik(log_phi=9.0, **at)

@@ -4,18 +4,19 @@ The design is intercept + arm, so the outcome table collapses losslessly to
 *cells* ``(cluster, x, y, c)``: ``c`` units of arm ``x`` in ``cluster`` with
 outcome ``y``.  The marginal likelihood of cluster ``k`` is an integral over
 its random effects, approximated by adaptive Gauss-Hermite quadrature:
-nodes are centred and scaled per cluster on the current posterior of the
-random effects.
-
-One evaluation is one Spark job: the cells are joined with the node table of
-their cluster (``K x Q`` rows, size-checked before it is broadcast), a batch
-of parameter vectors is exploded onto every row, the per-row log density is a
-Column expression (Lanczos ``lgamma`` for the negative binomial), and
-``groupBy(theta, cluster, node).sum`` returns ``T x K x Q`` numbers to the
-driver, which adds the random-effect prior and takes log-sum-exp over the
-nodes.  Gradients (central differences) and the Hessian (for Wald
-intervals) are batches of parameter vectors in a single job each.  No row of
-the data reaches the driver.
+nodes are centred on the mode of each cluster's integrand and scaled by its
+curvature there, found by Newton steps over the clusters.
+
+One evaluation is one Spark job over the cells joined with their cluster's
+node centres: a batch of parameter vectors and the quadrature nodes are
+exploded onto every row (both are short literal arrays, so every evaluation
+runs the same generated code), the per-row log density is a Column expression
+(Lanczos ``lgamma`` for the negative binomial), densities are summed per
+(theta, cluster, node), log-sum-exp runs over a cluster's nodes, and the sum
+over the clusters returns one number per parameter vector.  Gradients (central
+differences) and the Hessian (for Wald intervals) are batches of parameter
+vectors in a single job each.  Parameters go in, T numbers come out: neither
+rows, nor clusters, nor nodes pass the driver.
 
 Families: ``negative_binomial`` (one random intercept),
 ``zi_negative_binomial`` and ``hurdle_lognormal`` (random intercepts in the
@@ -25,15 +26,15 @@ count and zero parts, correlated unless ``diagonal``), ``binomial`` (logit).
 from __future__ import annotations
 
 import math
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from tocsin.functions.special import HALF_LOG_2PI, lgamma, log_sum_exp2, softplus
+from tocsin.session import materialize
 
 PARAMS = {
     "negative_binomial": ["b0", "b1", "log_phi", "l11"],
@@ -41,13 +42,13 @@ PARAMS = {
     "hurdle_lognormal": ["b0", "b1", "g0", "g1", "log_sigma", "l11", "l21", "l22"],
     "binomial": ["b0", "b1", "l11"],
 }
-# Fixed value: cap on the negative binomial shape (log scale); beyond it the
-# density is numerically Poisson and log-gamma differences lose all digits.
-MAX_LOG_PHI = 15.0
-# Values derived from the parameters on the driver and shipped with them.
-_THETA_EXTRA = ("lg_phi",)
-# Largest node table broadcast to the executors (rows = clusters x nodes).
-MAX_BROADCAST_NODES = 200_000
+# Above this shape (log scale) log Gamma(y + phi) - log Gamma(phi) is taken from
+# Stirling's series, where the plain difference would lose its digits.
+STIRLING_LOG_PHI = 10.0
+QUADRATURE_NODES = 11  # per dimension
+# Newton steps to the modes: step of the difference stencil, longest move, most
+# steps, and the move at which all clusters have arrived.
+STENCIL, LONGEST_MOVE, MOST_MOVES, ARRIVED = 1e-2, 1.0, 30, 1e-3
 
 
 def collapse_cells(df: DataFrame, cluster: str = "nurse", arm: str = "randomization", outcome: str = "outcome",
@@ -72,19 +73,24 @@ def with_constants(cells: DataFrame) -> DataFrame:
     return cells.withColumn("lgy1", lgamma(F.col("y") + F.lit(1.0)))
 
 
-def _loglik(family: str, th: Column, x: Column, y: Column, z1: Column, z2: Column,
-            lgy1: Column | None = None) -> Column:
+def _lgamma_gain(y: Column, phi: Column, log_phi: Column, lg_phi: Column) -> Column:
+    """log Gamma(y + phi) - log Gamma(phi)."""
+    series = ((phi + y - F.lit(0.5)) * F.log1p(y / phi) + y * log_phi - y
+              + (F.lit(1.0) / (phi + y) - F.lit(1.0) / phi) / F.lit(12.0))
+    return F.when(log_phi > F.lit(STIRLING_LOG_PHI), series).otherwise(lgamma(y + phi) - lg_phi)
+
+
+def _loglik(family: str, th: Column, x: Column, y: Column, z1: Column, z2: Column, lgy1: Column) -> Column:
     eta = th["b0"] + th["b1"] * x + z1
     if family == "binomial":
         return y * eta - softplus(eta)
     zeta = th["g0"] + th["g1"] * x + z2 if family != "negative_binomial" else None
     if family in ("negative_binomial", "zi_negative_binomial"):
-        log_phi = F.least(th["log_phi"], F.lit(MAX_LOG_PHI))
-        phi = F.exp(log_phi)
-        lmp = log_sum_exp2(log_phi, eta)  # log(phi + mu)
-        lnb0 = phi * (log_phi - lmp)
-        lg_phi = th["lg_phi"] if "lg_phi" in _THETA_EXTRA else lgamma(phi)
-        lnb = lgamma(y + phi) - lg_phi - (lgy1 if lgy1 is not None else lgamma(y + F.lit(1.0))) + lnb0 + y * (eta - lmp)
+        log_phi = th["log_phi"]
+        phi = F.exp(F.greatest(log_phi, F.lit(-300.0)))  # never 0: it is divided by
+        rest = softplus(eta - log_phi)  # log((phi + mu) / phi)
+        lnb0 = -phi * rest
+        lnb = _lgamma_gain(y, phi, log_phi, th["lg_phi"]) - lgy1 + lnb0 + y * (eta - log_phi - rest)
         if family == "negative_binomial":
             return lnb
         log_pi, log_1mpi = -softplus(-zeta), -softplus(zeta)
@@ -92,31 +98,25 @@ def _loglik(family: str, th: Column, x: Column, y: Column, z1: Column, z2: Colum
     if family == "hurdle_lognormal":
         log_sigma = th["log_sigma"]
         ly = F.log(F.when(y > 0, y))
-        lln = -ly - log_sigma - F.lit(HALF_LOG_2PI) - (ly - eta) ** 2 / (F.lit(2.0) * F.exp(2.0 * log_sigma))
+        lln = -ly - log_sigma - F.lit(HALF_LOG_2PI) - (ly - eta) ** 2 * F.exp(-2.0 * log_sigma) / 2
         log_pi, log_1mpi = -softplus(-zeta), -softplus(zeta)
         return F.when(y == 0, log_pi).otherwise(log_1mpi + lln)
     raise ValueError(f"unknown family {family!r}")
 
 
-def _lgamma_exp(v: float) -> float:
-    """log Gamma(exp(v)); +inf where it overflows (the step is then rejected)."""
+def _exp(v: float) -> float:
+    """exp, never 0: it is divided by, and a wild step of the search must not fail."""
+    return math.exp(max(v, -300.0)) if v < 700 else float("inf")
+
+
+def _lgamma(v: float) -> float:
+    """log Gamma; +inf where it overflows (the step is then rejected)."""
     try:
-        return math.lgamma(math.exp(min(v, MAX_LOG_PHI)))
+        return math.lgamma(v)
     except (OverflowError, ValueError):
         return float("inf")
 
 
-def _sd(v: float) -> float:
-    # Log standard deviations are kept in a range where the covariance stays invertible.
-    return math.exp(min(max(v, -12.0), 8.0))
-
-
-def _chol(theta: dict, dim: int) -> np.ndarray:
-    if dim == 1:
-        return np.array([[_sd(theta["l11"])]])
-    return np.array([[_sd(theta["l11"]), 0.0], [theta.get("l21", 0.0), _sd(theta["l22"])]])
-
-
 @dataclass
 class Fit:
     family: str
@@ -125,18 +125,23 @@ class Fit:
     cov: np.ndarray
     loglik: float
     iterations: int
-    cluster_means: dict = field(default_factory=dict)
+    converged: bool = True
+    centres: DataFrame | None = None  # cluster, m1, m2: the random effects' posterior means
 
     def coef_table(self) -> pd.DataFrame:
-        se = np.sqrt(np.clip(np.diag(self.cov), 0, None))
+        """Estimates with Wald intervals; a variance that is not positive gives NaN
+        bounds, and ``converged`` says whether the fit ended at an optimum."""
+        var = np.diag(self.cov)
+        se = np.sqrt(np.where(var > 0, var, np.nan))
         rows = []
         for i, name in enumerate(self.names):
             est = float(self.theta[i])
-            z = est / se[i] if se[i] > 0 else float("nan")
+            z = est / se[i]
             p = math.erfc(abs(z) / math.sqrt(2.0)) if not math.isnan(z) else float("nan")
             rows.append((_part(name), _term(name), est, float(se[i]), z, p, est - 1.959963984540054 * se[i],
-                         est + 1.959963984540054 * se[i]))
-        return pd.DataFrame(rows, columns=["part", "term", "estimate", "std_error", "z_value", "p_value", "lower", "upper"])
+                         est + 1.959963984540054 * se[i], self.converged))
+        return pd.DataFrame(rows, columns=["part", "term", "estimate", "std_error", "z_value", "p_value", "lower",
+                                           "upper", "converged"])
 
 
 def _part(name: str) -> str:
@@ -149,113 +154,118 @@ def _term(name: str) -> str:
 
 
 class ClusteredModel:
-    """Fit one family on a cells table (see :func:`collapse_cells`)."""
+    """Fit one family on a cells table (see :func:`collapse_cells`).
+
+    ``max_log_phi`` caps the negative binomial shape (off by default)."""
 
-    def __init__(self, spark: SparkSession, cells: DataFrame, family: str, n_nodes: int | None = None,
-                 diagonal: bool = False):
-        self.spark, self.family = spark, family
+    def __init__(self, spark: SparkSession, cells: DataFrame, family: str, n_nodes: int = QUADRATURE_NODES,
+                 diagonal: bool = False, max_log_phi: float | None = None):
+        self.spark, self.family, self.max_log_phi = spark, family, max_log_phi
         self.names = [p for p in PARAMS[family] if not (diagonal and p == "l21")]
         self.dim = 2 if "l22" in self.names else 1
-        q = n_nodes or (11 if self.dim == 1 else 7)
-        x, w = np.polynomial.hermite.hermgauss(q)
+        x, w = np.polynomial.hermite.hermgauss(n_nodes)
+        # The log weight of a node with its part of the change of variables.
+        part = np.log(w) + x ** 2 + 0.5 * math.log(2.0)
         if self.dim == 1:
-            self.x = x[:, None]
-            self.logw = np.log(w)
+            self.nodes = [(a, 0.0, u) for a, u in zip(x, part)]
         else:
-            gx, gy = np.meshgrid(x, x, indexing="ij")
-            self.x = np.stack([gx.ravel(), gy.ravel()], axis=1)
-            self.logw = (np.log(w)[:, None] + np.log(w)[None, :]).ravel()
+            self.nodes = [(a, b, u + v) for a, u in zip(x, part) for b, v in zip(x, part)]
         self.cells = cells.select("cluster", "x", "y", "c", "lgy1") if "lgy1" in cells.columns else \
             with_constants(cells.select("cluster", "x", "y", "c"))
-        self.clusters = [r["cluster"] for r in self.cells.select("cluster").distinct().orderBy("cluster").collect()]
-        self.K, self.Q = len(self.clusters), len(self.logw)
-        self.m = np.zeros((self.K, self.dim))
-        self.S = np.repeat(np.eye(self.dim)[None], self.K, axis=0)
+        start = {"m1": 0.0, "m2": 0.0, "s11": 1.0, "s21": 0.0, "s22": 1.0}
+        self.centres = materialize(
+            self.cells.select("cluster").distinct().withColumns({k: F.lit(v) for k, v in start.items()}), "glmm-centres")
         self.jobs = 0
 
-    # -- one Spark job: sum of log densities per (theta, cluster, node) ----
-    def _node_positions(self) -> np.ndarray:
-        # b_kq = m_k + sqrt(2) S_k x_q   -> (K, Q, dim)
-        return self.m[:, None, :] + math.sqrt(2.0) * np.einsum("kij,qj->kqi", self.S, self.x)
-
-    def _loglik_sums(self, thetas: np.ndarray) -> np.ndarray:
-        """Sum of log densities per (theta, cluster, node) -- one Spark job.
-
-        The parameter vectors travel as data (a cluster x node x theta table
-        joined on the cluster), so every evaluation runs the same generated
-        code.
-        """
-        b = self._node_positions()
-        T_, K, Q = len(thetas), self.K, self.Q
-        tt, kk, qq = np.meshgrid(np.arange(T_), np.arange(K), np.arange(Q), indexing="ij")
-        tt, kk, qq = tt.ravel(), kk.ravel(), qq.ravel()
-        full = np.zeros((T_, len(PARAMS[self.family])))
-        for j, n in enumerate(PARAMS[self.family]):
-            if n in self.names:
-                full[:, j] = thetas[:, self.names.index(n)]
-        pdf = pd.DataFrame({"cluster": np.array(self.clusters, dtype=object)[kk], "tid": tt.astype("int32"),
-                            "q": qq.astype("int32"), "z1": b[kk, qq, 0],
-                            "z2": b[kk, qq, 1] if self.dim == 2 else np.zeros(len(tt))})
-        for j, n in enumerate(PARAMS[self.family]):
-            pdf[n] = full[tt, j]
-        lg_phi = np.array([_lgamma_exp(v) if "log_phi" in PARAMS[self.family] else 0.0
-                           for v in (full[:, PARAMS[self.family].index("log_phi")] if "log_phi" in PARAMS[self.family]
-                                     else np.zeros(T_))])
-        pdf["lg_phi"] = lg_phi[tt]
-        fields = [T.StructField("cluster", self.cells.schema["cluster"].dataType), T.StructField("tid", T.IntegerType()),
-                  T.StructField("q", T.IntegerType()), T.StructField("z1", T.DoubleType()),
-                  T.StructField("z2", T.DoubleType())] + [T.StructField(n, T.DoubleType())
-                                                          for n in PARAMS[self.family] + list(_THETA_EXTRA)]
-        nodes = self.spark.createDataFrame(pdf, T.StructType(fields))
-        if len(pdf) <= MAX_BROADCAST_NODES:
-            nodes = F.broadcast(nodes)
-        j = self.cells.join(nodes, "cluster")
-        th = F.struct(*[F.col(n) for n in PARAMS[self.family] + list(_THETA_EXTRA)])
-        ll = _loglik(self.family, th, F.col("x"), F.col("y"), F.col("z1"), F.col("z2"), F.col("lgy1"))
-        agg = j.groupBy("tid", "cluster", "q").agg(F.sum(F.col("c") * ll).alias("ll")).toPandas()
-        out = np.full((T_, K, Q), -np.inf)
-        index = {c: k for k, c in enumerate(self.clusters)}
-        ks = agg["cluster"].map(index).to_numpy()
-        vals = agg["ll"].astype(float).fillna(-np.inf).to_numpy()
-        out[agg["tid"].to_numpy(), ks, agg["q"].to_numpy()] = vals
-        self.jobs += 1
-        return out
-
-    def _terms(self, theta_vec: np.ndarray, ll: np.ndarray) -> np.ndarray:
-        """Per (cluster, node) log integrand of the adaptive rule."""
-        theta = dict(zip(self.names, theta_vec))
-        L = _chol(theta, self.dim)
-        b = self._node_positions()
-        # prior N(0, L L^T) through the triangular factor: no inverse of D
-        z = np.linalg.solve(L, b.reshape(-1, self.dim).T).T.reshape(b.shape)
-        quad = np.sum(z * z, axis=2)
-        logdetD = 2.0 * float(np.sum(np.log(np.diag(L))))
-        log_prior = -0.5 * quad - 0.5 * logdetD - self.dim * HALF_LOG_2PI
-        logdetS = np.array([np.linalg.slogdet(s)[1] for s in self.S])
-        xx = np.sum(self.x ** 2, axis=1)
-        return ll + log_prior + self.logw[None, :] + xx[None, :] + 0.5 * self.dim * math.log(2.0) + logdetS[:, None]
+    def _theta(self, vector: np.ndarray) -> dict[str, float]:
+        t = {n: 0.0 for n in PARAMS[self.family]} | dict(zip(self.names, map(float, vector)))
+        if "log_phi" in t:
+            if self.max_log_phi is not None:
+                t["log_phi"] = min(t["log_phi"], self.max_log_phi)
+            t["lg_phi"] = _lgamma(_exp(t["log_phi"]))
+        # the triangular factor of the random effects' covariance
+        t |= {"a11": _exp(t["l11"]), "a21": t.get("l21", 0.0), "a22": _exp(t.get("l22", 0.0)),
+              "logdet": t["l11"] + t.get("l22", 0.0)}
+        return t
+
+    def _terms(self, thetas: np.ndarray, nodes: list | None = None, centres: DataFrame | None = None) -> DataFrame:
+        """(tid, cluster, q, z1, z2, v): log integrand of the adaptive rule."""
+        packed = F.array(*[F.struct(*[F.lit(v).alias(k) for k, v in self._theta(t).items()]) for t in thetas])
+        nodes = F.array(*[F.struct(F.lit(float(a)).alias("x1"), F.lit(float(b)).alias("x2"), F.lit(float(w)).alias("lw"))
+                          for a, b, w in nodes or self.nodes])
+        base = self.cells.join(self.centres if centres is None else centres, "cluster")
+        rows = base.select("*", F.posexplode(packed).alias("tid", "th")).select(
+            "*", F.posexplode(nodes).alias("q", "node"))
+        root2 = F.lit(math.sqrt(2.0))
+        rows = rows.withColumn("z1", F.col("m1") + root2 * F.col("s11") * F.col("node.x1")).withColumn(
+            "z2", F.col("m2") + root2 * (F.col("s21") * F.col("node.x1") + F.col("s22") * F.col("node.x2")))
+        th = F.col("th")
+        ll = F.col("c") * _loglik(self.family, th, F.col("x"), F.col("y"), F.col("z1"), F.col("z2"), F.col("lgy1"))
+        u1 = F.col("z1") / th["a11"]
+        quad = u1 * u1
+        scale = F.log("s11")
+        if self.dim == 2:
+            u2 = (F.col("z2") - th["a21"] * u1) / th["a22"]
+            quad, scale = quad + u2 * u2, scale + F.log("s22")
+        fixed = F.col("node.lw") + scale - quad / 2 - th["logdet"] - F.lit(self.dim * HALF_LOG_2PI)
+        # everything but the density is the same for all cells of a (theta, cluster, node)
+        return rows.groupBy("tid", "cluster", "q").agg(
+            F.min("z1").alias("z1"), F.min("z2").alias("z2"), (F.sum(ll) + F.min(fixed)).alias("v"))
 
     def _nll_batch(self, thetas: np.ndarray) -> np.ndarray:
-        ll = self._loglik_sums(thetas)
-        out = np.empty(len(thetas))
-        for t in range(len(thetas)):
-            terms = self._terms(thetas[t], ll[t])
-            mx = terms.max(axis=1)
-            out[t] = -np.sum(mx + np.log(np.exp(terms - mx[:, None]).sum(axis=1)))
+        """Negative log likelihood of each parameter vector -- one Spark job."""
+        v = F.col("v")
+        by_cluster = self._terms(thetas).groupBy("tid", "cluster").agg(F.array_agg(v).alias("v"))
+        top = F.array_max("v")
+        lse = top + F.log(F.aggregate("v", F.lit(0.0), lambda acc, e: acc + F.exp(e - top)))
+        rows = by_cluster.select("tid", lse.alias("l")).groupBy("tid").agg(F.sum("l").alias("l")).collect()
+        self.jobs += 1
+        out = np.full(len(thetas), np.inf)
+        for r in rows:
+            if r["l"] is not None and math.isfinite(r["l"]):
+                out[r["tid"]] = -r["l"]
         return out
 
     def adapt(self, theta_vec: np.ndarray) -> None:
-        """Re-centre the nodes on each cluster's posterior mean and spread."""
-        ll = self._loglik_sums(theta_vec[None])[0]
-        terms = self._terms(theta_vec, ll)
-        w = np.exp(terms - terms.max(axis=1, keepdims=True))
-        w /= w.sum(axis=1, keepdims=True)
-        b = self._node_positions()
-        m = np.einsum("kq,kqi->ki", w, b)
-        d = b - m[:, None, :]
-        V = np.einsum("kq,kqi,kqj->kij", w, d, d) + 1e-10 * np.eye(self.dim)[None]
-        self.m = m
-        self.S = np.linalg.cholesky(V)
+        """Re-centre the nodes on each cluster's mode and curvature."""
+        h = STENCIL
+        near = [-1.0, 0.0, 1.0]
+        points = [(a / math.sqrt(2.0), b / math.sqrt(2.0), 0.0)
+                  for a in near for b in (near if self.dim == 2 else [0.0])]
+        steps = {"s11": F.lit(h), "s21": F.lit(0.0), "s22": F.lit(h)}
+        for _ in range(MOST_MOVES):
+            values = self._terms(theta_vec[None], points, self.centres.withColumns(steps))
+            at = values.groupBy("cluster").pivot("q", list(range(len(points)))).agg(F.max("v"))
+
+            def f(a: int, b: int = 0) -> Column:
+                return F.col(str((a + 1) * 3 + b + 1 if self.dim == 2 else a + 1))
+
+            at = at.withColumns({"g1": (f(1) - f(-1)) / (2 * h), "h11": (2 * f(0) - f(1) - f(-1)) / h ** 2})
+            if self.dim == 2:
+                at = at.withColumns({"g2": (f(0, 1) - f(0, -1)) / (2 * h), "h22": (2 * f(0) - f(0, 1) - f(0, -1)) / h ** 2,
+                                     "h21": (f(1, -1) + f(-1, 1) - f(1, 1) - f(-1, -1)) / (4 * h ** 2)})
+            else:
+                at = at.withColumns({"g2": F.lit(0.0), "h22": F.lit(1.0), "h21": F.lit(0.0)})
+            # Where the surface isn't concave, a step along the slopes alone.
+            det = F.col("h11") * F.col("h22") - F.col("h21") ** 2
+            proper = (F.col("h11") > 0) & (F.col("h22") > 0) & (det > 0)
+            at = at.withColumns({k: F.when(proper, F.col(k)).otherwise(v) for k, v in (
+                ("h11", F.greatest(F.abs("h11"), F.lit(1e-3))), ("h22", F.greatest(F.abs("h22"), F.lit(1e-3))),
+                ("h21", F.lit(0.0)))})
+            at = at.withColumns({"d1": (F.col("h22") * F.col("g1") - F.col("h21") * F.col("g2")) / det,
+                                 "d2": (F.col("h11") * F.col("g2") - F.col("h21") * F.col("g1")) / det})
+            far = F.least(F.lit(1.0), F.lit(LONGEST_MOVE) / F.sqrt(F.col("d1") ** 2 + F.col("d2") ** 2 + 1e-300))
+            # The inverse curvature is the spread; its lower triangular factor scales the nodes.
+            s11 = F.sqrt(F.col("h22") / det)
+            moved = self.centres.select("cluster", "m1", "m2").join(at, "cluster").select(
+                "cluster", (F.col("m1") + far * F.col("d1")).alias("m1"), (F.col("m2") + far * F.col("d2")).alias("m2"),
+                s11.alias("s11"), (-F.col("h21") / det / s11).alias("s21"), (F.lit(1.0) / F.sqrt("h22")).alias("s22"),
+                (far * F.greatest(F.abs("d1"), F.abs("d2")) / F.least(s11, F.lit(1.0))).alias("move"))
+            moved = materialize(moved, "glmm-centres")
+            self.centres = moved.drop("move")
+            self.jobs += 1
+            if (moved.agg(F.max("move")).first()[0] or 0.0) < ARRIVED:
+                break
 
     # -- optimiser ----------------------------------------------------------
     def _grad(self, theta: np.ndarray, h: float = 1e-4) -> tuple[float, np.ndarray]:
@@ -265,7 +275,7 @@ class ClusteredModel:
         return f[0], (f[1:p + 1] - f[p + 1:]) / (2 * h)
 
     def _bfgs(self, theta: np.ndarray, H: np.ndarray | None = None, max_iter: int = 100,
-              tol: float = 1e-7, h: float = 1e-4) -> tuple[np.ndarray, float, int, np.ndarray]:
+              tol: float = 1e-7, h: float = 1e-4) -> tuple[np.ndarray, float, int, np.ndarray, bool]:
         """Quasi-Newton descent.  Each iteration is one Spark job: the
         line-search candidates and the gradient stencil around the full step
         are evaluated together; only when a shorter step is taken does its
@@ -273,9 +283,9 @@ class ClusteredModel:
         p = len(theta)
         f, g = self._grad(theta, h)
         H = np.eye(p) if H is None else H
-        steps = np.array([1.0, 0.5, 0.25, 0.1, 0.03, 0.01, 1e-3, 1e-4])
+        steps = np.array([1.0, 0.5, 0.2, 0.05, 0.01, 1e-3])
         E = np.eye(p) * h
-        it = 0
+        it, converged = 0, False
         for it in range(1, max_iter + 1):
             d = -H @ g
             if g @ d >= 0:
@@ -287,6 +297,8 @@ class ClusteredModel:
             fc = fb[:len(steps)]
             ok = np.where(fc <= f + 1e-4 * steps * (g @ d))[0]
             if len(ok) == 0:
+                # no step goes down: an optimum if the slope is gone
+                converged = bool(np.max(np.abs(g)) < 1e-2)
                 break
             new, f_new = cands[ok[0]], fc[ok[0]]
             if ok[0] == 0:
@@ -298,12 +310,12 @@ class ClusteredModel:
                 rho = 1.0 / (s @ yv)
                 I = np.eye(p)
                 H = (I - rho * np.outer(s, yv)) @ H @ (I - rho * np.outer(yv, s)) + rho * np.outer(s, s)
-            converged = (abs(f - f_new) < tol * (1 + abs(f)) and np.max(np.abs(g_new)) < 1e-2) \
-                or np.max(np.abs(g_new)) < 1e-4
+            converged = bool((abs(f - f_new) < tol * (1 + abs(f)) and np.max(np.abs(g_new)) < 1e-2) \
+                or np.max(np.abs(g_new)) < 1e-4)
             theta, f, g = new, f_new, g_new
             if converged:
                 break
-        return theta, f, it, H
+        return theta, f, it, H, converged
 
     def _hessian(self, theta: np.ndarray, h: float = 1e-3) -> np.ndarray:
         p = len(theta)
@@ -356,10 +368,10 @@ class ClusteredModel:
 
     def fit(self, outer: int = 3, max_iter: int = 100) -> Fit:
         theta = self.start()
-        iters, H = 0, None
+        iters, H, converged = 0, None, False
         for k in range(outer):
             self.adapt(theta)
-            theta, f, it, H = self._bfgs(theta, H, max_iter=max_iter)
+            theta, f, it, H, converged = self._bfgs(theta, H, max_iter=max_iter)
             iters += it
             if k > 0 and it <= 2:
                 break  # re-centred nodes no longer move the optimum
@@ -370,20 +382,26 @@ class ClusteredModel:
             cov = np.linalg.inv(H)
         except np.linalg.LinAlgError:
             cov = np.full_like(H, np.nan)
-        means = {c: self.m[k].tolist() for k, c in enumerate(self.clusters)}
-        return Fit(self.family, self.names, theta, cov, -f, iters, means)
+        if self.max_log_phi is not None and "log_phi" in self.names:
+            k = self.names.index("log_phi")
+            theta[k] = min(theta[k], self.max_log_phi)
+        proper = bool(np.all(np.isfinite(H)) and np.all(np.linalg.eigvalsh((H + H.T) / 2) > 0))
+        return Fit(self.family, self.names, theta, cov, -f, iters, converged and proper,
+                   self.centres.select("cluster", "m1", "m2"))
+
+    def loglik(self, **params: float) -> float:
+        """Marginal log likelihood at given parameters, with the present nodes."""
+        return -float(self._nll_batch(np.array([[params[n] for n in self.names]]))[0])
+
+
+def model_cells(outcome: DataFrame) -> DataFrame:
+    """Cells on shared storage: every evaluation reads them."""
+    return materialize(with_constants(collapse_cells(outcome)), "glmm-model")
 
 
 def fit_model(spark: SparkSession, outcome: DataFrame, family: str, **kw) -> Fit:
-    """Collapse an outcome table, keep the cells on reliable storage, fit."""
-    from tocsin.session import checkpoint_dir
-
-    checkpoint_dir(spark)
-    # Spread the (small) cells over the cores: every evaluation multiplies each
-    # cell by nodes x parameter vectors.
-    parts = spark.sparkContext.defaultParallelism
-    cells = with_constants(collapse_cells(outcome)).repartition(parts).checkpoint()
-    return ClusteredModel(spark, cells, family, **kw).fit()
+    """Collapse an outcome table, keep the cells on shared storage, fit."""
+    return ClusteredModel(spark, model_cells(outcome), family, **kw).fit()
 
 
 def coef_frame(spark: SparkSession, fit: Fit, outcome_name: str) -> DataFrame:

@@ -8,15 +8,16 @@ where the one-dimensional REML fit or the closed form runs.
 from __future__ import annotations
 
 import math
-from typing import Iterator, Sequence
+from typing import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tocsin.operators.glmm import Fit
+from tocsin.functions.special import softplus
+from tocsin.operators.glmm import Fit, _exp
 
 
 def icc_components(df: DataFrame, cluster: str = "nurse", outcome: str = "outcome") -> DataFrame:
@@ -147,73 +148,79 @@ def results_table(spark: SparkSession, rows: Sequence[tuple]) -> DataFrame:
         F.when(F.col("icc") < 0.01, "<0.01").otherwise(F.round("icc", 2).cast("string")).alias("ICC"))
 
 
-# -- O44: simulated quantile residuals ---------------------------------------
-
-def _simulate(family: str, theta: dict, eta: np.ndarray, zeta: np.ndarray, rng: np.random.Generator, nsim: int) -> np.ndarray:
-    n = len(eta)
-    if family == "binomial":
-        return (rng.random((n, nsim)) < 1 / (1 + np.exp(-eta))[:, None]).astype(float)
-    if family in ("negative_binomial", "zi_negative_binomial"):
-        phi = math.exp(theta["log_phi"])
-        mu = np.exp(eta)
-        lam = rng.gamma(shape=phi, scale=(mu / phi)[:, None], size=(n, nsim))
-        y = rng.poisson(lam).astype(float)
-        if family == "zi_negative_binomial":
-            pi = 1 / (1 + np.exp(-zeta))
-            y[rng.random((n, nsim)) < pi[:, None]] = 0.0
-        return y
-    if family == "hurdle_lognormal":
-        sigma = math.exp(theta["log_sigma"])
-        y = np.exp(eta[:, None] + sigma * rng.standard_normal((n, nsim)))
-        pi = 1 / (1 + np.exp(-zeta))
-        y[rng.random((n, nsim)) < pi[:, None]] = 0.0
-        return y
-    raise ValueError(family)
-
-
-def simulated_residuals(spark: SparkSession, outcome: DataFrame, fit: Fit, nsim: int = 1000,
-                        kind: str = "subject_specific", seed: int = 1, treated: str = "IPI enabled") -> DataFrame:
-    """Scaled residual per unit: the share of ``nsim`` draws from the
-    fitted model below the observed outcome, ties split at random.
-
-    ``kind="subject_specific"`` uses the cluster's random-effect estimate,
-    ``"mean_subject"`` sets it to 0.  Draws are seeded per unit, so a retried
-    task gives the same residuals.  Output: ``id, nurse, randomization,
-    outcome, residual``.
+# -- O44: randomised quantile residuals ---------------------------------------
+
+# Rational approximation of the error function (error below 1.5e-7).
+ERF_P = 0.3275911
+ERF_A = (0.254829592, -0.284496736, 1.421413741, -1.453152027, 1.061405429)
+
+
+def normal_cdf(z: Column) -> Column:
+    a = F.abs(z) / F.lit(math.sqrt(2.0))
+    t = F.lit(1.0) / (F.lit(1.0) + F.lit(ERF_P) * a)
+    poly = F.lit(0.0)
+    for c in reversed(ERF_A):
+        poly = (poly + F.lit(c)) * t
+    tail = poly * F.exp(-a * a) / 2
+    return F.when(z < 0, tail).otherwise(F.lit(1.0) - tail)
+
+
+def _negative_binomial_below(y: Column, eta: Column, log_phi: float) -> tuple[Column, Column]:
+    """P(Y < y) and P(Y = y), by the recursion of the probabilities in logs."""
+    phi = _exp(log_phi)
+    rest = softplus(eta - F.lit(log_phi))  # log((phi + mu) / phi)
+    ratio = eta - F.lit(log_phi) - rest    # log(mu / (phi + mu))
+    start = F.struct((-F.lit(phi) * rest).alias("lp"), F.lit(0.0).alias("below"))
+    steps = F.when(y >= 1, F.sequence(F.lit(0).cast("long"), y.cast("long") - 1)).otherwise(
+        F.array().cast("array<bigint>"))
+    end = F.aggregate(steps, start, lambda a, k: F.struct(
+        (a["lp"] + F.log((k + F.lit(phi)) / (k + 1)) + ratio).alias("lp"), (a["below"] + F.exp(a["lp"])).alias("below")))
+    return end["below"], F.exp(end["lp"])
+
+
+def unit_uniform(seed: int = 1) -> Column:
+    """A number in [0, 1) for each unit (id, nurse), the same in every run."""
+    name = F.concat_ws("|", F.lit(str(seed)), F.coalesce("id", F.lit("")), F.coalesce("nurse", F.lit("")))
+    return F.conv(F.substring(F.md5(name), 1, 8), 16, 10).cast("double") / F.lit(2.0 ** 32)
+
+
+def quantile_residuals(outcome: DataFrame, fit: Fit, kind: str = "subject_specific", seed: int = 1,
+                       treated: str = "IPI enabled") -> DataFrame:
+    """Where each observed outcome lies in its fitted distribution, on
+    (0, 1): P(Y < y) plus a share of P(Y = y) drawn per unit.  Uniform if the
+    model holds.
+
+    This is the limit of comparing the outcome with draws from the model; it
+    needs no draws.  ``kind="subject_specific"`` uses the cluster's random-effect
+    estimate, ``"mean_subject"`` sets it to 0.  Output: ``id, nurse,
+    randomization, outcome, residual``.
     """
-    theta = dict(zip(fit.names, map(float, fit.theta)))
-    means = fit.cluster_means if kind == "subject_specific" else {}
-    re_rows = [(k, float(v[0]), float(v[1]) if len(v) > 1 else 0.0) for k, v in means.items()]
-    re = spark.createDataFrame(re_rows, "nurse string, re1 double, re2 double") if re_rows else None
+    theta = {n: float(v) for n, v in zip(fit.names, fit.theta)}
     base = outcome.select("id", "nurse", "randomization", F.col("outcome").cast("double").alias("outcome"))
-    if re is not None:
-        # One row per cluster: bounded by the number of clusters of the model.
-        base = base.join(F.broadcast(re), "nurse", "left")
+    base = base.filter(F.col("outcome").isNotNull())
+    m1, m2 = F.lit(0.0), F.lit(0.0)
+    if kind == "subject_specific" and fit.centres is not None:
+        centres = fit.centres.select(F.col("cluster").alias("_cluster"), "m1", "m2")
+        base = base.join(centres, F.col("nurse") == F.col("_cluster"), "left")
+        m1, m2 = F.coalesce("m1", F.lit(0.0)), F.coalesce("m2", F.lit(0.0))
+    x = F.when(F.col("randomization") == treated, 1.0).otherwise(0.0)
+    y = F.col("outcome")
+    eta = F.lit(theta["b0"]) + F.lit(theta["b1"]) * x + m1
+    if fit.family == "binomial":
+        one = F.lit(1.0) / (F.lit(1.0) + F.exp(-eta))
+        below, at = F.when(y > 0, F.lit(1.0) - one).otherwise(0.0), F.when(y > 0, one).otherwise(F.lit(1.0) - one)
+    elif fit.family == "hurdle_lognormal":
+        below = normal_cdf((F.log(F.when(y > 0, y)) - eta) / F.lit(math.exp(theta["log_sigma"])))
+        below, at = F.coalesce(below, F.lit(0.0)), F.lit(0.0)
     else:
-        base = base.withColumn("re1", F.lit(0.0)).withColumn("re2", F.lit(0.0))
-    family = fit.family
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import zlib
-        for pdf in batches:
-            x = (pdf["randomization"] == treated).astype(float).to_numpy()
-            r1 = pdf["re1"].fillna(0.0).to_numpy()
-            r2 = pdf["re2"].fillna(0.0).to_numpy()
-            eta = theta["b0"] + theta["b1"] * x + r1
-            zeta = theta.get("g0", 0.0) + theta.get("g1", 0.0) * x + r2
-            res = np.empty(len(pdf))
-            for i, uid in enumerate(pdf["id"].astype(str)):
-                rng = np.random.default_rng([seed, zlib.crc32(uid.encode())])
-                sims = _simulate(family, theta, eta[i:i + 1], zeta[i:i + 1], rng, nsim)[0]
-                y = pdf["outcome"].iat[i]
-                below, ties = np.mean(sims < y), np.mean(sims == y)
-                res[i] = below + rng.random() * ties
-            out = pdf[["id", "nurse", "randomization", "outcome"]].copy()
-            out["residual"] = res
-            yield out
-
-    schema = "id string, nurse string, randomization string, outcome double, residual double"
-    return base.filter(F.col("outcome").isNotNull()).mapInPandas(run, schema)
+        below, at = _negative_binomial_below(y, eta, theta["log_phi"])
+    if "g0" in theta:  # a share of zeros beside the counts or areas
+        zeta = F.lit(theta["g0"]) + F.lit(theta["g1"]) * x + m2
+        zero = F.lit(1.0) / (F.lit(1.0) + F.exp(-zeta))
+        below = F.when(y > 0, zero + (F.lit(1.0) - zero) * below).otherwise(0.0)
+        at = F.when(y > 0, (F.lit(1.0) - zero) * at).otherwise(zero + (F.lit(1.0) - zero) * at)
+    return base.select("id", "nurse", "randomization", "outcome",
+                       F.least(F.lit(1.0), below + unit_uniform(seed) * at).alias("residual"))
 
 
 def residual_qq(residuals: DataFrame, bins: int = 100) -> DataFrame:

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from tocsin.operators import stats
 from tocsin.operators.glmm import Fit, coef_frame, fit_model
 from tocsin.plans.trial import Trial
+from tocsin.session import materialize
 
 FAMILY = {
     "primary": "negative_binomial",
@@ -54,8 +55,19 @@ def outcome_table(t: Trial, name: str) -> DataFrame:
     raise KeyError(name)
 
 
+# Settings of single models (a cap on the shape, log scale).
+SETTINGS = {"app_alarms": {"max_log_phi": 15.0}}
+
+
+def fit_with_table(t: Trial, name: str, **kw) -> tuple[Fit, DataFrame]:
+    """One outcome's model and its outcome table, written once and read by the
+    fit, the ICC and the residuals."""
+    table = materialize(outcome_table(t, name), f"outcome-{name}")
+    return fit_model(t.spark, table, FAMILY[name], **(SETTINGS.get(name, {}) | kw)), table
+
+
 def fit(t: Trial, name: str, **kw) -> Fit:
-    return fit_model(t.spark, outcome_table(t, name), FAMILY[name], **kw)
+    return fit_with_table(t, name, **kw)[0]
 
 
 def model_frame(t: Trial, name: str) -> DataFrame:
@@ -63,12 +75,15 @@ def model_frame(t: Trial, name: str) -> DataFrame:
     return coef_frame(t.spark, fit(t, name), name)
 
 
-def icc(t: Trial, name: str) -> float:
+def icc_of(name: str, table: DataFrame) -> float:
     """ICC of one outcome (binary outcomes: ANOVA estimator)."""
-    df = outcome_table(t, name)
     if name == "adverse":
-        return stats.icc_binary_anova(stats.icc_binary_counts(df, y="outcome").toPandas())
-    return stats.icc_reml(stats.icc_components(df).toPandas())
+        return stats.icc_binary_anova(stats.icc_binary_counts(table, y="outcome").toPandas())
+    return stats.icc_reml(stats.icc_components(table).toPandas())
+
+
+def icc(t: Trial, name: str) -> float:
+    return icc_of(name, outcome_table(t, name))
 
 
 def icc_frame(t: Trial, names=("primary", "duration", "desat", "alarms", "app_alarms", "inapp_alarms", "adverse")) -> DataFrame:
@@ -89,12 +104,18 @@ def results_frame(t: Trial, labels=RESULT_LABELS, all_alarms_from: str = "alarms
     uses the all-alarm count.
     """
     source = {"alarms": all_alarms_from}
-    rows = [(label, stats.effects(fit(t, source.get(name, name)), name), icc(t, source.get(name, name)))
-            for name, label in labels]
+    done: dict[str, tuple] = {}
+    rows = []
+    for name, label in labels:
+        used = source.get(name, name)
+        if used not in done:
+            f, table = fit_with_table(t, used)
+            done[used] = stats.effects(f, used), icc_of(used, table)
+        rows.append((label, *done[used]))
     return stats.results_table(t.spark, rows)
 
 
-def residuals(t: Trial, name: str, nsim: int = 1000, kind: str = "subject_specific") -> DataFrame:
-    """Simulated scaled residuals of one outcome's model."""
-    f = fit(t, name)
-    return stats.simulated_residuals(t.spark, outcome_table(t, name), f, nsim=nsim, kind=kind)
+def residuals(t: Trial, name: str, kind: str = "subject_specific") -> DataFrame:
+    """Quantile residuals of one outcome's model."""
+    f, table = fit_with_table(t, name)
+    return stats.quantile_residuals(table, f, kind=kind)

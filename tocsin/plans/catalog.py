@@ -475,6 +475,20 @@ def _cells(t: Trial) -> DataFrame:
     return collapse_cells(t.primary().filter(F.col("outcome") != 0))
 
 
+def _register_likelihoods() -> None:
+    """The likelihood of each family at fixed parameters."""
+    from tocsin.plans import likelihood as L
+
+    for name, outcome_sql in L.OUTCOME_SQL.items():
+        def run(t: Trial, name: str = name) -> DataFrame:
+            return L.loglik(t, name)
+        run.__doc__ = f"O41-O43: marginal log likelihood of the model of outcome {name} at fixed parameters."
+        register(f"loglik_{name}", L.loglik_sql(name, outcome_sql))(run)
+
+
+_register_likelihoods()
+
+
 @register("icc_table")
 def _icc_table(t: Trial) -> DataFrame:
     """ICC of every outcome (REML; binary: ANOVA estimator)."""
@@ -519,7 +533,7 @@ def _effects(t: Trial) -> DataFrame:
 
 @register("residuals_primary")
 def _residuals(t: Trial) -> DataFrame:
-    """Simulated scaled residuals (1000 draws per unit), primary model."""
+    """Quantile residuals of the primary model."""
     from tocsin.plans.analysis import residuals
     return residuals(t, "primary")
 
