@@ -34,10 +34,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tocsin.llm.common import text_of
+from tocsin.llm.common import stored, text_of
 
-#: Word characters of texts that aren't lower-cased yet, and of those that are.
-WORD_ANY_CASE = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+#: Words of lower-cased texts.
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -96,27 +95,29 @@ def phrase_places(words: Column, phrases: dict[str, str] = PHRASES) -> Column:
     return F.filter(F.transform(words, at), lambda p: p.isNotNull())
 
 
-def base_labels(docs: DataFrame, phrases: dict[str, str] = PHRASES) -> DataFrame:
-    """(doc_id, key, n_words, places) for each row."""
-    text = text_of()
-    last_words = sorted({p.split()[-1] for p in phrases})
-    low = F.lower(text)
-    may = reduce(lambda a, b: a | b, [F.contains(low, F.lit(w)) for w in last_words])
-    none = F.array().cast("array<struct<label:string,start:bigint>>")
-    return docs.select("doc_id", key_of().alias("key"),
-                       F.regexp_count(text, F.lit(WORD_ANY_CASE)).cast("long").alias("n_words"),
-                       F.when(may, phrase_places(words_of(text), phrases)).otherwise(none).alias("places"))
-
-
 def key_of() -> Column:
     """Names a text; repeated rows share it and what is found for it."""
     return F.struct(F.xxhash64(text_of()).alias("hash"), F.char_length(text_of()).alias("size"))
 
 
-def word_order(docs: DataFrame, vocabulary: list[str]) -> list[str]:
+def text_facts(docs: DataFrame, vocabulary: list[str], phrases: dict[str, str] = PHRASES) -> DataFrame:
+    """(doc_id, key, n_words, places, held) for each row: the one pass over all
+    words.  ``held``: which words of the vocabulary the text has."""
+    # The words are a column of their own before they are used: inside a lambda
+    # the expression would be evaluated for every word.
+    rows = docs.select("doc_id", key_of().alias("key"), words_of(text_of()).alias("words"))
+    last_words = F.array(*map(F.lit, sorted({p.split()[-1] for p in phrases})))
+    none = F.array().cast("array<struct<label:string,start:bigint>>")
+    return rows.select("doc_id", "key", F.size("words").cast("long").alias("n_words"),
+                       F.when(F.arrays_overlap("words", last_words), phrase_places(F.col("words"), phrases))
+                       .otherwise(none).alias("places"),
+                       F.array_intersect(F.array(*map(F.lit, vocabulary)), F.col("words")).alias("held"))
+
+
+def word_order(facts: DataFrame, vocabulary: list[str]) -> list[str]:
     """The notices' words, rarest first, by documents that hold them.  The
     result is as long as the notices make it."""
-    held = docs.select(F.explode(F.array_intersect(words_of(text_of()), F.array(*map(F.lit, vocabulary)))).alias("word"))
+    held = facts.select(F.explode("held").alias("word"))
     counts = {r["word"]: r["count"] for r in held.groupBy("word").count().collect()}
     return sorted(vocabulary, key=lambda w: (counts.get(w, 0), w))
 
@@ -136,26 +137,27 @@ def prefix_index(spark, sets: list[tuple[str, list[str]]], order: list[str], thr
     return spark.range(1).select(F.explode(F.array(*rows)).alias("_")).select("_.*")
 
 
-def similarity_join(docs: DataFrame, notices=NOTICES, threshold: float = THRESHOLD) -> DataFrame:
-    """(key, block, label, containment) of all pairs that qualify."""
+def vocabulary_of(notices=NOTICES) -> list[str]:
+    return sorted({w for _, words in notice_sets(notices) for w in words})
+
+
+def similarity_join(docs: DataFrame, facts: DataFrame, notices=NOTICES, threshold: float = THRESHOLD) -> DataFrame:
+    """(key, block, label, containment) of all pairs that qualify.  ``facts``: see
+    ``text_facts``, over the same rows."""
     sets = notice_sets(notices)
-    vocabulary = sorted({w for _, words in sets for w in words})
-    order = word_order(docs, vocabulary)
+    order = word_order(facts, vocabulary_of(notices))
     index = prefix_index(docs.sparkSession, sets, order, threshold)
     least = min(max(1, math.ceil(threshold * len(words) - 1e-9)) for _, words in sets)
-    # Blocks as words of the global order: sorting places sorts by rarity.
-    place = F.create_map(*[x for k, w in enumerate(order) for x in (F.lit(w), F.lit(k))])
     ordered = F.array(*map(F.lit, order))
-    blocks = (docs.select(key_of().alias("key"), F.posexplode(F.split(text_of(), "\n")).alias("block", "line"))
-              .select("key", "block", F.array_intersect(words_of(F.col("line")), ordered).alias("held"))
-              .where(F.size("held") >= least)
-              .withColumn("held", F.transform(F.array_sort(F.transform("held", lambda w: place[w])),
-                                              lambda k: F.element_at(ordered, k + 1))))
-    # Prefix words of any notice are among the order's words up to the last such.
-    wanted = F.array(*map(F.lit, sorted({w for _, ws in sets
-                                         for w in prefix_words(ws, order, threshold)})))
-    pairs = (blocks.where(F.arrays_overlap("held", wanted))
-             .select("key", "block", "held", F.posexplode("held").alias("at", "word"))
+    # A block that qualifies has a prefix word, so its text has one.
+    wanted = F.array(*map(F.lit, sorted({w for _, ws in sets for w in prefix_words(ws, order, threshold)})))
+    texts = stored(facts.where(F.arrays_overlap("held", wanted)).select("key").distinct(), "license-texts")
+    # The intersection keeps the first array's order: a block's words, rarest first.
+    blocks = (docs.select(key_of().alias("key"), text_of().alias("text")).join(texts, "key", "left_semi")
+              .select("key", F.posexplode(F.split("text", "\n")).alias("block", "line"))
+              .select("key", "block", F.array_intersect(ordered, words_of(F.col("line"))).alias("held"))
+              .where(F.size("held") >= least))
+    pairs = (blocks.select("key", "block", "held", F.posexplode("held").alias("at", "word"))
              .join(F.broadcast(index), "word")
              .where((F.least("at", "place") + F.least(F.size("held") - F.col("at"), F.size("words") - F.col("place"))
                      >= F.col("need")) & (F.size("held") >= F.col("need"))))
@@ -173,10 +175,10 @@ def prefix_words(words: list[str], order: list[str], threshold: float) -> list[s
 def scan(docs: DataFrame, notices=NOTICES, threshold: float = THRESHOLD) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_words, places, notice_labels and
     containment (the highest; 0 if no block qualifies)."""
-    found = (similarity_join(docs, notices, threshold).groupBy("key")
+    facts = stored(text_facts(docs, vocabulary_of(notices)), "license-facts")
+    found = (similarity_join(docs, facts, notices, threshold).groupBy("key")
              .agg(F.collect_set("label").alias("notice_labels"), F.max("containment").alias("containment")))
-    base = base_labels(docs)
-    return (base.join(found, "key", "left")
+    return (facts.join(found, "key", "left")
             .select("doc_id", "n_words", "places",
                     F.coalesce("notice_labels", F.array().cast("array<string>")).alias("notice_labels"),
                     F.coalesce("containment", F.lit(0.0)).alias("containment")))
