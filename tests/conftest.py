@@ -19,8 +19,19 @@ SF_CHECK = "/root/testdata/sf0.01"
 
 
 @pytest.fixture(autouse=True)
-def _release_cached_tables(request):
-    """Queries persist small intermediate tables; drop them after each test."""
+def _uncached(request):
+    """Queries keep small intermediate tables; drop them after each test."""
     yield
     if "spark" in request.fixturenames:
         request.getfixturevalue("spark").catalog.clearCache()
+
+
+@pytest.fixture(autouse=True, scope="module")
+def _released(request):
+    """Delete after each module what its queries have written."""
+    yield
+    from pyspark.sql import SparkSession
+    from tocsin.session import release
+    active = SparkSession.getActiveSession()
+    if active is not None:
+        release(active)

@@ -64,9 +64,38 @@ def test_outcomes_shuffle_rows_once_after_fixture(spark, name):
     assert any("_id" in e and "_c" in e for e in ex), ex
 
 
-@pytest.mark.parametrize("name", ["ingest_series", "nurse_fill", "alarms_all", "cluster_size_analyzed", "units"])
+@pytest.mark.parametrize("name", ["alarms_all", "cluster_size_analyzed", "units"])
 def test_other_queries_shuffle_rows_once(spark, name):
-    # only the fixture's one-row-per-tick exchange moves rows; fills run
-    # against written rows with size-checked broadcast interval tables
+    # only the fixture's one-row-per-tick exchange moves rows
     ex = _plan(spark, name)
     assert len(ex) == 1, ex
+
+
+def test_ingest_moves_rows_once_for_each_clock(spark):
+    """One-row-per-second, then one exchange by (recording, day) for the monitor's
+    clock and one for the tablet's (nurse log and events together), with
+    broadcasts of the small day tables switched off."""
+    from tocsin.plans.ingest import ObserverSheets, ingest
+    from tocsin.sources import literals
+    rows = spark.read.parquet(f"{SF_SMALL}/events.parquet").selectExpr(
+        "printf('E%03d', user_id) AS id", "event_id AS line", "CAST(date_trunc('hour', ts) AS timestamp) AS datetime")
+    text = "id string, row int, {} string, time string"
+    sheet = lambda name: spark.createDataFrame([("E001", 1, "x", "01/01/2024 00:00:00")], text.format(name))
+    key = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "-1")
+    try:
+        df = ingest(rows, ObserverSheets(sheet("device"), sheet("nurse"), sheet("event")), literals.allocation(spark))
+        df.write.format("noop").mode("overwrite").save()
+        ex = row_level_exchanges(df._jdf.queryExecution().executedPlan())
+    finally:
+        spark.conf.set(key, before)
+    days = [e for e in ex if "_day" in e]
+    assert len(days) == 2 and len(ex) == 3, ex
+
+
+def test_building_the_ingest_only_reads_schemas(spark):
+    before = len(spark.sparkContext.statusTracker().getJobIdsForGroup(None))
+    E.queries()["ingest_series"](spark, SF_SMALL)
+    jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup(None)) - before
+    assert jobs <= 4, jobs

@@ -12,9 +12,15 @@ takes the value of the last matching reading at or before it; rows before
 the first matching reading take a head value (the first reading of all for
 the clock offset, the first matching reading for the nurse), and when nothing
 matches the first unmatched reading is used.  This is the row-order fill of
-the original ingest, written as a range join of the rows with a small
-interval table built per recording: no window runs over the rows of a
-recording, so a long recording does not end up in one task.
+the original ingest.
+
+Rows and readings are hashed together by (recording, day of their time).
+Matching and filling happen inside a day; what a day hands on to the next is
+one row of a small table (one per recording and day) that is filled over the
+days and joined back on the same hash.  So the rows move once and a long
+recording is spread over its days; the moved rows are kept for the two reads,
+nothing runs beforehand and nothing depends on a count.  The observer's events
+share the nurse log's clock and travel with it.
 
 ``match="asof"`` is the corrected alternative: every reading counts from its
 own time on, matching a row or not.
@@ -22,15 +28,12 @@ own time on, matching a row or not.
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tocsin.functions.timeparse import add_seconds
-
-# Largest interval table (rows) broadcast to the row side of a fill; above it
-# the join is left to the planner (sort-merge on the recording, skew-split).
-MAX_BROADCAST_INTERVALS = 2_000_000
+from tocsin.operators.episodes import DAY_SECONDS
+from tocsin.session import keep
 
 
 def clock_pairs(sync: DataFrame) -> DataFrame:
@@ -47,83 +50,73 @@ def clock_pairs(sync: DataFrame) -> DataFrame:
             .withColumn("datetime", F.col("Capnostream")))
 
 
+def _per_second(readings: DataFrame, key: str, time: str, value: str, order: str | None) -> DataFrame:
+    """One row per (recording, second): the first reading's value, the last
+    present one (which later rows carry) and the first present one."""
+    r = readings.select(F.col(key).alias("_k"), F.col(time).alias("_t"), F.col(value).alias("_v"),
+                        (F.col(order) if order else F.lit(0)).alias("_o"))
+    good = F.when(F.col("_v").isNotNull(), F.col("_o"))
+    return r.groupBy("_k", "_t").agg(
+        F.min_by("_v", "_o").alias("_at"), F.max_by("_v", good).alias("_after"), F.min_by("_v", good).alias("_good"))
+
+
 def step_fill(rows: DataFrame, readings: DataFrame, *, key: str, row_time: str, reading_time: str,
               value: str, out: str, head_is_first_reading: bool, match: str = "exact",
-              reading_order: str | None = None) -> DataFrame:
-    """Carry reading values over rows (see module doc).  Adds column ``out``."""
-    ro = F.col(reading_order) if reading_order else F.lit(0)
-    rd = readings.select(F.col(key).alias("_k"), F.col(reading_time).alias("_rt"),
-                         F.col(value).alias("_v"), ro.alias("_ro"))
-    if match == "exact":
-        # Which reading times occur among the row times of the same recording.
-        # Rows stream against the (small) readings; AQE picks the strategy.
-        times = rd.select("_k", "_rt").filter(F.col("_rt").isNotNull()).distinct()
-        hits = (rows.select(F.col(key).alias("_k"), F.col(row_time).alias("_rt"))
-                .join(times, ["_k", "_rt"]).distinct().withColumn("_m", F.lit(True)))
-        rd = rd.join(hits, ["_k", "_rt"], "left").withColumn("_m", F.coalesce("_m", F.lit(False)))
-    elif match == "asof":
-        rd = rd.withColumn("_m", F.col("_rt").isNotNull())
-    else:
+              reading_order: str | None = None, events: DataFrame | None = None) -> DataFrame:
+    """Carry reading values over rows (see module doc).  Adds column ``out``;
+    with ``events`` (key, ``row_time``, event) also the event at the row's second."""
+    if match not in ("exact", "asof"):
         raise ValueError(f"unknown match {match!r}")
-    # Readings with their match flag: a few per recording.  Hashed once by
-    # recording and kept, so the matching pass over the rows runs once and
-    # every step below (per second, per recording, windows, join) reuses the
-    # same partitioning.  Their count bounds the interval table (at most two
-    # intervals per reading plus one per recording) for the broadcast below.
-    rd = rd.repartition("_k").persist(StorageLevel.MEMORY_AND_DISK)
-    n_readings = rd.count()
-
-    good = F.col("_v").isNotNull()
-    when_good = F.when(good, F.col("_ro"))
-    # Per second: the first reading, the last and first present values.  A
-    # time is matched or not as a whole.
-    sec = rd.groupBy("_k", "_rt").agg(
-        F.max("_m").alias("_m"),
-        F.min_by("_v", "_ro").alias("at_v"),
-        F.max_by("_v", when_good).alias("after_v"),
-        F.min_by("_v", when_good).alias("first_good"),
-    )
-    by_time = F.struct(F.col("_rt").isNull().alias("n"), F.col("_rt").alias("t"))
-    has = F.col("first_good").isNotNull()
-    summary = sec.groupBy("_k").agg(
-        F.min_by("at_v", by_time).alias("first_v"),
-        F.min_by("first_good", F.when(F.col("_m") & has, by_time)).alias("first_m"),
-        F.min(F.when(F.col("_m"), F.col("_rt"))).alias("first_m_t"),
-        F.min_by("first_good", F.when(~F.col("_m") & has, by_time)).alias("first_u"),
-    )
-    head = F.coalesce(*(([F.col("first_v")] if head_is_first_reading else [])
-                        + [F.col("first_m"), F.col("first_u")]))
-    summary = summary.select("_k", "first_m_t", head.alias("_head"))
-    head_rows = summary.select("_k", F.lit(None).cast("timestamp").alias("_from"),
-                               F.col("first_m_t").alias("_until"), F.col("_head").alias("_fill"))
-    # Several readings in one second: the row of that second keeps the first
-    # (the later duplicates are the rows the one-row-per-second rule drops),
-    # the rows after it carry the last value present; a missing value carries
-    # the value before it.
-    wk = Window.partitionBy("_k").orderBy("_rt")
-    upto = wk.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    before = wk.rowsBetween(Window.unboundedPreceding, -1)
-    per_second = sec.filter(F.col("_m")).join(summary, "_k").select(
-        "_k", "_rt", F.lead("_rt").over(wk).alias("_next"),
-        F.coalesce("at_v", F.last("after_v", ignorenulls=True).over(before), "_head").alias("at"),
-        F.coalesce(F.last("after_v", ignorenulls=True).over(upto), "_head").alias("after"))
-    tick = F.col("_rt") + F.expr("INTERVAL 1 MICROSECOND")
-    at_rows = per_second.select("_k", F.col("_rt").alias("_from"), tick.alias("_until"), F.col("at").alias("_fill"))
-    after_rows = per_second.select("_k", tick.alias("_from"), F.col("_next").alias("_until"),
-                                   F.col("after").alias("_fill"))
-    intervals = head_rows.unionByName(at_rows).unionByName(after_rows)
-
-    # A few rows per recording: broadcast when the bound allows it, so the
-    # rows are never shuffled by recording.
-    if 3 * n_readings <= MAX_BROADCAST_INTERVALS:
-        intervals = F.broadcast(intervals)
-
-    t = F.col(row_time)
-    cond = ((F.col(key) == F.col("_k"))
-            & (F.col("_from").isNull() | (t >= F.col("_from")))
-            & (F.col("_until").isNull() | (t < F.col("_until"))))
-    filled = rows.join(intervals, cond, "left")
-    return filled.drop("_k", "_from", "_until").withColumnRenamed("_fill", out)
+    own = [c for c in rows.columns if not (events is not None and c == "event")]
+    points = rows.select(F.col(key).alias("_k"), F.col(row_time).alias("_t"), F.struct(*own).alias("_row"))
+    points = points.unionByName(_per_second(readings, key, reading_time, value, reading_order)
+                                .withColumn("_reading", F.lit(True)), allowMissingColumns=True)
+    if events is not None:
+        points = points.unionByName(events.select(F.col(key).alias("_k"), F.col(row_time).alias("_t"),
+                                                  F.col("event").alias("_event")), allowMissingColumns=True)
+    day = F.coalesce(F.floor(F.unix_seconds("_t") / F.lit(DAY_SECONDS)), F.lit(-1))
+    points = points.withColumn("_day", day).repartition("_k", "_day")
+
+    is_row, timed = F.col("_row").isNotNull(), F.col("_t").isNotNull()
+    second = Window.partitionBy("_k", "_day", "_t")
+    before = (Window.partitionBy("_k", "_day").orderBy(F.unix_micros("_t"))
+              .rangeBetween(Window.unboundedPreceding, -1))
+    hit = timed if match == "asof" else F.max(is_row).over(second) & timed
+    points = points.withColumn("_hit", F.col("_reading") & hit)
+    # Several readings in one second: the row of that second keeps the first, the
+    # rows after it carry the last value present; a missing value carries on.
+    points = points.withColumn("_now", F.when(timed, F.max("_at").over(second)))
+    points = points.withColumn("_carry", F.last(F.when(F.col("_hit"), F.col("_after")), ignorenulls=True).over(before))
+    if events is not None:
+        points = points.withColumn("_event", F.max("_event").over(second))
+
+    # Read twice below: kept, so that the rows move once (freed with session.release).
+    points = keep(points)
+
+    has, time = F.col("_good").isNotNull(), F.struct(F.col("_t").isNull().alias("n"), F.col("_t").alias("t"))
+    days = points.groupBy("_k", "_day").agg(
+        F.max(is_row).alias("_rows"),
+        F.max_by("_after", F.when(F.col("_hit") & F.col("_after").isNotNull(), F.col("_t"))).alias("_last"),
+        F.min(F.when(F.col("_reading"), F.struct(time.alias("time"), F.col("_at").alias("v")))).alias("_first"),
+        F.min(F.when(F.col("_hit") & has, F.struct(time.alias("time"), F.col("_good").alias("v")))).alias("_match"),
+        F.min(F.when(F.col("_reading") & ~F.col("_hit") & has,
+                     F.struct(time.alias("time"), F.col("_good").alias("v")))).alias("_other"),
+        F.max(F.col("_hit")).alias("_any"))
+    whole = Window.partitionBy("_k")
+    earlier = whole.orderBy("_day").rowsBetween(Window.unboundedPreceding, -1)
+    heads = ["_first"] * head_is_first_reading + ["_match", "_other"]
+    days = days.select(
+        "_k", "_day", "_rows", F.last("_last", ignorenulls=True).over(earlier).alias("_handed"),
+        F.coalesce(*[F.min(h).over(whole)["v"] for h in heads]).alias("_head"),
+        F.coalesce(F.max("_any").over(whole), F.lit(False)).alias("_matched"))
+    days = days.where("_rows").select("_k", "_day", "_handed", "_head", "_matched")
+
+    filled = points.where(is_row).join(days, ["_k", "_day"], "left")
+    found = F.coalesce("_now", "_carry", "_handed", "_head")
+    # A row without a time meets no reading: it has the head if nothing matches at all.
+    found = F.when(timed, found).otherwise(F.when(~F.col("_matched"), F.col("_head")))
+    attached = [F.col("_event").alias("event")] if events is not None else []
+    return filled.select("_row.*", found.alias(out), *attached)
 
 
 def clock_fill(rows: DataFrame, pairs: DataFrame, match: str = "exact") -> DataFrame:
@@ -134,16 +127,22 @@ def clock_fill(rows: DataFrame, pairs: DataFrame, match: str = "exact") -> DataF
     return filled.withColumn("time_corrected", add_seconds(F.col("datetime"), F.col("diff")))
 
 
-def nurse_fill(rows: DataFrame, nurse_log: DataFrame, match: str = "exact") -> DataFrame:
-    """Nurse per row from the nurse log (tablet time)."""
+def first_events(interventions: DataFrame) -> DataFrame:
+    """The first logged event of each second."""
+    return interventions.groupBy("id", "time_corrected").agg(F.min_by("event", "row").alias("event"))
+
+
+def nurse_fill(rows: DataFrame, nurse_log: DataFrame, match: str = "exact",
+               interventions: DataFrame | None = None) -> DataFrame:
+    """Nurse per row from the nurse log (tablet time); with
+    ``interventions`` also O12, in the same exchange."""
     log = nurse_log.select("id", F.col("time_corrected").alias("_nt"), "nurse", "row")
+    events = first_events(interventions) if interventions is not None else None
     return step_fill(rows, log, key="id", row_time="time_corrected", reading_time="_nt", value="nurse",
-                     out="nurse", head_is_first_reading=False, match=match, reading_order="row")
+                     out="nurse", head_is_first_reading=False, match=match, reading_order="row", events=events)
 
 
 def event_attach(rows: DataFrame, interventions: DataFrame) -> DataFrame:
     """The logged event at the row's tablet second (first one if several);
     events between seconds on the grid of no row are dropped."""
-    ev = (interventions.groupBy("id", "time_corrected")
-          .agg(F.min_by("event", "row").alias("event")))
-    return rows.join(ev, ["id", "time_corrected"], "left")
+    return rows.join(first_events(interventions), ["id", "time_corrected"], "left")

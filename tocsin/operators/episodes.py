@@ -43,10 +43,11 @@ from __future__ import annotations
 
 from typing import Sequence
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tocsin.session import keep
+
 DAY_SECONDS = 86_400
 
 
@@ -121,24 +122,19 @@ def pieces(prepared: DataFrame, scope: str = "series", persist: bool = True) ->
         F.min(o).alias("first_o"),
         F.min_by(F.col("_p"), o).alias("first_p"),
     )
-    return out.persist(StorageLevel.MEMORY_AND_DISK) if persist else out
-
-
-# Largest per-id width table broadcast to the rows (one row per series).
-MAX_BROADCAST_WIDTHS = 5_000_000
+    return keep(out) if persist else out
 
 
 def chunk_widths(base: DataFrame, rows_per_chunk: int) -> DataFrame:
     """Per id, a chunk width (seconds, a power of two) giving about
     ``rows_per_chunk`` rows per chunk at the id's mean density.  Computed by
-    a map-side-combined aggregate over two columns; the table (one row per
-    id) is broadcast when its counted size allows."""
+    a map-side-combined aggregate over two columns; how the table (one row per
+    id) is joined is left to the planner."""
     per_id = base.groupBy("_id").agg(F.count(F.lit(1)).alias("n"), F.min("_s").alias("lo"), F.max("_s").alias("hi"))
     span = F.greatest(F.col("hi") - F.col("lo") + 1, F.lit(1))
     raw = span * F.lit(float(rows_per_chunk)) / F.col("n")
     width = F.pow(F.lit(2.0), F.ceil(F.log2(F.greatest(raw, F.lit(1.0))))).cast("long")
-    widths = per_id.select("_id", width.alias("_w")).persist(StorageLevel.MEMORY_AND_DISK)
-    return F.broadcast(widths) if widths.count() <= MAX_BROADCAST_WIDTHS else widths
+    return per_id.select("_id", width.alias("_w"))
 
 
 def units_of(piece_df: DataFrame, id_col: str = "id") -> DataFrame:
@@ -153,7 +149,6 @@ def row_sums(piece_df: DataFrame, id_col: str = "id") -> DataFrame:
         F.sum("vsum").alias("vsum"), F.min_by("first_p", "first_o").alias("first_p"))
 
 
-ID_BUCKETS = 64
 # Chunks per super-chunk in the two-level prefix over the chunks of one id.
 SUPER_CHUNK = 1024
 
@@ -174,17 +169,19 @@ def _carry_over_chunks(chunks: DataFrame, size: int | None = None) -> DataFrame:
             .select("_id", "_c", "zmax", "omax", F.coalesce("in_prev", "s_prev").alias("carried")))
 
 
-def _previous_ids(ids: DataFrame, buckets: int = ID_BUCKETS) -> DataFrame:
+def _previous_ids(ids: DataFrame, buckets: int | None = None) -> DataFrame:
     """For each series (in id order): the last zero-state mark of all earlier
     series (``prev_z``) and the last row of the whole frame (``frame_last``).
 
     A prefix over the sorted ids in two levels: ids are range-bucketed, the
     prefix runs inside each bucket and over the bucket maxima (``buckets``
-    rows), so no task sees all series.  The bucket assignment is written to
-    the checkpoint folder, so both levels see the same buckets.
+    rows), so no task sees all series.  There are as many buckets as shuffle
+    partitions, so they follow the size of the job.  The bucket assignment is
+    written to the checkpoint folder, so both levels see the same buckets.
     """
     from tocsin.session import materialize
 
+    buckets = buckets or int(ids.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ranged = materialize(ids.repartitionByRange(buckets, "_id").withColumn("_b", F.spark_partition_id()),
                          "id-buckets")
     per_bucket = ranged.groupBy("_b").agg(F.max("id_z").alias("bz"), F.max("id_o").alias("bo"))

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tocsin.functions.timeparse import mdy_hms
-from tocsin.operators.clock import clock_fill, clock_pairs, event_attach, nurse_fill
+from tocsin.operators.clock import clock_fill, clock_pairs, nurse_fill
 from tocsin.operators.rows import arm_lookup, one_row_per_tick
 from tocsin.sources import literals
 
@@ -42,20 +42,11 @@ def dedup(monitor: DataFrame) -> DataFrame:
     return one_row_per_tick(monitor.filter(F.col("datetime").isNotNull()), ["id"], "datetime", "line")
 
 
-def ingest(monitor: DataFrame, sheets: ObserverSheets, allocation: DataFrame, match: str = "exact",
-           materialized: bool = True) -> DataFrame:
-    """The fills read their input twice (exact-second matching, then the
-    interval join), so the one-row-per-second rows are written once to the
-    shared checkpoint folder (``materialized``) instead of being recomputed,
-    shuffle included, by every pass."""
-    from tocsin.session import materialize
-
+def ingest(monitor: DataFrame, sheets: ObserverSheets, allocation: DataFrame, match: str = "exact") -> DataFrame:
+    """The series: one row per second with tablet time, nurse, event and arm."""
     s = dedup(monitor)
-    if materialized:
-        s = materialize(s, "ingest-rows")
     s = clock_fill(s, clock_pairs(sheets.sync_readings()), match=match)
-    s = nurse_fill(s, sheets.nurse_log(), match=match)
-    s = event_attach(s, sheets.intervention_log())
+    s = nurse_fill(s, sheets.nurse_log(), match=match, interventions=sheets.intervention_log())
     return arm_lookup(s, allocation).drop("diff")
 
 

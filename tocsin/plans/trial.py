@@ -23,6 +23,9 @@ from tocsin.sources import fixtures, literals
 # (the trial keeps one patient whose sedation dose is missing).
 FIXTURE_OVERRIDES = ("E007",)
 
+# The fixture ticks once an hour: thirty days are 720 rows.
+FIXTURE_CHUNK_SECONDS = 30 * DAY_SECONDS
+
 # Columns of the patient sheet and their types.
 PATIENT_COLUMNS = ("patient", "age", "sex", "totalMidaz", "totalFent", "totalOtherSedation", "oxygenDevice",
                    "procedure", "caseStart", "caseEnd")
@@ -35,6 +38,7 @@ class Trial:
     series_fn: Callable[[], DataFrame]
     patient_form_fn: Callable[[], DataFrame]
     adverse_form_fn: Callable[[], DataFrame]
+    nurse_sheet_fn: Callable[[], DataFrame]
     overrides: Sequence[str] = FIXTURE_OVERRIDES
     missing_rows: Sequence[tuple] = literals.MISSING_UNITS
     allocation_rows: Sequence[tuple] = literals.ALLOCATION
@@ -50,7 +54,8 @@ class Trial:
             series_fn=lambda: fixtures.series(spark, sf_dir),
             patient_form_fn=lambda: fixtures.patient_form(spark, sf_dir),
             adverse_form_fn=lambda: fixtures.adverse_form(spark, sf_dir),
-            **kw,
+            nurse_sheet_fn=lambda: fixtures.nurse_sheet(spark, sf_dir),
+            **({"chunk_seconds": FIXTURE_CHUNK_SECONDS} | kw),
         )
 
     @classmethod
@@ -74,7 +79,8 @@ class Trial:
             return sheet_frame(cells, names, sheet="Adverse events").drop("row")
 
         return cls(spark=spark, series_fn=lambda: read_series(spark, series_path),
-                   patient_form_fn=patient_form, adverse_form_fn=adverse_form, **kw)
+                   patient_form_fn=patient_form, adverse_form_fn=adverse_form,
+                   nurse_sheet_fn=lambda: sheet_frame(cells, ["nurse", "time"], sheet="Nurse ID"), **kw)
 
     def _memo(self, name: str, build: Callable[[], DataFrame]) -> DataFrame:
         # DataFrames are immutable plans: build each input once per Trial.
@@ -143,8 +149,8 @@ class Trial:
         return first_row_per_key(s, ["id"], order_key("datetime"), ["datetime", "nurse", "randomization"])
 
     def nurse_units(self) -> DataFrame:
-        # The nurses seen in the series stand in for the observers' nurse sheets.
-        nurses = cohort.nurse_dimension(self.series().select("nurse"), self.allocation())
+        # All nurses of the observers' sheets, those without patients included.
+        nurses = cohort.nurse_dimension(self.nurse_sheet_fn().select("nurse"), self.allocation())
         return cohort.units_with_nurses(self.series(), nurses, self.missing())
 
     def form_units(self) -> DataFrame:

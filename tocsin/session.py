@@ -3,13 +3,15 @@
 Everything runs with a UTC session clock (the device and tablet clocks are
 wall-clock readings without zone), adaptive query execution on, and Arrow
 batches for the few pandas steps.  On a cluster the session is created by the
-platform; :func:`configure` only fills settings that are still unset.
+platform; :func:`configure` fills settings that are still unset, and sets the
+session clock to UTC in any case.
 """
 
 from __future__ import annotations
 
 import os
 import tempfile
+from contextlib import contextmanager
 
 from pyspark.sql import SparkSession
 
@@ -28,7 +30,7 @@ def configure(spark: SparkSession) -> SparkSession:
     for key, value in DEFAULTS.items():
         if conf.get(key, None) in (None, ""):
             conf.set(key, value)
-    # The jobs only ever use a timestamp type with the session zone.
+    # Wall-clock readings are compared as they are: the jobs need a UTC clock.
     conf.set("spark.sql.session.timeZone", "UTC")
     return spark
 
@@ -67,14 +69,58 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return path
 
 
+# What jobs have left behind for later reads: folders under the checkpoint
+# folder, and persisted tables.  Their owner is the session, until release().
+_FOLDERS: list[str] = []
+_KEPT: list = []
+
+
 def materialize(df, name: str):
     """Write ``df`` as Parquet under the shared checkpoint folder and read it
     back.  Cuts the lineage (a lost executor does not recompute upstream
-    shuffles) and lets later passes read only the columns they need."""
+    shuffles) and lets later passes read only the columns they need.  The folder
+    stays until :func:`release`."""
     import uuid
 
     spark = df.sparkSession
     base = checkpoint_dir(spark).rstrip("/")
     path = f"{base}/tocsin-{name}-{uuid.uuid4().hex}"
+    _FOLDERS.append(path)
     df.write.mode("errorifexists").parquet(path)
     return spark.read.parquet(path)
+
+
+def keep(df):
+    """``df`` persisted (memory, then disk) until :func:`release`."""
+    from pyspark import StorageLevel
+
+    df = df.persist(StorageLevel.MEMORY_AND_DISK)
+    _KEPT.append(df)
+    return df
+
+
+def release(spark: SparkSession, folders_from: int = 0, kept_from: int = 0) -> int:
+    """Delete the folders written and free the tables kept by the jobs of this
+    session so far; returns how many.  Call it when their results are no longer
+    read."""
+    freed = 0
+    while len(_KEPT) > kept_from:
+        _KEPT.pop().unpersist()
+        freed += 1
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    while len(_FOLDERS) > folders_from:
+        path = jvm.org.apache.hadoop.fs.Path(_FOLDERS.pop())
+        path.getFileSystem(conf).delete(path, True)
+        freed += 1
+    return freed
+
+
+@contextmanager
+def scratch(spark: SparkSession):
+    """Releases on leaving what was written and kept inside; results that are
+    still to be read must have been written elsewhere."""
+    folders, kept = len(_FOLDERS), len(_KEPT)
+    try:
+        yield
+    finally:
+        release(spark, folders, kept)

@@ -183,8 +183,10 @@ def sql_with(**views: str) -> str:
 # date typo the checks must find).  Ids with u % 3 == 0 get a second pair at
 # the first tick from 10 January on, with the tablet 2 s further ahead; when
 # also u % 7 == 0 that Capnostream reading is half an hour off the tick grid
-# and matches no row.  Nurse log: the first tick of each (id, nurse);
-# interventions: every tick with an event; both in tablet time.
+# and matches no row.  Nurse log: the first tick of each (id, nurse); ids with
+# u % 4 == 0 also have, at their first reading, a repeated one and one without a
+# nurse, and half an hour later one that matches no row (nurse N98, who has no
+# patient).  Interventions: every tick with an event.  Both in tablet time.
 
 SECOND_PAIR_FROM = "2024-01-10 00:00:00"
 
@@ -247,7 +249,15 @@ def nurse_sheet(spark: SparkSession, sf_dir: str, s: DataFrame | None = None,
     first = first.join(clock_plan(s) if plan is None else plan, "id")
     t = F.timestamp_seconds(F.unix_seconds("datetime") + expected_diff())
     w = Window.partitionBy("id").orderBy("datetime")
-    return first.select("id", F.row_number().over(w).alias("row"), "nurse", format_mdy(t).alias("time"))
+    log = first.select("id", F.row_number().over(w).alias("row"), "nurse", t.alias("t"))
+    more = F.array(F.struct(F.lit(101).alias("row"), F.col("nurse"), F.col("t")),
+                   F.struct(F.lit(102).alias("row"), F.lit(None).cast("string").alias("nurse"), F.col("t")),
+                   F.struct(F.lit(103).alias("row"), F.lit("N98").alias("nurse"),
+                            (F.col("t") + F.expr("INTERVAL 30 MINUTES")).alias("t")))
+    own = F.struct("row", "nurse", "t")
+    extra = (F.col("row") == 1) & (user_of(F.col("id")) % 4 == 0)
+    log = log.select("id", F.explode(F.when(extra, F.concat(F.array(own), more)).otherwise(F.array(own))).alias("r"))
+    return log.select("id", F.col("r.row").alias("row"), F.col("r.nurse").alias("nurse"), format_mdy(F.col("r.t")).alias("time"))
 
 
 def intervention_sheet(spark: SparkSession, sf_dir: str, s: DataFrame | None = None,

@@ -17,6 +17,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from tocsin.operators.episodes import DAY_SECONDS
 from tocsin.plans.ingest import ingest, sheets_from_workbooks
+from tocsin.session import scratch
 from tocsin.sources import literals
 from tocsin.sources.device_csv import parse_device_lines
 from tocsin.sources.workbook import read_workbooks
@@ -33,8 +34,9 @@ def _write_batch(spark: SparkSession, batch: DataFrame, workbook_dir: str, out_d
     cells = read_workbooks(spark, workbook_dir, glob=glob)
     series = ingest(monitor, sheets_from_workbooks(cells), literals.allocation(spark))
     chunk = F.floor(F.unix_seconds("datetime") / F.lit(DAY_SECONDS))
-    (series.repartition("id", chunk).sortWithinPartitions("id", "datetime")
-     .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("id").parquet(out_dir))
+    with scratch(spark):  # nothing that a batch leaves behind outlives it
+        (series.repartition("id", chunk).sortWithinPartitions("id", "datetime")
+         .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("id").parquet(out_dir))
 
 
 def start_ingest_stream(spark: SparkSession, csv_dir: str, workbook_dir: str, out_dir: str, checkpoint: str,
