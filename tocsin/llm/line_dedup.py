@@ -29,6 +29,7 @@ from __future__ import annotations
 
 import re
 
+import numpy as np
 import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame
@@ -41,7 +42,8 @@ SIMILARITY = 0.7
 MIN_DOCS = 10
 BLOCK = 2048
 VARIABLE = "<*>"
-_DIGITS = re.compile(r"\S*\d\S*")
+FILTER_BITS = 1 << 20  # bitmap of leaves: what the broadcast is bounded by
+_DIGIT = re.compile(r"\d")
 _KEY = ("_hash", "_size")
 
 
@@ -50,15 +52,25 @@ def _hash(text: str) -> int:
     return h - 2**64 if h >= 2**63 else h
 
 
+def tokens_of(line: str) -> list[str]:
+    """The tokens of a line, variable fields masked; none of a blank line."""
+    tokens = line.split()
+    if _DIGIT.search(line):
+        tokens = [VARIABLE if _DIGIT.search(t) else t for t in tokens]
+    return tokens
+
+
+def leaf_of(tokens: list[str]) -> int:
+    return _hash(f"{len(tokens)} {' '.join(tokens[:LEADING])}")
+
+
 def parsed(line: str) -> tuple[int, int, str] | None:
     """(leaf, key, masked line) of a line, None for a blank one."""
-    tokens = line.split()
+    tokens = tokens_of(line)
     if not tokens:
         return None
-    if _DIGITS.search(line):
-        tokens = [VARIABLE if _DIGITS.match(t) else t for t in tokens]
     masked = " ".join(tokens)
-    return _hash(f"{len(tokens)} {' '.join(tokens[:LEADING])}"), _hash(masked), masked
+    return leaf_of(tokens), _hash(masked), masked
 
 
 def _signed(docs: DataFrame) -> DataFrame:
@@ -107,10 +119,24 @@ def templates(docs: DataFrame, counted: DataFrame, min_docs: int, similarity: fl
     leaves = (counted.groupBy("leaf").agg(F.count(F.lit(1)).alias("held"), F.sum("texts").alias("all_texts"))
               .where((F.col("held") > 1) & (F.col("all_texts") >= min_docs)).select("leaf", "held"))
     leaves = stored(leaves, "lines-leaves")
+    # A bitmap of the leaves spares the scan lines that the join would drop: at most
+    # FILTER_BITS numbers, whatever the number of leaves.
+    bits = np.zeros(FILTER_BITS, dtype=bool)
+    for r in leaves.select(F.pmod("leaf", F.lit(FILTER_BITS)).alias("bit")).distinct().toLocalIterator():
+        bits[r.bit] = True
+    packed = docs.sparkSession.sparkContext.broadcast(np.packbits(bits))
 
     def listed(batches):
+        wanted = np.unpackbits(packed.value).astype(bool)
         for b in batches:
-            seen = {p[1]: p for t in b["text"] for p in map(parsed, t.split("\n")) if p}
+            seen = {}
+            for text in b["text"]:
+                for line in text.split("\n"):
+                    tokens = tokens_of(line)
+                    if tokens and wanted[(leaf := leaf_of(tokens)) % FILTER_BITS]:
+                        masked = " ".join(tokens)
+                        key = _hash(masked)
+                        seen[key] = (leaf, key, masked)
             yield pd.DataFrame(list(seen.values()), columns=["leaf", "key", "masked"])
 
     lines = (docs.select(text_of().alias("text")).mapInPandas(listed, "leaf long, key long, masked string")
@@ -156,10 +182,13 @@ def drop_recurring_lines(docs: DataFrame, min_docs: int = MIN_DOCS, similarity:
             out = []
             for text, gone_here in zip(b["text"], b["gone"]):
                 lines = text.split("\n")
-                found = [parsed(x) for x in lines]
-                drop = set(gone_here) if gone_here is not None else ()
-                kept = [x for x, p in zip(lines, found) if not p or p[1] not in drop] if drop else lines
-                out.append((sum(p is not None for p in found), len(lines) - len(kept), "\n".join(kept)))
+                n = sum(1 for x in lines if not (x == "" or x.isspace()))
+                if gone_here is None:
+                    out.append((n, 0, text))
+                    continue
+                drop = set(gone_here)
+                kept = [x for x in lines if not (tokens := tokens_of(x)) or _hash(" ".join(tokens)) not in drop]
+                out.append((n, len(lines) - len(kept), "\n".join(kept)))
             yield pd.DataFrame({"doc_id": b["doc_id"], **{
                 name: [row[k] for row in out] for k, name in enumerate(("n_lines", "n_dropped", "text"))}})
 
