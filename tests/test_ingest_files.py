@@ -167,3 +167,29 @@ def test_device_csv_split_mode_many_blocks(spark):
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", before)
     assert whole == split
+
+
+def test_workbook_findings_over_real_files(spark):
+    from tocsin.plans.ingest import workbook_findings
+    root = tempfile.mkdtemp(prefix="tocsin-test-")
+    _, wb_dir = _make_folders(root)
+    # readings a day and ten minutes apart; a nurse too many; no other sheet; the first sheet under another name
+    write_xlsx(os.path.join(wb_dir, "E02.xlsx"), {
+        "Clock": [["device", "time"], ["Capnostream", "01/05/2024 23:55:00"], ["ipad", "01/06/2024 00:05:00"]],
+        "Nurse ID": [["nurse", "time"], ["N01", "01/05/2024 10:00:05"], ["N02", "01/05/2024 10:00:06"]],
+    })
+    found = {(r["id"], r["check"], r["observed"], r["expected"]) for r in workbook_findings(spark, wb_dir).collect()}
+    assert found == {("E01", "intervention_rows", 1.0, 0.0), ("E02", "nurse_rows", 2.0, 1.0),
+                     ("E02", "adverse_rows", 0.0, 1.0), ("E02", "sync_not_same_day", 1.0, 0.0),
+                     ("E02", "sync_gap_over_limit", 10.0, 5.0)}
+
+
+def test_units_of_real_files_use_the_nurse_sheets(spark):
+    from tocsin.plans.trial import Trial
+    root = tempfile.mkdtemp(prefix="tocsin-test-")
+    csv_dir, wb_dir = _make_folders(root)
+    write_xlsx(os.path.join(wb_dir, "E02.xlsx"), {"Nurse ID": [["nurse", "time"], ["N02", "01/05/2024 10:00:05"]]})
+    out = os.path.join(root, "monitor_data")
+    ingest_folders(spark, csv_dir, wb_dir, out_dir=out)
+    units = {tuple(r) for r in Trial.from_folders(spark, out, wb_dir).nurse_units().collect()}
+    assert units == {("N01", "E01", "IPI enabled"), ("N02", None, "IPI disabled")}

@@ -26,13 +26,17 @@ def _finding(df: DataFrame, check: str, observed, expected) -> DataFrame:
                      F.lit(expected).cast("double").alias("expected"))
 
 
-def row_count_check(files: DataFrame, sheet_rows: DataFrame, check: str, expected: int) -> DataFrame:
-    """Workbooks whose sheet does not hold ``expected`` data rows; a
-    workbook with an empty (or absent) sheet counts 0."""
-    per = sheet_rows.groupBy("id").agg(F.count(F.lit(1)).alias("observed"))
-    counted = files.select("id").distinct().join(per, "id", "left").withColumn(
-        "observed", F.coalesce("observed", F.lit(0)))
-    return _finding(counted.filter(F.col("observed") != expected), check, "observed", expected)
+def row_count_checks(files: DataFrame, rows: DataFrame) -> DataFrame:
+    """Workbooks whose sheets do not hold the expected number of data rows,
+    all sheets in one aggregate.  ``rows``: one row ``(id, check)`` per data row
+    (or with a count ``n``); a workbook with an empty or absent sheet counts 0."""
+    n = F.sum("n") if "n" in rows.columns else F.count(F.lit(1))
+    counted = rows.groupBy("id", "check").agg(n.alias("found"))
+    expected = F.array(*[F.struct(F.lit(c).alias("check"), F.lit(n).alias("expected")) for c, n in EXPECTED_ROWS.items()])
+    asked = files.select("id").distinct().select("id", F.explode(expected).alias("e")).select("id", "e.*")
+    checked = asked.join(counted, ["id", "check"], "left").withColumn("observed", F.coalesce("found", F.lit(0)))
+    return checked.filter(F.col("observed") != F.col("expected")).select(
+        "id", "check", F.col("observed").cast("double").alias("observed"), F.col("expected").cast("double").alias("expected"))
 
 
 def same_day_check(pairs: DataFrame) -> DataFrame:
@@ -52,13 +56,15 @@ def gap_check(pairs: DataFrame, limit_minutes: float = MAX_SYNC_GAP_MINUTES, abs
     return _finding(bad, "sync_gap_over_limit", "minutes", limit_minutes)
 
 
-def all_checks(files: DataFrame, sheets: dict[str, DataFrame], pairs: DataFrame) -> DataFrame:
-    """Every check in one findings table.  ``sheets`` maps check names of
-    ``EXPECTED_ROWS`` to ``(id, row)`` frames."""
+def tagged(sheets: dict[str, DataFrame]) -> DataFrame:
+    """Sheet rows under the names of their checks, in one table (id, check)."""
     out = None
     for check, rows in sheets.items():
-        f = row_count_check(files, rows, check, EXPECTED_ROWS[check])
-        out = f if out is None else out.unionByName(f)
-    for f in (same_day_check(pairs), gap_check(pairs)):
-        out = f if out is None else out.unionByName(f)
+        one = rows.select("id", F.lit(check).alias("check"))
+        out = one if out is None else out.unionByName(one)
     return out
+
+
+def all_checks(files: DataFrame, rows: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Every check in one findings table.  ``rows``: see ``row_count_checks``."""
+    return row_count_checks(files, rows).unionByName(same_day_check(pairs)).unionByName(gap_check(pairs))

@@ -349,16 +349,14 @@ _CHECK_VIEWS = dict(
     "FROM c WHERE observed <> expected"))
 def _check_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Workbooks whose sheets do not hold the expected number of rows."""
-    from tocsin.operators.quality import EXPECTED_ROWS, row_count_check
-    fx = _fx()
-    files = fx.series(spark, sf_dir).select("id").distinct()
-    sheets = {"sync_rows": fx.sync_sheet(spark, sf_dir), "nurse_rows": fx.nurse_sheet(spark, sf_dir),
-              "intervention_rows": fx.intervention_sheet(spark, sf_dir), "adverse_rows": fx.adverse_form(spark, sf_dir)}
-    out = None
-    for check, rows in sheets.items():
-        f = row_count_check(files, rows.select("id"), check, EXPECTED_ROWS[check])
-        out = f if out is None else out.unionByName(f)
-    return out
+    from tocsin.operators.quality import row_count_checks, tagged
+    fx, sheets = _fx(), _sheets(spark, sf_dir)
+    return row_count_checks(fx.series(spark, sf_dir).select("id").distinct(), tagged(_checked_sheets(spark, sf_dir, sheets)))
+
+
+def _checked_sheets(spark: SparkSession, sf_dir: str, sheets) -> dict[str, DataFrame]:
+    return {"sync_rows": sheets.sync, "nurse_rows": sheets.nurse, "intervention_rows": sheets.interventions,
+            "adverse_rows": _fx().adverse_form(spark, sf_dir)}
 
 
 @register_raw("check_same_day", O._with(O.BASE, _CHECK_VIEWS) + (
@@ -617,15 +615,11 @@ def _baseline_without_procedure(t: Trial) -> DataFrame:
     "UNION ALL SELECT id, 'sync_gap_over_limit', diff / 60.0, CAST(5 AS DOUBLE) FROM pairs WHERE diff / 60.0 > 5"))
 def _check_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every data-quality finding in one table."""
-    from tocsin.operators.quality import all_checks
-    fx = _fx()
-    sheets_ = _sheets(spark, sf_dir)
-    files = fx.series(spark, sf_dir).select("id").distinct()
-    rows = {"sync_rows": fx.sync_sheet(spark, sf_dir).select("id"), "nurse_rows": sheets_.nurse.select("id"),
-            "intervention_rows": sheets_.interventions.select("id"),
-            "adverse_rows": fx.adverse_form(spark, sf_dir).select("id")}
     from tocsin.operators.clock import clock_pairs
-    return all_checks(files, rows, clock_pairs(sheets_.sync_readings()))
+    from tocsin.operators.quality import all_checks, tagged
+    fx, sheets = _fx(), _sheets(spark, sf_dir)
+    files = fx.series(spark, sf_dir).select("id").distinct()
+    return all_checks(files, tagged(_checked_sheets(spark, sf_dir, sheets)), clock_pairs(sheets.sync_readings()))
 
 
 @register_raw("clock_fill_asof", _PLAN + (
@@ -641,3 +635,47 @@ def _clock_fill_asof(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = dedup(fx.monitor_rows(spark, sf_dir)).select("id", "datetime")
     out = clock_fill(rows, clock_pairs(_sheets(spark, sf_dir).sync_readings()), match="asof")
     return out.select("id", _epoch("datetime"), "diff")
+
+
+# -- O01-O05: readers and writers, over files' contents made from the tables ------
+
+@register_raw("device_lines", O._with(O.BASE) + (
+    "SELECT id, line, CAST(epoch(datetime) AS BIGINT) AS datetime, CAST(spo2 AS DOUBLE) AS spo2, spo2Low, noBreath "
+    "FROM series_raw"))
+def _device_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Device lines (30 comma-separated columns, ``--`` for none) parsed and typed."""
+    from tocsin.sources.device_csv import DEVICE_COLUMNS, parse_numbered_lines
+    raw = _fx().series_raw(spark, sf_dir)
+    known = {"date": F.date_format("datetime", "MM/dd/yyyy"), "time": F.date_format("datetime", "HH:mm:ss"),
+             **{c: F.coalesce(F.col(c).cast("string"), F.lit("--")) for c in ("spo2", "spo2Low", "noBreath")}}
+    text = F.concat_ws(",", *[known.get(c, F.lit("--")) for c in DEVICE_COLUMNS])
+    parsed = parse_numbered_lines(raw.select(F.concat("id", F.lit(".csv")).alias("file"), "line", text.alias("text")))
+    return parsed.select("id", "line", _epoch("datetime"), "spo2", "spo2Low", "noBreath")
+
+
+@register("series_round_trip", O._with(O.BASE) + (
+    "SELECT id, CAST(epoch(datetime) AS BIGINT) AS datetime, nurse, event, spo2 FROM series"))
+def _series_round_trip(t: Trial) -> DataFrame:
+    """The series written as a dataset and read back."""
+    from tocsin.session import scratch_path
+    from tocsin.sources.dataset import read_series, write_series
+    path = scratch_path(t.spark, "series")
+    write_series(t.series(), path)
+    return read_series(t.spark, path).select("id", _epoch("datetime"), "nurse", "event", "spo2")
+
+
+@register("patient_sheet", O._with(O.BASE) + (
+    "SELECT patient AS id, CAST(1 AS INTEGER) AS \"row\", patient, CAST(age AS DOUBLE) AS age, sex, "
+    "CAST(totalMidaz AS DOUBLE) AS totalMidaz, caseStart, CAST(NULL AS VARCHAR) AS absent FROM patient_form"))
+def _patient_sheet(t: Trial) -> DataFrame:
+    """A sheet out of the long table of workbook cells, by its header,
+    with a column that no workbook has."""
+    from tocsin.sources.workbook import sheet_frame
+    names = ("patient", "age", "sex", "totalMidaz", "caseStart")
+    cell = lambda row, col, value: F.struct(F.lit(row).alias("row"), F.lit(col).alias("col"), value.alias("value"))
+    cells = [cell(1, k, F.lit(n)) for k, n in enumerate(names, 1)]
+    cells += [cell(2, k, F.col(n).cast("string")) for k, n in enumerate(names, 1)]
+    long = t.patient_form().select(F.col("patient").alias("id"), F.explode(F.array(*cells)).alias("c")).select(
+        "id", F.lit(1).alias("sheet_index"), F.lit("Patient").alias("sheet"), "c.*").where("value IS NOT NULL")
+    out = sheet_frame(long, [*names, "absent"], sheet="Patient", types={"age": "double", "totalMidaz": "double"})
+    return out.withColumn("row", F.col("row").cast("int"))

@@ -61,15 +61,28 @@ def sheets_from_workbooks(cells: DataFrame) -> ObserverSheets:
     )
 
 
+def workbook_findings(spark: SparkSession, workbook_dir: str) -> DataFrame:
+    """O47-O49 over a folder of observer workbooks, parsed once."""
+    from tocsin.operators.quality import all_checks
+    from tocsin.session import materialize
+    from tocsin.sources.workbook import counted_rows, read_workbooks, sheet_frame, workbook_files
+
+    cells = materialize(read_workbooks(spark, workbook_dir), "workbook-cells")
+    sync = sheet_frame(cells, ["device", "time"], sheet_index=1)
+    pairs = clock_pairs(sync.select("id", "row", "device", mdy_hms(F.col("time")).alias("time")))
+    return all_checks(workbook_files(spark, workbook_dir), counted_rows(cells), pairs)
+
+
 def ingest_folders(spark: SparkSession, csv_dir: str, workbook_dir: str, out_dir: str | None = None,
                    match: str = "exact") -> DataFrame:
     """Folder-to-dataset ingest: CSV recordings + tablet workbooks -> series."""
+    from tocsin.session import materialize
     from tocsin.sources.dataset import write_series
     from tocsin.sources.device_csv import read_device_csv
     from tocsin.sources.workbook import read_workbooks
 
     monitor = read_device_csv(spark, csv_dir)
-    sheets = sheets_from_workbooks(read_workbooks(spark, workbook_dir))
+    sheets = sheets_from_workbooks(materialize(read_workbooks(spark, workbook_dir), "workbook-cells"))
     series = ingest(monitor, sheets, literals.allocation(spark), match=match)
     if out_dir is not None:
         write_series(series, out_dir)

@@ -62,6 +62,7 @@ class Trial:
     def from_folders(cls, spark: SparkSession, series_path: str, workbook_dir: str, **kw) -> "Trial":
         """Real inputs: the ingested series dataset (O04) and the observer
         workbooks (O02) for the patient and adverse-event sheets."""
+        from tocsin.session import materialize
         from tocsin.sources.dataset import read_series
         from tocsin.sources.workbook import read_workbooks, sheet_frame, sheet_header
 
@@ -69,7 +70,7 @@ class Trial:
         # and no unit is added unless the caller names them.
         kw.setdefault("overrides", ())
         kw.setdefault("missing_rows", ())
-        cells = read_workbooks(spark, workbook_dir)
+        cells = materialize(read_workbooks(spark, workbook_dir), "workbook-cells")  # one parse for all sheets
 
         def patient_form() -> DataFrame:
             return sheet_frame(cells, PATIENT_COLUMNS, sheet="Patient", types=PATIENT_TYPES).drop("id", "row")

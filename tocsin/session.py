@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 from contextlib import contextmanager
 
 from pyspark.sql import SparkSession
@@ -75,19 +76,21 @@ _FOLDERS: list[str] = []
 _KEPT: list = []
 
 
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A new folder name under the checkpoint folder, freed with :func:`release`."""
+    path = f"{checkpoint_dir(spark).rstrip('/')}/tocsin-{name}-{uuid.uuid4().hex}"
+    _FOLDERS.append(path)
+    return path
+
+
 def materialize(df, name: str):
     """Write ``df`` as Parquet under the shared checkpoint folder and read it
     back.  Cuts the lineage (a lost executor does not recompute upstream
     shuffles) and lets later passes read only the columns they need.  The folder
     stays until :func:`release`."""
-    import uuid
-
-    spark = df.sparkSession
-    base = checkpoint_dir(spark).rstrip("/")
-    path = f"{base}/tocsin-{name}-{uuid.uuid4().hex}"
-    _FOLDERS.append(path)
+    path = scratch_path(df.sparkSession, name)
     df.write.mode("errorifexists").parquet(path)
-    return spark.read.parquet(path)
+    return df.sparkSession.read.parquet(path)
 
 
 def keep(df):

@@ -75,16 +75,16 @@ def read_device_csv(spark: SparkSession, path: str, skip: int = 6, split_files:
     scale = -(-(1 << 33) // min_split)
     numbered = body.select("file", (F.col("_b") * F.lit(scale) + (F.col("_r") % F.lit(1 << 33))).alias("line"),
                            "text")
-    return _parse(numbered)
+    return parse_numbered_lines(numbered)
 
 
 def parse_device_lines(files: DataFrame, skip: int = 6) -> DataFrame:
     """``file, value`` (whole file text) -> typed device rows (see module doc)."""
     lines = files.select("file", F.posexplode(F.split("value", r"\r?\n")).alias("line", "text"))
-    return _parse(lines.filter(F.col("line") >= skip))
+    return parse_numbered_lines(lines.filter(F.col("line") >= skip))
 
 
-def _parse(lines: DataFrame) -> DataFrame:
+def parse_numbered_lines(lines: DataFrame) -> DataFrame:
     """``file, line, text`` -> typed device rows; blank lines are skipped."""
     lines = lines.filter(F.length(F.trim("text")) > 0)
     ddl = ", ".join(f"`{c}` STRING" for c in DEVICE_COLUMNS)

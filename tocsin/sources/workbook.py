@@ -142,3 +142,16 @@ def sheet_row_counts(cells: DataFrame, files: DataFrame, sheet: str | None = Non
     sel = cells.filter(F.col("sheet") == sheet) if sheet is not None else cells.filter(F.col("sheet_index") == sheet_index)
     per = sel.groupBy("id").agg((F.countDistinct("row") - 1).alias("observed"))
     return files.join(per, "id", "left").select("id", F.coalesce("observed", F.lit(0)).cast("long").alias("observed"))
+
+
+# The sheet that each row count looks at; clock readings stand on
+# the first sheet, whatever its name.
+COUNTED_SHEETS = {"Nurse ID": "nurse_rows", "Interventions": "intervention_rows", "Adverse events": "adverse_rows"}
+
+
+def counted_rows(cells: DataFrame) -> DataFrame:
+    """Data rows (``id, check, n``) of all checked sheets, in one aggregate."""
+    names = F.create_map(*[F.lit(x) for pair in COUNTED_SHEETS.items() for x in pair])
+    check = F.when(F.col("sheet_index") == 1, "sync_rows").otherwise(names[F.col("sheet")])
+    return (cells.select("id", check.alias("check"), "row").where(F.col("check").isNotNull())
+            .groupBy("id", "check").agg((F.countDistinct("row") - 1).alias("n")))
