@@ -40,7 +40,11 @@ def test_encode_and_decode(docs, chunk, overlap):
     library = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=load_ranks(RANKS), special_tokens={})
     own = texts(60, 3) + [None, "", " " * 70_000, "x" * 70_000, "word " * 8_000, "same text twice " * 3, "same text twice " * 3]
     ids = [*range(len(own) - 2), 777, 777]  # a repeated row
-    got = byte_bpe.digests(byte_bpe.decode(byte_bpe.encode(docs(own, ids=ids), RANKS, PATTERN, chunk, overlap), RANKS))
+    df = docs(own, ids=ids)
+    if chunk == 12:  # encoding and decoding apart
+        got = byte_bpe.digests(byte_bpe.decode(byte_bpe.encode(df, RANKS, PATTERN, chunk, overlap), RANKS))
+    else:
+        got = byte_bpe.digests(byte_bpe.encode(df, RANKS, PATTERN, chunk, overlap, decoded=True))
     want = []
     for k, t in zip(ids, own):
         tokens = library.encode_ordinary(t or "")

@@ -41,8 +41,9 @@ OVERLAP = 1_024
 #: Characters behind a match that can still change it: a blank run's lookahead
 #: and the two letters of a contraction.
 LOOKAHEAD = 3
-CACHE = 1 << 19
+CACHE = 1 << 18
 CACHED_PIECE = 64
+ROWS_OUT = 1_000  # rows handed back at a time
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -113,19 +114,27 @@ def _encoder(spark: SparkSession, ranks_path: str):
     return spark.sparkContext.broadcast(load_ranks(ranks_path))
 
 
-def encode(docs: DataFrame, ranks_path: str, pattern: str, chunk: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
-    """(doc_id, ids) for each row of ``docs`` (doc_id, text)."""
+def encode(docs: DataFrame, ranks_path: str, pattern: str, chunk: int = CHUNK, overlap: int = OVERLAP,
+           decoded: bool = False) -> DataFrame:
+    """(doc_id, ids) for each row of ``docs`` (doc_id, text); with ``decoded`` also
+    the bytes of the ids, decoded by the task that has just encoded them."""
     if overlap <= LOOKAHEAD or overlap > chunk:
         raise ValueError("the overlap lies between the lookahead and the chunk")
     ranks = _encoder(docs.sparkSession, ranks_path)
     kind = docs.schema["doc_id"].dataType.simpleString()
     rows = keyed(docs)
 
+    def columns(ids: list[bytes]) -> dict[str, list[bytes]]:
+        table = decode_table(ranks) if decoded else None
+        return {"ids": ids} | ({"decoded": [decode_ids(x, table) for x in ids]} if decoded else {})
+
     def whole(batches):
         pieces, split = Pieces(ranks.value), regex.compile(pattern)
         for b in batches:
-            yield pd.DataFrame({"doc_id": b["doc_id"],
-                                "ids": [b"".join(map(pieces.__getitem__, split.findall(t))) for t in b["text"]]})
+            for at in range(0, len(b), ROWS_OUT):
+                part = b.iloc[at:at + ROWS_OUT]
+                ids = [b"".join(map(pieces.__getitem__, split.findall(t))) for t in part["text"]]
+                yield pd.DataFrame({"doc_id": part["doc_id"].array} | columns(ids))
 
     def pretokenised(batches):
         split = regex.compile(pattern)
@@ -144,26 +153,26 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, chunk: int = CHUNK, o
                               [np.frombuffer(e, dtype="<i4") for e in part["ends"]], chunk)
         get = state["pieces"].__getitem__
         ids = b"".join(get(text[a:b]) for a, b in zip([0, *ends[:-1]], ends))
-        return pd.DataFrame({"doc_id": part["doc_id"].iloc[[0] * copies].array, "ids": [ids] * copies})
+        return pd.DataFrame({"doc_id": part["doc_id"].iloc[[0] * copies].array} | columns([ids] * copies))
 
-    schema = f"doc_id {kind}, ids binary"
+    schema = f"doc_id {kind}, ids binary" + ", decoded binary" * decoded
     short = rows.where(F.col("_size") <= chunk).select("doc_id", "text").mapInPandas(whole, schema)
     parts = chunked(rows.where(F.col("_size") > chunk), chunk, overlap)
     ended = parts.mapInPandas(pretokenised, parts.schema.simpleString()[7:-1] + ",ends:binary")
     return short.unionByName(ended.groupBy(*KEY).applyInPandas(joined, schema))
 
 
+def decode_ids(ids: bytes, table: list[bytes | None]) -> bytes:
+    return b"".join(map(table.__getitem__, np.frombuffer(ids, dtype="<u4").tolist()))
+
+
 def decode(encoded: DataFrame, ranks_path: str) -> DataFrame:
     """``encoded`` with the column ``decoded``: the bytes of its ids."""
     ranks = _encoder(encoded.sparkSession, ranks_path)
 
-    def joined(ids: bytes, vocabulary: list[bytes | None]) -> bytes:
-        return b"".join(map(vocabulary.__getitem__, np.frombuffer(ids, dtype="<u4").tolist()))
-
     @F.pandas_udf("binary")
     def bytes_of(batches: pd.Series) -> pd.Series:
-        vocabulary = decode_table(ranks)
-        return batches.map(partial(joined, vocabulary=vocabulary))
+        return batches.map(partial(decode_ids, table=decode_table(ranks)))
 
     return encoded.withColumn("decoded", bytes_of(F.col("ids")))
 

@@ -31,8 +31,17 @@ def shared_path(spark: SparkSession, name: str) -> str:
 
 
 def documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
+    bounded_batches(spark)
     return read_table(spark, sf_dir, "documents").select(*(columns or ("*",)))
 
 
+def bounded_batches(spark: SparkSession, rows: int = 1_000) -> None:
+    """Python tasks get ``rows`` rows at a time, unless the session says otherwise:
+    texts are long, and Spark's 10,000 of them make batches of many MB."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if key not in spark.conf.getAll:
+        spark.conf.set(key, str(rows))
+
+
 def task_count(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

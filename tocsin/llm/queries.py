@@ -34,8 +34,8 @@ def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
-    encoded = byte_bpe.encode(documents(spark, sf_dir, "doc_id", "text"), ranks, public_tokenizers.PATTERN)
-    return byte_bpe.digests(byte_bpe.decode(encoded, ranks))
+    docs = documents(spark, sf_dir, "doc_id", "text")
+    return byte_bpe.digests(byte_bpe.encode(docs, ranks, public_tokenizers.PATTERN, decoded=True))
 
 
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
