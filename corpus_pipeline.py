@@ -15,13 +15,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tocsin.llm import byte_bpe, exact_dedup, jaccard, mixing, quality
-from tocsin.llm.common import stored
+from tocsin.llm.common import bounded_batches, stored
 from tocsin.sources.tables import read_table
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier rejects go.  It is fitted on labelled rows of
     ``docs`` itself."""
+    bounded_batches(spark)
     labels = read_table(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("y"))
     return quality.accepted(docs, labels)
 
@@ -33,6 +34,7 @@ def exact_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of linked documents, the one with the smallest id stays."""
+    bounded_batches(spark)
     return jaccard.one_of_each(docs)
 
 
@@ -43,9 +45,9 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every row's token ids, and the digest of its decoded bytes."""
+    bounded_batches(spark)
     ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
-    encoded = byte_bpe.encode(docs, ranks, public_tokenizers.PATTERN)
-    return byte_bpe.digests(byte_bpe.decode(encoded, ranks))
+    return byte_bpe.digests(byte_bpe.encode(docs, ranks, public_tokenizers.PATTERN, decoded=True))
 
 
 STAGES = [
