@@ -54,3 +54,9 @@ def test_entry(spark):
 def test_every_query_has_docstring():
     for name, fn in E.queries().items():
         assert fn.__doc__, name
+
+
+def test_outcome_tables_come_ordered_by_cluster(spark):
+    for name in ("primary_outcome", "alarms_all", "desat_area_rows"):
+        rows = [((r["nurse"] is None, r["nurse"]), r["id"]) for r in E.queries()[name](spark, SF_SMALL).collect()]
+        assert rows == sorted(rows), name

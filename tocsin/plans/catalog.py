@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tocsin.plans import oracle as O
+from tocsin.operators.rows import sort_by_cluster
 from tocsin.plans.trial import Trial
 from tocsin.session import configure
 
@@ -75,25 +76,25 @@ def _episodes_answered_dataset(t: Trial) -> DataFrame:
 @register("primary_outcome", O.seconds_in_alarm_sql(O.ANSWERED))
 def _primary(t: Trial) -> DataFrame:
     """Seconds in alarm until the first response, per unit."""
-    return t.primary()
+    return sort_by_cluster(t.primary())
 
 
 @register("primary_outcome_dataset", O.seconds_in_alarm_sql(O.ANSWERED, walk=O.WALK_DATASET))
 def _primary_dataset(t: Trial) -> DataFrame:
     """O31 parity mode: NULL-start rule (an id with an unknown start scores 0)."""
-    return t.primary(scope="dataset")
+    return sort_by_cluster(t.primary(scope="dataset"))
 
 
 @register("alarm_duration_dataset", O.seconds_in_alarm_sql(O.CLEAR, walk=O.WALK_DATASET))
 def _duration_dataset(t: Trial) -> DataFrame:
     """O32 parity mode."""
-    return t.alarm_duration(scope="dataset")
+    return sort_by_cluster(t.alarm_duration(scope="dataset"))
 
 
 @register("alarm_duration", O.seconds_in_alarm_sql(O.CLEAR))
 def _duration(t: Trial) -> DataFrame:
     """Total seconds in alarm, per unit."""
-    return t.alarm_duration()
+    return sort_by_cluster(t.alarm_duration())
 
 
 @register("zero_share", O.zero_share_sql())
@@ -113,31 +114,31 @@ def _nonzero(t: Trial) -> DataFrame:
 @register("alarms_all", O.alarms_sql("event <> 'Fix equipment'"))
 def _alarms_all(t: Trial) -> DataFrame:
     """Alarm seconds with an event other than fixing equipment."""
-    return t.alarms("all")
+    return sort_by_cluster(t.alarms("all"))
 
 
 @register("alarms_appropriate", O.alarms_sql("event NOT IN ('Fix equipment', 'Alarm silenced')"))
 def _alarms_app(t: Trial) -> DataFrame:
     """Alarm seconds answered by an intervention."""
-    return t.alarms("appropriate")
+    return sort_by_cluster(t.alarms("appropriate"))
 
 
 @register("alarms_inappropriate", O.alarms_sql("event = 'Alarm silenced'"))
 def _alarms_inapp(t: Trial) -> DataFrame:
     """Alarm seconds dismissed by silencing."""
-    return t.alarms("inappropriate")
+    return sort_by_cluster(t.alarms("inappropriate"))
 
 
 @register("desat_area_episode", O.desat_episode_sql())
 def _desat_ep(t: Trial) -> DataFrame:
     """Desaturation area over episode-end rows."""
-    return t.desaturation("episode_end")
+    return sort_by_cluster(t.desaturation("episode_end"))
 
 
 @register("desat_area_rows", O.desat_rows_sql())
 def _desat_rows(t: Trial) -> DataFrame:
     """Desaturation area over every second."""
-    return t.desaturation("every_row")
+    return sort_by_cluster(t.desaturation("every_row"))
 
 
 @register("adverse_flag", O.adverse_sql())
@@ -177,7 +178,7 @@ def _first_row(t: Trial) -> DataFrame:
 @register("units_right_join", O.seconds_in_alarm_sql(O.CLEAR, with_missing=False))
 def _units_right(t: Trial) -> DataFrame:
     """Per-id outcome right-joined to all units (NULL-safe keys)."""
-    return t.alarm_duration(with_missing=False)
+    return sort_by_cluster(t.alarm_duration(with_missing=False))
 
 
 @register("nurse_right_join", O._with(O.BASE, O.NURSE_UNITS) + "SELECT nurse, id, randomization FROM nu")

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from tocsin.operators import cohort, outcomes
 from tocsin.operators.episodes import DAY_SECONDS, episodes
-from tocsin.operators.rows import distinct_units, first_row_per_key, order_key, sort_by_cluster
+from tocsin.operators.rows import distinct_units, first_row_per_key, order_key
 from tocsin.functions.alarm import any_alarm_state, event_accepted
 from tocsin.sources import fixtures, literals
 
@@ -122,22 +122,23 @@ class Trial:
         return episodes(self.analysed(), state, answered, end=end, scope=scope or self.scope,
                         chunk_seconds=self.chunk_seconds)
 
+    # Outcomes come unordered; the output order (O25) is the sink's business.
     def primary(self, scope: str | None = None) -> DataFrame:
-        return sort_by_cluster(outcomes.seconds_in_alarm(
+        return outcomes.seconds_in_alarm(
             self.analysed(), None, self.missing(), end="answered", scope=scope or self.scope,
-            chunk_seconds=self.chunk_seconds, flags=self.flags))
+            chunk_seconds=self.chunk_seconds, flags=self.flags)
 
     def alarm_duration(self, scope: str | None = None, with_missing: bool = True) -> DataFrame:
-        return sort_by_cluster(outcomes.seconds_in_alarm(
+        return outcomes.seconds_in_alarm(
             self.analysed(), None, self.missing() if with_missing else None, end="clear",
-            scope=scope or self.scope, chunk_seconds=self.chunk_seconds, flags=self.flags))
+            scope=scope or self.scope, chunk_seconds=self.chunk_seconds, flags=self.flags)
 
     def alarms(self, vocabulary: str) -> DataFrame:
-        return sort_by_cluster(outcomes.event_alarm_count(self.analysed(), self.missing(), vocabulary, self.flags))
+        return outcomes.event_alarm_count(self.analysed(), self.missing(), vocabulary, self.flags)
 
     def desaturation(self, sample: str = "episode_end") -> DataFrame:
-        return sort_by_cluster(outcomes.desaturation_area(self.analysed(), None, sample=sample, scope=self.scope,
-                                                          chunk_seconds=self.chunk_seconds, flags=self.flags))
+        return outcomes.desaturation_area(self.analysed(), None, sample=sample, scope=self.scope,
+                                          chunk_seconds=self.chunk_seconds, flags=self.flags)
 
     def adverse(self) -> DataFrame:
         return cohort.adverse_flags(self.adverse_form_fn(), self.units())
