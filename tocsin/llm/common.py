@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tocsin.session import checkpoint_dir, materialize
+from tocsin.session import materialize, scratch_path
 from tocsin.sources.tables import read_table
 
 #: What separates words in most contracts: blank and the controls tab to CR.
@@ -26,8 +24,8 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
-    """A new place in the shared checkpoint folder."""
-    return f"{checkpoint_dir(spark).rstrip('/')}/tocsin-llm-{name}-{uuid.uuid4().hex}"
+    """A new place in the shared checkpoint folder, freed with ``session.release``."""
+    return scratch_path(spark, f"llm-{name}")
 
 
 def documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:

@@ -24,7 +24,6 @@ from __future__ import annotations
 
 import math
 import re
-import zlib
 from collections import Counter
 
 import numpy as np
@@ -264,7 +263,7 @@ def accepted(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -
     """The rows of ``docs`` that the classifier doesn't reject; columns unchanged.
 
     A row is judged by its own text as it is read, so nothing is joined back."""
-    model = fit(stored(document_statistics(docs), "quality-statistics"), labels)
+    model = fit(document_statistics(docs), labels)  # which stores the labelled rows
 
     @F.pandas_udf("double")
     def judged(text: pd.Series) -> pd.Series:
