@@ -83,7 +83,7 @@ def plan_mix(sized: DataFrame, share: float = SHARE, max_epochs: float = MAX_EPO
             .withColumn("whole", F.when(F.col("source_size") > 0,
                                         F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long"))
             .withColumn("goal", F.col("target") - F.col("whole") * F.col("source_size")))
-    plan = stored(plan, "mix-plan")
+    plan = stored(plan, "mix-targets")
     bucket = F.substring("hash", 1, BUCKET_DIGITS)
     run = Window.partitionBy("source").orderBy("bucket")
     cut = (sized.groupBy("source", bucket.alias("bucket")).agg(F.sum("size").alias("words"))
@@ -100,8 +100,11 @@ def plan_mix(sized: DataFrame, share: float = SHARE, max_epochs: float = MAX_EPO
             .withColumn("fits", F.col("base") + F.col("upto") - F.col("words") / 2 < F.col("goal"))
             .groupBy("source", "bucket").agg(F.max(F.when(F.col("fits"), F.col("hash"))).alias("last"))
             .select(F.col("source").alias("_s"), F.coalesce("last", "bucket").alias("cut")))
-    return (plan.join(near, F.col("_s").eqNullSafe(F.col("source")), "left")
+    plan = (plan.join(near, F.col("_s").eqNullSafe(F.col("source")), "left")
             .select(F.col("source").alias("mix_source"), "source_size", "target", "whole", "cut"))
+    # Written, its size is known to the planner: the documents needn't move to meet
+    # a row per source unless there are very many sources.
+    return stored(plan, "mix-cuts")
 
 
 def copies_of(source_hash: Column) -> Column:
