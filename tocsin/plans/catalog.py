@@ -434,7 +434,7 @@ def _procedure_group(t: Trial) -> DataFrame:
 # -- O39-O46: statistics ------------------------------------------------------
 
 @register("icc_components", f"WITH d AS ({O.seconds_in_alarm_sql(O.CLEAR)}) " + (
-    "SELECT nurse AS cluster, count(*) AS n, round(avg(outcome), 6) AS mean, round(var_pop(outcome) * count(*), 3) AS m2 "
+    "SELECT nurse AS cluster, count(*) AS n, round(avg(outcome), 4) AS mean, round(stddev_pop(outcome), 4) AS sd "
     "FROM d WHERE nurse IS NOT NULL GROUP BY nurse"))
 def _icc_components(t: Trial) -> DataFrame:
     """Per-cluster moments (total alarm duration), rounded."""
@@ -443,11 +443,11 @@ def _icc_components(t: Trial) -> DataFrame:
 
 
 def _rounded_moments(df: DataFrame) -> DataFrame:
-    return df.select("cluster", "n", F.round("mean", 6).alias("mean"), F.round("m2", 3).alias("m2"))
+    return df.select("cluster", "n", F.round("mean", 4).alias("mean"), F.round(F.sqrt(F.col("m2") / F.col("n")), 4).alias("sd"))
 
 
 @register("icc_components_desat", f"WITH d AS ({O.desat_episode_sql()}) " + (
-    "SELECT nurse AS cluster, count(*) AS n, round(avg(outcome), 6) AS mean, round(var_pop(outcome) * count(*), 3) AS m2 "
+    "SELECT nurse AS cluster, count(*) AS n, round(avg(outcome), 4) AS mean, round(stddev_pop(outcome), 4) AS sd "
     "FROM d WHERE nurse IS NOT NULL GROUP BY nurse"))
 def _icc_components_desat(t: Trial) -> DataFrame:
     """Per-cluster moments of a fractional outcome (desaturation area), rounded."""
