@@ -1,6 +1,7 @@
 import random
 
 from brute import line_dedup as brute
+from tocsin.llm import line_dedup
 from tocsin.llm.line_dedup import drop_recurring_lines, parse_leaf, parsed
 
 
@@ -58,5 +59,34 @@ def test_hot_leaf_is_dealt_into_blocks(docs):
     assert all(r.n_dropped == r.n_lines == 1 and r.text == "" for r in got)
 
 
+def hot_leaf(others):
+    """A template of 12 lines among others of its leaf, some with variable fields."""
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    own = [f"user is now {' '.join(word() if k % 9 else 'n7' for _ in range(2))} {word()} {word()} {word()}"
+           for k in range(others)]
+    own += [f"user is now {word()} logged in from home" for _ in range(12)]
+    own += [f"user is now seen {word()[:1]} {word()[:1]} at {rng.choice('xyz')}" for _ in range(200)]
+    rng.shuffle(own)
+    return own
+
+
+def test_hot_leaf_is_parsed_like_brute_force(docs):
+    own = hot_leaf(4000)
+    got = drop_recurring_lines(docs(own), min_docs=10, block=40).collect()
+    assert sorted(map(tuple, got)) == sorted(brute(list(enumerate(own)), 10, 0.7))
+    assert all(r.n_dropped == 1 for r in got if own[r.doc_id].endswith("logged in from home"))
+
+
+def test_indexed_parse_is_the_plain_one(monkeypatch):
+    rng = random.Random(8)
+    for similarity in (0.3, 0.7, 1.0):
+        lines = [(k, [rng.choice(["a", "b", "<*>"]) for _ in range(8)]) for k in range(300)]
+        monkeypatch.setattr(line_dedup, "SCANNED", 32)
+        indexed = parse_leaf(lines, similarity)
+        monkeypatch.setattr(line_dedup, "SCANNED", 1000)
+        assert indexed == parse_leaf(lines, similarity)
+
+
 def test_empty(table):
     assert drop_recurring_lines(table([], "doc_id long, text string")).collect() == []

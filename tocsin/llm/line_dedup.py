@@ -14,8 +14,9 @@ dropped from all documents; equal texts count once, however many copies.
    template of its own.
 3. Leaves with several keys and enough texts have their lines fetched and
    parsed one after the other, most frequent first.  Leaves of more than
-   ``BLOCK`` keys are dealt into blocks; equal templates of several blocks are
-   one, as a template is named by its tokens.
+   ``BLOCK`` keys are dealt into cells by content: lines that could share a
+   template are linked by a group of places in which they agree, and what is
+   linked is parsed in one task.  The result is the same for every ``BLOCK``.
 4. Texts per template are counted exactly, and each text gets the keys of its
    lines that go.
 
@@ -28,6 +29,7 @@ are not read.
 from __future__ import annotations
 
 import re
+from collections import defaultdict
 
 import numpy as np
 import pandas as pd
@@ -36,11 +38,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tocsin.llm.common import stored, text_of
+from tocsin.llm.components import components
 
 LEADING = 3
 SIMILARITY = 0.7
 MIN_DOCS = 10
 BLOCK = 2048
+SCANNED = 32  # lines of which a parse compares all templates
 VARIABLE = "<*>"
 FILTER_BITS = 1 << 20  # bitmap of leaves: what the broadcast is bounded by
 _DIGIT = re.compile(r"\d")
@@ -93,26 +97,85 @@ def line_index(docs: DataFrame) -> DataFrame:
     return rows.groupBy("_hash", "_size").agg(F.first("leaves").alias("leaves"), F.first("keys").alias("keys"))
 
 
+def tolerated(size: int, similarity: float) -> int:
+    """In how many places a line of ``size`` tokens may differ from its template;
+    -1 if none fits."""
+    need = similarity * size
+    return next((m for m in range(min(size, int(max(0.0, size - need)) + 1), -1, -1) if size - m >= need), -1)
+
+
+def dealt(places: list[int], n: int) -> list[list[int]]:
+    """``places`` in ``n`` groups: lines that differ in fewer than ``n`` places agree in
+    all of some group."""
+    return [places[k::n] for k in range(n)]
+
+
 def parse_leaf(lines: list[tuple[int, list[str]]], similarity: float) -> list[tuple[int, list[str]]]:
     """(key, template) of a leaf's lines (key, tokens), each joined to the most
     similar template so far or the first of a new one."""
     templates: list[list[str]] = []
     member: list[int] = []
+    # Of many templates, only those that agree with the line in a whole group can be similar enough.
+    groups = None
+    if len(lines) > SCANNED:
+        varied = [p for p, column in enumerate(zip(*(tokens for _, tokens in lines))) if len(set(column)) > 1]
+        groups = dealt(varied, tolerated(len(lines[0][1]), similarity) + 1)
+    index = defaultdict(list)
     for _, tokens in lines:
         need, best, at = similarity * len(tokens), -1, None
-        for k, template in enumerate(templates):
-            same = sum(map(str.__eq__, template, tokens))
+        held = None if groups is None else [(g, *[tokens[p] for p in places]) for g, places in enumerate(groups)]
+        near = range(len(templates)) if held is None else sorted({k for h in held for k in index.get(h, ())})
+        for k in near:
+            same = sum(map(str.__eq__, templates[k], tokens))
             if same >= need and same > best:
                 best, at = same, k
         if at is None:
             at = len(templates)
             templates.append(list(tokens))
+            for h in held or ():
+                index[h].append(at)
         elif best < len(tokens):
-            templates[at] = [a if a == b else VARIABLE for a, b in zip(templates[at], tokens)]
+            old = templates[at]
+            new = templates[at] = [a if a == b else VARIABLE for a, b in zip(old, tokens)]
+            for g, places in enumerate(groups or ()):
+                if any(old[p] != new[p] for p in places):
+                    index[(g, *[new[p] for p in places])].append(at)
         member.append(at)
     return [(key, templates[k]) for (key, _), k in zip(lines, member)]
 
 
+def linked(lines: DataFrame, similarity: float) -> DataFrame:
+    """(key, salt): lines (leaf, key, masked) of a leaf with different salts share no
+    template, in whatever order they are parsed.
+
+    A line that joins a template agrees with each of its lines wherever neither
+    has a variable field, but for the tolerated places.  The places without any
+    variable field in the leaf are dealt into one group more than that, so both
+    lines have the same tokens in one of them.  Lines and groups are linked."""
+    def variable(batches):
+        for b in batches:
+            found = {(leaf, p) for leaf, m in zip(b["leaf"], b["masked"]) if VARIABLE in m
+                     for p, t in enumerate(m.split(" ")) if t == VARIABLE}
+            yield pd.DataFrame(sorted(found), columns=["leaf", "place"])
+
+    wild = (lines.select("leaf", "masked").mapInPandas(variable, "leaf long, place int")
+            .groupBy("leaf").agg(F.collect_set("place").alias("wild")))
+
+    def cells(batches):
+        for b in batches:
+            out = []
+            for leaf, key, masked, places in zip(b["leaf"], b["key"], b["masked"], b["wild"]):
+                tokens = masked.split(" ")
+                skipped = set() if places is None else set(places)
+                fixed = [p for p in range(LEADING, len(tokens)) if p not in skipped]
+                for g, group in enumerate(dealt(fixed, tolerated(len(tokens), similarity) + 1)):
+                    out.append((key, _hash(" ".join([str(leaf), str(g), *[tokens[p] for p in group]]))))
+            yield pd.DataFrame(out, columns=["a", "b"])
+
+    links = lines.join(wild, "leaf", "left").select("leaf", "key", "masked", "wild").mapInPandas(cells, "a long, b long")
+    return components(links).select(F.col("node").alias("key"), F.col("component").alias("salt"))
+
+
 def templates(docs: DataFrame, counted: DataFrame, min_docs: int, similarity: float, block: int) -> DataFrame:
     """(key, template) of the keys in leaves with several.  ``counted``: (leaf,
     key, texts)."""
@@ -141,8 +204,14 @@ def templates(docs: DataFrame, counted: DataFrame, min_docs: int, similarity: fl
 
     lines = (docs.select(text_of().alias("text")).mapInPandas(listed, "leaf long, key long, masked string")
              .join(leaves, "leaf").groupBy("leaf", "held", "key").agg(F.first("masked").alias("masked"))
-             .join(counted.select("key", "texts"), "key")
-             .withColumn("salt", F.pmod(F.xxhash64("key"), F.ceil(F.col("held") / block))))
+             .join(counted.select("key", "texts"), "key"))
+    if leaves.where(F.col("held") > block).isEmpty():
+        lines = lines.withColumn("salt", F.lit(0).cast("long"))
+    else:
+        lines = stored(lines, "lines-of-leaves")
+        salts = stored(linked(lines.where(F.col("held") > block), similarity), "lines-salts")
+        lines = (lines.join(salts, "key", "left")
+                 .withColumn("salt", F.when(F.col("held") > block, F.coalesce("salt", "key")).otherwise(F.lit(0))))
 
     def parse(part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values(["texts", "key"], ascending=[False, True])
