@@ -88,5 +88,23 @@ def test_indexed_parse_is_the_plain_one(monkeypatch):
         assert indexed == parse_leaf(lines, similarity)
 
 
+def test_long_passages_go_at_two_texts(docs):
+    rng = random.Random(3)
+    prose = lambda n: " ".join("".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(n))
+    passage, edited, copied, other, short = prose(60), prose(55), prose(70), prose(60), prose(49)
+    own = [f"{prose(9)}\n{passage}\n{prose(9)}" for _ in range(2)]                       # short texts of their own
+    own += [f"{prose(200)}\n{edited} {prose(2)}\n{prose(40)}" for _ in range(3)]          # one template, three lines
+    body = f"{prose(30)}\n{prose(20)}"
+    own += [f"{body}\n{copied}\n{prose(4)}", f"{body}\n{copied}\n{prose(5)}", f"{body}\n{copied}"]  # near copies
+    own += [other, other + " more", other]                                                # the whole text is the passage
+    own += [f"{prose(20)}\n{short}" for _ in range(4)]
+    got = drop_recurring_lines(docs(own)).collect()
+    assert {r.doc_id for r in got if r.n_dropped} == {0, 1, 2, 3, 4}
+    assert all(r.n_dropped == 1 and passage not in r.text and edited not in r.text for r in got if r.doc_id < 5)
+    # A text apart from the near copies condemns the line in all of them.
+    got = drop_recurring_lines(docs(own[5:8] + [f"{prose(100)}\n{copied}"])).collect()
+    assert [r.n_dropped for r in got] == [1] * 4 and not any(copied in r.text for r in got)
+
+
 def test_empty(table):
     assert drop_recurring_lines(table([], "doc_id long, text string")).collect() == []

@@ -5,7 +5,9 @@ then its first ``LEADING`` tokens.  Tokens with a digit are variable fields
 (``<*>``) everywhere.  Lines of a leaf that agree in at least ``similarity`` of
 their tokens share a template, in which the places where they differ become
 ``<*>``.  A template that stands in ``min_docs`` different texts or more is
-dropped from all documents; equal texts count once, however many copies.
+dropped from all documents; equal texts count once, however many copies.  One of
+``LONG_WORDS`` tokens or more goes at ``LONG_DOCS`` texts that are not near copies
+of each other.
 
 1. A scan turns each text into the (leaf, line key) pairs of its lines; the key
    is the hash of the line with variable fields masked.
@@ -17,8 +19,10 @@ dropped from all documents; equal texts count once, however many copies.
    ``BLOCK`` keys are dealt into cells by content: lines that could share a
    template are linked by a group of places in which they agree, and what is
    linked is parsed in one task.  The result is the same for every ``BLOCK``.
-4. Texts per template are counted exactly, and each text gets the keys of its
-   lines that go.
+4. Texts per template are counted exactly.  Long templates with too few texts
+   for ``min_docs`` have their texts (fewer than ``min_docs``) compared in pairs;
+   what is linked as near copies counts as one text.
+5. Each text gets the keys of its lines that go.
 
 Defined cases: null text counts as empty (no lines); blank lines are no lines
 and stay as they are; repeated rows and null ids keep their number of rows;
@@ -43,12 +47,18 @@ from tocsin.llm.components import components
 LEADING = 3
 SIMILARITY = 0.7
 MIN_DOCS = 10
+LONG_WORDS = 50
+LONG_DOCS = 2
+#: Near copies: Jaccard of the 5-word shingles of the texts, and of what is left of
+#: them without the long templates they share (unrelated texts share nothing there).
+NEAR_TEXT, NEAR_REST = 0.5, 0.1
 BLOCK = 2048
 SCANNED = 32  # lines of which a parse compares all templates
 VARIABLE = "<*>"
 FILTER_BITS = 1 << 20  # bitmap of leaves: what the broadcast is bounded by
 _DIGIT = re.compile(r"\d")
 _KEY = ("_hash", "_size")
+_LINE = ("leaves", "keys", "long")
 
 
 def _hash(text: str) -> int:
@@ -82,19 +92,20 @@ def _signed(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.xxhash64(body).alias("_hash"), F.char_length(body).alias("_size"), body.alias("text"))
 
 
-def line_index(docs: DataFrame) -> DataFrame:
-    """(_hash, _size, lines): the distinct (leaf, key) of each different text."""
+def line_index(docs: DataFrame, long_words: int = LONG_WORDS) -> DataFrame:
+    """(_hash, _size, leaves, keys, long): the distinct lines of each different text;
+    ``long``: whether they have ``long_words`` tokens or more."""
     def indexed(batches):
         for b in batches:
             once = b.drop_duplicates(["_hash", "_size"])
-            found = [sorted({p[:2] for p in map(parsed, t.split("\n")) if p}) for t in once["text"]]
+            found = [sorted({(p[0], p[1], p[2].count(" ") + 1 >= long_words) for p in map(parsed, t.split("\n")) if p})
+                     for t in once["text"]]
             yield pd.DataFrame({"_hash": once["_hash"], "_size": once["_size"],
-                                "leaves": [[p[0] for p in f] for f in found],
-                                "keys": [[p[1] for p in f] for f in found]})
+                                **{n: [[p[k] for p in f] for f in found] for k, n in enumerate(_LINE)}})
 
     rows = _signed(docs).select("_hash", "_size", "text").mapInPandas(
-        indexed, "_hash long, _size int, leaves array<bigint>, keys array<bigint>")
-    return rows.groupBy("_hash", "_size").agg(F.first("leaves").alias("leaves"), F.first("keys").alias("keys"))
+        indexed, "_hash long, _size int, leaves array<bigint>, keys array<bigint>, long array<boolean>")
+    return rows.groupBy("_hash", "_size").agg(*[F.first(n).alias(n) for n in _LINE])
 
 
 def tolerated(size: int, similarity: float) -> int:
@@ -176,11 +187,13 @@ def linked(lines: DataFrame, similarity: float) -> DataFrame:
     return components(links).select(F.col("node").alias("key"), F.col("component").alias("salt"))
 
 
-def templates(docs: DataFrame, counted: DataFrame, min_docs: int, similarity: float, block: int) -> DataFrame:
+def templates(docs: DataFrame, counted: DataFrame, min_docs: int, similarity: float, block: int,
+              long_docs: int = LONG_DOCS) -> DataFrame:
     """(key, template) of the keys in leaves with several.  ``counted``: (leaf,
-    key, texts)."""
-    leaves = (counted.groupBy("leaf").agg(F.count(F.lit(1)).alias("held"), F.sum("texts").alias("all_texts"))
-              .where((F.col("held") > 1) & (F.col("all_texts") >= min_docs)).select("leaf", "held"))
+    key, long, texts)."""
+    least = F.when(F.col("long"), F.least(F.lit(long_docs), F.lit(min_docs))).otherwise(F.lit(min_docs))
+    leaves = (counted.groupBy("leaf", "long").agg(F.count(F.lit(1)).alias("held"), F.sum("texts").alias("all_texts"))
+              .where((F.col("held") > 1) & (F.col("all_texts") >= least)).select("leaf", "held"))
     leaves = stored(leaves, "lines-leaves")
     # A bitmap of the leaves spares the scan lines that the join would drop: at most
     # FILTER_BITS numbers, whatever the number of leaves.
@@ -222,26 +235,97 @@ def templates(docs: DataFrame, counted: DataFrame, min_docs: int, similarity: fl
     return lines.groupBy("leaf", "salt").applyInPandas(parse, "key long, template long, pattern string")
 
 
+def near_copies(a: str, b: str, shared: set[int]) -> bool:
+    """Whether the texts are copies of one but for edits.  ``shared``: the keys of
+    the long templates in both."""
+    def likeness(x: list[str], y: list[str]) -> float:
+        one, two = ({tuple(w[k:k + 5]) for k in range(max(1, len(w) - 4))} for w in (x, y))
+        return len(one & two) / len(one | two)
+
+    lines = [[t for x in text.split("\n") if (t := tokens_of(x))] for text in (a, b)]
+    if likeness(*([w for t in own for w in t] for own in lines)) < NEAR_TEXT:
+        return False
+    rest = [[w for t in own if _hash(" ".join(t)) not in shared for w in t] for own in lines]
+    return not all(rest) or likeness(*rest) >= NEAR_REST
+
+
+def long_templates(docs: DataFrame, holders: DataFrame, min_docs: int, long_docs: int) -> DataFrame:
+    """(template) of the long templates that stand in ``long_docs`` texts or more,
+    near copies as one, and in fewer than ``min_docs``.  ``holders``: (_hash, _size,
+    key, template), each line of a text with a long template."""
+    few = (holders.select(*_KEY, "template").distinct().groupBy("template").agg(F.count(F.lit(1)).alias("texts"))
+           .where((F.col("texts") >= long_docs) & (F.col("texts") < min_docs)).select("template"))
+    holders = stored(holders.join(few, "template")
+                     .select("template", "key", F.struct(*_KEY).alias("name")), "lines-holders")
+    texts = holders.groupBy("template", "name").agg(F.collect_set("key").alias("keys"))
+    # Fewer than min_docs texts a template, so the pairs of one are bounded.
+    pairs = (texts.select("template", F.col("name").alias("a"), F.col("keys").alias("a_keys"))
+             .join(texts.select("template", F.col("name").alias("b"), F.col("keys").alias("b_keys")), "template")
+             .where("a < b"))
+    pairs = stored(pairs, "lines-pairs")
+    if pairs.isEmpty():
+        return few.where(F.lit(long_docs <= 1))
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("name")).distinct()
+    bodies = stored(_signed(docs).select(F.struct(*_KEY).alias("name"), "text").join(wanted, "name", "left_semi")
+                    .dropDuplicates(["name"]), "lines-bodies")
+    once = (pairs.groupBy("a", "b").agg(F.flatten(F.collect_set(F.concat("a_keys", "b_keys"))).alias("shared"))
+            .join(bodies.select(F.col("name").alias("a"), F.col("text").alias("a_text")), "a")
+            .join(bodies.select(F.col("name").alias("b"), F.col("text").alias("b_text")), "b")
+            .select("a._hash", "a._size", F.col("b._hash").alias("b_hash"), F.col("b._size").alias("b_size"),
+                    "shared", "a_text", "b_text"))
+
+    def compared(batches):
+        for p in batches:
+            near = [near_copies(a, b, set(k)) for a, b, k in zip(p["a_text"], p["b_text"], p["shared"])]
+            yield p[["_hash", "_size", "b_hash", "b_size"]].assign(near=near)
+
+    found = once.mapInPandas(compared, "_hash long, _size int, b_hash long, b_size int, near boolean")
+    judged = stored(found.select(F.struct(*_KEY).alias("a"), F.struct(F.col("b_hash").alias("_hash"),
+                    F.col("b_size").alias("_size")).alias("b"), "near"), "lines-judged")
+
+    def separate(part: pd.DataFrame) -> pd.DataFrame:
+        group = {}
+        for a, b, near in zip(zip(part["a_hash"], part["a_size"]), zip(part["b_hash"], part["b_size"]), part["near"]):
+            x, y = group.setdefault(a, a), group.setdefault(b, b)
+            if near:
+                group = {k: x if v == y else v for k, v in group.items()}
+        return pd.DataFrame({"template": part["template"][:1], "texts": len(set(group.values()))})
+
+    return (pairs.select("template", "a", "b").join(judged, ["a", "b"])
+            .select("template", *[F.col(f"{x}._{n}").alias(f"{x}_{n}") for x in "ab" for n in ("hash", "size")], "near")
+            .groupBy("template").applyInPandas(separate, "template long, texts long")
+            .where(F.col("texts") >= long_docs).select("template"))
+
+
 def recurring(docs: DataFrame, index: DataFrame, min_docs: int = MIN_DOCS, similarity: float = SIMILARITY,
-              block: int = BLOCK) -> DataFrame:
+              block: int = BLOCK, long_docs: int = LONG_DOCS) -> DataFrame:
     """(key) of the lines that go."""
-    pairs = index.select("_hash", "_size", F.explode(F.arrays_zip("leaves", "keys")).alias("line"))
-    pairs = pairs.select("_hash", "_size", F.col("line.leaves").alias("leaf"), F.col("line.keys").alias("key"))
-    counted = stored(pairs.groupBy("leaf", "key").agg(F.count(F.lit(1)).alias("texts")), "lines-counted")
-    grouped = stored(templates(docs, counted, min_docs, similarity, block), "lines-templates")
+    pairs = index.select("_hash", "_size", F.explode(F.arrays_zip(*_LINE)).alias("line"))
+    pairs = pairs.select("_hash", "_size", F.col("line.leaves").alias("leaf"), F.col("line.keys").alias("key"),
+                         F.col("line.long").alias("long"))
+    counted = stored(pairs.groupBy("leaf", "key", "long").agg(F.count(F.lit(1)).alias("texts")), "lines-counted")
+    grouped = stored(templates(docs, counted, min_docs, similarity, block, long_docs), "lines-templates")
     # Texts that hold any line of a template, each once.
     held = (pairs.select("_hash", "_size", "key").join(grouped.select("key", "template"), "key")
             .select("_hash", "_size", "template").distinct()
             .groupBy("template").agg(F.count(F.lit(1)).alias("texts")).where(F.col("texts") >= min_docs))
-    return (counted.where(F.col("texts") >= min_docs).select("key")
-            .unionByName(grouped.join(held, "template").select("key")).distinct())
+    gone = (counted.where(F.col("texts") >= min_docs).select("key")
+            .unionByName(grouped.join(held, "template").select("key")))
+    # Long lines that are in a text besides the first or share a template; a key alone in its leaf is its template.
+    named = (counted.where("long").join(grouped.select("key", "template"), "key", "left")
+             .where((F.col("texts") >= long_docs) | F.col("template").isNotNull())
+             .select("key", F.coalesce("template", "key").alias("template")))
+    named = stored(named, "lines-long")
+    holders = pairs.where("long").select("_hash", "_size", "key").join(named, "key")
+    few = long_templates(docs, holders, min_docs, long_docs)
+    return gone.unionByName(named.join(few, "template").select("key")).distinct()
 
 
 def drop_recurring_lines(docs: DataFrame, min_docs: int = MIN_DOCS, similarity: float = SIMILARITY,
-                         block: int = BLOCK) -> DataFrame:
+                         block: int = BLOCK, long_words: int = LONG_WORDS, long_docs: int = LONG_DOCS) -> DataFrame:
     """(doc_id, n_lines, n_dropped, text) for each row of ``docs`` (doc_id, text)."""
-    index = stored(line_index(docs), "lines-index")
-    gone = stored(recurring(docs, index, min_docs, similarity, block), "lines-dropped")
+    index = stored(line_index(docs, long_words), "lines-index")
+    gone = stored(recurring(docs, index, min_docs, similarity, block, long_docs), "lines-dropped")
     of_text = stored(index.select(*_KEY, F.explode("keys").alias("key")).join(gone, "key")
                      .groupBy(*_KEY).agg(F.collect_list("key").alias("gone")), "lines-of-texts")
     kind = docs.schema["doc_id"].dataType.simpleString()
