@@ -1,4 +1,6 @@
+import itertools
 import re
+import textwrap
 
 from tocsin.llm import license_scan
 from tocsin.llm.license_scan import NOTICES, THRESHOLD, notice_sets, scan, summary
@@ -37,6 +39,32 @@ def test_like_brute_force(docs):
     assert got == {k: brute(t) for k, t in enumerate(TEXTS)}
 
 
+def runs(text):
+    """Labels and highest containment over lines and runs of words."""
+    base = brute(text)
+    words = [w for w in WORD.findall((text or "").lower())]
+    best, labels = base[-1], set(base[-2].split(",")) - {""}
+    for (label, notice), (_, whole) in zip(notice_sets(), NOTICES):
+        span = 2 * len(license_scan.notice_words(whole))
+        for at in range(max(1, len(words) - span + 1)):
+            share = len(set(words[at:at + span]) & set(notice)) / len(notice)
+            if share >= THRESHOLD - 1e-9:
+                best, labels = max(best, share), labels | {label}
+    return ",".join(sorted(labels)), best
+
+
+def test_wrapped_notices(docs):
+    """Notices over several lines, at all widths, with comment marks and far into a text."""
+    texts = [("word " * (k % 150)) + "\n" + mark + textwrap.fill(n, width, break_long_words=False).replace("\n", "\n" + mark) + "\nmore words"
+             for k, (width, mark, (_, n)) in enumerate(itertools.product((12, 40, 72), ("", " * ", "rem "), NOTICES))]
+    texts += ["\n".join(["licensed", *["so"] * gap, "under", "cc by sa 4.0"]) for gap in range(14)]
+    got = {r.doc_id: (r.labels, r.score) for r in summary(scan(docs(texts))).collect()}
+    assert got == {k: runs(t) for k, t in enumerate(texts)}
+    assert all(label in got[k][0].split(",") for k, (_, mark, (label, _)) in enumerate(
+        itertools.product((12, 40, 72), ("", " * ", "rem "), NOTICES)))
+    assert got[len(texts) - 1] == ("", 0.0)
+
+
 def test_repeated_rows_and_null_ids(docs):
     got = summary(scan(docs(["MIT license"] * 3, ids=[1, 1, None]))).collect()
     assert sorted(map(repr, (r.doc_id for r in got))) == ["1", "1", "None"] and {r.n_base for r in got} == {1}

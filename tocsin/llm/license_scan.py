@@ -4,9 +4,10 @@ Words are runs of letters, digits and non-ASCII characters, A-Z lower-cased.
 Labels come from two places:
 
 * phrases whose words stand consecutively anywhere in the text (base labels);
-* a set-similarity join of all text blocks (lines) with the notices of
-  ``NOTICES``: a block has a notice's label if it contains at least
-  ``threshold`` of the notice's distinct words.
+* a set-similarity join of all text blocks with the notices of ``NOTICES``: a
+  block has a notice's label if it contains at least ``threshold`` of the
+  notice's distinct words.  Blocks are the lines and, so that wrapped notices
+  are found, every run of ``SPAN`` times a notice's words across line breaks.
 
 The join is exact.  Words of notices are put in a global order, rarest first,
 by the number of documents that hold them, counted over all documents.  Notice
@@ -15,7 +16,9 @@ T with need ``n = ceil(threshold * |T|)`` shares at least one of its first
 those words are joined on.  Blocks are reduced to words of some notice; blocks
 with fewer than the smallest need are out (length filter), and a pair is out
 if the words behind the shared one, on either side, can no longer reach the
-need (positional filter).  What is left is verified by intersection.
+need (positional filter).  What is left is verified by intersection.  Runs go
+through these filters in windows that overlap by the longest run, so each run
+is whole in one; the runs of the windows left are verified one by one.
 
 The notices are fixed, so the index that is joined against is bounded by them
 and not by the data; it is the only broadcast.  Only DataFrame and SQL
@@ -61,6 +64,8 @@ NOTICES = (
     ("cc-by-sa", "Licensed under CC BY-SA 4.0"),
 )
 THRESHOLD = 0.9
+#: Words of a run as a multiple of the notice's, for comment marks that are words.
+SPAN = 2
 
 
 def lowered(text: Column) -> Column:
@@ -73,11 +78,12 @@ def words_of(text: Column) -> Column:
 
 def notice_sets(notices=NOTICES) -> list[tuple[str, list[str]]]:
     """Distinct ASCII words of each notice, by the rule for texts."""
-    out = []
-    for label, notice in notices:
-        kept = "".join(c if c.isalnum() or ord(c) > 127 else " " for c in notice.translate(str.maketrans(UPPER, LOWER)))
-        out.append((label, sorted(set(kept.split()))))
-    return out
+    return [(label, sorted(set(notice_words(notice)))) for label, notice in notices]
+
+
+def notice_words(notice: str) -> list[str]:
+    kept = "".join(c if c.isalnum() or ord(c) > 127 else " " for c in notice.translate(str.maketrans(UPPER, LOWER)))
+    return kept.split()
 
 
 def phrase_places(words: Column, phrases: dict[str, str] = PHRASES) -> Column:
@@ -122,9 +128,10 @@ def word_order(facts: DataFrame, vocabulary: list[str]) -> list[str]:
     return sorted(vocabulary, key=lambda w: (counts.get(w, 0), w))
 
 
-def prefix_index(spark, sets: list[tuple[str, list[str]]], order: list[str], threshold: float) -> DataFrame:
+def prefix_index(spark, sets: list[tuple[str, list[str]]], order: list[str], threshold: float,
+                 spans: list[int]) -> DataFrame:
     """One row per prefix word of a notice: word, place in the notice, label,
-    words, need."""
+    words, need, span (words of a run)."""
     rank = {w: k for k, w in enumerate(order)}
     rows = []
     for notice, (label, words) in enumerate(sets):
@@ -133,7 +140,8 @@ def prefix_index(spark, sets: list[tuple[str, list[str]]], order: list[str], thr
         for place, word in enumerate(words[:len(words) - need + 1]):
             rows.append(F.struct(
                 F.lit(word).alias("word"), F.lit(place).alias("place"), F.lit(notice).alias("notice"),
-                F.lit(label).alias("label"), F.array(*map(F.lit, words)).alias("words"), F.lit(need).alias("need")))
+                F.lit(label).alias("label"), F.array(*map(F.lit, words)).alias("words"), F.lit(need).alias("need"),
+                F.lit(spans[notice]).alias("span")))
     return spark.range(1).select(F.explode(F.array(*rows)).alias("_")).select("_.*")
 
 
@@ -146,25 +154,40 @@ def similarity_join(docs: DataFrame, facts: DataFrame, notices=NOTICES, threshol
     ``text_facts``, over the same rows."""
     sets = notice_sets(notices)
     order = word_order(facts, vocabulary_of(notices))
-    index = prefix_index(docs.sparkSession, sets, order, threshold)
+    spans = [SPAN * len(notice_words(notice)) for _, notice in notices]
+    index = prefix_index(docs.sparkSession, sets, order, threshold, spans)
     least = min(max(1, math.ceil(threshold * len(words) - 1e-9)) for _, words in sets)
     ordered = F.array(*map(F.lit, order))
     # A block that qualifies has a prefix word, so its text has one.
-    wanted = F.array(*map(F.lit, sorted({w for _, ws in sets for w in prefix_words(ws, order, threshold)})))
-    texts = stored(facts.where(F.arrays_overlap("held", wanted)).select("key").distinct(), "license-texts")
+    wanted_words = F.array(*map(F.lit, sorted({w for _, ws in sets for w in prefix_words(ws, order, threshold)})))
+    texts = stored(facts.where(F.arrays_overlap("held", wanted_words)).select("key").distinct(), "license-texts")
     # The intersection keeps the first array's order: a block's words, rarest first.
-    blocks = (docs.select(key_of().alias("key"), text_of().alias("text")).join(texts, "key", "left_semi")
-              .select("key", F.posexplode(F.split("text", "\n")).alias("block", "line"))
-              .select("key", "block", F.array_intersect(ordered, words_of(F.col("line"))).alias("held"))
-              .where(F.size("held") >= least))
-    pairs = (blocks.select("key", "block", "held", F.posexplode("held").alias("at", "word"))
+    bodies = docs.select(key_of().alias("key"), text_of().alias("text")).join(texts, "key", "left_semi")
+    blocks = (bodies.select("key", F.posexplode(F.split("text", "\n")).alias("block", "line"))
+              .select("key", "block", F.array_intersect(ordered, words_of(F.col("line"))).alias("held"),
+                      F.lit(None).cast("array<string>").alias("window")))
+    # Runs across line breaks: windows of two strides hold every run of one.
+    stride = max(spans)
+    windows = (bodies.where(F.contains("text", F.lit("\n"))).select("key", words_of(F.col("text")).alias("words"))
+               .select("key", "words", F.posexplode(F.sequence(
+                   F.lit(1), F.greatest(F.size("words") - stride, F.lit(1)), F.lit(stride))).alias("no", "start"))
+               .select("key", (-1 - F.col("no")).alias("block"), F.slice("words", F.col("start"), 2 * stride).alias("window"))
+               .select("key", "block", F.array_intersect(ordered, F.col("window")).alias("held"), "window"))
+    blocks = (blocks.unionByName(windows)
+              .where((F.size("held") >= least) & F.arrays_overlap("held", wanted_words)))
+    pairs = (blocks.select("key", "block", "held", "window", F.posexplode("held").alias("at", "word"))
              .join(F.broadcast(index), "word")
              .where((F.least("at", "place") + F.least(F.size("held") - F.col("at"), F.size("words") - F.col("place"))
                      >= F.col("need")) & (F.size("held") >= F.col("need"))))
-    shared = F.size(F.array_intersect("held", "words"))
-    return (pairs.where(shared >= F.col("need"))
-            .select("key", "block", "notice", "label", (shared / F.size("words")).alias("containment"))
-            .dropDuplicates(["key", "block", "notice"]))
+    pairs = (pairs.where(F.size(F.array_intersect("held", "words")) >= F.col("need"))
+             .dropDuplicates(["key", "block", "notice"]))
+    starts = F.sequence(F.lit(1), F.greatest(F.size("window") - F.col("span") + 1, F.lit(1)))
+    in_run = F.array_max(F.transform(starts, lambda at: F.size(
+        F.array_intersect(F.slice("window", at, F.col("span")), F.col("words")))))
+    shared = F.when(F.col("window").isNull(), F.size(F.array_intersect("held", "words"))).otherwise(in_run)
+    return (pairs.select("key", "block", "notice", "label", shared.alias("shared"), "need", "words")
+            .where(F.col("shared") >= F.col("need"))
+            .select("key", "block", "notice", "label", (F.col("shared") / F.size("words")).alias("containment")))
 
 
 def prefix_words(words: list[str], order: list[str], threshold: float) -> list[str]:
@@ -196,7 +219,8 @@ def summary(scanned: DataFrame) -> DataFrame:
 
 
 def oracle(notices=NOTICES, threshold: float = THRESHOLD) -> str:
-    """The same in SQL, without any filter: every line against every notice."""
+    """The same in SQL, without any filter: every line against every notice.  Runs
+    across line breaks are not in it."""
     rows = ", ".join(
         f"({k}, '{label}', [{', '.join(repr(w) for w in words)}], {max(1, math.ceil(threshold * len(words) - 1e-9))})"
         for k, (label, words) in enumerate(notice_sets(notices)))
