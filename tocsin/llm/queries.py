@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tocsin.llm import byte_bpe, exact_dedup, jaccard, license_scan, line_dedup, mixing, quality, token_counts, topk, url_filter
+from tocsin.llm import byte_bpe, exact_dedup, jaccard, license_scan, line_dedup, merkle, mixing, quality, token_counts, topk, url_filter
 from tocsin.llm.common import documents
 from tocsin.sources.tables import read_table
 
@@ -74,6 +74,11 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
             .select("doc_id", "size", "source_size", "target", "taken"))
 
 
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every row's leaf and proof, folded again after tampering."""
+    return merkle.verified(merkle.proofs(documents(spark, sf_dir, *merkle.FIELDS)))
+
+
 QUERIES = {
     "op1_url_filters": op1_url_filters,
     "op2_exact_dedup": op2_exact_dedup,
@@ -85,6 +90,7 @@ QUERIES = {
     "op8_ngram_jaccard": op8_ngram_jaccard,
     "op9_token_counts": op9_token_counts,
     "op10_mixing": op10_mixing,
+    "op13_merkle_manifest": op13_merkle_manifest,
 }
 
 ORACLES = {
@@ -93,4 +99,5 @@ ORACLES = {
     "op3_exact_topk": topk.ORACLE,
     "op6_license_scan": license_scan.oracle(),
     "op10_mixing": mixing.ORACLE,
+    "op13_merkle_manifest": merkle.oracle(),
 }
