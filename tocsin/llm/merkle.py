@@ -232,8 +232,8 @@ def oracle(levels: int = 13) -> str:
         return "sha256(" + " || ".join(part(c) for c in ("doc_id", "source", "lang", "n_chars", text)) + ")"
 
     # CRC-32 bit by bit: -1 stands for a shift, other numbers for a byte to mix in.
-    steps = "flatten(list_transform(string_split(CAST(doc_id AS VARCHAR), ''), c -> [CAST(ord(c) AS BIGINT), -1, -1, -1, -1, -1, -1, -1, -1]))"
-    crc = (f"xor(list_reduce(list_prepend(4294967295::BIGINT, {steps}), (c, x) -> CASE WHEN x >= 0 THEN xor(c, x) "
+    steps = "flatten(list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: [CAST(ord(c) AS BIGINT), -1, -1, -1, -1, -1, -1, -1, -1]))"
+    crc = (f"xor(list_reduce(list_prepend(4294967295::BIGINT, {steps}), lambda c, x: CASE WHEN x >= 0 THEN xor(c, x) "
            "WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END), 4294967295)")
     ctes = [f"""leaf AS (SELECT doc_id, source, {body("text")} AS leaf,
   CASE WHEN doc_id IS NOT NULL AND {crc} % 2 = 0 THEN {body("replace(text, chr(10), '')")} ELSE {body("text")} END AS given FROM documents)""",
