@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tocsin.llm import byte_bpe, exact_dedup, jaccard, license_scan, line_dedup, merkle, mixing, quality, token_counts, topk, url_filter
+from tocsin.llm import byte_bpe, exact_dedup, jaccard, license_scan, line_dedup, merkle, mixing, piece_bpe, quality, token_counts, topk, url_filter
 from tocsin.llm.common import documents
 from tocsin.sources.tables import read_table
 
@@ -74,6 +74,14 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
             .select("doc_id", "size", "source_size", "target", "taken"))
 
 
+def op12_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text encoded by the agenda, checked and decoded."""
+    import public_tokenizers
+
+    docs = documents(spark, sf_dir, "doc_id", "text")
+    return piece_bpe.digests(piece_bpe.encode(docs, public_tokenizers.path("piece_bpe_32k.model")))
+
+
 def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every row's leaf and proof, folded again after tampering."""
     return merkle.verified(merkle.proofs(documents(spark, sf_dir, *merkle.FIELDS)))
@@ -90,6 +98,7 @@ QUERIES = {
     "op8_ngram_jaccard": op8_ngram_jaccard,
     "op9_token_counts": op9_token_counts,
     "op10_mixing": op10_mixing,
+    "op12_sentencepiece": op12_sentencepiece,
     "op13_merkle_manifest": op13_merkle_manifest,
 }
 
