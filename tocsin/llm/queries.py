@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tocsin.llm import byte_bpe, exact_dedup, jaccard, license_scan, line_dedup, merkle, mixing, piece_bpe, quality, token_counts, topk, url_filter
+from tocsin.llm import byte_bpe, collocations, exact_dedup, jaccard, license_scan, line_dedup, merkle, mixing, piece_bpe, quality, token_counts, topk, url_filter
 from tocsin.llm.common import documents
 from tocsin.sources.tables import read_table
 
@@ -74,6 +74,11 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
             .select("doc_id", "size", "source_size", "target", "taken"))
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each language's best phrases of two and three words."""
+    return collocations.mine(documents(spark, sf_dir, "text", "lang"))
+
+
 def op12_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every text encoded by the agenda, checked and decoded."""
     import public_tokenizers
@@ -98,6 +103,7 @@ QUERIES = {
     "op8_ngram_jaccard": op8_ngram_jaccard,
     "op9_token_counts": op9_token_counts,
     "op10_mixing": op10_mixing,
+    "op11_collocations": op11_collocations,
     "op12_sentencepiece": op12_sentencepiece,
     "op13_merkle_manifest": op13_merkle_manifest,
 }
@@ -108,5 +114,6 @@ ORACLES = {
     "op3_exact_topk": topk.ORACLE,
     "op6_license_scan": license_scan.oracle(),
     "op10_mixing": mixing.ORACLE,
+    "op11_collocations": collocations.ORACLE,
     "op13_merkle_manifest": merkle.oracle(),
 }
