@@ -41,10 +41,17 @@ def test_agenda_like_the_library(library, model):
         assert "".join(model.merged(whole)) == whole
 
 
+def test_list_and_heap_agree(model, monkeypatch):
+    own = [t.replace(" ", piece_bpe.BLANK)[:32] for t in texts(2000, 6)] + ["▁" * 30, "aaaaaaaaaaa", "▁internationalisation"]
+    by_list = [model.merged(t) for t in own]
+    monkeypatch.setattr(piece_bpe, "SHORT", 0)
+    assert [model.merged(t) for t in own] == by_list
+
+
 def test_words_or_the_whole_text(model, monkeypatch):
-    own = texts(300, 2)
+    own = texts(300, 2) + ["5 m².x", "m².²._a", "²_²"]
     by_words = [model.encode(t) for t in own]
-    monkeypatch.setattr(model, "by_words", False)
+    monkeypatch.setattr(model, "cuts", False)
     assert [model.encode(t) for t in own] == by_words
 
 

@@ -7,12 +7,15 @@ head is merged, the pairs with the new neighbours are entered, and entries of
 symbols that have since grown are passed over.  Characters that are no piece
 become byte pieces.
 
-Where no piece has ``▁`` behind another character, no merge crosses such a
-place: words are merged by themselves, and frequent ones are looked up.  Texts
-longer than a chunk are cut at such places too, so several tasks share one.
+Where no piece holds two characters side by side, no merge ever joins them.  So
+texts are cut into parts at such places (before the blanks of a word, and between a
+word and the punctuation behind it); each part is merged by itself, and parts met
+before are looked up.  Texts longer than a chunk are cut before blanks too, so
+several tasks share one.
 
-Every Arrow batch is encoded by the sentencepiece library as well; ``agrees``
-says whether it gives the same ids.  Decoding is the library's.
+Whatever the agenda makes is checked once, in the Arrow batch that first needs it,
+against the sentencepiece library; a difference is an error.  Decoding is the
+library's, and ``agrees`` says whether it gives the text again.
 
 Defined cases: null text counts as empty (begin and end ids only); texts of any
 length, with or without blanks, are encoded whole; ``▁`` in a text counts as a
@@ -39,9 +42,12 @@ from tocsin.llm.common import task_count
 
 BLANK = "▁"
 CHUNK = 1 << 18
-CACHE = 1 << 18
-CACHED_WORD = 48
-WORDS = re.compile(f"{BLANK}+[^{BLANK}]*|[^{BLANK}]+")
+CACHE = 3 << 17  # parts held in each of two generations
+CACHED_PART = 48
+SHORT = 32  # characters up to which an agenda is a plain list
+NONE = 1 << 60
+#: Parts of a text: blanks, what is neither blank nor letter nor digit, then letters and digits.
+MARKS, WORD = r"(?:[^ \w]|_)", r"[^\W_]"
 
 # Fixed values of the model file's format: field numbers and kinds.
 PIECES, TRAINER, NORMALIZER = 1, 2, 3
@@ -77,14 +83,35 @@ def fields(message: bytes):
         at += size
 
 
+class Known(dict):
+    """Part of a text -> its ids as bytes, made when first met.  When full, what was met
+    since the last time is kept as the older generation."""
+
+    def __init__(self, make):
+        super().__init__()
+        self.make, self.older = make, {}
+        self.fresh: list[tuple[str, bytes]] = []  # made, but not checked yet
+
+    def __missing__(self, text: str) -> bytes:
+        ids = self.older.get(text)
+        if ids is None:
+            ids = self.make(text)
+            self.fresh.append((text, ids))
+        if len(text) <= CACHED_PART:
+            if len(self) >= CACHE:
+                self.older = dict(self)
+                self.clear()
+            self[text] = ids
+        return ids
+
+
 class Model:
-    """The pieces of a model, and the ids of words already met."""
+    """The pieces of a model, and the ids of parts already met."""
 
     def __init__(self, proto: bytes):
-        self.order: dict[str, float] = {}  # piece -> place on the agenda
+        scores: dict[str, float] = {}
         self.ids: dict[str, int] = {}
         self.byte_ids: list[int] = []
-        self.begin = self.end = -1
         trainer: dict = {}
         normalizer: dict = {}
         n = 0
@@ -97,7 +124,7 @@ class Model:
                 piece = dict(fields(message))
                 text, kind = piece[PIECE_TEXT].decode(), piece.get(PIECE_KIND, NORMAL)
                 if kind == NORMAL:
-                    self.order[text] = -struct.unpack("<f", piece.get(PIECE_SCORE, b"\0\0\0\0"))[0]
+                    scores[text] = struct.unpack("<f", piece.get(PIECE_SCORE, b"\0\0\0\0"))[0]
                     self.ids[text] = n
                 elif kind == BYTE:
                     self.byte_ids.append(n)
@@ -108,64 +135,84 @@ class Model:
             raise ValueError("not a vocabulary of merges with byte pieces")
         if normalizer.get(CHARACTER_MAP) or normalizer.get(DROP_BLANKS, 1) or not normalizer.get(ESCAPE_BLANKS, 1):
             raise ValueError("the model rewrites texts")
+        place = {score: k for k, score in enumerate(sorted(set(scores.values()), reverse=True))}
+        self.order = {p: place[score] for p, score in scores.items()}  # place on the agenda, best score first
         self.prefix = BLANK if normalizer.get(DUMMY_PREFIX, 1) else ""
         #: No merge reaches from another character to the blank behind it.
         self.by_words = not any(BLANK in p.lstrip(BLANK) for p in self.order)
-        self.known: dict[str, bytes] = {}
-
-    def merged(self, word: str) -> list[str]:
-        """The symbols that no pair on the agenda joins any more."""
-        get, n = self.order.get, len(word)
-        end = list(range(1, n + 1))  # by first character: where a symbol ends; 0 where none starts
-        before = list(range(-1, n - 1))  # where the symbol to the left starts
-        agenda = [(score, i, i + 2) for i in range(n - 1) if (score := get(word[i:i + 2])) is not None]
+        beside = {p[i:i + 2] for p in self.order for i in range(len(p) - 1)}
+        # The few letters and digits that some piece joins with a mark behind them carry a
+        # part on; then no merge reaches over the border of two parts.
+        joined = {a for a, b in beside if re.fullmatch(WORD, a) and re.fullmatch(MARKS, b) and b != BLANK}
+        further = f"(?:(?<=[{re.escape(''.join(sorted(joined)))}]){MARKS}+{WORD}*)*" if joined else ""
+        self.pattern = re.compile(f" *{MARKS}*{WORD}*{further}")
+        #: A character that no piece joins with anything.
+        self.apart = next((c for c in "\n\t\x01" if not any(c in pair for pair in beside)), "")
+        self.cuts = self.by_words and bool(self.apart and self.prefix)
+        self.parts = Known(self.ids_of)
+        self.parts[""] = b""
+
+    def merged(self, part: str) -> list[str]:
+        """The symbols that no pair on the agenda joins any more.  The agenda of a short
+        part is a list whose least entry is looked for, that of a long one a heap."""
+        get, n = self.order.get, len(part)
+        if n <= SHORT:
+            symbols = list(part)
+            agenda = [get(a + b, NONE) for a, b in zip(symbols, symbols[1:])]
+            while agenda and (least := min(agenda)) != NONE:
+                i = agenda.index(least)
+                symbols[i] += symbols.pop(i + 1)
+                del agenda[i]
+                if i:
+                    agenda[i - 1] = get(symbols[i - 1] + symbols[i], NONE)
+                if i < len(agenda):
+                    agenda[i] = get(symbols[i] + symbols[i + 1], NONE)
+            return symbols
+        end = list(range(1, n + 1))  # by first character: where a symbol ends
+        before = list(range(-1, n))  # where the symbol to the left starts
+        pairs = [get(part[i:i + 2], -1) for i in range(n - 1)]  # place of the pair that starts here; -1 for none
+        pairs.append(-1)
+        agenda = [place << 40 | i for i, place in enumerate(pairs) if place >= 0]
         heapify(agenda)
         while agenda:
-            _, i, stop = heappop(agenda)
+            entry = heappop(agenda)
+            i = entry & 0xFFFFFFFFFF
+            if pairs[i] != entry >> 40:
+                continue  # its symbols have grown
             middle = end[i]
-            if not middle or middle >= stop or end[middle] != stop:
-                continue
-            end[i], end[middle] = stop, 0
-            if stop < n:
-                before[stop] = i
-                score = get(word[i:end[stop]])
-                if score is not None:
-                    heappush(agenda, (score, i, end[stop]))
+            end[i] = stop = end[middle]
+            pairs[middle] = -1
+            before[stop] = i
+            pairs[i] = place = get(part[i:end[stop]], -1) if stop < n else -1
+            if place >= 0:
+                heappush(agenda, place << 40 | i)
             left = before[i]
             if left >= 0:
-                score = get(word[left:stop])
-                if score is not None:
-                    heappush(agenda, (score, left, stop))
+                pairs[left] = place = get(part[left:stop], -1)
+                if place >= 0:
+                    heappush(agenda, place << 40 | left)
         out, i = [], 0
         while i < n:
-            out.append(word[i:end[i]])
+            out.append(part[i:end[i]])
             i = end[i]
         return out
 
-    def word(self, word: str) -> bytes:
-        found = self.known.get(word)
-        if found is not None:
-            return found
+    def ids_of(self, part: str) -> bytes:
         ids: list[int] = []
-        for symbol in self.merged(word):
+        for symbol in self.merged(part.replace(" ", BLANK)):
             at = self.ids.get(symbol)
             if at is None:
                 ids += [self.byte_ids[b] for b in symbol.encode()]
             else:
                 ids.append(at)
-        found = struct.pack(f"<{len(ids)}I", *ids)
-        if len(word) <= CACHED_WORD:
-            if len(self.known) >= CACHE:
-                self.known.clear()
-            self.known[word] = found
-        return found
+        return struct.pack(f"<{len(ids)}I", *ids)
 
     def encode(self, text: str, first: bool = True) -> bytes:
         """The ids of a text, or with ``first`` false of a later chunk of one."""
         if not text:
             return b""
-        text = (self.prefix if first else "") + text.replace(" ", BLANK)
-        return b"".join(map(self.word, WORDS.findall(text) if self.by_words else [text]))
+        text = (" " if first and self.prefix else "") + text.replace(BLANK, " ")
+        return b"".join(map(self.parts.__getitem__, self.pattern.findall(text) if self.cuts else [text]))
 
 
 class Library:
@@ -179,14 +226,24 @@ class Library:
         self.begin = struct.pack("<I", self.library.bos_id())
         self.end = struct.pack("<I", self.library.eos_id())
 
+    def check(self) -> None:
+        """Holds what the agenda made since the last check against the library."""
+        fresh, self.model.parts.fresh = self.model.parts.fresh, []
+        # The library puts a blank before a text; where a part has none, a character
+        # apart takes it up.
+        blank = [p.startswith(" ") and p != " " or not self.model.prefix for p, _ in fresh]
+        given = [p[len(self.model.prefix):] if b else self.model.apart + p for b, (p, _) in zip(blank, fresh)]
+        lead = len(self.library.encode(self.model.apart)) if given else 0
+        for (part, own), b, ids in zip(fresh, blank, self.library.encode(given, num_threads=1) if given else []):
+            if own != struct.pack(f"<{len(ids) - (0 if b else lead)}I", *ids[0 if b else lead:]):
+                raise ValueError(f"the library encodes {part!r} otherwise")
+
     def finished(self, texts: list[str], bodies: list[bytes]) -> tuple[list[bytes], list[str], list[bool]]:
-        """Ids with begin and end, the texts they decode to, and whether the library
-        encodes the texts alike."""
+        """Ids with begin and end, the texts they decode to, and whether those are the
+        texts again."""
         ids = [self.begin + b + self.end for b in bodies]
-        numbers = [np.frombuffer(b, dtype="<u4").tolist() for b in ids]
-        decoded = self.library.decode(numbers, num_threads=1) if numbers else []
-        theirs = self.library.encode(texts, add_bos=True, add_eos=True, num_threads=1) if texts else []
-        return ids, decoded, [a == b for a, b in zip(numbers, theirs)]
+        decoded = self.library.decode([np.frombuffer(b, dtype="<u4").tolist() for b in ids], num_threads=1) if ids else []
+        return ids, decoded, [a == b.replace(BLANK, " ") for a, b in zip(decoded, texts)]
 
 
 _LIBRARIES: dict[int, Library] = {}
@@ -216,7 +273,8 @@ def cuts(text: str, size: int) -> list[int]:
 
 def encode(docs: DataFrame, model_path: str, chunk: int = CHUNK) -> DataFrame:
     """(doc_id, ids, decoded, agrees) for each row of ``docs`` (doc_id, text): ids as
-    little-endian unsigned 32-bit integers with begin and end, and their text."""
+    little-endian unsigned 32-bit integers with begin and end, the text they decode to,
+    and whether it is the row's."""
     with open(model_path, "rb") as f:
         content = f.read()
     by_words = Model(content).by_words
@@ -229,7 +287,9 @@ def encode(docs: DataFrame, model_path: str, chunk: int = CHUNK) -> DataFrame:
         own = library_of(proto)
         for b in batches:
             texts = b.column("text").to_pylist()
-            ids, decoded, agrees = own.finished(texts, [own.model.encode(t) for t in texts])
+            bodies = [own.model.encode(t) for t in texts]
+            own.check()
+            ids, decoded, agrees = own.finished(texts, bodies)
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(ids, pa.binary()), pa.array(decoded, pa.string()),
                                               pa.array(agrees, pa.bool_())], names=["doc_id", "ids", "decoded", "agrees"])
 
@@ -245,6 +305,7 @@ def encode(docs: DataFrame, model_path: str, chunk: int = CHUNK) -> DataFrame:
         own = library_of(proto)
         for b in batches:
             b["ids"] = [own.model.encode(t, no == 0) for no, t in zip(b["no"], b["text"])]
+            own.check()
             yield b
 
     def joined(part: pd.DataFrame) -> pd.DataFrame:
