@@ -37,6 +37,25 @@ def lgamma(z: Column) -> Column:
     return F.when(z < F.lit(0.5), _lanczos(z + F.lit(1.0)) - F.log(z)).otherwise(_lanczos(z))
 
 
+# Terms of the series of the digamma function for large arguments, with
+# even powers below them, and how far smaller arguments are shifted to use it.
+DIGAMMA_SERIES = (1 / 12, -1 / 120, 1 / 252, -1 / 240)
+DIGAMMA_SHIFT = 6
+
+
+def digamma(z: Column) -> Column:
+    """Derivative of log Gamma(z) for z > 0."""
+    t = z + F.lit(float(DIGAMMA_SHIFT))
+    square = F.lit(1.0) / (t * t)
+    series = F.lit(0.0)
+    for c in reversed(DIGAMMA_SERIES):
+        series = (series + F.lit(c)) * square
+    shift = F.lit(0.0)
+    for k in range(DIGAMMA_SHIFT):
+        shift = shift + F.lit(1.0) / (z + F.lit(float(k)))
+    return F.log(t) - F.lit(0.5) / t - series - shift
+
+
 def softplus(z: Column) -> Column:
     """log(1 + exp(z)), stable for large |z|."""
     return F.greatest(z, F.lit(0.0)) + F.log1p(F.exp(-F.abs(z)))

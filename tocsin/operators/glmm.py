@@ -1,22 +1,27 @@
-"""Clustered (random-intercept) models fitted with Spark aggregations.
+"""Clustered (random-intercept) models fitted with Spark aggregations.
 
 The design is intercept + arm, so the outcome table collapses losslessly to
 *cells* ``(cluster, x, y, c)``: ``c`` units of arm ``x`` in ``cluster`` with
 outcome ``y``.  The marginal likelihood of cluster ``k`` is an integral over
 its random effects, approximated by adaptive Gauss-Hermite quadrature:
 nodes are centred on the mode of each cluster's integrand and scaled by its
-curvature there, found by Newton steps over the clusters.
+curvature there.
 
 One evaluation is one Spark job over the cells joined with their cluster's
-node centres: a batch of parameter vectors and the quadrature nodes are
-exploded onto every row (both are short literal arrays, so every evaluation
-runs the same generated code), the per-row log density is a Column expression
-(Lanczos ``lgamma`` for the negative binomial), densities are summed per
-(theta, cluster, node), log-sum-exp runs over a cluster's nodes, and the sum
-over the clusters returns one number per parameter vector.  Gradients (central
-differences) and the Hessian (for Wald intervals) are batches of parameter
-vectors in a single job each.  Parameters go in, T numbers come out: neither
-rows, nor clusters, nor nodes pass the driver.
+node centres: parameter vectors and quadrature nodes are exploded onto every
+row (both are short literal arrays, so every evaluation runs the same generated
+code).  Log densities and their derivatives by the linear predictors and the
+shape are Columns, summed per (vector, cluster, node); the posterior weight of a
+node turns these sums into the score of the cluster, and sums over the clusters
+give each vector's log likelihood and score.  The search is Newton's, with the
+information from differences of scores around the present point: two short jobs
+a step.  The modes are found the same way, several moves chained in one job.
+Several models of one family (outcomes, kept apart by a key beside the cluster)
+are fitted together and share every job.  Parameters go in, one row for each
+vector comes out: neither rows, nor clusters, nor nodes pass the driver.
+
+Where a spread goes to 0 the fit ends at a smaller model: the spread is held at
+``MIN_LOG_SD`` and has no interval.
 
 Families: ``negative_binomial`` (one random intercept),
 ``zi_negative_binomial`` and ``hurdle_lognormal`` (random intercepts in the
@@ -27,13 +32,14 @@ from __future__ import annotations
 
 import math
 from dataclasses import dataclass
+from functools import cached_property, reduce
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tocsin.functions.special import HALF_LOG_2PI, lgamma, log_sum_exp2, softplus
+from tocsin.functions.special import DIGAMMA_SERIES, DIGAMMA_SHIFT, HALF_LOG_2PI, digamma, lgamma, log_sum_exp2, softplus
 from tocsin.session import materialize
 
 PARAMS = {
@@ -46,9 +52,18 @@ PARAMS = {
 # Stirling's series, where the plain difference would lose its digits.
 STIRLING_LOG_PHI = 10.0
 QUADRATURE_NODES = 11  # per dimension
-# Newton steps to the modes: step of the difference stencil, longest move, most
-# steps, and the move at which all clusters have arrived.
-STENCIL, LONGEST_MOVE, MOST_MOVES, ARRIVED = 1e-2, 1.0, 30, 1e-3
+# Centring: moves chained in one job, longest move, most jobs, and the move (in units of
+# the spread) at which all clusters have arrived.
+CHAINED, LONGEST_MOVE, MOST_JOBS, ARRIVED = 2, 1.0, 16, 1e-3
+# Search: a spread below 1 % (log scale) counts as none; other bounds keep a separated
+# arm or a shape without limit from running away.  Longest steps, the gain in log
+# likelihood below which a step no longer matters, in the approach and at the end, and
+# the width of the differences.
+MIN_LOG_SD, MAX_COEF, MAX_LOG_SHAPE = math.log(0.01), 25.0, 20.0
+LONGEST_STEP, LONGEST_SD_STEP = 2.0, 1.0
+ROUGH_GAIN, FINAL_GAIN = 1e-2, 1e-6
+WIDTH = 1e-4
+SHORTEST = 1e-3  # share of a step below which it isn't tried
 
 
 def collapse_cells(df: DataFrame, cluster: str = "nurse", arm: str = "randomization", outcome: str = "outcome",
@@ -80,28 +95,69 @@ def _lgamma_gain(y: Column, phi: Column, log_phi: Column, lg_phi: Column) -> Col
     return F.when(log_phi > F.lit(STIRLING_LOG_PHI), series).otherwise(lgamma(y + phi) - lg_phi)
 
 
-def _loglik(family: str, th: Column, x: Column, y: Column, z1: Column, z2: Column, lgy1: Column) -> Column:
-    eta = th["b0"] + th["b1"] * x + z1
+def _densities(family: str, second: bool = False) -> tuple[list[dict[str, Column]], dict[str, Column]]:
+    """Columns over rows (th, x, y, z1, z2, lgy1): the log density ``ll`` of the outcome at
+    the row's random effects, its derivatives by the linear predictors (``d_eta``,
+    ``d_zeta``) and the shape (``d_shape``); with ``second`` the first and second ones by
+    the predictors (``ee``, ``ez``, ``zz``) instead.
+
+    First come intermediate values, step by step, each worked out once."""
+    steps: list[dict[str, Column]] = []
+    th, x, y, zero, one = F.col("th"), F.col("x"), F.col("y"), F.lit(0.0), F.lit(1.0)
+    c = F.col
+    steps.append({"eta": th["b0"] + th["b1"] * x + c("z1")})
+    two_parts = family in ("zi_negative_binomial", "hurdle_lognormal")
+    if two_parts:
+        steps.append({"zeta": th["g0"] + th["g1"] * x + c("z2")})
+        steps.append({"log_pi": -softplus(-c("zeta")), "log_rest": -softplus(c("zeta"))})
+        steps.append({"pi": F.exp("log_pi")})
     if family == "binomial":
-        return y * eta - softplus(eta)
-    zeta = th["g0"] + th["g1"] * x + z2 if family != "negative_binomial" else None
-    if family in ("negative_binomial", "zi_negative_binomial"):
+        steps.append({"mean": one / (one + F.exp(-c("eta")))})
+        out = {"ll": y * c("eta") - softplus(c("eta")), "d_eta": y - c("mean"), "d_zeta": zero, "d_shape": zero,
+               "ee": -c("mean") * (one - c("mean")), "ez": zero, "zz": zero}
+    elif family == "hurdle_lognormal":
+        spread = F.exp(-th["log_sigma"])
+        steps.append({"ly": F.log(F.when(y > 0, y))})
+        steps.append({"off": (c("ly") - c("eta")) * spread})
+        some = y > 0
+        area = -c("ly") - th["log_sigma"] - F.lit(HALF_LOG_2PI) - c("off") * c("off") / 2
+        out = {"ll": F.when(some, c("log_rest") + area).otherwise(c("log_pi")), "d_eta": F.when(some, c("off") * spread).otherwise(zero),
+               "d_zeta": F.when(some, zero).otherwise(one) - c("pi"),
+               "d_shape": F.when(some, c("off") * c("off") - one).otherwise(zero),
+               "ee": F.when(some, -spread * spread).otherwise(zero), "ez": zero, "zz": -c("pi") * (one - c("pi"))}
+    elif family in ("negative_binomial", "zi_negative_binomial"):
         log_phi = th["log_phi"]
-        phi = F.exp(F.greatest(log_phi, F.lit(-300.0)))  # never 0: it is divided by
-        rest = softplus(eta - log_phi)  # log((phi + mu) / phi)
-        lnb0 = -phi * rest
-        lnb = _lgamma_gain(y, phi, log_phi, th["lg_phi"]) - lgy1 + lnb0 + y * (eta - log_phi - rest)
+        steps.append({"phi": F.exp(F.greatest(log_phi, F.lit(-300.0))),  # never 0: it is divided by
+                      "odds": c("eta") - log_phi})
+        steps.append({"rest": softplus(c("odds"))})  # log((phi + mu) / phi)
+        steps.append({"share": F.exp(c("odds") - c("rest")), "none": -c("phi") * c("rest"), "total": y + c("phi")})
+        steps.append({"by_eta": y - c("total") * c("share")})
+        count = c("lg_gain") - c("lgy1") + c("none") + y * (c("odds") - c("rest"))
+        curved = -c("total") * c("share") * (one - c("share"))
+        if not second:
+            far = F.log1p(y / c("phi")) + (one / c("phi") - one / c("total")) / 2
+            steps.append({"lg_gain": _lgamma_gain(y, c("phi"), log_phi, th["lg_phi"]),
+                          "dg_gain": F.when(log_phi > F.lit(STIRLING_LOG_PHI), far).otherwise(digamma(c("total")) - th["dg_phi"])})
+        by_shape = c("phi") * (c("dg_gain") - c("rest")) + c("phi") * c("share") - y * (one - c("share"))
         if family == "negative_binomial":
-            return lnb
-        log_pi, log_1mpi = -softplus(-zeta), -softplus(zeta)
-        return F.when(y == 0, log_sum_exp2(log_pi, log_1mpi + lnb0)).otherwise(log_1mpi + lnb)
-    if family == "hurdle_lognormal":
-        log_sigma = th["log_sigma"]
-        ly = F.log(F.when(y > 0, y))
-        lln = -ly - log_sigma - F.lit(HALF_LOG_2PI) - (ly - eta) ** 2 * F.exp(-2.0 * log_sigma) / 2
-        log_pi, log_1mpi = -softplus(-zeta), -softplus(zeta)
-        return F.when(y == 0, log_pi).otherwise(log_1mpi + lln)
-    raise ValueError(f"unknown family {family!r}")
+            out = {"ll": count, "d_eta": c("by_eta"), "d_zeta": zero, "d_shape": by_shape, "ee": curved, "ez": zero, "zz": zero}
+        else:
+            steps.append({"at_zero": log_sum_exp2(c("log_pi"), c("log_rest") + c("none"))})
+            # the probability that a zero isn't a count
+            steps.append({"extra": F.when(y == 0, F.exp(c("log_pi") - c("at_zero"))).otherwise(zero)})
+            steps.append({"mixed": c("extra") * (one - c("extra"))})
+            out = {"ll": F.when(y == 0, c("at_zero")).otherwise(c("log_rest") + count), "d_eta": (one - c("extra")) * c("by_eta"),
+                   "d_zeta": c("extra") - c("pi"), "d_shape": (one - c("extra")) * by_shape,
+                   "ee": (one - c("extra")) * curved + c("mixed") * c("by_eta") * c("by_eta"), "ez": -c("mixed") * c("by_eta"),
+                   "zz": c("mixed") - c("pi") * (one - c("pi"))}
+    else:
+        raise ValueError(f"unknown family {family!r}")
+    return steps, {k: out[k] for k in (("d_eta", "d_zeta", "ee", "ez", "zz") if second else ("ll", "d_eta", "d_zeta", "d_shape"))}
+
+
+def _with_densities(rows: DataFrame, densities: tuple[list[dict[str, Column]], dict[str, Column]], keep: list[str]) -> DataFrame:
+    steps, out = densities
+    return reduce(DataFrame.withColumns, steps, rows).select(*keep, *[v.alias(k) for k, v in out.items()])
 
 
 def _exp(v: float) -> float:
@@ -109,6 +165,14 @@ def _exp(v: float) -> float:
     return math.exp(max(v, -300.0)) if v < 700 else float("inf")
 
 
+def _array(rows: list[dict[str, float]]) -> str:
+    """SQL text of an array of structs: one call to the JVM instead of one a number."""
+    def number(v: float) -> str:
+        return f"{float(v)!r}D" if math.isfinite(v) else f"double('{v}')"
+    return "array(" + ", ".join(
+        "named_struct(" + ", ".join(f"'{k}', {number(v)}" for k, v in r.items()) + ")" for r in rows) + ")"
+
+
 def _lgamma(v: float) -> float:
     """log Gamma; +inf where it overflows (the step is then rejected)."""
     try:
@@ -117,6 +181,15 @@ def _lgamma(v: float) -> float:
         return float("inf")
 
 
+def _digamma(v: float) -> float:
+    """Derivative of log Gamma, by the Column's rule."""
+    if not math.isfinite(v):
+        return float("inf")
+    shift = sum(1.0 / (v + k) for k in range(DIGAMMA_SHIFT))
+    t = v + DIGAMMA_SHIFT
+    return math.log(t) - 0.5 / t - sum(c / t ** (2 * k + 2) for k, c in enumerate(DIGAMMA_SERIES)) - shift
+
+
 @dataclass
 class Fit:
     family: str
@@ -126,7 +199,8 @@ class Fit:
     loglik: float
     iterations: int
     converged: bool = True
-    centres: DataFrame | None = None  # cluster, m1, m2: the random effects' posterior means
+    centres: DataFrame | None = None  # cluster, m1, m2: the modes of the random effects
+    held: tuple[str, ...] = ()  # parameters that ended at a bound
 
     def coef_table(self) -> pd.DataFrame:
         """Estimates with Wald intervals; a variance that is not positive gives NaN
@@ -153,14 +227,16 @@ def _term(name: str) -> str:
             "g1": "randomizationIPI enabled"}.get(name, name)
 
 
-class ClusteredModel:
-    """Fit one family on a cells table (see :func:`collapse_cells`).
+class ClusteredModels:
+    """Fits of one family for several outcomes at once.  ``cells`` are those of
+    :func:`collapse_cells` with the number of their model in ``_m``.
 
-    ``max_log_phi`` caps the negative binomial shape (off by default)."""
+    ``max_log_phi`` caps the negative binomial shape of each model (None: no cap)."""
 
-    def __init__(self, spark: SparkSession, cells: DataFrame, family: str, n_nodes: int = QUADRATURE_NODES,
-                 diagonal: bool = False, max_log_phi: float | None = None):
-        self.spark, self.family, self.max_log_phi = spark, family, max_log_phi
+    def __init__(self, spark: SparkSession, cells: DataFrame, family: str, models: int, n_nodes: int = QUADRATURE_NODES,
+                 diagonal: bool = False, max_log_phi: list[float | None] | None = None):
+        self.spark, self.family, self.models = spark, family, models
+        self.max_log_phi = max_log_phi or [None] * models
         self.names = [p for p in PARAMS[family] if not (diagonal and p == "l21")]
         self.dim = 2 if "l22" in self.names else 1
         x, w = np.polynomial.hermite.hermgauss(n_nodes)
@@ -170,234 +246,305 @@ class ClusteredModel:
             self.nodes = [(a, 0.0, u) for a, u in zip(x, part)]
         else:
             self.nodes = [(a, b, u + v) for a, u in zip(x, part) for b, v in zip(x, part)]
-        self.cells = cells.select("cluster", "x", "y", "c", "lgy1") if "lgy1" in cells.columns else \
-            with_constants(cells.select("cluster", "x", "y", "c"))
+        self.cells = (cells if "lgy1" in cells.columns else with_constants(cells)).select("_m", "cluster", "x", "y", "c", "lgy1")
         start = {"m1": 0.0, "m2": 0.0, "s11": 1.0, "s21": 0.0, "s22": 1.0}
         self.centres = materialize(
-            self.cells.select("cluster").distinct().withColumns({k: F.lit(v) for k, v in start.items()}), "glmm-centres")
-        self.base = None
+            self.cells.select("_m", "cluster").distinct().withColumns({k: F.lit(v) for k, v in start.items()}), "glmm-centres")
+        self.base: DataFrame | None = None
         self.jobs = 0
 
-    def _theta(self, vector: np.ndarray) -> dict[str, float]:
+    def _theta(self, vector: np.ndarray, model: int = 0) -> dict[str, float]:
         t = {n: 0.0 for n in PARAMS[self.family]} | dict(zip(self.names, map(float, vector)))
         if "log_phi" in t:
-            if self.max_log_phi is not None:
-                t["log_phi"] = min(t["log_phi"], self.max_log_phi)
-            t["lg_phi"] = _lgamma(_exp(t["log_phi"]))
+            if self.max_log_phi[model] is not None:
+                t["log_phi"] = min(t["log_phi"], self.max_log_phi[model])
+            t["lg_phi"], t["dg_phi"] = _lgamma(_exp(t["log_phi"])), _digamma(_exp(t["log_phi"]))
         # the triangular factor of the random effects' covariance
         t |= {"a11": _exp(t["l11"]), "a21": t.get("l21", 0.0), "a22": _exp(t.get("l22", 0.0)),
               "logdet": t["l11"] + t.get("l22", 0.0)}
         return t
 
-    def _terms(self, thetas: np.ndarray, nodes: list | None = None, centres: DataFrame | None = None) -> DataFrame:
-        """(tid, cluster, q, z1, z2, v): log integrand of the adaptive rule."""
-        packed = F.array(*[F.struct(*[F.lit(v).alias(k) for k, v in self._theta(t).items()]) for t in thetas])
-        nodes = F.array(*[F.struct(F.lit(float(a)).alias("x1"), F.lit(float(b)).alias("x2"), F.lit(float(w)).alias("lw"))
-                          for a, b, w in nodes or self.nodes])
-        if centres is None:
-            if self.base is None:  # once per centring: every evaluation reads it
-                self.base = materialize(self.cells.join(self.centres, "cluster"), "glmm-base")
-            base = self.base
-        else:
-            base = self.cells.join(centres, "cluster")
-        rows = base.select("*", F.posexplode(packed).alias("tid", "th")).select(
-            "*", F.posexplode(nodes).alias("q", "node"))
-        root2 = F.lit(math.sqrt(2.0))
-        rows = rows.withColumn("z1", F.col("m1") + root2 * F.col("s11") * F.col("node.x1")).withColumn(
-            "z2", F.col("m2") + root2 * (F.col("s21") * F.col("node.x1") + F.col("s22") * F.col("node.x2")))
-        th = F.col("th")
-        ll = F.col("c") * _loglik(self.family, th, F.col("x"), F.col("y"), F.col("z1"), F.col("z2"), F.col("lgy1"))
-        u1 = F.col("z1") / th["a11"]
-        quad = u1 * u1
-        scale = F.log("s11")
+    def _packed(self, batches: dict[int, list[np.ndarray]]) -> Column:
+        """The parameter vectors of the row's model."""
+        def of(model: int) -> str:
+            return _array([self._theta(t, model) for t in batches[model]])
+        return F.expr(f"element_at(map({', '.join(f'{m}, {of(m)}' for m in batches)}), _m)")
+
+    @cached_property
+    def _first(self) -> tuple:
+        return _densities(self.family)
+
+    @cached_property
+    def _second(self) -> tuple:
+        return _densities(self.family, second=True)
+
+    @cached_property
+    def _columns(self) -> dict:
+        """The columns of an evaluation, made once: they are the same for all vectors."""
+        root2, th, c, x = F.lit(math.sqrt(2.0)), F.col("th"), F.col("c"), F.col("x")
+        nodes = F.expr(_array([dict(zip(("x1", "x2", "lw"), node)) for node in self.nodes]))
+        effects = {"z1": F.col("m1") + root2 * F.col("s11") * F.col("node.x1"),
+                   "z2": F.col("m2") + root2 * (F.col("s21") * F.col("node.x1") + F.col("s22") * F.col("node.x2"))}
+        sums = {"ll": c * F.col("ll"), "b0": c * F.col("d_eta"), "b1": c * x * F.col("d_eta"), "g0": c * F.col("d_zeta"),
+                "g1": c * x * F.col("d_zeta"), "shape": c * F.col("d_shape")}
+        kept = {"th": "th", "z1": "z1", "z2": "z2", "lw": "node.lw", "s11": "s11", "s22": "s22"}
+        spread = [{"u1": F.col("z1") / th["a11"]}]
+        u1, u2 = F.col("u1"), F.col("u2")
+        quad, scale, own = u1 * u1, F.log("s11"), {"l11": u1 * u1 - 1}
         if self.dim == 2:
-            u2 = (F.col("z2") - th["a21"] * u1) / th["a22"]
+            spread.append({"u2": (F.col("z2") - th["a21"] * u1) / th["a22"]})
             quad, scale = quad + u2 * u2, scale + F.log("s22")
-        fixed = F.col("node.lw") + scale - quad / 2 - th["logdet"] - F.lit(self.dim * HALF_LOG_2PI)
-        # everything but the density is the same for all cells of a (theta, cluster, node)
-        return rows.groupBy("tid", "cluster", "q").agg(
-            F.min("z1").alias("z1"), F.min("z2").alias("z2"), (F.sum(ll) + F.min(fixed)).alias("v"))
-
-    def _nll_batch(self, thetas: np.ndarray) -> np.ndarray:
-        """Negative log likelihood of each parameter vector -- one Spark job."""
-        v = F.col("v")
-        by_cluster = self._terms(thetas).groupBy("tid", "cluster").agg(F.array_agg(v).alias("v"))
-        top = F.array_max("v")
-        lse = top + F.log(F.aggregate("v", F.lit(0.0), lambda acc, e: acc + F.exp(e - top)))
-        rows = by_cluster.select("tid", lse.alias("l")).groupBy("tid").agg(F.sum("l").alias("l")).collect()
+            own = {"l11": u1 * u1 - u2 * th["a21"] * u1 / th["a22"] - 1, "l21": u1 * u2 / th["a22"], "l22": u2 * u2 - 1}
+        value = F.col("ll") + F.col("lw") + scale - quad / 2 - th["logdet"] - F.lit(self.dim * HALF_LOG_2PI)
+        scores = {n: own[n] if n in own else F.col("shape" if n.startswith("log_") else n) for n in self.names}
+
+        def weighted(part: str | None) -> Column:
+            return F.aggregate("at", F.lit(0.0), lambda found, e: found + F.exp(e["v"] - F.col("top")) * (e[part] if part else F.lit(1.0)))
+
+        return {"nodes": F.posexplode(nodes).alias("q", "node"), "effects": effects, "spread": spread,
+                "sums": [F.sum(v).alias(k) for k, v in sums.items()] + [F.first(v).alias(k) for k, v in kept.items()],
+                "at": F.struct(value.alias("v"), *[v.alias(n) for n, v in scores.items()]).alias("at"),
+                "top": F.array_max(F.transform("at", lambda e: e["v"])),
+                "weighted": [weighted(None).alias("w"), *[weighted(n).alias(n) for n in self.names]],
+                "totals": [F.sum(F.col("top") + F.log("w")).alias("l"), *[F.sum(F.col(n) / F.col("w")).alias(n) for n in self.names]]}
+
+    def _evaluate(self, batches: dict[int, list[np.ndarray]]) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+        """Negative log likelihood and score of each model's parameter vectors -- one
+        Spark job for all of them."""
+        base = self.base if self.base is not None else self.cells.join(self.centres, ["_m", "cluster"])
+        if len(batches) < self.models:
+            base = base.where(F.col("_m").isin(list(batches)))
+        e = self._columns
+        rows = base.select("*", F.posexplode(self._packed(batches)).alias("tid", "th")).select("*", e["nodes"]).withColumns(e["effects"])
+        rows = _with_densities(rows, self._first, ["_m", "tid", "cluster", "q", "th", "z1", "z2", "node", "s11", "s22", "c", "x"])
+        # Everything but the densities is the same for all cells of a (vector, cluster, node).
+        once = reduce(DataFrame.withColumns, e["spread"], rows.groupBy("_m", "tid", "cluster", "q").agg(*e["sums"]))
+        per = once.select("_m", "tid", "cluster", e["at"]).groupBy("_m", "tid", "cluster").agg(F.collect_list("at").alias("at"))
+        per = per.withColumn("top", e["top"]).select("_m", "tid", "top", *e["weighted"])
+        out = per.groupBy("_m", "tid").agg(*e["totals"]).collect()
         self.jobs += 1
-        out = np.full(len(thetas), np.inf)
-        for r in rows:
+        found = {m: (np.full(len(b), np.inf), np.full((len(b), len(self.names)), np.nan)) for m, b in batches.items()}
+        for r in out:
             if r["l"] is not None and math.isfinite(r["l"]):
-                out[r["tid"]] = -r["l"]
-        return out
-
-    def adapt(self, theta_vec: np.ndarray) -> None:
-        """Re-centre the nodes on each cluster's mode and curvature."""
-        h = STENCIL
-        near = [-1.0, 0.0, 1.0]
-        points = [(a / math.sqrt(2.0), b / math.sqrt(2.0), 0.0)
-                  for a in near for b in (near if self.dim == 2 else [0.0])]
-        steps = {"s11": F.lit(h), "s21": F.lit(0.0), "s22": F.lit(h)}
-        for _ in range(MOST_MOVES):
-            values = self._terms(theta_vec[None], points, self.centres.withColumns(steps))
-            at = values.groupBy("cluster").pivot("q", list(range(len(points)))).agg(F.max("v"))
-
-            def f(a: int, b: int = 0) -> Column:
-                return F.col(str((a + 1) * 3 + b + 1 if self.dim == 2 else a + 1))
-
-            at = at.withColumns({"g1": (f(1) - f(-1)) / (2 * h), "h11": (2 * f(0) - f(1) - f(-1)) / h ** 2})
-            if self.dim == 2:
-                at = at.withColumns({"g2": (f(0, 1) - f(0, -1)) / (2 * h), "h22": (2 * f(0) - f(0, 1) - f(0, -1)) / h ** 2,
-                                     "h21": (f(1, -1) + f(-1, 1) - f(1, 1) - f(-1, -1)) / (4 * h ** 2)})
-            else:
-                at = at.withColumns({"g2": F.lit(0.0), "h22": F.lit(1.0), "h21": F.lit(0.0)})
-            # Where the surface isn't concave, a step along the slopes alone.
-            det = F.col("h11") * F.col("h22") - F.col("h21") ** 2
-            proper = (F.col("h11") > 0) & (F.col("h22") > 0) & (det > 0)
-            at = at.withColumns({k: F.when(proper, F.col(k)).otherwise(v) for k, v in (
-                ("h11", F.greatest(F.abs("h11"), F.lit(1e-3))), ("h22", F.greatest(F.abs("h22"), F.lit(1e-3))),
-                ("h21", F.lit(0.0)))})
-            at = at.withColumns({"d1": (F.col("h22") * F.col("g1") - F.col("h21") * F.col("g2")) / det,
-                                 "d2": (F.col("h11") * F.col("g2") - F.col("h21") * F.col("g1")) / det})
-            far = F.least(F.lit(1.0), F.lit(LONGEST_MOVE) / F.sqrt(F.col("d1") ** 2 + F.col("d2") ** 2 + 1e-300))
-            # The inverse curvature is the spread; its lower triangular factor scales the nodes.
-            s11 = F.sqrt(F.col("h22") / det)
-            moved = self.centres.select("cluster", "m1", "m2").join(at, "cluster").select(
-                "cluster", (F.col("m1") + far * F.col("d1")).alias("m1"), (F.col("m2") + far * F.col("d2")).alias("m2"),
-                s11.alias("s11"), (-F.col("h21") / det / s11).alias("s21"), (F.lit(1.0) / F.sqrt("h22")).alias("s22"),
-                (far * F.greatest(F.abs("d1"), F.abs("d2")) / F.least(s11, F.lit(1.0))).alias("move"))
-            moved = materialize(moved, "glmm-centres")
-            self.centres, self.base = moved.drop("move"), None
+                found[r["_m"]][0][r["tid"]] = -r["l"]
+                found[r["_m"]][1][r["tid"]] = [-r[n] if r[n] is not None else math.nan for n in self.names]
+        return found
+
+    def centre(self, thetas: list[np.ndarray], settle: bool = True) -> None:
+        """Moves the nodes to each cluster's mode and curvature, by Newton's steps; without
+        ``settle`` one chain of them only."""
+        th = F.element_at(self._packed({m: [t] for m, t in enumerate(thetas)}), 1)
+        for _ in range(MOST_JOBS if settle else 1):
+            state = self.centres.select("_m", "cluster", "m1", "m2")
+            for _ in range(CHAINED):
+                state = self._moved(state.select("_m", "cluster", "m1", "m2"), th)
+            state = materialize(state, "glmm-centres")
+            self.centres, self.base = state.drop("move"), None
             self.jobs += 1
-            if (moved.agg(F.max("move")).first()[0] or 0.0) < ARRIVED:
+            if settle and (state.agg(F.max("move")).first()[0] or 0.0) < ARRIVED:
                 break
 
-    # -- optimiser ----------------------------------------------------------
-    def _grad(self, theta: np.ndarray, h: float = 1e-3) -> tuple[float, np.ndarray]:
-        p = len(theta)
-        batch = [theta] + [theta + h * e for e in np.eye(p)] + [theta - h * e for e in np.eye(p)]
-        f = self._nll_batch(np.array(batch))
-        return f[0], (f[1:p + 1] - f[p + 1:]) / (2 * h)
-
-    def _bfgs(self, theta: np.ndarray, H: np.ndarray | None = None, max_iter: int = 100,
-              tol: float = 1e-7, h: float = 1e-3) -> tuple[np.ndarray, float, int, np.ndarray, bool]:
-        """Quasi-Newton descent.  Each iteration is one Spark job: the
-        line-search candidates and the gradient stencil around the full step
-        are evaluated together; only when a shorter step is taken does its
-        gradient need a job of its own."""
-        p = len(theta)
-        f, g = self._grad(theta, h)
-        H = np.eye(p) if H is None else H
-        steps = np.array([1.0, 0.5, 0.2, 0.05, 0.01, 1e-3])
-        E = np.eye(p) * h
-        it, converged = 0, False
-        for it in range(1, max_iter + 1):
-            d = -H @ g
-            if g @ d >= 0:
-                H, d = np.eye(p), -g
-            cands = theta[None] + steps[:, None] * d[None]
-            full = cands[0]
-            stencil = np.concatenate([full[None] + E, full[None] - E])
-            fb = self._nll_batch(np.concatenate([cands, stencil]))
-            fc = fb[:len(steps)]
-            ok = np.where(fc <= f + 1e-4 * steps * (g @ d))[0]
-            if len(ok) == 0:
-                # no step goes down: an optimum if the slope is gone
-                converged = bool(np.max(np.abs(g)) < 2e-2)
-                break
-            new, f_new = cands[ok[0]], fc[ok[0]]
-            if ok[0] == 0:
-                g_new = (fb[len(steps):len(steps) + p] - fb[len(steps) + p:]) / (2 * h)
+    def _moved(self, state: DataFrame, th: Column) -> DataFrame:
+        state = state.select("_m", "cluster", F.col("m1").alias("z1"), F.col("m2").alias("z2"))
+        rows = self.cells.join(state, ["_m", "cluster"]).withColumn("th", th)
+        rows = _with_densities(rows, self._second, ["_m", "cluster", "z1", "z2", "c"])
+        at = rows.groupBy("_m", "cluster").agg(*self._moves["sums"]).withColumn("th", th)
+        return reduce(DataFrame.withColumns, self._moves["steps"], at).select("_m", "cluster", *self._moves["out"])
+
+    @cached_property
+    def _moves(self) -> dict:
+        """The columns of a Newton step of the clusters' modes."""
+        c = F.col
+        sums = [F.first("z1").alias("m1"), F.first("z2").alias("m2"),
+                *[F.sum(c("c") * c(k)).alias(k) for k in ("d_eta", "d_zeta", "ee", "ez", "zz")]]
+        a11, a21, a22 = c("th.a11"), c("th.a21"), c("th.a22")
+        one = F.lit(1.0)
+        if self.dim == 2:
+            steps = [{"u1": c("m1") / a11}, {"u2": (c("m2") - a21 * c("u1")) / a22},
+                     {"p1": c("d_eta") - c("u1") / a11 + c("u2") * a21 / (a11 * a22), "p2": c("d_zeta") - c("u2") / a22,
+                      "q11": one / (a11 * a11) + a21 * a21 / (a11 * a11 * a22 * a22) - c("ee"),
+                      "q21": -a21 / (a11 * a22 * a22) - c("ez"), "q22": one / (a22 * a22) - c("zz")}]
+        else:
+            steps = [{"p1": c("d_eta") - c("m1") / (a11 * a11), "p2": F.lit(0.0), "q11": one / (a11 * a11) - c("ee"),
+                      "q21": F.lit(0.0), "q22": one}]
+        # Where the surface isn't concave, a step along the slopes alone.
+        steps.append({"proper": (c("q11") > 0) & (c("q22") > 0) & (c("q11") * c("q22") > c("q21") ** 2)})
+        least = F.lit(1e-3)
+        steps.append({k: F.when(c("proper"), c(k)).otherwise(v) for k, v in (
+            ("q11", F.greatest(F.abs("q11"), least)), ("q22", F.greatest(F.abs("q22"), least)), ("q21", F.lit(0.0)))})
+        steps.append({"det": c("q11") * c("q22") - c("q21") ** 2})
+        steps.append({"d1": (c("q22") * c("p1") - c("q21") * c("p2")) / c("det"),
+                      "d2": (c("q11") * c("p2") - c("q21") * c("p1")) / c("det"),
+                      # the inverse curvature is the spread; its lower triangular factor scales the nodes
+                      "s11": F.sqrt(c("q22") / c("det"))})
+        steps.append({"far": F.least(one, F.lit(LONGEST_MOVE) / F.sqrt(c("d1") ** 2 + c("d2") ** 2 + 1e-300))})
+        out = [(c("m1") + c("far") * c("d1")).alias("m1"), (c("m2") + c("far") * c("d2")).alias("m2"), c("s11"),
+               (-c("q21") / c("det") / c("s11")).alias("s21"), (one / F.sqrt("q22")).alias("s22"),
+               (c("far") * F.greatest(F.abs("d1"), F.abs("d2")) / F.least(c("s11"), one)).alias("move")]
+        return {"sums": sums, "steps": steps, "out": out}
+
+    # -- search ---------------------------------------------------------------
+    def _bounds(self, model: int) -> tuple[np.ndarray, np.ndarray]:
+        low, high = [], []
+        for n in self.names:
+            if n in ("l11", "l22"):
+                low.append(MIN_LOG_SD), high.append(MAX_COEF)
+            elif n in ("log_phi", "log_sigma"):
+                cap = self.max_log_phi[model] if n == "log_phi" else None
+                low.append(-MAX_LOG_SHAPE), high.append(MAX_LOG_SHAPE if cap is None else min(cap, MAX_LOG_SHAPE))
             else:
-                f_new, g_new = self._grad(new, h)
-            s, yv = new - theta, g_new - g
-            if s @ yv > 1e-12:
-                rho = 1.0 / (s @ yv)
-                I = np.eye(p)
-                H = (I - rho * np.outer(s, yv)) @ H @ (I - rho * np.outer(yv, s)) + rho * np.outer(s, s)
-            converged = bool((abs(f - f_new) < tol * (1 + abs(f)) and np.max(np.abs(g_new)) < 2e-2) \
-                or np.max(np.abs(g_new)) < 1e-4)
-            theta, f, g = new, f_new, g_new
-            if converged:
-                break
-        return theta, f, it, H, converged
+                low.append(-MAX_COEF), high.append(MAX_COEF)
+        return np.array(low), np.array(high)
 
-    def _hessian(self, theta: np.ndarray, h: float = 1e-3) -> np.ndarray:
+    def _stencil(self, theta: np.ndarray) -> list[np.ndarray]:
+        e = np.eye(len(theta)) * WIDTH
+        return [theta, *(theta + e), *(theta - e)]
+
+    def _newton(self, model: int, theta: np.ndarray, values: np.ndarray, scores: np.ndarray) -> "_Step":
+        """The step from a point with the scores around it; parameters that are at a
+        bound and pushed beyond it are held."""
         p = len(theta)
-        E = np.eye(p) * h
-        batch = [theta]
-        for i in range(p):
-            batch += [theta + E[i], theta - E[i]]
-        pairs = [(i, j) for i in range(p) for j in range(i + 1, p)]
-        for i, j in pairs:
-            batch += [theta + E[i] + E[j], theta + E[i] - E[j], theta - E[i] + E[j], theta - E[i] - E[j]]
-        f = self._nll_batch(np.array(batch))
-        Hm = np.zeros((p, p))
-        for i in range(p):
-            Hm[i, i] = (f[1 + 2 * i] - 2 * f[0] + f[2 + 2 * i]) / h ** 2
-        base = 1 + 2 * p
-        for n, (i, j) in enumerate(pairs):
-            a, b_, c, d = f[base + 4 * n: base + 4 * n + 4]
-            Hm[i, j] = Hm[j, i] = (a - b_ - c + d) / (4 * h ** 2)
-        return Hm
-
-    def start(self) -> np.ndarray:
-        s = self.cells.groupBy("x").agg(
+        g, H = scores[0], (scores[1:p + 1] - scores[p + 1:2 * p + 1]) / (2 * WIDTH)
+        H = (H + H.T) / 2
+        low, high = self._bounds(model)
+        free = ~(((theta <= low) & (g > 0)) | ((theta >= high) & (g < 0)))
+        for a, b in (("l11", "l21"),):  # without a spread of the first effect nothing can be shared with the second
+            if a in self.names and b in self.names and not free[self.names.index(a)]:
+                free[self.names.index(b)] = False
+        step = np.zeros(p)
+        gain, proper = 0.0, bool(np.all(np.isfinite(H)) and np.all(np.isfinite(g)))
+        if proper and free.any():
+            Hf, gf = H[np.ix_(free, free)], g[free]
+            w, V = np.linalg.eigh(Hf)
+            proper = bool(np.all(w > 0))
+            # directions without curvature are as long as the longest one allows
+            w = np.maximum(np.abs(w), 1e-8 * max(1.0, np.abs(w).max()))
+            slope = V.T @ gf
+            step[free] = -V @ (slope / w)
+            gain = float(slope @ (slope / w)) / 2
+        longest = np.array([LONGEST_SD_STEP if n in ("l11", "l22") else LONGEST_STEP for n in self.names])
+        step = np.clip(np.clip(step, -longest, longest) + theta, low, high) - theta
+        return _Step(theta, float(values[0]), g, H, free, step, gain, proper)
+
+    def _begin(self) -> list[np.ndarray]:
+        positive = F.when(F.col("y") > 0, F.col("c"))
+        s = self.cells.groupBy("_m", "x").agg(
             (F.sum(F.col("c") * F.col("y")) / F.sum("c")).alias("mean"),
-            (F.sum(F.when(F.col("y") > 0, F.col("c") * F.col("y"))) / F.sum(F.when(F.col("y") > 0, F.col("c")))).alias("pos_mean"),
-            (F.sum(F.when(F.col("y") > 0, F.col("c") * F.log(F.when(F.col("y") > 0, F.col("y"))))) /
-             F.sum(F.when(F.col("y") > 0, F.col("c")))).alias("log_mean"),
-            (F.sum(F.when(F.col("y") == 0, F.col("c"))) / F.sum("c")).alias("zero")).collect()
-        by = {r["x"]: r for r in s}
-        r0 = by.get(0, next(iter(by.values())))
-        r1 = by.get(1, r0)
+            (F.sum(positive * F.col("y")) / F.sum(positive)).alias("pos_mean"),
+            (F.sum(positive * F.log(F.when(F.col("y") > 0, F.col("y")))) / F.sum(positive)).alias("log_mean"),
+            (F.sum(F.when(F.col("y") == 0, F.col("c")).otherwise(0.0)) / F.sum("c")).alias("zero")).collect()
+        self.jobs += 1
 
-        def lg(v, floor=1e-3):
-            return math.log(max(v or 0.0, floor))
+        def lg(v):
+            return math.log(max(v or 0.0, 1e-3))
 
         def logit(p):
             p = min(max(p or 0.0, 1e-3), 1 - 1e-3)
             return math.log(p / (1 - p))
-        init = {"l11": math.log(0.5), "l21": 0.0, "l22": math.log(0.5), "log_phi": 0.0, "log_sigma": 0.0}
-        if self.family == "binomial":
-            init.update(b0=logit(r0["mean"]), b1=logit(r1["mean"]) - logit(r0["mean"]))
-        elif self.family == "hurdle_lognormal":
-            init.update(b0=r0["log_mean"] or 0.0, b1=(r1["log_mean"] or 0.0) - (r0["log_mean"] or 0.0),
-                        g0=logit(r0["zero"]), g1=logit(r1["zero"]) - logit(r0["zero"]))
-        else:
-            key = "pos_mean" if self.family != "negative_binomial" else "mean"
-            init.update(b0=lg(r0[key]), b1=lg(r1[key]) - lg(r0[key]),
-                        g0=logit(r0["zero"]), g1=logit(r1["zero"]) - logit(r0["zero"]))
-        self.jobs += 1
-        return np.array([init[n] for n in self.names], dtype=float)
+
+        out = []
+        for m in range(self.models):
+            by = {r["x"]: r for r in s if r["_m"] == m}
+            if not by:
+                raise ValueError("no units to fit")
+            r0 = by.get(0, next(iter(by.values())))
+            r1 = by.get(1, r0)
+            init = {"l11": math.log(0.5), "l21": 0.0, "l22": math.log(0.5), "log_phi": 0.0, "log_sigma": 0.0}
+            if self.family == "binomial":
+                init.update(b0=logit(r0["mean"]), b1=logit(r1["mean"]) - logit(r0["mean"]))
+            elif self.family == "hurdle_lognormal":
+                init.update(b0=r0["log_mean"] or 0.0, b1=(r1["log_mean"] or 0.0) - (r0["log_mean"] or 0.0))
+            else:
+                key = "pos_mean" if self.family != "negative_binomial" else "mean"
+                init.update(b0=lg(r0[key]), b1=lg(r1[key]) - lg(r0[key]))
+            init.update(g0=logit(r0["zero"]), g1=logit(r1["zero"]) - logit(r0["zero"]))
+            low, high = self._bounds(m)
+            out.append(np.clip(np.array([init[n] for n in self.names], dtype=float), low, high))
+        return out
+
+    def _search(self, thetas: list[np.ndarray], enough: float, max_iter: int, centring: bool) -> tuple[list["_Step"], int]:
+        """Newton's steps of all models until none gains ``enough``; with ``centring``
+        the nodes follow every step.  A step that doesn't go down is taken back and
+        tried at a quarter of its length."""
+        open_models, steps, taken = set(range(self.models)), {}, 0
+        length = dict.fromkeys(open_models, 1.0)
+        while open_models:
+            if centring:
+                self.centre(thetas, settle=False)
+            elif self.base is None:
+                self.base = materialize(self.cells.join(self.centres, ["_m", "cluster"]), "glmm-base")
+            around = self._evaluate({m: self._stencil(thetas[m]) for m in open_models})
+            for m in set(open_models):
+                new = self._newton(m, thetas[m], *around[m])
+                old = steps.get(m)
+                # nodes that have moved change the value a little
+                if old is None or new.value <= old.value + (enough if centring else 1e-9 * (1 + abs(old.value))):
+                    steps[m], length[m] = new, 1.0
+                    if new.gain <= enough or not np.any(new.step):
+                        open_models.discard(m)
+                else:
+                    length[m] /= 4
+                    if length[m] < SHORTEST:
+                        open_models.discard(m)  # no step goes down any more
+                thetas[m] = steps[m].theta + (length[m] * steps[m].step if m in open_models else 0.0)
+            if taken >= max_iter:
+                break
+            taken += 1
+        for m, s in steps.items():
+            thetas[m] = s.theta
+        return [steps[m] for m in range(self.models)], taken - 1
+
+    def fits(self, outer: int = 3, max_iter: int = 50) -> list[Fit]:
+        """All models: an approach in which the nodes follow every step, then up to
+        ``outer`` searches with nodes that stay, until centring them anew moves nothing."""
+        thetas = self._begin()
+        self.centre(thetas)
+        _, iterations = self._search(thetas, ROUGH_GAIN, max_iter, centring=True)
+        steps: list[_Step] = []
+        for _ in range(outer):
+            self.centre(thetas)
+            steps, taken = self._search(thetas, FINAL_GAIN, max_iter, centring=False)
+            iterations += taken
+            if taken <= 0:
+                break
+        out = []
+        for m, s in enumerate(steps):
+            p = len(self.names)
+            cov = np.full((p, p), np.nan)
+            if s.proper and s.free.any():
+                cov[np.ix_(s.free, s.free)] = np.linalg.inv(s.information[np.ix_(s.free, s.free)])
+            held = tuple(n for n, f in zip(self.names, s.free) if not f)
+            centres = self.centres.where(F.col("_m") == m).select("cluster", "m1", "m2")
+            out.append(Fit(self.family, self.names, s.theta, cov, -s.value, iterations, s.proper and s.gain <= 100 * FINAL_GAIN,
+                           centres, held))
+        return out
+
+
+@dataclass
+class _Step:
+    theta: np.ndarray
+    value: float
+    score: np.ndarray
+    information: np.ndarray
+    free: np.ndarray
+    step: np.ndarray
+    gain: float  # expected from the whole step
+    proper: bool  # the information is positive definite
+
+
+class ClusteredModel(ClusteredModels):
+    """One family on one cells table (see :func:`collapse_cells`)."""
+
+    def __init__(self, spark: SparkSession, cells: DataFrame, family: str, n_nodes: int = QUADRATURE_NODES,
+                 diagonal: bool = False, max_log_phi: float | None = None):
+        super().__init__(spark, cells.withColumn("_m", F.lit(0)), family, 1, n_nodes, diagonal, [max_log_phi])
 
     def fit(self, outer: int = 3, max_iter: int = 50) -> Fit:
-        theta = self.start()
-        iters, H, converged = 0, None, False
-        for k in range(outer):
-            self.adapt(theta)
-            theta, f, it, H, converged = self._bfgs(theta, H, max_iter=max_iter)
-            iters += it
-            if k > 0 and it <= 2:
-                break  # re-centred nodes no longer move the optimum
-        self.adapt(theta)
-        f = float(self._nll_batch(theta[None])[0])
-        H = self._hessian(theta)
-        try:
-            cov = np.linalg.inv(H)
-        except np.linalg.LinAlgError:
-            cov = np.full_like(H, np.nan)
-        if self.max_log_phi is not None and "log_phi" in self.names:
-            k = self.names.index("log_phi")
-            theta[k] = min(theta[k], self.max_log_phi)
-        proper = bool(np.all(np.isfinite(H)) and np.all(np.linalg.eigvalsh((H + H.T) / 2) > 0))
-        return Fit(self.family, self.names, theta, cov, -f, iters, converged and proper,
-                   self.centres.select("cluster", "m1", "m2"))
+        return self.fits(outer, max_iter)[0]
 
     def loglik(self, **params: float) -> float:
         """Marginal log likelihood at given parameters, with the present nodes."""
-        return -float(self._nll_batch(np.array([[params[n] for n in self.names]]))[0])
+        return -float(self._evaluate({0: [np.array([params[n] for n in self.names])]})[0][0][0])
 
 
 def model_cells(outcome: DataFrame) -> DataFrame:
