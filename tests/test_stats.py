@@ -228,3 +228,91 @@ def test_shape_is_capped_on_request_only(spark):
     assert all(math.isfinite(v) for v in values)
     capped = ClusteredModel(spark, cells, "negative_binomial", max_log_phi=2.0)
     assert capped.loglik(log_phi=9.0, **at) == capped.loglik(log_phi=2.0, **at) != model.loglik(log_phi=9.0, **at)
+
+
+def test_reml_table_like_the_single_search(spark):
+    """All outcomes in one table against the search in plain numpy."""
+    from tocsin.operators.stats import icc_reml_table
+    rng, rows = np.random.default_rng(4), []
+    for name, between, k in (("a", 2.0, 9), ("b", 0.0, 12), ("c", 40.0, 5), ("one", 1.0, 1), ("singles", 1.0, 4)):
+        for c in range(k):
+            y = 1e6 + rng.normal(0, between) + rng.normal(0, 3, 1 if name == "singles" else rng.integers(1, 30))
+            rows.append((name, f"N{c}", len(y), float(y.mean()), float(((y - y.mean()) ** 2).sum())))
+    got = {r["outcome"]: r["icc"] for r in icc_reml_table(
+        spark.createDataFrame(rows, "outcome string, cluster string, n long, mean double, m2 double")).collect()}
+    for name in ("a", "b", "c"):
+        comp = pd.DataFrame([r[2:] for r in rows if r[0] == name], columns=["n", "mean", "m2"])
+        assert abs(got[name] - icc_reml(comp)) < 1e-5, name
+    assert got["one"] is None and got["singles"] is None
+
+
+def test_binary_estimates(spark):
+    from tocsin.operators.stats import icc_binary_estimates
+    sets = {"some": [(10, 1), (20, 9), (15, 2), (8, 5)], "none": [(5, 0), (6, 0)], "all": [(5, 5), (6, 6)], "one": [(9, 4)]}
+    rows = [(name, n, y) for name, counts in sets.items() for n, y in counts]
+    got = {r["name"]: r for r in icc_binary_estimates(spark.createDataFrame(rows, "name string, n long, y long"), "name").collect()}
+    n, y = (np.array(v, float) for v in zip(*sets["some"]))
+    k, N, p = len(n), n.sum(), y.sum() / n.sum()
+    n0 = (N - (n * n).sum() / N) / (k - 1)
+    sw = (n / N * (y / n - p) ** 2).sum()
+    assert abs(got["some"]["stabilised"] - (N * sw / ((k - 1) * p * (1 - p)) + 0.45 - 1) / (n0 - 1)) < 1e-12
+    assert abs(got["some"]["anova"] - icc_binary_anova(pd.DataFrame({"n": n, "y": y}))) < 1e-12
+    assert all(got[x]["stabilised"] is None and got[x]["anova"] is None for x in ("none", "all", "one"))
+    even = icc_binary_estimates(spark.createDataFrame([(50, 10)] * 6, "n long, y long")).first()
+    assert even["stabilised"] is None and even["anova"] < 0  # below 0
+
+
+def test_incomplete_beta(spark):
+    """P(Y < y) of a negative binomial, added up; the cost must not depend on y."""
+    from tocsin.functions.special import beta_below
+    rows = [(phi, float(y), mu) for phi in (0.01, 0.5, 3.0, 500.0, 1e5) for mu in (0.001, 3.0, 3000.0, 2e5)
+            for y in (1, 2, 50, 2900, 3100, 201000, 900000)]
+    df = spark.createDataFrame(rows, "a double, b double, mu double")
+    for r in df.withColumn("p", beta_below(F.col("a"), F.col("b"), F.log(F.col("a") / F.col("mu")))).collect():
+        k = np.arange(int(r.b))
+        log_mass = (np.concatenate([[0.0], np.cumsum(np.log((k[:-1] + r.a) / (k[:-1] + 1)))]) - r.a * math.log1p(r.mu / r.a)
+                    + k * (math.log(r.mu / r.a) - math.log1p(r.mu / r.a)))
+        assert abs(r.p - math.fsum(np.exp(log_mass))) < 1e-8, r
+
+
+def test_scores_are_the_slopes_of_the_likelihood(spark):
+    rng = np.random.default_rng(8)
+    rows = [(f"N{k}", k % 2, float(y)) for k in range(6) for y in list(rng.poisson(rng.gamma(2, 5, size=15))) + [0, 0]]
+    cells = spark.createDataFrame(rows, "cluster string, x int, y double").groupBy("cluster", "x", "y").agg(
+        F.count(F.lit(1)).cast("double").alias("c"))
+    for family in ("negative_binomial", "zi_negative_binomial", "hurdle_lognormal", "binomial"):
+        own = cells.where("y <= 1") if family == "binomial" else cells
+        model = ClusteredModel(spark, own, family, n_nodes=5)
+        theta = np.linspace(-0.6, 0.4, len(model.names))
+        model.centre([theta])
+        h = 1e-4 * np.eye(len(theta))
+        values, scores = model._evaluate({0: [theta, *(theta + h), *(theta - h)]})[0]
+        slopes = (values[1:len(theta) + 1] - values[len(theta) + 1:]) / 2e-4
+        assert np.max(np.abs(scores[0] - slopes)) < 1e-4 * (1 + np.max(np.abs(slopes))), family
+
+
+def test_models_fitted_together_and_a_spread_of_nothing(spark):
+    """Two outcomes in one set of jobs, as each alone; equal clusters end at the bound."""
+    from tocsin.operators.glmm import ClusteredModels
+    rng, rows = np.random.default_rng(9), []
+    for m, spread in ((0, 0.6), (1, 0.0)):
+        for k in range(10):
+            u = rng.normal(0, spread)
+            rows += [(m, f"N{k}", k % 2, float(y)) for y in rng.poisson(rng.gamma(3.0, np.exp(2.0 + 0.4 * (k % 2) + u) / 3.0, size=60))]
+    cells = spark.createDataFrame(rows, "_m int, cluster string, x int, y double").groupBy("_m", "cluster", "x", "y").agg(
+        F.count(F.lit(1)).cast("double").alias("c"))
+    both = ClusteredModels(spark, cells, "negative_binomial", 2).fits()
+    alone = ClusteredModel(spark, cells.where("_m = 0").drop("_m"), "negative_binomial").fit()
+    assert both[0].converged and np.max(np.abs(both[0].theta - alone.theta)) < 1e-3 and abs(both[0].loglik - alone.loglik) < 1e-3
+    assert both[1].converged
+    if both[1].held:
+        row = both[1].coef_table().set_index("term").loc["l11"]
+        assert both[1].held == ("l11",) and math.isnan(row.std_error)
+
+
+def test_normal_distribution(spark):
+    from statistics import NormalDist
+    from tocsin.operators.stats import normal_cdf
+    df = spark.createDataFrame([(float(z),) for z in (-40, -6, -1.5, 0, 0.3, 2, 8, 30)], "z double")
+    for r in df.withColumn("p", normal_cdf(F.col("z"))).collect():
+        assert abs(r.p - NormalDist().cdf(r.z)) < 1e-9

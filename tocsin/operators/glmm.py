@@ -57,12 +57,13 @@ QUADRATURE_NODES = 11  # per dimension
 CHAINED, LONGEST_MOVE, MOST_JOBS, ARRIVED = 2, 1.0, 16, 1e-3
 # Search: a spread below 1 % (log scale) counts as none; other bounds keep a separated
 # arm or a shape without limit from running away.  Longest steps, the gain in log
-# likelihood below which a step no longer matters, in the approach and at the end, and
+# likelihood below which a step no longer matters, what other nodes may change in it, and
 # the width of the differences.
 MIN_LOG_SD, MAX_COEF, MAX_LOG_SHAPE = math.log(0.01), 25.0, 20.0
 LONGEST_STEP, LONGEST_SD_STEP = 2.0, 1.0
-ROUGH_GAIN, FINAL_GAIN = 1e-2, 1e-6
-WIDTH = 1e-4
+FINAL_GAIN, NODE_ERROR = 1e-6, 1e-4
+WIDTH = 1e-5
+SMALL_LOG_SD = math.log(0.3)
 SHORTEST = 1e-3  # share of a step below which it isn't tried
 
 
@@ -246,11 +247,12 @@ class ClusteredModels:
             self.nodes = [(a, 0.0, u) for a, u in zip(x, part)]
         else:
             self.nodes = [(a, b, u + v) for a, u in zip(x, part) for b, v in zip(x, part)]
-        self.cells = (cells if "lgy1" in cells.columns else with_constants(cells)).select("_m", "cluster", "x", "y", "c", "lgy1")
+        cells = (cells if "lgy1" in cells.columns else with_constants(cells)).select("_m", "cluster", "x", "y", "c", "lgy1")
+        # Few cells mean many rows (vectors x nodes each): they are spread over all tasks.
+        self.cells = materialize(cells.repartition(int(spark.conf.get("spark.sql.shuffle.partitions"))), "glmm-cells")
         start = {"m1": 0.0, "m2": 0.0, "s11": 1.0, "s21": 0.0, "s22": 1.0}
         self.centres = materialize(
             self.cells.select("_m", "cluster").distinct().withColumns({k: F.lit(v) for k, v in start.items()}), "glmm-centres")
-        self.base: DataFrame | None = None
         self.jobs = 0
 
     def _theta(self, vector: np.ndarray, model: int = 0) -> dict[str, float]:
@@ -311,7 +313,7 @@ class ClusteredModels:
     def _evaluate(self, batches: dict[int, list[np.ndarray]]) -> dict[int, tuple[np.ndarray, np.ndarray]]:
         """Negative log likelihood and score of each model's parameter vectors -- one
         Spark job for all of them."""
-        base = self.base if self.base is not None else self.cells.join(self.centres, ["_m", "cluster"])
+        base = self.cells.join(self.centres, ["_m", "cluster"])
         if len(batches) < self.models:
             base = base.where(F.col("_m").isin(list(batches)))
         e = self._columns
@@ -339,7 +341,7 @@ class ClusteredModels:
             for _ in range(CHAINED):
                 state = self._moved(state.select("_m", "cluster", "m1", "m2"), th)
             state = materialize(state, "glmm-centres")
-            self.centres, self.base = state.drop("move"), None
+            self.centres = state.drop("move")
             self.jobs += 1
             if settle and (state.agg(F.max("move")).first()[0] or 0.0) < ARRIVED:
                 break
@@ -397,14 +399,13 @@ class ClusteredModels:
         return np.array(low), np.array(high)
 
     def _stencil(self, theta: np.ndarray) -> list[np.ndarray]:
-        e = np.eye(len(theta)) * WIDTH
-        return [theta, *(theta + e), *(theta - e)]
+        return [theta, *(theta + np.eye(len(theta)) * WIDTH)]
 
     def _newton(self, model: int, theta: np.ndarray, values: np.ndarray, scores: np.ndarray) -> "_Step":
         """The step from a point with the scores around it; parameters that are at a
         bound and pushed beyond it are held."""
         p = len(theta)
-        g, H = scores[0], (scores[1:p + 1] - scores[p + 1:2 * p + 1]) / (2 * WIDTH)
+        g, H = scores[0], (scores[1:] - scores[0]) / WIDTH
         H = (H + H.T) / 2
         low, high = self._bounds(model)
         free = ~(((theta <= low) & (g > 0)) | ((theta >= high) & (g < 0)))
@@ -422,6 +423,10 @@ class ClusteredModels:
             slope = V.T @ gf
             step[free] = -V @ (slope / w)
             gain = float(slope @ (slope / w)) / 2
+        for k, n in enumerate(self.names):
+            # A small spread counts by its square, for which Newton's step is half of what it should be.
+            if n in ("l11", "l22") and theta[k] < SMALL_LOG_SD and step[k] < 0:
+                step[k] *= 2
         longest = np.array([LONGEST_SD_STEP if n in ("l11", "l22") else LONGEST_STEP for n in self.names])
         step = np.clip(np.clip(step, -longest, longest) + theta, low, high) - theta
         return _Step(theta, float(values[0]), g, H, free, step, gain, proper)
@@ -462,50 +467,41 @@ class ClusteredModels:
             out.append(np.clip(np.array([init[n] for n in self.names], dtype=float), low, high))
         return out
 
-    def _search(self, thetas: list[np.ndarray], enough: float, max_iter: int, centring: bool) -> tuple[list["_Step"], int]:
-        """Newton's steps of all models until none gains ``enough``; with ``centring``
-        the nodes follow every step.  A step that doesn't go down is taken back and
-        tried at a quarter of its length."""
+    def _search(self, thetas: list[np.ndarray], max_iter: int) -> tuple[list["_Step"], int]:
+        """Newton's steps of all models until none gains anything; the nodes follow every
+        step.  One that doesn't go down is taken back and tried at a quarter of its length."""
         open_models, steps, taken = set(range(self.models)), {}, 0
         length = dict.fromkeys(open_models, 1.0)
-        while open_models:
-            if centring:
-                self.centre(thetas, settle=False)
-            elif self.base is None:
-                self.base = materialize(self.cells.join(self.centres, ["_m", "cluster"]), "glmm-base")
+        while True:
             around = self._evaluate({m: self._stencil(thetas[m]) for m in open_models})
             for m in set(open_models):
-                new = self._newton(m, thetas[m], *around[m])
-                old = steps.get(m)
-                # nodes that have moved change the value a little
-                if old is None or new.value <= old.value + (enough if centring else 1e-9 * (1 + abs(old.value))):
+                new, old = self._newton(m, thetas[m], *around[m]), steps.get(m)
+                if old is None or new.value <= old.value + NODE_ERROR:
                     steps[m], length[m] = new, 1.0
-                    if new.gain <= enough or not np.any(new.step):
+                    if new.gain <= FINAL_GAIN or not np.any(new.step):
                         open_models.discard(m)
                 else:
                     length[m] /= 4
                     if length[m] < SHORTEST:
                         open_models.discard(m)  # no step goes down any more
                 thetas[m] = steps[m].theta + (length[m] * steps[m].step if m in open_models else 0.0)
-            if taken >= max_iter:
+            if not open_models or taken >= max_iter:
                 break
             taken += 1
+            self.centre(thetas, settle=False)
         for m, s in steps.items():
             thetas[m] = s.theta
-        return [steps[m] for m in range(self.models)], taken - 1
+        return [steps[m] for m in range(self.models)], taken
 
     def fits(self, outer: int = 3, max_iter: int = 50) -> list[Fit]:
-        """All models: an approach in which the nodes follow every step, then up to
-        ``outer`` searches with nodes that stay, until centring them anew moves nothing."""
-        thetas = self._begin()
-        self.centre(thetas)
-        _, iterations = self._search(thetas, ROUGH_GAIN, max_iter, centring=True)
-        steps: list[_Step] = []
+        """All models: up to ``outer`` searches, each from settled nodes, until one has
+        nothing left to do."""
+        thetas, iterations = self._begin(), 0
         for _ in range(outer):
             self.centre(thetas)
-            steps, taken = self._search(thetas, FINAL_GAIN, max_iter, centring=False)
+            steps, taken = self._search(thetas, max_iter)
             iterations += taken
-            if taken <= 0:
+            if not taken:
                 break
         out = []
         for m, s in enumerate(steps):
@@ -557,6 +553,12 @@ def fit_model(spark: SparkSession, outcome: DataFrame, family: str, **kw) -> Fit
     return ClusteredModel(spark, model_cells(outcome), family, **kw).fit()
 
 
+def fit_models(spark: SparkSession, outcomes: list[DataFrame], family: str, **kw) -> list[Fit]:
+    """Models of one family for several outcome tables, fitted in the same jobs."""
+    cells = reduce(DataFrame.unionByName, [collapse_cells(o).withColumn("_m", F.lit(m)) for m, o in enumerate(outcomes)])
+    return ClusteredModels(spark, cells, family, len(outcomes), **kw).fits()
+
+
 def coef_frame(spark: SparkSession, fit: Fit, outcome_name: str) -> DataFrame:
     pdf = fit.coef_table()
     pdf.insert(0, "outcome", outcome_name)

@@ -8,11 +8,14 @@ area with a hurdle log-normal model; adverse events with a logistic model.
 
 from __future__ import annotations
 
+from functools import reduce
+from typing import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tocsin.operators import stats
-from tocsin.operators.glmm import Fit, coef_frame, fit_model
+from tocsin.operators.glmm import Fit, coef_frame, fit_models
 from tocsin.plans.trial import Trial
 from tocsin.session import materialize
 
@@ -59,15 +62,25 @@ def outcome_table(t: Trial, name: str) -> DataFrame:
 SETTINGS = {"app_alarms": {"max_log_phi": 15.0}}
 
 
-def fit_with_table(t: Trial, name: str, **kw) -> tuple[Fit, DataFrame]:
-    """One outcome's model and its outcome table, written once and read by the
-    fit, the ICC and the residuals."""
-    table = materialize(outcome_table(t, name), f"outcome-{name}")
-    return fit_model(t.spark, table, FAMILY[name], **(SETTINGS.get(name, {}) | kw)), table
+def fits_with_tables(t: Trial, names: Sequence[str]) -> dict[str, tuple[Fit, DataFrame]]:
+    """Models and outcome tables of several outcomes: each table is written once and read
+    by the fit, the ICC and the residuals; models of one family share their jobs."""
+    tables = {n: materialize(outcome_table(t, n), f"outcome-{n}") for n in names}
+    done: dict[str, tuple[Fit, DataFrame]] = {}
+    for family in sorted({FAMILY[n] for n in names}):
+        same = [n for n in names if FAMILY[n] == family]
+        caps = [SETTINGS.get(n, {}).get("max_log_phi") for n in same]
+        fits = fit_models(t.spark, [tables[n] for n in same], family, max_log_phi=caps)
+        done |= {n: (f, tables[n]) for n, f in zip(same, fits)}
+    return done
+
 
+def fit_with_table(t: Trial, name: str) -> tuple[Fit, DataFrame]:
+    return fits_with_tables(t, [name])[name]
 
-def fit(t: Trial, name: str, **kw) -> Fit:
-    return fit_with_table(t, name, **kw)[0]
+
+def fit(t: Trial, name: str) -> Fit:
+    return fit_with_table(t, name)[0]
 
 
 def model_frame(t: Trial, name: str) -> DataFrame:
@@ -75,25 +88,33 @@ def model_frame(t: Trial, name: str) -> DataFrame:
     return coef_frame(t.spark, fit(t, name), name)
 
 
-def icc_of(name: str, table: DataFrame) -> float:
-    """ICC of one outcome (binary outcomes: ANOVA estimator)."""
-    if name == "adverse":
-        return stats.icc_binary_anova(stats.icc_binary_counts(table, y="outcome").toPandas())
-    return stats.icc_reml(stats.icc_components(table).toPandas())
+def models_frame(t: Trial, names: Sequence[str]) -> DataFrame:
+    """Coefficient tables of several outcomes, fitted together."""
+    fits = fits_with_tables(t, names)
+    return reduce(DataFrame.unionByName, [coef_frame(t.spark, fits[n][0], n) for n in names])
 
 
-def icc(t: Trial, name: str) -> float:
-    return icc_of(name, outcome_table(t, name))
+def icc_of_tables(tables: dict[str, DataFrame]) -> DataFrame:
+    """(outcome, icc) of each outcome table: REML from the moments, all outcomes
+    in the same jobs; adverse events by the stabilised estimator."""
+    parts = []
+    moments = [stats.icc_components(df).withColumn("outcome", F.lit(n)) for n, df in tables.items() if n != "adverse"]
+    if moments:
+        parts.append(stats.icc_reml_table(materialize(reduce(DataFrame.unionByName, moments), "icc-moments")))
+    if "adverse" in tables:
+        counts = stats.icc_binary_counts(tables["adverse"], y="outcome")
+        parts.append(stats.icc_binary_estimates(counts).select(F.lit("adverse").alias("outcome"), F.col("stabilised").alias("icc")))
+    return reduce(DataFrame.unionByName, parts)
 
 
 def icc_frame(t: Trial, names=("primary", "duration", "desat", "alarms", "app_alarms", "inapp_alarms", "adverse")) -> DataFrame:
-    rows = [(n, float(icc(t, n))) for n in names]
-    return t.spark.createDataFrame(rows, "outcome string, icc double")
+    return icc_of_tables({n: outcome_table(t, n) for n in names})
 
 
-def effects_frame(t: Trial, name: str) -> DataFrame:
-    """Exponentiated arm effects of one outcome's model."""
-    return t.spark.createDataFrame(stats.effects(fit(t, name), name))
+def effects_frame(t: Trial, *names: str) -> DataFrame:
+    """Exponentiated arm effects of the models of some outcomes."""
+    fits = fits_with_tables(t, names)
+    return reduce(DataFrame.unionByName, [t.spark.createDataFrame(stats.effects(fits[n][0], n)) for n in names])
 
 
 def results_frame(t: Trial, labels=RESULT_LABELS, all_alarms_from: str = "alarms") -> DataFrame:
@@ -103,16 +124,10 @@ def results_frame(t: Trial, labels=RESULT_LABELS, all_alarms_from: str = "alarms
     appropriate-alarm count, as the original result graph did; the default
     uses the all-alarm count.
     """
-    source = {"alarms": all_alarms_from}
-    done: dict[str, tuple] = {}
-    rows = []
-    for name, label in labels:
-        used = source.get(name, name)
-        if used not in done:
-            f, table = fit_with_table(t, used)
-            done[used] = stats.effects(f, used), icc_of(used, table)
-        rows.append((label, *done[used]))
-    return stats.results_table(t.spark, rows)
+    source = {name: all_alarms_from if name == "alarms" else name for name, _ in labels}
+    done = fits_with_tables(t, list(dict.fromkeys(source.values())))
+    iccs = {r["outcome"]: r["icc"] for r in icc_of_tables({n: table for n, (_, table) in done.items()}).collect()}
+    return stats.results_table(t.spark, [(label, stats.effects(done[source[n]][0], source[n]), iccs[source[n]]) for n, label in labels])
 
 
 def residuals(t: Trial, name: str, kind: str = "subject_specific") -> DataFrame:

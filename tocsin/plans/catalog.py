@@ -482,15 +482,47 @@ def _register_likelihoods() -> None:
         def run(t: Trial, name: str = name) -> DataFrame:
             return L.loglik(t, name)
         run.__doc__ = f"O41-O43: marginal log likelihood of the model of outcome {name} at fixed parameters."
-        register(f"loglik_{name}", L.loglik_sql(name, outcome_sql))(run)
+        if name in L.AT:
+            register(f"loglik_{name}", L.loglik_sql(name, outcome_sql))(run)
+
+    for name in L.RESIDUALS_AT:
+        def residuals(t: Trial, name: str = name) -> DataFrame:
+            return L.residuals_at(t, name)
+        residuals.__doc__ = f"O44: quantile residuals of the model of outcome {name} at fixed parameters."
+        register(f"residuals_at_{name}", L.residuals_sql(name))(residuals)
+
+    names = {"duration": "duration", "desat": "desat", "alarms": "alarms", "primary": "primary"}
+
+    def reml(t: Trial) -> DataFrame:
+        """REML intra-cluster correlations of four outcomes in the same jobs, rounded."""
+        from tocsin.plans.analysis import icc_frame
+        return icc_frame(t, tuple(names)).select("outcome", F.round("icc", 4).alias("icc"))
+    register("icc_reml", L.reml_sql({n: L.OUTCOME_SQL[n] for n in names}))(reml)
 
 
 _register_likelihoods()
 
 
+@register("icc_adverse", f"WITH a AS ({O.adverse_sql()}), " + (
+    "c AS (SELECT nurse, count(*) AS n, sum(adverseEvent) AS y FROM a WHERE nurse IS NOT NULL GROUP BY nurse), "
+    "s AS (SELECT count(*) AS k, sum(n) AS units, sum(y) AS events, sum(n * n) AS squares FROM c), "
+    "e AS (SELECT s.*, events / units AS p, (units - squares / units) / (k - 1) AS size, "
+    "(SELECT sum(n / s.units * (y / n - s.events / s.units) ** 2) FROM c) AS spread, "
+    "(SELECT sum(n * (y / n - s.events / s.units) ** 2) FROM c) / (k - 1) AS msb, "
+    "(SELECT sum(y * (1 - y / n) ** 2 + (n - y) * (y / n) ** 2) FROM c) / (units - k) AS msw FROM s), "
+    "r AS (SELECT *, (units * spread / ((k - 1) * p * (1 - p)) + 0.45 - 1) / (size - 1) AS stab FROM e) "
+    "SELECT round(CASE WHEN stab BETWEEN 0 AND 1 THEN stab END, 6) AS stabilised, "
+    "round((msb - msw) / (msb + (size - 1) * msw), 6) AS anova FROM r"))
+def _icc_adverse(t: Trial) -> DataFrame:
+    """Stabilised and analysis-of-variance ICC of the adverse-event flag, rounded."""
+    from tocsin.operators.stats import icc_binary_counts, icc_binary_estimates
+    found = icc_binary_estimates(icc_binary_counts(t.adverse()))
+    return found.select(F.round("stabilised", 6).alias("stabilised"), F.round("anova", 6).alias("anova"))
+
+
 @register("icc_table")
 def _icc_table(t: Trial) -> DataFrame:
-    """ICC of every outcome (REML; binary: ANOVA estimator)."""
+    """ICC of every outcome (REML; binary: stabilised estimator)."""
     from tocsin.plans.analysis import icc_frame
     return icc_frame(t)
 
@@ -509,6 +541,48 @@ def _zinb_duration(t: Trial) -> DataFrame:
     return model_frame(t, "duration")
 
 
+@register("zinb_models_alarms")
+def _zinb_alarms(t: Trial) -> DataFrame:
+    """Zero-inflated NB models of all, appropriate and inappropriate alarms, fitted
+    in the same jobs."""
+    from tocsin.plans.analysis import models_frame
+    return models_frame(t, ["alarms", "app_alarms", "inapp_alarms"])
+
+
+@register("results_table")
+def _results(t: Trial) -> DataFrame:
+    """Alarm performance: effects of four zero-inflated models, intervals, ICC."""
+    from tocsin.plans.analysis import results_frame
+    return results_frame(t)
+
+
+_CRUDE = {"duration": ("Total alarm duration", O.seconds_in_alarm_sql(O.CLEAR)),
+          "alarms": ("Number of alarms", O.alarms_sql("event <> 'Fix equipment'"))}
+
+
+def _crude_sql() -> str:
+    units = " UNION ALL ".join(f"SELECT '{label}' AS name, randomization, CAST(outcome AS DOUBLE) AS y FROM ({sql})" for label, sql in _CRUDE.values())
+    arm = lambda f, a: f"{f} FILTER (WHERE randomization = 'IPI {a}')"
+    span = "round({0} * exp(-1.959963984540054 * {1}), 2) || ' to ' || round({0} * exp(1.959963984540054 * {1}), 2)"
+    return (f"WITH u AS ({units}), a AS (SELECT name, " + ", ".join(
+        f"{arm('count(*)', a)} AS n{k}, {arm('avg(y)', a)} AS m{k}, {arm('var_pop(y)', a)} AS v{k}, {arm('sum(CASE WHEN y = 0 THEN 1 ELSE 0 END)', a)} AS z{k}"
+        for k, a in enumerate(("disabled", "enabled"))) + " FROM u GROUP BY name), "
+        "e AS (SELECT name, m1 / m0 AS irr, sqrt(v0 / (n0 * m0 * m0) + v1 / (n1 * m1 * m1)) AS s, "
+        "((z1 + 0.5) / (n1 - z1 + 0.5)) / ((z0 + 0.5) / (n0 - z0 + 0.5)) AS odds, "
+        "sqrt(1 / (z1 + 0.5) + 1 / (n1 - z1 + 0.5) + 1 / (z0 + 0.5) + 1 / (n0 - z0 + 0.5)) AS t FROM a) "
+        f"SELECT name AS \"Outcome\", round(irr, 6) AS \"IRR\", {span.format('irr', 's')} AS \"NB_95_CI\", round(odds, 6) AS \"OR\", {span.format('odds', 't')} AS \"CI_95\" FROM e")
+
+
+@register("results_crude", _crude_sql())
+def _results_crude(t: Trial) -> DataFrame:
+    """O46's text over effects without a model: ratios of means and odds of a zero, by arm."""
+    from tocsin.operators.stats import crude_effects, formatted_results
+    from tocsin.plans.analysis import outcome_table
+    tables = [outcome_table(t, n).withColumn("name", F.lit(label)) for n, (label, _) in _CRUDE.items()]
+    found = formatted_results(crude_effects(tables[0].unionByName(tables[1]), "name"))
+    return found.select("Outcome", F.round("IRR", 6).alias("IRR"), "NB_95_CI", F.round("OR", 6).alias("OR"), "CI_95")
+
+
 @register("hurdle_model_desat")
 def _hurdle(t: Trial) -> DataFrame:
     """Hurdle log-normal model, desaturation area."""
