@@ -60,10 +60,11 @@ CHAINED, LONGEST_MOVE, MOST_JOBS, ARRIVED = 2, 1.0, 16, 1e-3
 # likelihood below which a step no longer matters, what other nodes may change in it, and
 # the width of the differences.
 MIN_LOG_SD, MAX_COEF, MAX_LOG_SHAPE = math.log(0.01), 25.0, 20.0
-LONGEST_STEP, LONGEST_SD_STEP = 2.0, 1.0
-FINAL_GAIN, NODE_ERROR = 1e-6, 1e-4
+LONGEST_STEP, LONGEST_SD_STEP, RUN_AWAY_STEP = 2.0, 1.0, 5.0
+FINAL_GAIN, NODE_ERROR = 1e-5, 1e-4
 WIDTH = 1e-5
-SMALL_LOG_SD = math.log(0.3)
+NO_INFORMATION = 1e-4  # slope and curvature below which the data say nothing about a parameter
+STEADY = 0.3  # from this size on, equal steps in a row are made longer
 SHORTEST = 1e-3  # share of a step below which it isn't tried
 
 
@@ -401,14 +402,20 @@ class ClusteredModels:
     def _stencil(self, theta: np.ndarray) -> list[np.ndarray]:
         return [theta, *(theta + np.eye(len(theta)) * WIDTH)]
 
-    def _newton(self, model: int, theta: np.ndarray, values: np.ndarray, scores: np.ndarray) -> "_Step":
+    def _newton(self, model: int, theta: np.ndarray, values: np.ndarray, scores: np.ndarray,
+                before: "_Step | None" = None) -> "_Step":
         """The step from a point with the scores around it; parameters that are at a
-        bound and pushed beyond it are held."""
+        bound and pushed beyond it, or of which the data say nothing, are held.
+
+        Where a parameter runs off (an arm without zeros, a spread of nothing), the
+        likelihood falls off exponentially and Newton's steps stay the same, one after the
+        other: each is then made twice as long as the one ``before``."""
         p = len(theta)
         g, H = scores[0], (scores[1:] - scores[0]) / WIDTH
         H = (H + H.T) / 2
         low, high = self._bounds(model)
         free = ~(((theta <= low) & (g > 0)) | ((theta >= high) & (g < 0)))
+        free &= ~((np.abs(g) < NO_INFORMATION) & (np.abs(np.diag(H)) < NO_INFORMATION))
         for a, b in (("l11", "l21"),):  # without a spread of the first effect nothing can be shared with the second
             if a in self.names and b in self.names and not free[self.names.index(a)]:
                 free[self.names.index(b)] = False
@@ -423,13 +430,15 @@ class ClusteredModels:
             slope = V.T @ gf
             step[free] = -V @ (slope / w)
             gain = float(slope @ (slope / w)) / 2
-        for k, n in enumerate(self.names):
-            # A small spread counts by its square, for which Newton's step is half of what it should be.
-            if n in ("l11", "l22") and theta[k] < SMALL_LOG_SD and step[k] < 0:
-                step[k] *= 2
-        longest = np.array([LONGEST_SD_STEP if n in ("l11", "l22") else LONGEST_STEP for n in self.names])
+        plain, stride = step.copy(), np.ones(p)
+        if before is not None and gain < 1:
+            same = (np.abs(plain) > STEADY) & (plain * before.plain > 0) & (np.abs(plain - before.plain) < 0.5 * np.abs(before.plain))
+            stride = np.where(same, 2 * before.stride, 1.0)
+        step = step * stride
+        longest = np.array([LONGEST_SD_STEP if n in ("l11", "l21", "l22") else LONGEST_STEP for n in self.names])
+        longest = np.where(stride > 1, np.array([LONGEST_SD_STEP if n == "l21" else RUN_AWAY_STEP for n in self.names]), longest)
         step = np.clip(np.clip(step, -longest, longest) + theta, low, high) - theta
-        return _Step(theta, float(values[0]), g, H, free, step, gain, proper)
+        return _Step(theta, float(values[0]), g, H, free, step, gain, proper, plain, stride)
 
     def _begin(self) -> list[np.ndarray]:
         positive = F.when(F.col("y") > 0, F.col("c"))
@@ -475,7 +484,7 @@ class ClusteredModels:
         while True:
             around = self._evaluate({m: self._stencil(thetas[m]) for m in open_models})
             for m in set(open_models):
-                new, old = self._newton(m, thetas[m], *around[m]), steps.get(m)
+                new, old = self._newton(m, thetas[m], *around[m], steps.get(m)), steps.get(m)
                 if old is None or new.value <= old.value + NODE_ERROR:
                     steps[m], length[m] = new, 1.0
                     if new.gain <= FINAL_GAIN or not np.any(new.step):
@@ -511,7 +520,7 @@ class ClusteredModels:
                 cov[np.ix_(s.free, s.free)] = np.linalg.inv(s.information[np.ix_(s.free, s.free)])
             held = tuple(n for n, f in zip(self.names, s.free) if not f)
             centres = self.centres.where(F.col("_m") == m).select("cluster", "m1", "m2")
-            out.append(Fit(self.family, self.names, s.theta, cov, -s.value, iterations, s.proper and s.gain <= 100 * FINAL_GAIN,
+            out.append(Fit(self.family, self.names, s.theta, cov, -s.value, iterations, s.proper and s.gain <= 10 * FINAL_GAIN,
                            centres, held))
         return out
 
@@ -526,6 +535,8 @@ class _Step:
     step: np.ndarray
     gain: float  # expected from the whole step
     proper: bool  # the information is positive definite
+    plain: np.ndarray  # Newton's own step
+    stride: np.ndarray  # and how many times it is taken
 
 
 class ClusteredModel(ClusteredModels):
