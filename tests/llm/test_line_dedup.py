@@ -108,3 +108,49 @@ def test_long_passages_go_at_two_texts(docs):
 
 def test_empty(table):
     assert drop_recurring_lines(table([], "doc_id long, text string")).collect() == []
+
+
+def near_group(n, rng, lines=6):
+    """``n`` texts that differ in one word each, with no line of other texts."""
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    body = [[word() for _ in range(12)] for _ in range(lines)]
+    out = []
+    for k in range(n):
+        own = [list(x) for x in body]
+        own[k % lines][5] = f"edit{word()}"
+        out.append("\n".join(" ".join(x) for x in own))
+    return out
+
+
+def test_near_copies_count_once_at_any_number(docs):
+    rng = random.Random(11)
+    for n in (9, 10, 30, 200):
+        got = drop_recurring_lines(docs(near_group(n, rng))).collect()
+        assert [r.n_dropped for r in got] == [0] * n, n
+
+
+def test_lines_of_near_copies_and_of_others(docs):
+    """What ten texts of their own share goes from the near copies too; nothing else does."""
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    notice = "subscribe to our letter for more of this"
+    copies = [t + "\n" + notice for t in near_group(40, rng)]
+    others = ["\n".join(" ".join(word() for _ in range(9)) for _ in range(5)) + "\n" + notice for _ in range(9)]
+    got = drop_recurring_lines(docs(copies + others[:8])).collect()  # 1 + 8 texts
+    assert not any(r.n_dropped for r in got)
+    got = drop_recurring_lines(docs(copies + others)).collect()  # 1 + 9
+    assert all(r.n_dropped == 1 and notice not in r.text for r in got)
+
+
+def test_sketches_estimate_the_jaccard_similarity():
+    rng = random.Random(13)
+    words = lambda n: ["".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(n)]
+    for n, edits in ((30, 2), (2000, 0), (2000, 40), (2000, 400)):
+        a = words(n)
+        b = list(a)
+        for k in rng.sample(range(n), edits):
+            b[k] = "other"
+        sets = [{tuple(x[i:i + 5]) for i in range(n - 4)} for x in (a, b)]
+        true = len(sets[0] & sets[1]) / len(sets[0] | sets[1])
+        found = line_dedup.likeness(*[line_dedup.smallest([line_dedup.shingles(x, {})]) for x in (a, b)])
+        assert abs(found - true) < (1e-9 if n == 30 else 0.2)

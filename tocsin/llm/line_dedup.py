@@ -5,9 +5,9 @@ then its first ``LEADING`` tokens.  Tokens with a digit are variable fields
 (``<*>``) everywhere.  Lines of a leaf that agree in at least ``similarity`` of
 their tokens share a template, in which the places where they differ become
 ``<*>``.  A template that stands in ``min_docs`` different texts or more is
-dropped from all documents; equal texts count once, however many copies.  One of
-``LONG_WORDS`` tokens or more goes at ``LONG_DOCS`` texts that are not near copies
-of each other.
+dropped from all documents; equal texts and near copies count once, however many
+copies, so what only copies of one document share stays in all of them.  A template of
+``LONG_WORDS`` tokens or more goes at ``LONG_DOCS`` texts.
 
 1. A scan turns each text into the (leaf, line key) pairs of its lines; the key
    is the hash of the line with variable fields masked.
@@ -19,9 +19,12 @@ of each other.
    ``BLOCK`` keys are dealt into cells by content: lines that could share a
    template are linked by a group of places in which they agree, and what is
    linked is parsed in one task.  The result is the same for every ``BLOCK``.
-4. Texts per template are counted exactly.  Long templates with too few texts
-   for ``min_docs`` have their texts (fewer than ``min_docs``) compared in pairs;
-   what is linked as near copies counts as one text.
+4. Texts per template are counted exactly.  Where they are enough, near copies are
+   told apart: a text that is a near copy of one already counted counts no more,
+   however many there are.  Some texts of each template settle most of them; only
+   for templates that these leave open are all others compared, with the few
+   texts counted so far and once for each pair of texts.  Texts are compared by
+   sketches of fixed size of their 5-word shingles.
 5. Each text gets the keys of its lines that go.
 
 Defined cases: null text counts as empty (no lines); blank lines are no lines
@@ -34,14 +37,17 @@ from __future__ import annotations
 
 import re
 from collections import defaultdict
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tocsin.llm.common import stored, text_of
+from tocsin.llm.collocations import bitmap
+from tocsin.llm.common import stored, task_count, text_of
 from tocsin.llm.components import components
 
 LEADING = 3
@@ -49,13 +55,15 @@ SIMILARITY = 0.7
 MIN_DOCS = 10
 LONG_WORDS = 50
 LONG_DOCS = 2
-#: Near copies: Jaccard of the 5-word shingles of the texts, and of what is left of
-#: them without the long templates they share (unrelated texts share nothing there).
+#: Near copies: Jaccard of the 5-word shingles of the texts' lines, and of what is left of
+#: them without long recurring lines (unrelated texts share nothing there).
 NEAR_TEXT, NEAR_REST = 0.5, 0.1
+SKETCH = 64  # smallest shingle hashes kept of a text, and of its rest
 BLOCK = 2048
 SCANNED = 32  # lines of which a parse compares all templates
 VARIABLE = "<*>"
 FILTER_BITS = 1 << 20  # bitmap of leaves: what the broadcast is bounded by
+NAME_BITS, KEY_BITS = 1 << 23, 1 << 25  # bitmaps of texts to sketch, and of long recurring lines
 _DIGIT = re.compile(r"\d")
 _KEY = ("_hash", "_size")
 _LINE = ("leaves", "keys", "long")
@@ -124,34 +132,46 @@ def dealt(places: list[int], n: int) -> list[list[int]]:
 def parse_leaf(lines: list[tuple[int, list[str]]], similarity: float) -> list[tuple[int, list[str]]]:
     """(key, template) of a leaf's lines (key, tokens), each joined to the most
     similar template so far or the first of a new one."""
-    templates: list[list[str]] = []
+    if not lines:
+        return []
+    number: dict[str, int] = {VARIABLE: 0}
+    rows = np.array([[number.setdefault(t, len(number)) for t in tokens] for _, tokens in lines], dtype=np.int32)
+    n, width = rows.shape
+    held = np.empty_like(rows)  # the templates so far
+    count, need = 0, similarity * width
     member: list[int] = []
     # Of many templates, only those that agree with the line in a whole group can be similar enough.
     groups = None
-    if len(lines) > SCANNED:
-        varied = [p for p, column in enumerate(zip(*(tokens for _, tokens in lines))) if len(set(column)) > 1]
-        groups = dealt(varied, tolerated(len(lines[0][1]), similarity) + 1)
+    if n > SCANNED:
+        varied = np.flatnonzero((rows != rows[0]).any(axis=0)).tolist()
+        groups = [np.array(g, dtype=np.intp) for g in dealt(varied, tolerated(width, similarity) + 1)]
     index = defaultdict(list)
-    for _, tokens in lines:
-        need, best, at = similarity * len(tokens), -1, None
-        held = None if groups is None else [(g, *[tokens[p] for p in places]) for g, places in enumerate(groups)]
-        near = range(len(templates)) if held is None else sorted({k for h in held for k in index.get(h, ())})
-        for k in near:
-            same = sum(map(str.__eq__, templates[k], tokens))
-            if same >= need and same > best:
-                best, at = same, k
-        if at is None:
-            at = len(templates)
-            templates.append(list(tokens))
-            for h in held or ():
-                index[h].append(at)
-        elif best < len(tokens):
-            old = templates[at]
-            new = templates[at] = [a if a == b else VARIABLE for a, b in zip(old, tokens)]
-            for g, places in enumerate(groups or ()):
-                if any(old[p] != new[p] for p in places):
-                    index[(g, *[new[p] for p in places])].append(at)
+    for row in rows:
+        if groups is None:
+            near = np.arange(count)
+        else:
+            names = [(g, row[places].tobytes()) for g, places in enumerate(groups)]
+            near = np.array(sorted({k for name in names for k in index.get(name, ())}), dtype=np.intp)
+        same = (held[near] == row).sum(axis=1)
+        best = int(np.argmax(same)) if len(same) else 0
+        if not len(same) or same[best] < need:
+            at = count
+            held[at] = row
+            count += 1
+            for name in names if groups is not None else ():
+                index[name].append(at)
+        else:
+            at = int(near[best])
+            if same[best] < width:
+                differ = held[at] != row
+                changed = differ & (held[at] != 0)
+                held[at][differ] = 0
+                for g, places in enumerate(groups or ()):
+                    if changed[places].any():
+                        index[(g, held[at][places].tobytes())].append(at)
         member.append(at)
+    words = list(number)
+    templates = [[words[k] for k in held[at]] for at in range(count)]
     return [(key, templates[k]) for (key, _), k in zip(lines, member)]
 
 
@@ -235,66 +255,140 @@ def templates(docs: DataFrame, counted: DataFrame, min_docs: int, similarity: fl
     return lines.groupBy("leaf", "salt").applyInPandas(parse, "key long, template long, pattern string")
 
 
-def near_copies(a: str, b: str, shared: set[int]) -> bool:
-    """Whether the texts are copies of one but for edits.  ``shared``: the keys of
-    the long templates in both."""
-    def likeness(x: list[str], y: list[str]) -> float:
-        one, two = ({tuple(w[k:k + 5]) for k in range(max(1, len(w) - 4))} for w in (x, y))
-        return len(one & two) / len(one | two)
+def shingles(line: list[str], known: dict[str, int]) -> np.ndarray:
+    """Hashes of the 5-word shingles of a line, a shorter line as one."""
+    words = np.array([known.get(t) or known.setdefault(t, xxhash.xxh3_64_intdigest(t.encode("utf-8", "surrogatepass")) | 1)
+                      for t in line], dtype=np.uint64)
+    n = min(5, len(words))
+    found = np.zeros(len(words) - n + 1, dtype=np.uint64)
+    for k in range(n):
+        found = (found ^ words[k:len(words) - n + 1 + k]) * np.uint64(0x9E3779B97F4A7C15)
+        found ^= found >> np.uint64(29)
+    return found
 
-    lines = [[t for x in text.split("\n") if (t := tokens_of(x))] for text in (a, b)]
-    if likeness(*([w for t in own for w in t] for own in lines)) < NEAR_TEXT:
+
+def smallest(found: list[np.ndarray], size: int = SKETCH) -> np.ndarray:
+    """The sketch of some shingles: their smallest hashes, in order, as signed numbers."""
+    every = np.unique(np.concatenate(found)) if found else np.zeros(0, dtype=np.uint64)
+    return every[:size].astype(np.int64)
+
+
+def likeness(a: np.ndarray, b: np.ndarray) -> float:
+    """Jaccard similarity from two sketches: exact where they hold everything."""
+    a, b = a.astype(np.uint64), b.astype(np.uint64)
+    ends = [x[-1] for x in (a, b) if len(x) == SKETCH]
+    if ends:  # beyond the end of a full sketch nothing is known
+        a, b = a[a <= min(ends)], b[b <= min(ends)]
+    shared = len(np.intersect1d(a, b, assume_unique=True))
+    return shared / max(1, len(a) + len(b) - shared)
+
+
+def near_copies(a: tuple, b: tuple) -> bool:
+    """Whether two texts, given as the sketches (whole, rest), are copies but for edits."""
+    if likeness(a[0], b[0]) < NEAR_TEXT:
         return False
-    rest = [[w for t in own if _hash(" ".join(t)) not in shared for w in t] for own in lines]
-    return not all(rest) or likeness(*rest) >= NEAR_REST
-
-
-def long_templates(docs: DataFrame, holders: DataFrame, min_docs: int, long_docs: int) -> DataFrame:
-    """(template) of the long templates that stand in ``long_docs`` texts or more,
-    near copies as one, and in fewer than ``min_docs``.  ``holders``: (_hash, _size,
-    key, template), each line of a text with a long template."""
-    few = (holders.select(*_KEY, "template").distinct().groupBy("template").agg(F.count(F.lit(1)).alias("texts"))
-           .where((F.col("texts") >= long_docs) & (F.col("texts") < min_docs)).select("template"))
-    holders = stored(holders.join(few, "template")
-                     .select("template", "key", F.struct(*_KEY).alias("name")), "lines-holders")
-    texts = holders.groupBy("template", "name").agg(F.collect_set("key").alias("keys"))
-    # Fewer than min_docs texts a template, so the pairs of one are bounded.
-    pairs = (texts.select("template", F.col("name").alias("a"), F.col("keys").alias("a_keys"))
-             .join(texts.select("template", F.col("name").alias("b"), F.col("keys").alias("b_keys")), "template")
-             .where("a < b"))
-    pairs = stored(pairs, "lines-pairs")
-    if pairs.isEmpty():
-        return few.where(F.lit(long_docs <= 1))
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("name")).distinct()
-    bodies = stored(_signed(docs).select(F.struct(*_KEY).alias("name"), "text").join(wanted, "name", "left_semi")
-                    .dropDuplicates(["name"]), "lines-bodies")
-    once = (pairs.groupBy("a", "b").agg(F.flatten(F.collect_set(F.concat("a_keys", "b_keys"))).alias("shared"))
-            .join(bodies.select(F.col("name").alias("a"), F.col("text").alias("a_text")), "a")
-            .join(bodies.select(F.col("name").alias("b"), F.col("text").alias("b_text")), "b")
-            .select("a._hash", "a._size", F.col("b._hash").alias("b_hash"), F.col("b._size").alias("b_size"),
-                    "shared", "a_text", "b_text"))
-
-    def compared(batches):
-        for p in batches:
-            near = [near_copies(a, b, set(k)) for a, b, k in zip(p["a_text"], p["b_text"], p["shared"])]
-            yield p[["_hash", "_size", "b_hash", "b_size"]].assign(near=near)
-
-    found = once.mapInPandas(compared, "_hash long, _size int, b_hash long, b_size int, near boolean")
-    judged = stored(found.select(F.struct(*_KEY).alias("a"), F.struct(F.col("b_hash").alias("_hash"),
-                    F.col("b_size").alias("_size")).alias("b"), "near"), "lines-judged")
-
-    def separate(part: pd.DataFrame) -> pd.DataFrame:
-        group = {}
-        for a, b, near in zip(zip(part["a_hash"], part["a_size"]), zip(part["b_hash"], part["b_size"]), part["near"]):
-            x, y = group.setdefault(a, a), group.setdefault(b, b)
-            if near:
-                group = {k: x if v == y else v for k, v in group.items()}
-        return pd.DataFrame({"template": part["template"][:1], "texts": len(set(group.values()))})
-
-    return (pairs.select("template", "a", "b").join(judged, ["a", "b"])
-            .select("template", *[F.col(f"{x}._{n}").alias(f"{x}_{n}") for x in "ab" for n in ("hash", "size")], "near")
-            .groupBy("template").applyInPandas(separate, "template long, texts long")
-            .where(F.col("texts") >= long_docs).select("template"))
+    return not (len(a[1]) and len(b[1])) or likeness(a[1], b[1]) >= NEAR_REST
+
+
+def sketches(docs: DataFrame, names: DataFrame, long_keys) -> DataFrame:
+    """(name, whole, rest) of the texts in ``names`` (name): sketches of all lines and
+    of those that aren't long and recurring (a broadcast bitmap of ``long_keys``; a
+    collision takes a line out of the rest of all texts alike)."""
+    wanted = docs.sparkSession.sparkContext.broadcast(bitmap(
+        names, F.pmod("name._hash", F.lit(NAME_BITS)), F.lit(1), 1, NAME_BITS).tobytes())
+
+    def sketched(batches):
+        texts, out_of_rest = wanted.value, long_keys.value
+        known: dict[str, int] = {}
+        for b in batches:
+            out = []
+            for h, n, text in zip(b["_hash"], b["_size"], b["text"]):
+                slot = h % NAME_BITS
+                if not texts[slot >> 3] >> (slot & 7) & 1:
+                    continue
+                whole, rest = [], []
+                for line in text.split("\n"):
+                    if tokens := tokens_of(line):
+                        found = shingles(tokens, known)
+                        whole.append(found)
+                        key = _hash(" ".join(tokens)) % KEY_BITS
+                        if not out_of_rest[key >> 3] >> (key & 7) & 1:
+                            rest.append(found)
+                out.append((h, n, smallest(whole), smallest(rest)))
+                if len(known) > 1 << 18:
+                    known.clear()
+            yield pd.DataFrame(out, columns=["_hash", "_size", "whole", "rest"])
+
+    rows = _signed(docs).select(*_KEY, "text").mapInPandas(sketched, "_hash long, _size int, whole array<bigint>, rest array<bigint>")
+    return (rows.select(F.struct(*_KEY).alias("name"), "whole", "rest").dropDuplicates(["name"])
+            .join(names, "name", "left_semi"))
+
+
+def apart(docs: DataFrame, holders: DataFrame, long_keys) -> DataFrame:
+    """(template) of those with ``need`` texts or more that are no near copies.
+    ``holders``: (template, need, name), each text of a template once.
+
+    Texts are taken in the order of their names; one that is no near copy of a text
+    counted before is counted.  Each round settles the templates whose first texts are
+    enough, and drops the other texts that are near copies of the counted ones."""
+    spark = docs.sparkSession
+    tasks = task_count(spark)
+    open_, counted, gone = holders, None, []
+    text = "struct<name:struct<_hash:bigint,_size:int>,whole:array<bigint>,rest:array<bigint>>"
+
+    def count(batches):
+        for b in batches:
+            out = []
+            for need, before, found in zip(b["need"], b["before"], b["found"]):
+                chosen = [] if before is None else list(before)
+                parts = [(np.asarray(t["whole"]), np.asarray(t["rest"])) for t in chosen]
+                for t in sorted(found, key=lambda t: (t["name"]["_hash"], t["name"]["_size"])):
+                    own = (np.asarray(t["whole"]), np.asarray(t["rest"]))
+                    if len(chosen) < need and not any(near_copies(own, p) for p in parts):
+                        chosen.append(t)
+                        parts.append(own)
+                out.append(chosen)
+            yield pd.DataFrame({"template": b["template"], "need": b["need"], "counted": out})
+
+    def compare(batches):
+        for b in batches:
+            near = [near_copies((a, ar), (c, cr)) for a, ar, c, cr in zip(b["whole"], b["rest"], b["t_whole"], b["t_rest"])]
+            yield b.loc[near, ["n_hash", "n_size", "t_hash", "t_size"]]
+
+    while True:
+        order = W.partitionBy("template").orderBy("name")
+        first = stored(open_.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= 24)
+                       .where(F.col("_n") <= 2 * F.col("need") + 4).drop("_n"), "lines-first")
+        known = sketches(docs, first.select("name").distinct(), long_keys)
+        rows = (first.join(known, "name").groupBy("template", "need")
+                .agg(F.collect_list(F.struct("name", "whole", "rest")).alias("found")))
+        rows = (rows.join(counted.select("template", F.col("counted").alias("before")), "template", "left") if counted is not None
+                else rows.withColumn("before", F.lit(None).cast(f"array<{text}>")))
+        counted = stored(rows.repartition(tasks, "template").mapInPandas(count, f"template long, need int, counted array<{text}>"),
+                         "lines-counted-texts")
+        gone.append(counted.where(F.size("counted") >= F.col("need")).select("template"))
+        rest = stored(open_.join(counted.where(F.size("counted") < F.col("need")).select("template"), "template", "left_semi")
+                      .join(first.select("template", "name"), ["template", "name"], "left_anti"), "lines-others")
+        if rest.isEmpty():
+            break
+        chosen = counted.select("template", F.explode("counted").alias("t"))
+        pairs = rest.join(chosen.select("template", F.col("t.name").alias("chosen")), "template").select("name", "chosen").distinct()
+        pairs = stored(pairs, "lines-pairs")
+        known = sketches(docs, pairs.select("name").distinct(), long_keys)
+        theirs = chosen.select("t.*").dropDuplicates(["name"])
+        sides = (pairs.join(known, "name").join(theirs.select(F.col("name").alias("chosen"), F.col("whole").alias("t_whole"),
+                                                              F.col("rest").alias("t_rest")), "chosen")
+                 .select(F.col("name._hash").alias("n_hash"), F.col("name._size").alias("n_size"), F.col("chosen._hash").alias("t_hash"),
+                         F.col("chosen._size").alias("t_size"), "whole", "rest", "t_whole", "t_rest"))
+        near = sides.mapInPandas(compare, "n_hash long, n_size int, t_hash long, t_size int").select(
+            F.struct(F.col("n_hash").alias("_hash"), F.col("n_size").alias("_size")).alias("name"),
+            F.struct(F.col("t_hash").alias("_hash"), F.col("t_size").alias("_size")).alias("chosen"))
+        covered = (rest.join(chosen.select("template", F.col("t.name").alias("chosen")), "template")
+                   .join(stored(near, "lines-near"), ["name", "chosen"], "left_semi").select("template", "name").distinct())
+        open_ = stored(rest.join(covered, ["template", "name"], "left_anti"), "lines-open")
+        if open_.isEmpty():
+            break
+    return reduce(DataFrame.unionByName, gone).distinct()
 
 
 def recurring(docs: DataFrame, index: DataFrame, min_docs: int = MIN_DOCS, similarity: float = SIMILARITY,
@@ -305,20 +399,23 @@ def recurring(docs: DataFrame, index: DataFrame, min_docs: int = MIN_DOCS, simil
                          F.col("line.long").alias("long"))
     counted = stored(pairs.groupBy("leaf", "key", "long").agg(F.count(F.lit(1)).alias("texts")), "lines-counted")
     grouped = stored(templates(docs, counted, min_docs, similarity, block, long_docs), "lines-templates")
-    # Texts that hold any line of a template, each once.
-    held = (pairs.select("_hash", "_size", "key").join(grouped.select("key", "template"), "key")
-            .select("_hash", "_size", "template").distinct()
-            .groupBy("template").agg(F.count(F.lit(1)).alias("texts")).where(F.col("texts") >= min_docs))
-    gone = (counted.where(F.col("texts") >= min_docs).select("key")
-            .unionByName(grouped.join(held, "template").select("key")))
-    # Long lines that are in a text besides the first or share a template; a key alone in its leaf is its template.
-    named = (counted.where("long").join(grouped.select("key", "template"), "key", "left")
-             .where((F.col("texts") >= long_docs) | F.col("template").isNotNull())
-             .select("key", F.coalesce("template", "key").alias("template")))
-    named = stored(named, "lines-long")
-    holders = pairs.where("long").select("_hash", "_size", "key").join(named, "key")
-    few = long_templates(docs, holders, min_docs, long_docs)
-    return gone.unionByName(named.join(few, "template").select("key")).distinct()
+    # A key that is alone in its leaf is its template.  Those that stand in enough texts
+    # by themselves or through others are looked at again.
+    least = F.when(F.col("long"), F.least(F.lit(long_docs), F.lit(min_docs))).otherwise(F.lit(min_docs))
+    named = (counted.join(grouped.select("key", "template"), "key", "left")
+             .where((F.col("texts") >= least) | F.col("template").isNotNull())
+             .select("key", "long", F.coalesce("template", "key").alias("template"), least.alias("need")))
+    named = stored(named, "lines-named")
+    held = pairs.select(F.struct(*_KEY).alias("name"), "key").join(named, "key")
+    held = stored(held.groupBy("template", "name").agg(F.min("need").alias("need")), "lines-held")
+    enough = held.groupBy("template").agg(F.count(F.lit(1)).alias("texts"), F.min("need").alias("least")).where("texts >= least")
+    enough = stored(enough.select("template", F.col("least").alias("need")), "lines-enough")
+    if enough.isEmpty():
+        return named.where(F.lit(False)).select("key")
+    long_keys = docs.sparkSession.sparkContext.broadcast(bitmap(
+        named.where("long").join(enough, "template", "left_semi"), F.pmod("key", F.lit(KEY_BITS)), F.lit(1), 1, KEY_BITS).tobytes())
+    gone = apart(docs, held.drop("need").join(enough, "template"), long_keys)
+    return named.join(gone, "template").select("key").distinct()
 
 
 def drop_recurring_lines(docs: DataFrame, min_docs: int = MIN_DOCS, similarity: float = SIMILARITY,
