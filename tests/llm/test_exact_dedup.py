@@ -60,3 +60,18 @@ def test_empty(docs, table):
 def test_runs_no_python(docs):
     plan = exact_dedup.exact_dedup(docs(["x", "y"]))._jdf.queryExecution().toString()
     assert "Python" not in plan and "Pandas" not in plan
+
+
+def test_clashing_columns(docs):
+    from pyspark.sql import functions as F
+    df = docs(["x", "x", "y"]).withColumns({c: F.lit(1) for c in ("_metadata", "file", "row", "all", "digest", "best")})
+    out = deduplicated(df)
+    assert out.columns == df.columns and sorted(r.text for r in out.collect()) == ["x", "y"]
+
+
+def test_only_hits_are_compared(docs, monkeypatch):
+    """The rows of digests that stand alone don't reach the comparison."""
+    seen, real = [], exact_dedup.collided
+    monkeypatch.setattr(exact_dedup, "collided", lambda docs, hits: seen.append(hits.count()) or real(docs, hits))
+    exact_dedup.exact_dedup(docs([f"t{k}" for k in range(50)] + ["same"] * 3)).collect()
+    assert seen == [3]

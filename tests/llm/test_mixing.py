@@ -66,3 +66,12 @@ def test_mixed_documents(docs):
 def test_empty(table):
     df = table([], "doc_id long, text string, source string")
     assert mixing.mix(df).collect() == [] and mixing.mixed_documents(df).collect() == []
+
+
+def test_sources_of_one_id_come_near_their_target(table):
+    """Null ids, and one row many times."""
+    rows = [(None, "w " * 20, "a")] * 20 + [(5, "v " * 10, "b")] * 30 + [(k, "u " * 7, "c") for k in range(40)]
+    out = mixing.mix(table(rows, "doc_id long, text string, source string")).collect()
+    for source in "abc":
+        own = [r for r in out if r.source == source]
+        assert abs(sum(r.taken for r in own) - own[0].target) <= max(r.size for r in own)

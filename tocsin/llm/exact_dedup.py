@@ -9,10 +9,11 @@
    Rows are summed per task before they reach the state, so a digest with a
    third of all rows is a few rows there.  The state is read back from its
    checkpoint as a table.
-3. Digests with more than one row are hits, and full bytes are compared: the
-   smallest and the largest normalised text of a digest must be one and the
-   same.  Both are aggregates, so copies meet in each task before the shuffle.
-   Digests that fail (a collision) are split by the text itself.
+3. Digests with more than one row are hits, and full bytes of their rows are
+   compared: the smallest and the largest normalised text of a digest must be one
+   and the same.  Both are aggregates, so copies meet in each task before the
+   shuffle.  A bitmap of fixed size over the hits' locators keeps other texts from
+   being moved.  Digests that fail (a collision) are split by the text itself.
 
 Only DataFrame and SQL operations run on the executors.
 
@@ -37,6 +38,7 @@ STATE_SETTINGS = {
     "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
 }
 LAST_ID = 2**63 - 1
+HIT_BITS = 1 << 22  # of the bitmap over the rows to compare
 
 
 def normalised(text: Column) -> Column:
@@ -47,8 +49,8 @@ def located(docs: DataFrame, *kept: Column) -> DataFrame:
     """(doc_id, text, file, row, *kept) of ``docs``: its rows with their place.  A
     frame that isn't a scan of files is written to the shared folder first."""
     def with_place(df: DataFrame) -> DataFrame:
-        return df.select("doc_id", "text", F.col("_metadata.file_path").alias("file"),
-                         F.col("_metadata.row_index").alias("row"), *kept)
+        place = df.metadataColumn("_metadata")  # not a column of the table that has this name
+        return df.select("doc_id", "text", place["file_path"].alias("file"), place["row_index"].alias("row"), *kept)
     try:
         return with_place(docs)
     except AnalysisException:
@@ -85,10 +87,29 @@ def keyed_state(spark: SparkSession, prints_path: str, schema, batch_bytes: int
     return spark.createDataFrame([], f"digest string, group_size long, best {best}")
 
 
-def collided(docs: DataFrame, digest: Column) -> DataFrame:
-    """Digests under which different texts stand: the comparison of full bytes."""
+def in_bitmap(slots: DataFrame, slot: Column) -> Column:
+    """Whether ``slot`` (0 to ``HIT_BITS``) may be among those of the table ``slots`` (slot):
+    a literal of ``HIT_BITS / 64`` numbers, whatever the number of rows."""
+    packed = slots.groupBy(F.expr("slot div 64").alias("at")).agg(
+        F.bit_or(F.expr("shiftleft(1L, CAST(slot % 64 AS INT))")).alias("bits")).collect()
+    words = ["0"] * (HIT_BITS // 64)
+    for r in packed:
+        words[r["at"]] = str(r["bits"])
+    held = F.split(F.lit(",".join(words)), ",").cast("array<bigint>")
+    word = F.element_at(held, F.floor(slot / 64).cast("int") + 1)
+    return F.call_function("shiftright", word, (slot % 64).cast("int")).bitwiseAND(F.lit(1)) == 1
+
+
+def collided(docs: DataFrame, hits: DataFrame) -> DataFrame:
+    """Digests under which different texts stand: the comparison of full bytes of the
+    rows ``hits`` (file, row, digest)."""
+    def slot(file: str, row: str) -> Column:
+        return F.pmod(F.xxhash64(file, row), F.lit(HIT_BITS))
+
+    near = docs.where(in_bitmap(hits.select(slot("file", "row").alias("slot")), slot("file", "row")))
+    rows = near.select("file", "row", "text").join(hits, ["file", "row"])
     norm = normalised(text_of())
-    return (docs.select(digest.alias("digest"), norm.alias("norm"))
+    return (rows.select("digest", norm.alias("norm"))
             .groupBy("digest").agg(F.min("norm").alias("low"), F.max("norm").alias("high"))
             .where("low != high").select("digest"))
 
@@ -130,9 +151,10 @@ def decided(docs: DataFrame, batch_bytes: int | None, digest_chars: int = 64) ->
     path = shared_path(spark, "dedup-prints")
     docs.select(*prints_of(docs, digest)).write.parquet(path)
     prints = spark.read.parquet(path)
-    state = keyed_state(spark, path, prints.schema, batch_bytes)
+    state = stored(keyed_state(spark, path, prints.schema, batch_bytes), "dedup-groups")
     whole = prints.join(state, "digest")
-    bad = stored(collided(docs, digest), "dedup-collisions")
+    hits = stored(prints.select("file", "row", "digest").join(state.where("group_size > 1").select("digest"), "digest"), "dedup-hits")
+    bad = stored(collided(docs, hits), "dedup-collisions")
     if not bad.isEmpty():
         # A digest that stands for several texts is regrouped by the text itself.
         whole = whole.join(bad, "digest", "left_anti").unionByName(regrouped(docs, digest, bad))

@@ -43,6 +43,7 @@ from pyspark.sql import functions as F
 
 from tocsin.llm.common import stored, task_count, text_of
 from tocsin.llm.components import components
+from tocsin.llm.exact_dedup import located
 
 WORDS = 5
 BAND_RATIO = 1.5
@@ -219,20 +220,21 @@ def part_keys(tokens: np.ndarray) -> np.ndarray:
     return mixed(np.concatenate(values) ^ mixed(np.concatenate(places) * _PLACES[0]))
 
 
-def signatures(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_shingles, node, sketch); node and sketch null without shingles."""
-    kind = docs.schema["doc_id"].dataType.simpleString()
+def signatures(docs: DataFrame, *kept: str) -> DataFrame:
+    """(doc_id, n_shingles, node, sketch, *kept); node and sketch null without shingles."""
+    carried = ("doc_id", *kept)
+    kinds = ", ".join(f"{c} {docs.schema[c].dataType.simpleString()}" for c in carried)
 
     def signed(batches):
         powers = Powers()
         for b in batches:
             sets = [shingles(t, powers) for t in b["text"]]
-            yield pd.DataFrame({"doc_id": b["doc_id"], "n_shingles": [len(s) for s in sets],
+            yield pd.DataFrame({**{c: b[c] for c in carried}, "n_shingles": [len(s) for s in sets],
                                 "node": pd.array([node_of(s) if len(s) else None for s in sets], dtype="Int64"),
                                 "sketch": [sketch(s) if len(s) else None for s in sets]})
 
-    return (docs.select("doc_id", text_of().alias("text"))
-            .mapInPandas(signed, f"doc_id {kind}, n_shingles long, node long, sketch binary"))
+    return (docs.select(*carried, text_of().alias("text"))
+            .mapInPandas(signed, f"{kinds}, n_shingles long, node long, sketch binary"))
 
 
 def sharded_keys(docs: DataFrame, shards: int, at_once: int = 2000) -> DataFrame:
@@ -422,9 +424,10 @@ def cell_pairs(cells: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(sorted(found), columns=["a", "b"], dtype="int64")
 
 
-def near_duplicates(docs: DataFrame, block: int = BLOCK) -> DataFrame:
-    """(doc_id, n_shingles, component_id) for each row of ``docs`` (doc_id, text)."""
-    signed = stored(signatures(docs), "jaccard-signatures")
+def grouped(docs: DataFrame, block: int = BLOCK, kept: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, *kept, n_shingles, component, component_id) for each row of ``docs`` (doc_id,
+    text, *kept).  ``component`` names the group of linked rows, null without shingles."""
+    signed = stored(signatures(docs, *kept), "jaccard-signatures")
     info = stored(signed.where("node IS NOT NULL").groupBy("node")
                   .agg(F.min("doc_id").alias("doc_id"), F.max("n_shingles").alias("n_shingles"),
                        F.max("sketch").alias("sketch")), "jaccard-nodes")
@@ -442,15 +445,29 @@ def near_duplicates(docs: DataFrame, block: int = BLOCK) -> DataFrame:
              .select("node", "doc_id", F.coalesce("component", "node").alias("component")))
     named = stored(named, "jaccard-named")
     lowest = stored(named.groupBy("component").agg(F.min("doc_id").alias("component_id")), "jaccard-lowest")
-    of_node = stored(named.join(lowest, "component").select("node", "component_id"), "jaccard-ids")
-    return (signed.select("doc_id", "n_shingles", "node").join(of_node, "node", "left")
-            .select("doc_id", "n_shingles",
-                    F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id")))
+    of_node = stored(named.join(lowest, "component").select("node", "component", "component_id"), "jaccard-ids")
+    return signed.select("doc_id", *kept, "n_shingles", "node").join(of_node, "node", "left").select(
+        "doc_id", *kept, "n_shingles", "component",
+        F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+
+
+def near_duplicates(docs: DataFrame, block: int = BLOCK) -> DataFrame:
+    """(doc_id, n_shingles, component_id) for each row of ``docs`` (doc_id, text)."""
+    return grouped(docs, block).drop("component")
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` with the smallest id of their group; columns unchanged.
-    Rows without a group (null ids, no shingles) stay."""
-    found = near_duplicates(docs)
-    dropped = found.where("doc_id <> component_id").select(F.col("doc_id").alias("_dropped")).distinct()
-    return docs.join(dropped, F.col("doc_id") == F.col("_dropped"), "left_anti")
+    """The rows of ``docs`` of which each group keeps one: that with the smallest id (a
+    null one last), of several such the first by its place in the table's files.  Rows
+    are told apart by their place, so an id that stands for several texts, or none,
+    takes no other row along.  Rows without shingles stay.  Columns are unchanged."""
+    own = docs.columns
+    rows = located(docs, F.struct(*[F.col(f"`{c}`") for c in own]).alias("_all"))
+    found = stored(grouped(rows.drop("_all"), kept=("file", "row")).where("component IS NOT NULL")
+                   .select("component", F.col("doc_id").isNull().alias("nameless"), "doc_id", "file", "row"), "jaccard-rows")
+    place = F.struct("nameless", "doc_id", "file", "row")
+    stays = found.groupBy("component").agg(F.min(place).alias("stays"))
+    dropped = (found.join(stays, "component").where((F.col("file") != F.col("stays.file")) | (F.col("row") != F.col("stays.row")))
+               .select("file", "row"))
+    return (rows.join(dropped, ["file", "row"], "left_anti")
+            .select(*[F.col("_all").getField(c).alias(c) for c in own]))

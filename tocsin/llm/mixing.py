@@ -17,8 +17,9 @@ two numbers per source, so nothing is joined per document.
 
 Defined cases: null text has size 0; a null source is a source of its own,
 ordered last; sources without words get target 0; documents with equal ids
-(repeated rows, null ids) have equal hashes and are taken together; an empty
-table gives an empty result.
+(repeated rows, null ids) have hashes of their own, ordered among each other by
+their place in the table's files, so a source of one id is cut like any other; an
+empty table gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations
@@ -27,6 +28,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tocsin.llm.common import NOT_BLANK, stored, text_of
+from tocsin.llm.exact_dedup import located
 
 WEIGHT_CYCLE = (3, 1, 2)
 SHARE = 1.5
@@ -39,8 +41,10 @@ def word_count(text: Column) -> Column:
     return F.regexp_count(text, F.lit(NOT_BLANK)).cast("long")
 
 
-def seeded_hash(doc_id: Column, seed: int = SEED) -> Column:
-    return F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(doc_id.cast("string"), F.lit(""))))
+def seeded_hash(seed: int = SEED) -> Column:
+    """Of a located row: the hash of its id, then that of its place."""
+    by_id = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
+    return F.concat(by_id, F.lpad(F.hex(F.xxhash64("file", "row")), 16, "0"))
 
 
 def cycled_weights(sources: DataFrame, cycle: tuple[int, ...] = WEIGHT_CYCLE) -> DataFrame:
@@ -113,8 +117,8 @@ def copies_of(source_hash: Column) -> Column:
 
 
 def sized_documents(docs: DataFrame, seed: int = SEED) -> DataFrame:
-    return docs.select("doc_id", "source", word_count(text_of()).alias("size"),
-                       seeded_hash(F.col("doc_id"), seed).alias("hash"))
+    return located(docs, F.col("source")).select("doc_id", "source", word_count(text_of()).alias("size"),
+                                                 seeded_hash(seed).alias("hash"))
 
 
 def mix(docs: DataFrame, seed: int = SEED, share: float = SHARE, max_epochs: float = MAX_EPOCHS) -> DataFrame:
@@ -132,8 +136,8 @@ def mixed_documents(docs: DataFrame, seed: int = SEED, share: float = SHARE,
     """The rows of ``docs``, each as often as the mix takes it; columns unchanged."""
     plan = plan_mix(stored(sized_documents(docs, seed).drop("doc_id"), "mix-sizes"), share, max_epochs)
     own = docs.columns
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in own]).alias("_row"), F.col("source").alias("_source"),
-                       seeded_hash(F.col("doc_id"), seed).alias("_hash"))
+    rows = located(docs, F.struct(*[F.col(f"`{c}`") for c in own]).alias("_row"), F.col("source").alias("_source"))
+    rows = rows.select("_row", "_source", seeded_hash(seed).alias("_hash"))
     return (rows.join(plan, F.col("_source").eqNullSafe(F.col("mix_source")))
             .withColumn("_copies", copies_of(F.col("_hash")).cast("int"))
             .where("_copies > 0")
