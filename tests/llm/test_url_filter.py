@@ -57,3 +57,13 @@ def test_fnmatch_agrees_without_slashes():
     globs, texts = ["a*b", "?x*", "*"], ["ab", "axxb", "zx", "", "zxy"]
     got = GlobAutomaton(globs).matches(texts)
     assert got.tolist() == [[fnmatch.fnmatchcase(t, g) for g in globs] for t in texts]
+
+
+def test_clashing_columns(table):
+    from tocsin.llm.url_filter import judge
+    df = table([("http://a.org/x", 7, "old", "r")], "url string, `_found` int, host string, `row` string")
+    out = judge(df)
+    assert out.columns == ["url", "_found", "row", "host", "path", "rule", "verdict", "globs"]
+    r = out.first()
+    assert (r["_found"], r["row"], r["host"], r["rule"], r["verdict"]) == (7, "r", "a.org", "org/", "allow")
+    assert judge(df.limit(0)).collect() == []

@@ -262,8 +262,11 @@ def classify(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -
 def accepted(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of ``docs`` that the classifier doesn't reject; columns unchanged.
 
-    A row is judged by its own text as it is read, so nothing is joined back."""
-    model = fit(document_statistics(docs), labels)  # which stores the labelled rows
+    Statistics for the fit are those of labelled rows only.  A row is judged by its own
+    text as it is read, so nothing is joined back."""
+    labelled = labels.where("doc_id IS NOT NULL AND y IS NOT NULL").select("doc_id").distinct()
+    own = docs.select("doc_id", "text").join(labelled, "doc_id", "left_semi")
+    model = fit(document_statistics(own), labels)  # which stores the labelled rows
 
     @F.pandas_udf("double")
     def judged(text: pd.Series) -> pd.Series:

@@ -60,7 +60,7 @@ def op8_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Tokens of every text by the compiled transducers."""
+    """Tokens of every text: runs from the finite-state splitter, counted by memoised merges."""
     import public_tokenizers
 
     counts = token_counts.token_counts(documents(spark, sf_dir, "doc_id", "text"),

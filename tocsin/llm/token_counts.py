@@ -1,21 +1,17 @@
-"""Token counts: a tokenizer compiled to finite-state transducers.
+"""Token counts: a finite-state splitter, and counts of runs composed over chunks.
 
-The tokenizer (lower case, white space dropped, BPE with word ends) is compiled
-into two deterministic machines:
+The tokenizer (lower case, white space dropped, BPE with word ends) has a
+splitter that is a deterministic machine over character classes: its transitions
+say where a pre-token ends (contractions, letter runs, single digits, symbol
+runs).  The merges are not compiled into transitions: a run without white space is
+merged when first met, and its count is looked up from then on.
 
-* the splitter, over character classes, whose transitions say where a pre-token
-  ends (contractions, letter runs, single digits, symbol runs);
-* the counter, whose transitions out of a run without white space are annotated
-  with the number of tokens that the run emits.  Its states are the runs met,
-  path-compressed: one step of the table consumes a whole run.  Runs that the
-  table doesn't know yet go through the splitter and the merges, and are added.
-
-White space brings every state back to the start.  So the state map of a chunk
+White space brings the splitter back to its start.  So the state map of a chunk
 of text needs no state set: it is (head, count, tail): what stands before the
 first blank and is still to be joined to what came before, the tokens emitted
 for certain, and what is pending at the end.  Maps compose associatively; the
-chunks of a long text are mapped in parallel by many tasks and composed by a
-prefix scan in pairs.
+chunks of a long text are mapped in parallel by many tasks, and their maps are
+composed in pairs by the task that has gathered them.
 
 Special tokens are found in the raw text before it is normalised and count one
 each, as the library does by default.  No begin or end tokens, no truncation.

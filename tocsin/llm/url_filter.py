@@ -145,7 +145,8 @@ def rule_globs(rules: Iterable[tuple[str, str]]) -> list[str]:
 
 def judge(pages: DataFrame, url: str = "url", rules: Sequence[tuple[str, str]] = RULES,
           block_globs: Sequence[str] = BLOCK_GLOBS) -> DataFrame:
-    """``pages`` with host, path, rule, verdict and globs (those that fit)."""
+    """``pages`` with host, path, rule, verdict and globs (those that fit); columns of these
+    names that ``pages`` has already give way.  An empty table gives an empty one."""
     rules, block_globs = list(rules), list(block_globs)
     automaton = GlobAutomaton(rule_globs(rules) + block_globs)
     # later ones overwrite: the longest last, of equal ones the earliest
@@ -165,13 +166,13 @@ def judge(pages: DataFrame, url: str = "url", rules: Sequence[tuple[str, str]] =
             "globs": [[block_globs[j] for j in np.flatnonzero(row)] for row in own],
         })
 
-    found = F.col("_found")
     added = ("host", "path", "rule", "verdict", "globs")
-    kept = [F.col(f"`{c}`") for c in pages.columns if c not in added]
-    return (pages.select(*kept, host_of(F.col(url)).alias("host"), path_of(F.col(url)).alias("path"))
-            .withColumn("_found", decide(F.concat(F.lit("."), "host", "path")))
-            .select(*kept, "host", "path", found.rule.alias("rule"), found.verdict.alias("verdict"),
-                    found.globs.alias("globs")))
+    kept = [c for c in pages.columns if c not in added]
+    rows = pages.select(F.struct(*[F.col(f"`{c}`") for c in kept]).alias("row"), host_of(F.col(url)).alias("host"),
+                        path_of(F.col(url)).alias("path"))
+    rows = rows.withColumn("found", decide(F.concat(F.lit("."), "host", "path")))
+    return rows.select(*[F.col("row").getField(c).alias(c) for c in kept], "host", "path",
+                       *[F.col("found").getField(c).alias(c) for c in added[2:]])
 
 
 ORACLE = r"""
