@@ -64,6 +64,30 @@ def test_outcomes_shuffle_rows_once_after_fixture(spark, name):
     assert any("_id" in e and "_c" in e for e in ex), ex
 
 
+def row_level_sorts(plan):
+    """Sort-based aggregates that rows reach without passing another aggregate."""
+    found = []
+
+    def reach(node):
+        name = node.getClass().getSimpleName()
+        if name == "FileSourceScanExec":
+            return True
+        below = any([reach(c) for c in _children(node)])
+        if name in ("SortAggregateExec", "ObjectHashAggregateExec") and below:
+            found.append(name)
+        return below and name not in AGGREGATES
+
+    reach(plan)
+    return found
+
+
+@pytest.mark.parametrize("name", ["first_row", "alarms_all", "alarms_appropriate", "cluster_size_randomized", "nurse_right_join"])
+def test_first_rows_are_hash_aggregates(spark, name):
+    df = E.queries()[name](spark, SF_SMALL)
+    df.write.format("noop").mode("overwrite").save()
+    assert row_level_sorts(df._jdf.queryExecution().executedPlan()) == []
+
+
 @pytest.mark.parametrize("name", ["alarms_all", "cluster_size_analyzed", "units"])
 def test_other_queries_shuffle_rows_once(spark, name):
     # only the fixture's one-row-per-tick exchange moves rows

@@ -316,3 +316,22 @@ def test_normal_distribution(spark):
     df = spark.createDataFrame([(float(z),) for z in (-40, -6, -1.5, 0, 0.3, 2, 8, 30)], "z double")
     for r in df.withColumn("p", normal_cdf(F.col("z"))).collect():
         assert abs(r.p - NormalDist().cdf(r.z)) < 1e-9
+
+
+def test_order_statistics_are_exact(spark):
+    """Ties over many ranges, one value, two, and a group with most rows."""
+    from tocsin.operators.summary import order_statistics
+    rng = np.random.default_rng(2)
+    groups = {"hot": rng.integers(0, 50, 5000) / 4, "wide": rng.normal(0, 1, 301), "one": [7.0], "two": [1.0, 2.0], "same": [3.0] * 90}
+    df = spark.createDataFrame([(g, float(v)) for g, vs in groups.items() for v in vs], "g string, value double")
+    for r in order_statistics(df, ["g"], (0.0, 0.25, 0.5, 0.75, 1.0)).collect():
+        assert r.n == len(groups[r.g])
+        assert np.allclose(r.q, np.quantile(groups[r.g], (0, 0.25, 0.5, 0.75, 1)), rtol=0, atol=1e-12), r
+    assert order_statistics(df.where("g = 'none'"), ["g"]).collect() == []
+
+
+def test_baseline_needs_no_map_of_values(spark):
+    from conftest import SF_SMALL
+    import __spark_entry__ as entry
+    plan = entry.queries()["baseline_continuous"](spark, SF_SMALL)._jdf.queryExecution().toString()
+    assert "percentile" not in plan

@@ -7,7 +7,7 @@ from typing import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tocsin.operators.rows import anti_filter, append_units, first_row_per_key, null_safe_join, order_key
+from tocsin.operators.rows import anti_filter, append_units, first_row_per_key, null_safe_join
 
 
 def exclusions(patient_form: DataFrame, overrides: Sequence[str] = ()) -> DataFrame:
@@ -31,7 +31,7 @@ def analysed_series(series: DataFrame, excluded: DataFrame) -> DataFrame:
 
 def first_unit_per_id(series: DataFrame, ts_col: str = "datetime") -> DataFrame:
     """O18 on the series: nurse and arm of the first row of each id."""
-    return first_row_per_key(series, ["id"], order_key(ts_col), ["nurse", "randomization"])
+    return first_row_per_key(series, ["id"], ts_col, ["nurse", "randomization"])
 
 
 def cluster_sizes(series: DataFrame, missing: DataFrame, excluded: DataFrame | None = None) -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from tocsin.functions.alarm import SPO2_THRESHOLD, any_alarm_state, event_accepted
 from tocsin.operators.episodes import DAY_SECONDS, episodes_of, pieces, prepare, row_sums, units_of
-from tocsin.operators.rows import append_units, order_key, right_join_units
+from tocsin.operators.rows import append_units, right_join_units
 
 UNIT = ["id", "randomization", "nurse"]
 
@@ -60,10 +60,10 @@ def event_alarm_count(series: DataFrame, missing: DataFrame | None, vocabulary:
     on each (id, nurse) unit (arm of the unit's first row)."""
     state = any_alarm_state(flags) if flags else any_alarm_state()
     hit = F.when((state == 1) & event_accepted(F.col("event"), vocabulary), 1).otherwise(0)
-    per_unit = series.groupBy("id", "nurse").agg(
-        F.sum(hit).alias("_n"),
-        F.min_by(F.col("randomization"), order_key("datetime")).alias("randomization"),
-    )
+    # Hash aggregates over the rows; the unit's arm is picked from their few results.
+    per_arm = series.groupBy("id", "nurse", "randomization").agg(F.sum(hit).alias("_n"), F.min("datetime").alias("_first"))
+    per_unit = per_arm.groupBy("id", "nurse").agg(
+        F.sum("_n").alias("_n"), F.min(F.struct("_first", "randomization"))["randomization"].alias("randomization"))
     out = per_unit.withColumn("outcome", F.sum("_n").over(Window.partitionBy("id")).cast("long"))
     out = out.select(*UNIT, "outcome")
     if missing is not None:

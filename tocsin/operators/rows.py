@@ -1,7 +1,7 @@
 """Row-level building blocks: dedup, first row per key, lookups and joins.
 
-All first-row operators are written as aggregations (``min_by`` on an explicit
-order key) or as ``row_number() == 1`` windows that Catalyst turns into a
+First-row operators are hash aggregates (the smallest time of each different row
+content), or ``row_number() == 1`` windows that Catalyst turns into a
 WindowGroupLimit.  Both combine map-side, so a key holding a large share of the
 rows is reduced before the shuffle instead of being sent to one task whole.
 """
@@ -27,16 +27,20 @@ def one_row_per_tick(df: DataFrame, keys: Sequence[str], ts_col: str, tie_col: s
     return df.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") == 1).drop("_rn")
 
 
-def first_row_per_key(df: DataFrame, keys: Sequence[str], order: Column, columns: Sequence[str]) -> DataFrame:
-    """For each key, the listed columns of the first row in ``order``.
+def first_row_per_key(df: DataFrame, keys: Sequence[str], ts_col: str, columns: Sequence[str]) -> DataFrame:
+    """For each key, the listed columns of its first row by ``ts_col``; of rows at one
+    time, the smallest values.
 
-    Written as ``min_by`` so the partial aggregate runs before the exchange.
+    Rows are first grouped by the keys and the columns together, with the smallest
+    time: a number that a hash aggregate updates in place, so no row is sorted.  A key
+    has few different values there; the first of them is then picked from this table.
     """
-    packed = F.struct(*[F.col(c) for c in columns])
+    others = [c for c in columns if c != ts_col]
+    seen = df.groupBy(*keys, *others).agg(F.min(ts_col).alias("_first"))
     return (
-        df.groupBy(*keys)
-        .agg(F.min_by(packed, order).alias("_first"))
-        .select(*keys, *[F.col("_first")[c].alias(c) for c in columns])
+        seen.groupBy(*keys)
+        .agg(F.min(F.struct("_first", *others)).alias("_row"))
+        .select(*keys, *[F.col("_row")["_first" if c == ts_col else c].alias(c) for c in columns])
     )
 
 

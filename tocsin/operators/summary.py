@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tocsin.functions.timeparse import mdy_hms, minutes_between
+from tocsin.session import materialize
 
 # Procedure groups, tested in this order, case-insensitive; the
 # first pattern found in the procedure text names the group, else "Other".
@@ -58,20 +59,52 @@ def baseline_frame(form_units: DataFrame, rules: Sequence[tuple[str, str]] = PRO
     )
 
 
+PROBABILITIES = (0.25, 0.5, 0.75)
+
+
+def order_statistics(values: DataFrame, keys: Sequence[str], probabilities: Sequence[float] = PROBABILITIES) -> DataFrame:
+    """(*keys, n, q): the quantiles ``q`` of ``value`` in each group, linear between
+    neighbours (the exact ones, however many values a group has).
+
+    Equal values are counted together first.  The counts are dealt to ranges of
+    (keys, value) and written with the number of their range; a range's rows are
+    numbered by themselves, and what stands before a range comes from the small
+    table of the ranges.  A quantile is then the row that holds its rank, so neither a
+    group's values nor a map of them ever meet in one task."""
+    counts = values.groupBy(*keys, "value").agg(F.count(F.lit(1)).alias("held"))
+    dealt = materialize(counts.repartitionByRange(int(values.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys, "value")
+                        .withColumn("_range", F.spark_partition_id()), "order-statistics")
+    ranges = dealt.groupBy(*keys, "_range").agg(F.sum("held").alias("_all"))
+    group = Window.partitionBy(*keys)
+    ranges = ranges.select(*keys, "_range", (F.sum("_all").over(group.orderBy("_range")) - F.col("_all")).alias("_before"),
+                           F.sum("_all").over(group).alias("n"))
+    inside = F.sum("held").over(Window.partitionBy(*keys, "_range").orderBy("value")) - F.col("held")
+    placed = dealt.withColumn("_inside", inside).join(ranges, [*keys, "_range"]).select(
+        *keys, "value", "n", "held", (F.col("_before") + F.col("_inside")).alias("start"))
+    # The two neighbours of each quantile: a row holds the ranks from start to start + held - 1.
+    rank = {k: F.lit(p) * (F.col("n") - 1) for k, p in enumerate(probabilities)}
+    ends = [F.max(F.when((F.col("start") <= r) & (r < F.col("start") + F.col("held")), F.col("value"))).alias(f"{k}{side}")
+            for k, p in rank.items() for side, r in (("low", F.floor(p)), ("high", F.ceil(p)))]
+    found = placed.groupBy(*keys, "n").agg(*ends)
+    between = [F.col(f"{k}low") + (p - F.floor(p)) * (F.col(f"{k}high") - F.col(f"{k}low")) for k, p in rank.items()]
+    return found.select(*keys, "n", F.array(*between).alias("q"))
+
+
 def continuous_summary(frame: DataFrame, variables: Sequence[str] = CONTINUOUS, exact: bool = True,
                        accuracy: int = 100_000) -> DataFrame:
-    """``exact`` keeps a value -> count map per (arm, variable) (linear
-    interpolation, as the oracle); for very large patient tables
+    """``exact`` finds quartiles by their ranks (linear interpolation, as the oracle);
     ``exact=False`` uses a mergeable quantile sketch of bounded size."""
     long = frame.filter(F.col("randomization").isNotNull()).select(
         "randomization",
         F.explode(F.array(*[F.struct(F.lit(v).alias("variable"), F.col(v).cast("double").alias("value"))
                             for v in variables])).alias("kv"))
     long = long.select("randomization", "kv.variable", "kv.value").filter(F.col("value").isNotNull())
-    probs = F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))
-    q = (F.percentile(F.col("value"), probs) if exact
-         else F.percentile_approx(F.col("value"), probs, accuracy).cast("array<double>"))
-    agg = long.groupBy("randomization", "variable").agg(F.count(F.lit(1)).alias("n"), q.alias("q"))
+    keys = ["randomization", "variable"]
+    if exact:
+        agg = order_statistics(long, keys)
+    else:
+        q = F.percentile_approx(F.col("value"), F.array(*map(F.lit, PROBABILITIES)), accuracy).cast("array<double>")
+        agg = long.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), q.alias("q"))
     return agg.select("randomization", "variable", "n", F.col("q")[0].alias("p25"),
                       F.col("q")[1].alias("median"), F.col("q")[2].alias("p75"))
 

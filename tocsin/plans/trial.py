@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from tocsin.operators import cohort, outcomes
 from tocsin.operators.episodes import DAY_SECONDS, episodes
-from tocsin.operators.rows import distinct_units, first_row_per_key, order_key
+from tocsin.operators.rows import distinct_units, first_row_per_key
 from tocsin.functions.alarm import any_alarm_state, event_accepted
 from tocsin.sources import fixtures, literals
 
@@ -148,7 +148,7 @@ class Trial:
 
     def first_rows(self) -> DataFrame:
         s = self.series()
-        return first_row_per_key(s, ["id"], order_key("datetime"), ["datetime", "nurse", "randomization"])
+        return first_row_per_key(s, ["id"], "datetime", ["datetime", "nurse", "randomization"])
 
     def nurse_units(self) -> DataFrame:
         # All nurses of the observers' sheets, those without patients included.

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from tocsin.operators.episodes import DAY_SECONDS
 
@@ -25,14 +26,10 @@ def write_series(df: DataFrame, path: str, mode: str = "overwrite", chunk_second
 def read_series(spark: SparkSession, path: str) -> DataFrame:
     """The series dataset; ``id`` comes back from the folder names, so a
     filter on ``id`` prunes folders."""
-    key = "spark.sql.sources.partitionColumnTypeInference.enabled"
-    before = spark.conf.get(key, "true")
-    spark.conf.set(key, "false")  # ids such as "007" stay text
-    try:
-        df = spark.read.parquet(path)
-    finally:
-        spark.conf.set(key, before)
-    return df
+    schema = spark.read.parquet(path).schema
+    # Given as text, ids such as "007" are not taken for numbers.
+    typed = StructType([StructField(f.name, StringType(), True) if f.name == "id" else f for f in schema])
+    return spark.read.schema(typed).parquet(path)
 
 
 def read_parquet_folders(spark: SparkSession, path: str) -> DataFrame:
