@@ -246,31 +246,53 @@ def templates(docs: DataFrame, counted: DataFrame, min_docs: int, similarity: fl
         lines = (lines.join(salts, "key", "left")
                  .withColumn("salt", F.when(F.col("held") > block, F.coalesce("salt", "key")).otherwise(F.lit(0))))
 
-    def parse(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values(["texts", "key"], ascending=[False, True])
-        found = parse_leaf([(k, m.split(" ")) for k, m in zip(part["key"], part["masked"])], similarity)
-        return pd.DataFrame([(k, _hash(" ".join(t)), " ".join(t)) for k, t in found],
-                            columns=["key", "template", "pattern"])
-
-    return lines.groupBy("leaf", "salt").applyInPandas(parse, "key long, template long, pattern string")
-
-
-def shingles(line: list[str], known: dict[str, int]) -> np.ndarray:
-    """Hashes of the 5-word shingles of a line, a shorter line as one."""
-    words = np.array([known.get(t) or known.setdefault(t, xxhash.xxh3_64_intdigest(t.encode("utf-8", "surrogatepass")) | 1)
-                      for t in line], dtype=np.uint64)
-    n = min(5, len(words))
-    found = np.zeros(len(words) - n + 1, dtype=np.uint64)
-    for k in range(n):
-        found = (found ^ words[k:len(words) - n + 1 + k]) * np.uint64(0x9E3779B97F4A7C15)
+    # Leaves lie one after the other in sorted partitions; the last of a batch may go on.
+    lines = (lines.repartition(task_count(docs.sparkSession), "leaf", "salt")
+             .sortWithinPartitions("leaf", "salt", F.desc("texts"), "key").select("leaf", "salt", "key", "masked"))
+
+    def parse(batches):
+        name, held = None, []
+        for b in batches:
+            out = []
+            for leaf, salt, key, masked in zip(b["leaf"], b["salt"], b["key"], b["masked"]):
+                if (leaf, salt) != name:
+                    out += parse_leaf(held, similarity)
+                    name, held = (leaf, salt), []
+                held.append((key, masked.split(" ")))
+            yield parsed_rows(out)
+        yield parsed_rows(parse_leaf(held, similarity))
+
+    return lines.mapInPandas(parse, "key long, template long")
+
+
+def parsed_rows(found: list[tuple[int, list[str]]]) -> pd.DataFrame:
+    return pd.DataFrame([(k, _hash(" ".join(t))) for k, t in found], columns=["key", "template"], dtype="int64")
+
+
+def shingles(lines: list[list[str]], known: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the 5-word shingles of each line, a shorter line as one; and the number
+    of the line that each is from."""
+    for tokens in lines:
+        for t in tokens:
+            if t not in known:
+                known[t] = xxhash.xxh3_64_intdigest(t.encode("utf-8", "surrogatepass"))
+    words = np.array([known[t] for tokens in lines for t in tokens], dtype=np.uint64)
+    line = np.repeat(np.arange(len(lines)), list(map(len, lines)))
+    n = max(0, len(words) - 4)
+    found = np.zeros(n, dtype=np.uint64)
+    for k in range(5):
+        found = (found ^ words[k:n + k]) * np.uint64(0x9E3779B97F4A7C15)
         found ^= found >> np.uint64(29)
-    return found
+    inside = line[:n] == line[len(line) - n:]
+    short = [(xxhash.xxh3_64_intdigest(" ".join(tokens).encode("utf-8", "surrogatepass")), k)
+             for k, tokens in enumerate(lines) if len(tokens) < 5]
+    return (np.concatenate([found[inside], np.array([h for h, _ in short], dtype=np.uint64)]),
+            np.concatenate([line[:n][inside], np.array([k for _, k in short], dtype=line.dtype)]))
 
 
-def smallest(found: list[np.ndarray], size: int = SKETCH) -> np.ndarray:
+def smallest(found: np.ndarray, size: int = SKETCH) -> np.ndarray:
     """The sketch of some shingles: their smallest hashes, in order, as signed numbers."""
-    every = np.unique(np.concatenate(found)) if found else np.zeros(0, dtype=np.uint64)
-    return every[:size].astype(np.int64)
+    return np.unique(found)[:size].astype(np.int64)
 
 
 def likeness(a: np.ndarray, b: np.ndarray) -> float:
@@ -306,15 +328,11 @@ def sketches(docs: DataFrame, names: DataFrame, long_keys) -> DataFrame:
                 slot = h % NAME_BITS
                 if not texts[slot >> 3] >> (slot & 7) & 1:
                     continue
-                whole, rest = [], []
-                for line in text.split("\n"):
-                    if tokens := tokens_of(line):
-                        found = shingles(tokens, known)
-                        whole.append(found)
-                        key = _hash(" ".join(tokens)) % KEY_BITS
-                        if not out_of_rest[key >> 3] >> (key & 7) & 1:
-                            rest.append(found)
-                out.append((h, n, smallest(whole), smallest(rest)))
+                lines = [tokens for x in text.split("\n") if (tokens := tokens_of(x))]
+                found, line = shingles(lines, known)
+                keys = [_hash(" ".join(tokens)) % KEY_BITS for tokens in lines]
+                kept = np.array([not out_of_rest[k >> 3] >> (k & 7) & 1 for k in keys], dtype=bool)
+                out.append((h, n, smallest(found), smallest(found[kept[line]])))
                 if len(known) > 1 << 18:
                     known.clear()
             yield pd.DataFrame(out, columns=["_hash", "_size", "whole", "rest"])
