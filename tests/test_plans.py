@@ -123,3 +123,21 @@ def test_building_the_ingest_only_reads_schemas(spark):
     E.queries()["ingest_series"](spark, SF_SMALL)
     jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup(None)) - before
     assert jobs <= 4, jobs
+
+
+@pytest.mark.parametrize("name", ["primary_outcome", "alarm_duration", "alarms_all", "cluster_size_analyzed"])
+def test_exclusion_never_moves_the_series(spark, name):
+    """With broadcasts off, as for a long exclusion list: the fixture's exchange, the fold's
+    for outcomes with episodes, and no other."""
+    key = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "-1")
+    try:
+        df = E.queries()[name](spark, SF_SMALL)
+        df.write.format("noop").mode("overwrite").save()
+        ex = row_level_exchanges(df._jdf.queryExecution().executedPlan())
+    finally:
+        spark.conf.set(key, before)
+        spark.catalog.clearCache()
+    series = [e for e in ex if "patient" not in e and "_ex" not in e]
+    assert len(series) == (1 if name in ("alarms_all", "cluster_size_analyzed") else 2), ex

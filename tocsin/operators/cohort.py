@@ -40,8 +40,9 @@ def cluster_sizes(series: DataFrame, missing: DataFrame, excluded: DataFrame | N
     ``excluded`` given -> analysed sizes, else randomized sizes.  Missing units
     (monitored without a recording) are counted too.
     """
-    s = series if excluded is None else analysed_series(series, excluded)
-    firsts = first_unit_per_id(s).select("nurse", "id", "randomization")
+    firsts = first_unit_per_id(series).select("nurse", "id", "randomization")
+    if excluded is not None:
+        firsts = analysed_series(firsts, excluded)
     allu = append_units(firsts, missing.select("nurse", "id", "randomization"), value_col=None)
     return allu.groupBy("nurse", "randomization").agg(F.count(F.lit(1)).alias("n"))
 

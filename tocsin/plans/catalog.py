@@ -141,6 +141,16 @@ def _desat_rows(t: Trial) -> DataFrame:
     return sort_by_cluster(t.desaturation("every_row"))
 
 
+_KEPT = ["line", "spo2", "spo2Low", "respRateHigh", "noBreath", "ipiLow", "pulseRateHigh", "event"]
+
+
+@register("desat_area_columns", O.desat_columns_sql(_KEPT))
+def _desat_columns(t: Trial) -> DataFrame:
+    """O35 with the columns that the area's row keeps: its episode and the series' own."""
+    out = t.desaturation(columns=_KEPT)
+    return out.select("id", "randomization", "nurse", "outcome", _epoch("alarm_start"), _epoch("alarm_end"), "duration", *_KEPT)
+
+
 @register("adverse_flag", O.adverse_sql())
 def _adverse(t: Trial) -> DataFrame:
     """Adverse-event flag per unit."""

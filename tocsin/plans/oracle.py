@@ -108,6 +108,17 @@ def desat_episode_sql() -> str:
                  res=RIGHT_JOIN_AREAS) + "SELECT id, randomization, nurse, outcome FROM res"
 
 
+def desat_columns_sql(columns: list[str]) -> str:
+    return _with(BASE, WALK, _episode_views(CLEAR),
+                 sums="SELECT id, coalesce(sum(CASE WHEN spo2 < 90 THEN 90 - spo2 WHEN spo2 IS NOT NULL THEN 0 END), 0) "
+                      "AS outcome FROM d GROUP BY id",
+                 p="SELECT d.*, s.outcome FROM d JOIN sums s USING (id) QUALIFY row_number() OVER (PARTITION BY d.id ORDER BY datetime) = 1") + (
+        "SELECT u.id, u.randomization, u.nurse, CAST(coalesce(p.outcome, 0) AS DOUBLE) AS outcome, "
+        "CAST(epoch(p.alarm_start) AS BIGINT) AS alarm_start, CAST(epoch(p.datetime) AS BIGINT) AS alarm_end, p.dur AS duration, "
+        + ", ".join(f"r.{c}" for c in columns) + " FROM p JOIN ds r ON r.id = p.id AND r.datetime = p.datetime RIGHT JOIN units u ON p.id = u.id "
+        "AND p.randomization IS NOT DISTINCT FROM u.randomization AND p.nurse IS NOT DISTINCT FROM u.nurse")
+
+
 def desat_rows_sql() -> str:
     return _with(BASE,
                  sums="SELECT id, coalesce(sum(CASE WHEN spo2 < 90 THEN 90 - spo2 ELSE 0 END), 0) AS outcome FROM ds GROUP BY id",

@@ -110,7 +110,7 @@ class Trial:
         return self._memo("analysed", lambda: cohort.analysed_series(self.series(), self.excluded()))
 
     def units(self) -> DataFrame:
-        return distinct_units(self.analysed())
+        return cohort.analysed_series(distinct_units(self.series()), self.excluded())
 
     # -- episodes and outcomes -------------------------------------------
     def state(self) -> DataFrame:
@@ -125,20 +125,21 @@ class Trial:
     # Outcomes come unordered; the output order (O25) is the sink's business.
     def primary(self, scope: str | None = None) -> DataFrame:
         return outcomes.seconds_in_alarm(
-            self.analysed(), None, self.missing(), end="answered", scope=scope or self.scope,
-            chunk_seconds=self.chunk_seconds, flags=self.flags)
+            self.series(), None, self.missing(), end="answered", scope=scope or self.scope,
+            chunk_seconds=self.chunk_seconds, flags=self.flags, excluded=self.excluded())
 
     def alarm_duration(self, scope: str | None = None, with_missing: bool = True) -> DataFrame:
         return outcomes.seconds_in_alarm(
-            self.analysed(), None, self.missing() if with_missing else None, end="clear",
-            scope=scope or self.scope, chunk_seconds=self.chunk_seconds, flags=self.flags)
+            self.series(), None, self.missing() if with_missing else None, end="clear", scope=scope or self.scope,
+            chunk_seconds=self.chunk_seconds, flags=self.flags, excluded=self.excluded())
 
     def alarms(self, vocabulary: str) -> DataFrame:
-        return outcomes.event_alarm_count(self.analysed(), self.missing(), vocabulary, self.flags)
+        return outcomes.event_alarm_count(self.series(), self.missing(), vocabulary, self.flags, self.excluded())
 
-    def desaturation(self, sample: str = "episode_end") -> DataFrame:
-        return outcomes.desaturation_area(self.analysed(), None, sample=sample, scope=self.scope,
-                                          chunk_seconds=self.chunk_seconds, flags=self.flags)
+    def desaturation(self, sample: str = "episode_end", columns: Sequence[str] = ()) -> DataFrame:
+        return outcomes.desaturation_area(self.series(), None, sample=sample, scope=self.scope,
+                                          chunk_seconds=self.chunk_seconds, flags=self.flags,
+                                          excluded=self.excluded(), columns=columns)
 
     def adverse(self) -> DataFrame:
         return cohort.adverse_flags(self.adverse_form_fn(), self.units())
