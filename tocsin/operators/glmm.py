@@ -249,8 +249,8 @@ class ClusteredModels:
         else:
             self.nodes = [(a, b, u + v) for a, u in zip(x, part) for b, v in zip(x, part)]
         cells = (cells if "lgy1" in cells.columns else with_constants(cells)).select("_m", "cluster", "x", "y", "c", "lgy1")
-        # Few cells mean many rows (vectors x nodes each): they are spread over all tasks.
-        self.cells = materialize(cells.repartition(int(spark.conf.get("spark.sql.shuffle.partitions"))), "glmm-cells")
+        # Few cells mean many rows (vectors x nodes each): they are spread over all cores.
+        self.cells = materialize(cells.repartition(spark.sparkContext.defaultParallelism), "glmm-cells")
         start = {"m1": 0.0, "m2": 0.0, "s11": 1.0, "s21": 0.0, "s22": 1.0}
         self.centres = materialize(
             self.cells.select("_m", "cluster").distinct().withColumns({k: F.lit(v) for k, v in start.items()}), "glmm-centres")

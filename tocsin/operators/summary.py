@@ -72,7 +72,7 @@ def order_statistics(values: DataFrame, keys: Sequence[str], probabilities: Sequ
     table of the ranges.  A quantile is then the row that holds its rank, so neither a
     group's values nor a map of them ever meet in one task."""
     counts = values.groupBy(*keys, "value").agg(F.count(F.lit(1)).alias("held"))
-    dealt = materialize(counts.repartitionByRange(int(values.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys, "value")
+    dealt = materialize(counts.repartitionByRange(*keys, "value")
                         .withColumn("_range", F.spark_partition_id()), "order-statistics")
     ranges = dealt.groupBy(*keys, "_range").agg(F.sum("held").alias("_all"))
     group = Window.partitionBy(*keys)
