@@ -152,13 +152,13 @@ def test_sketches_estimate_the_jaccard_similarity():
             b[k] = "other"
         sets = [{tuple(x[i:i + 5]) for i in range(n - 4)} for x in (a, b)]
         true = len(sets[0] & sets[1]) / len(sets[0] | sets[1])
-        found = line_dedup.likeness(*[line_dedup.smallest(line_dedup.shingles([x], {})[0]) for x in (a, b)])
+        found = line_dedup.likeness(*[line_dedup.smallest(line_dedup.shingles([x], line_dedup.Words())[0]) for x in (a, b)])
         assert abs(found - true) < (1e-9 if n == 30 else 0.2)
 
 
 def test_shingles_stay_in_their_line():
     lines = [list("abcdefg"), list("xy"), list("abcde"), list("abcd")]
-    found, line = line_dedup.shingles(lines, {})
+    found, line = line_dedup.shingles(lines, line_dedup.Words())
     assert sorted(line.tolist()) == [0, 0, 0, 1, 2, 3]
     assert found[line == 0][0] == found[line == 2][0] and len(set(found.tolist())) == 5
-    assert [len(x) for x in line_dedup.shingles([], {})] == [0, 0]
+    assert [len(x) for x in line_dedup.shingles([], line_dedup.Words())] == [0, 0]

@@ -38,6 +38,7 @@ from __future__ import annotations
 import re
 from collections import defaultdict
 from functools import reduce
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -49,6 +50,7 @@ from pyspark.sql import functions as F
 from tocsin.llm.collocations import bitmap
 from tocsin.llm.common import stored, task_count, text_of
 from tocsin.llm.components import components
+from tocsin.llm.exact_dedup import HIT_BITS, in_bitmap
 
 LEADING = 3
 SIMILARITY = 0.7
@@ -63,7 +65,7 @@ BLOCK = 2048
 SCANNED = 32  # lines of which a parse compares all templates
 VARIABLE = "<*>"
 FILTER_BITS = 1 << 20  # bitmap of leaves: what the broadcast is bounded by
-NAME_BITS, KEY_BITS = 1 << 23, 1 << 25  # bitmaps of texts to sketch, and of long recurring lines
+KEY_BITS = 1 << 25  # bitmap of long recurring lines
 _DIGIT = re.compile(r"\d")
 _KEY = ("_hash", "_size")
 _LINE = ("leaves", "keys", "long")
@@ -106,10 +108,11 @@ def line_index(docs: DataFrame, long_words: int = LONG_WORDS) -> DataFrame:
     def indexed(batches):
         for b in batches:
             once = b.drop_duplicates(["_hash", "_size"])
-            found = [sorted({(p[0], p[1], p[2].count(" ") + 1 >= long_words) for p in map(parsed, t.split("\n")) if p})
+            found = [list({p[1]: (*p[:2], p[2].count(" ") + 1 >= long_words) for p in map(parsed, t.split("\n")) if p}.values())
                      for t in once["text"]]
             yield pd.DataFrame({"_hash": once["_hash"], "_size": once["_size"],
-                                **{n: [[p[k] for p in f] for f in found] for k, n in enumerate(_LINE)}})
+                                **{n: [np.array([p[k] for p in f], dtype=kind) for f in found]
+                                   for k, (n, kind) in enumerate(zip(_LINE, (np.int64, np.int64, bool)))}})
 
     rows = _signed(docs).select("_hash", "_size", "text").mapInPandas(
         indexed, "_hash long, _size int, leaves array<bigint>, keys array<bigint>, long array<boolean>")
@@ -269,15 +272,20 @@ def parsed_rows(found: list[tuple[int, list[str]]]) -> pd.DataFrame:
     return pd.DataFrame([(k, _hash(" ".join(t))) for k, t in found], columns=["key", "template"], dtype="int64")
 
 
-def shingles(lines: list[list[str]], known: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
+class Words(dict):
+    """Token -> its hash, made when first met."""
+
+    def __missing__(self, token: str) -> int:
+        h = self[token] = xxhash.xxh3_64_intdigest(token.encode("utf-8", "surrogatepass"))
+        return h
+
+
+def shingles(lines: list[list[str]], known: Words) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the 5-word shingles of each line, a shorter line as one; and the number
     of the line that each is from."""
-    for tokens in lines:
-        for t in tokens:
-            if t not in known:
-                known[t] = xxhash.xxh3_64_intdigest(t.encode("utf-8", "surrogatepass"))
-    words = np.array([known[t] for tokens in lines for t in tokens], dtype=np.uint64)
-    line = np.repeat(np.arange(len(lines)), list(map(len, lines)))
+    sizes = list(map(len, lines))
+    words = np.fromiter(map(known.__getitem__, chain.from_iterable(lines)), dtype=np.uint64, count=sum(sizes))
+    line = np.repeat(np.arange(len(lines)), sizes)
     n = max(0, len(words) - 4)
     found = np.zeros(n, dtype=np.uint64)
     for k in range(5):
@@ -292,6 +300,10 @@ def shingles(lines: list[list[str]], known: dict[str, int]) -> tuple[np.ndarray,
 
 def smallest(found: np.ndarray, size: int = SKETCH) -> np.ndarray:
     """The sketch of some shingles: their smallest hashes, in order, as signed numbers."""
+    if len(found) > 4 * size:
+        few = np.unique(np.partition(found, 2 * size)[:2 * size])
+        if len(few) >= size:  # without too many repeated ones, the rest can't be among them
+            return few[:size].astype(np.int64)
     return np.unique(found)[:size].astype(np.int64)
 
 
@@ -316,18 +328,17 @@ def sketches(docs: DataFrame, names: DataFrame, long_keys) -> DataFrame:
     """(name, whole, rest) of the texts in ``names`` (name): sketches of all lines and
     of those that aren't long and recurring (a broadcast bitmap of ``long_keys``; a
     collision takes a line out of the rest of all texts alike)."""
-    wanted = docs.sparkSession.sparkContext.broadcast(bitmap(
-        names, F.pmod("name._hash", F.lit(NAME_BITS)), F.lit(1), 1, NAME_BITS).tobytes())
+    def slot(h: str):
+        return F.pmod(F.col(h), F.lit(HIT_BITS))
+
+    # A bitmap of fixed size keeps most other texts from leaving the scan.
+    near = _signed(docs).where(in_bitmap(names.select(slot("name._hash").alias("slot")), slot("_hash")))
 
     def sketched(batches):
-        texts, out_of_rest = wanted.value, long_keys.value
-        known: dict[str, int] = {}
+        out_of_rest, known = long_keys.value, Words()
         for b in batches:
             out = []
             for h, n, text in zip(b["_hash"], b["_size"], b["text"]):
-                slot = h % NAME_BITS
-                if not texts[slot >> 3] >> (slot & 7) & 1:
-                    continue
                 lines = [tokens for x in text.split("\n") if (tokens := tokens_of(x))]
                 found, line = shingles(lines, known)
                 keys = [_hash(" ".join(tokens)) % KEY_BITS for tokens in lines]
@@ -337,7 +348,7 @@ def sketches(docs: DataFrame, names: DataFrame, long_keys) -> DataFrame:
                     known.clear()
             yield pd.DataFrame(out, columns=["_hash", "_size", "whole", "rest"])
 
-    rows = _signed(docs).select(*_KEY, "text").mapInPandas(sketched, "_hash long, _size int, whole array<bigint>, rest array<bigint>")
+    rows = near.select(*_KEY, "text").mapInPandas(sketched, "_hash long, _size int, whole array<bigint>, rest array<bigint>")
     return (rows.select(F.struct(*_KEY).alias("name"), "whole", "rest").dropDuplicates(["name"])
             .join(names, "name", "left_semi"))
 
