@@ -335,3 +335,13 @@ def test_baseline_needs_no_map_of_values(spark):
     import __spark_entry__ as entry
     plan = entry.queries()["baseline_continuous"](spark, SF_SMALL)._jdf.queryExecution().toString()
     assert "percentile" not in plan
+
+
+def test_crude_effects_without_a_mean(spark):
+    from tocsin.operators.stats import crude_effects, formatted_results
+    rows = [("a", "IPI enabled", 2.0), ("a", "IPI disabled", 1.0), ("a", "IPI disabled", 3.0), ("b", "IPI enabled", 0.0),
+            ("b", "IPI disabled", 0.0), ("c", "IPI enabled", 4.0), ("c", None, 9.0), ("c", "IPI enabled", None)]
+    df = spark.createDataFrame(rows, "name string, randomization string, outcome double")
+    got = {r["Outcome"]: r for r in formatted_results(crude_effects(df, "name")).collect()}
+    assert got["a"]["IRR"] == 1.0 and got["b"]["IRR"] is None and got["c"]["IRR"] is None
+    assert formatted_results(crude_effects(df.where("name = 'z'"), "name")).collect() == []

@@ -230,14 +230,14 @@ def formatted_results(df: DataFrame) -> DataFrame:
 def crude_effects(outcomes: DataFrame, key: str, treated: str = "IPI enabled") -> DataFrame:
     """Effects by arm without a model, in the columns of ``RESULT_SCHEMA``: the ratio of
     the means and the odds ratio of a zero (half a unit added to each count), with
-    intervals on the log scale."""
+    intervals on the log scale; null where an arm has no units or a mean of 0."""
     y = F.col("outcome").cast("double")
     arm = F.when(F.col("randomization") == treated, 1).when(F.col("randomization").isNotNull(), 0)
     parts = outcomes.where(F.col("outcome").isNotNull()).withColumn("_arm", arm).groupBy(key).pivot("_arm", [0, 1]).agg(
         F.count(F.lit(1)).alias("n"), F.avg(y).alias("m"), F.var_pop(y).alias("v"), F.sum(F.when(y == 0, 1).otherwise(0)).alias("z"))
     c = F.col
-    log_ratio = F.log(c("1_m") / c("0_m"))
-    spread = F.sqrt(sum(c(f"{a}_v") / (c(f"{a}_n") * c(f"{a}_m") ** 2) for a in (0, 1)))
+    log_ratio = F.log(F.try_divide(c("1_m"), c("0_m")))
+    spread = F.sqrt(sum(F.try_divide(c(f"{a}_v"), c(f"{a}_n") * c(f"{a}_m") ** 2) for a in (0, 1)))
     cells = [c(f"{a}_z") + 0.5 for a in (1, 0)], [c(f"{a}_n") - c(f"{a}_z") + 0.5 for a in (1, 0)]
     log_odds = F.log(cells[0][0] / cells[1][0]) - F.log(cells[0][1] / cells[1][1])
     width = F.sqrt(sum(F.lit(1.0) / v for side in cells for v in side))
