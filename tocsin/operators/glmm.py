@@ -60,7 +60,7 @@ CHAINED, LONGEST_MOVE, MOST_JOBS, ARRIVED = 2, 1.0, 16, 1e-3
 # likelihood below which a step no longer matters, what other nodes may change in it, and
 # the width of the differences.
 MIN_LOG_SD, MAX_COEF, MAX_LOG_SHAPE = math.log(0.01), 25.0, 20.0
-LONGEST_STEP, LONGEST_SD_STEP, RUN_AWAY_STEP = 2.0, 1.0, 5.0
+LONGEST_STEP, LONGEST_SD_STEP, SHARED_STEP, RUN_AWAY_STEP = 2.0, 1.0, 0.3, 5.0
 FINAL_GAIN, NODE_ERROR = 1e-5, 1e-4
 WIDTH = 1e-5
 NO_INFORMATION = 1e-4  # slope and curvature below which the data say nothing about a parameter
@@ -435,8 +435,8 @@ class ClusteredModels:
             same = (np.abs(plain) > STEADY) & (plain * before.plain > 0) & (np.abs(plain - before.plain) < 0.5 * np.abs(before.plain))
             stride = np.where(same, 2 * before.stride, 1.0)
         step = step * stride
-        longest = np.array([LONGEST_SD_STEP if n in ("l11", "l21", "l22") else LONGEST_STEP for n in self.names])
-        longest = np.where(stride > 1, np.array([LONGEST_SD_STEP if n == "l21" else RUN_AWAY_STEP for n in self.names]), longest)
+        longest = np.array([{"l11": LONGEST_SD_STEP, "l22": LONGEST_SD_STEP, "l21": SHARED_STEP}.get(n, LONGEST_STEP) for n in self.names])
+        longest = np.where((stride > 1) & (longest > SHARED_STEP), RUN_AWAY_STEP, longest)
         step = np.clip(np.clip(step, -longest, longest) + theta, low, high) - theta
         return _Step(theta, float(values[0]), g, H, free, step, gain, proper, plain, stride)
 
@@ -497,7 +497,8 @@ class ClusteredModels:
             if not open_models or taken >= max_iter:
                 break
             taken += 1
-            self.centre(thetas, settle=False)
+            # after a step that went wrong the nodes may be far from the modes
+            self.centre(thetas, settle=min(length.values()) < 1)
         for m, s in steps.items():
             thetas[m] = s.theta
         return [steps[m] for m in range(self.models)], taken
