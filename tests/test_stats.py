@@ -345,3 +345,64 @@ def test_crude_effects_without_a_mean(spark):
     got = {r["Outcome"]: r for r in formatted_results(crude_effects(df, "name")).collect()}
     assert got["a"]["IRR"] == 1.0 and got["b"]["IRR"] is None and got["c"]["IRR"] is None
     assert formatted_results(crude_effects(df.where("name = 'z'"), "name")).collect() == []
+
+
+def test_sums_of_a_cluster_give_the_likelihood_of_its_units(spark):
+    """One row a cluster, however many different outcomes; values as added up unit by unit."""
+    from tocsin.operators.glmm import QUADRATURE_NODES
+    rng = np.random.default_rng(12)
+    at = {"b0": 9.0, "b1": -0.4, "g0": -1.0, "g1": 0.5, "log_phi": -0.3, "log_sigma": 0.2, "l11": -0.5, "l21": 0.2, "l22": -0.4}
+    rows = [(f"N{k % 5}", int(rng.integers(0, 2)), float(y)) for k, y in enumerate(np.round(np.exp(rng.normal(9, 2, 300)), 1))]
+    rows += [("N0", 0, 0.0), ("N0", 0, 0.0), ("N1", 1, 0.0), ("N5", 1, 0.0)]  # a cluster of zeros alone
+    x1, w1 = np.polynomial.hermite.hermgauss(QUADRATURE_NODES)
+
+    def density(family, x, y, z1, z2):
+        eta, zeta = at["b0"] + at["b1"] * x + z1, at["g0"] + at["g1"] * x + z2
+        pi, phi = 1 / (1 + math.exp(-zeta)), math.exp(at["log_phi"])
+        if family == "binomial":
+            return y * eta - math.log1p(math.exp(eta))
+        if family == "hurdle_lognormal":
+            off = (math.log(y) - eta) / math.exp(at["log_sigma"]) if y else 0.0
+            return math.log(1 - pi) - math.log(y) - at["log_sigma"] - 0.5 * math.log(2 * math.pi) - off * off / 2 if y else math.log(pi)
+        total = math.log(phi + math.exp(eta))
+        count = (math.lgamma(y + phi) - math.lgamma(phi) - math.lgamma(y + 1) + phi * (at["log_phi"] - total) + y * (eta - total))
+        if family == "negative_binomial":
+            return count
+        return math.log(1 - pi) + count if y else math.log(pi + (1 - pi) * math.exp(count))
+
+    for family in ("negative_binomial", "zi_negative_binomial", "hurdle_lognormal", "binomial"):
+        own = [(c, x, float(y > 9000)) for c, x, y in rows] if family == "binomial" else rows
+        cells = spark.createDataFrame(own, "cluster string, x int, y double").groupBy("cluster", "x", "y").agg(
+            F.count(F.lit(1)).cast("double").alias("c"))
+        model = ClusteredModel(spark, cells, family)
+        assert model.centres.count() == 6
+        want = 0.0
+        for name in sorted({c for c, _, _ in own}):
+            units, total = [(x, y) for c, x, y in own if c == name], []
+            for a, u in zip(x1, w1):
+                for b, v in zip(x1, w1) if model.dim == 2 else [(0.0, math.exp(-0.0) / math.sqrt(2))]:
+                    z1, z2 = math.sqrt(2) * a, math.sqrt(2) * b
+                    u1 = z1 / math.exp(at["l11"])
+                    lw = math.log(u * v * 2) + a * a + b * b - u1 * u1 / 2 - at["l11"] - 0.5 * math.log(2 * math.pi)
+                    if model.dim == 2:
+                        u2 = (z2 - at["l21"] * u1) / math.exp(at["l22"])
+                        lw += -u2 * u2 / 2 - at["l22"] - 0.5 * math.log(2 * math.pi)
+                    total.append(lw + sum(density(family, x, y, z1, z2) for x, y in units))
+            want += max(total) + math.log(sum(math.exp(t - max(total)) for t in total))
+        got = model.loglik(**{n: at[n] for n in model.names})
+        assert abs(got - want) < 1e-7 * abs(want), (family, got, want)
+
+
+def test_clusters_without_zeros_beside_clusters_with_many(spark):
+    """The likelihood is a bent, narrow valley there; the search must reach its end in few jobs."""
+    rng, rows = np.random.default_rng(13), []
+    zeros = {0: (0, 0, 0, 2, 123, 86), 1: (0, 122, 0, 124, 87)}
+    for x, own in zeros.items():
+        for k, none in enumerate(own):
+            mu = math.exp(13.44 + rng.normal(0, 0.03))
+            rows += [(f"N{x}{k}", x, float(y)) for y in 3600 * rng.poisson(rng.gamma(8.4, mu / 3600 / 8.4, size=500))] + [(f"N{x}{k}", x, 0.0)] * none
+    cells = spark.createDataFrame(rows, "cluster string, x int, y double").groupBy("cluster", "x", "y").agg(
+        F.count(F.lit(1)).cast("double").alias("c"))
+    model = ClusteredModel(spark, cells, "zi_negative_binomial")
+    fit = model.fit()
+    assert fit.converged and model.jobs <= 90, (fit, model.jobs)
