@@ -3,6 +3,7 @@ import os
 import tempfile
 import zipfile
 
+from pyspark.sql import functions as F
 
 from tocsin.plans.ingest import ingest_folders
 from tocsin.sources.dataset import read_series
@@ -193,3 +194,21 @@ def test_units_of_real_files_use_the_nurse_sheets(spark):
     ingest_folders(spark, csv_dir, wb_dir, out_dir=out)
     units = {tuple(r) for r in Trial.from_folders(spark, out, wb_dir).nurse_units().collect()}
     assert units == {("N01", "E01", "IPI enabled"), ("N02", None, "IPI disabled")}
+
+
+def test_small_recordings_share_files(spark):
+    """A thousand recordings and more in a few sorted files, with the ids as they were."""
+    from tocsin.sources.dataset import write_series
+    out = os.path.join(tempfile.mkdtemp(), "s")
+    df = spark.sql("""SELECT CASE WHEN r = 7 THEN '' WHEN r = 8 THEN NULL ELSE printf('E%03d', r) END AS id,
+                      timestamp_seconds(1704067200 + t * 40000) AS datetime, r * 100 + t AS line
+                      FROM (SELECT explode(sequence(0, 1199)) AS r), (SELECT explode(sequence(0, 9)) AS t)""")
+    write_series(df, out)
+    files = [f for _, _, names in os.walk(out) for f in names if f.endswith(".parquet")]
+    assert len(files) <= int(spark.conf.get("spark.sql.shuffle.partitions")), len(files)
+    back = read_series(spark, out)
+    assert sorted(map(tuple, back.select("id", "datetime", "line").collect()), key=str) == sorted(map(tuple, df.collect()), key=str)
+    assert back.where("id = 'E042'").count() == 10
+    spans = sorted((r["low"], r["high"]) for r in back.where("id IS NOT NULL").groupBy(F.input_file_name()).agg(
+        F.min("id").alias("low"), F.max("id").alias("high")).collect())
+    assert all(a[1] <= b[0] for a, b in zip(spans, spans[1:])), spans

@@ -1,9 +1,12 @@
 """Series dataset on disk.
 
-The series is written as one Parquet dataset partitioned by recording
-(``id=<id>/``), rows sorted by time inside each file.  The write is spread by
-``(id, day)`` rather than by ``id`` alone, so one long recording is written
-by several tasks (several files in its folder) instead of one.
+The series is written as one Parquet dataset in the order of recordings and time:
+in a folder for each recording (``id=<id>/``), as in the original, up to ``MOST_FOLDERS``
+recordings.  More of them share files, with the id as a column: a hundred thousand small
+recordings would be as many folders, and time to write and list them grows beyond
+that for the rows.  Files are cut by ranges of (id, day), so one long recording is written
+by several tasks, and a filter on ``id`` prunes folders, or files and row groups by their
+smallest and largest id.
 """
 
 from __future__ import annotations
@@ -14,18 +17,21 @@ from pyspark.sql.types import StringType, StructField, StructType
 
 from tocsin.operators.episodes import DAY_SECONDS
 
+MOST_FOLDERS = 1000
+
 
 def write_series(df: DataFrame, path: str, mode: str = "overwrite", chunk_seconds: int = DAY_SECONDS) -> None:
-    """Parquet sink, one folder per recording."""
+    """Parquet sink, sorted by recording and time.  A dataset that is appended to keeps
+    its folders."""
     chunk = F.floor(F.unix_seconds("datetime") / F.lit(chunk_seconds))
-    (df.repartition("id", chunk)
-       .sortWithinPartitions("id", "datetime")
-       .write.mode(mode).partitionBy("id").parquet(path))
+    folders = mode == "append" or df.select("id").distinct().count() <= MOST_FOLDERS
+    writer = df.repartitionByRange("id", chunk).sortWithinPartitions("id", "datetime").write.mode(mode)
+    (writer.partitionBy("id") if folders else writer).parquet(path)
 
 
 def read_series(spark: SparkSession, path: str) -> DataFrame:
-    """The series dataset; ``id`` comes back from the folder names, so a
-    filter on ``id`` prunes folders."""
+    """The series dataset; ``id`` comes back from the folder names, or from the files
+    that recordings share."""
     schema = spark.read.parquet(path).schema
     # Given as text, ids such as "007" are not taken for numbers.
     typed = StructType([StructField(f.name, StringType(), True) if f.name == "id" else f for f in schema])
